@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, mixing, pii, secrets, simhash
+from . import chunks, decontaminate, mixing, pii, secrets, simhash
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pii, op5_simhash, op8_secrets, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op4_pii, op5_simhash, op6_decontamination, op8_secrets, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
