@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, mixing, pii, secrets, simhash
+from . import chunks, decontaminate, language, mixing, pii, secrets, simhash
 from .common import read
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language.of_documents(read(spark, sf_dir, "documents")).withColumn("page_id", F.lit(None).cast("long"))
+    pages = language.of_pages(read(spark, sf_dir, "pages")).withColumn("doc_id", F.lit(None).cast("long"))
+    return language.identify(docs.unionByName(pages))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymised(docs, counts=True)
@@ -37,7 +44,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pii, op5_simhash, op6_decontamination, op8_secrets, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language, op4_pii, op5_simhash, op6_decontamination, op8_secrets, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
