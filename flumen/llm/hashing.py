@@ -7,6 +7,8 @@ import numpy as np
 #: An odd base and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Powers kept, at most.
+KEPT = 1 << 22
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -17,8 +19,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
+    """base^0 .. base^(n-1) modulo 2^64; a table is kept up to a fixed length."""
+    if n <= len(_known.get(base, ())):
+        return _known[base][:n]
     out = np.ones(max(n, 1), np.uint64)
     done, step = 1, np.uint64(base)
     while done < n:
@@ -26,6 +33,8 @@ def _powers(base: int, n: int) -> np.ndarray:
         out[done : done + more] = out[:more] * step
         done += more
         step = np.uint64(int(step) * int(step) & 0xFFFFFFFFFFFFFFFF) if done == 2 * more else step
+    if n <= KEPT:
+        _known[base] = out
     return out[:n]
 
 
@@ -48,4 +57,4 @@ class Spans:
         n = len(self.sums) - 1
         if n < k:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[k:] - self.sums[:-k]) * self.back[: n - k + 1] + np.uint64(k) * M2)
+        return mixed((self.sums[k:] - self.sums[:-k]) * self.back[: n - k + 1] + np.uint64(k * int(M2) & 0xFFFFFFFFFFFFFFFF))

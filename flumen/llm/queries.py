@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, language, mixing, pii, secrets, simhash
+from . import chunks, decontaminate, language, mixing, pii, secrets, simhash, substrings
 from .common import read
 
 
@@ -31,6 +31,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op4_pii, op5_simhash, op6_decontamination, op8_secrets, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language, op4_pii, op5_simhash, op6_decontamination, op7_substrings, op8_secrets, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
