@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, language, mixing, pii, secrets, simhash, substrings
+from . import chunks, decontaminate, language, mixing, pii, secrets, simhash, substrings, suffixes
 from .common import read
 
 
@@ -17,6 +17,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.unionByName(pages))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymised(docs, counts=True)
@@ -49,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op4_pii, op5_simhash, op6_decontamination, op7_substrings, op8_secrets, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_array, op4_pii, op5_simhash, op6_decontamination, op7_substrings, op8_secrets, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
