@@ -37,3 +37,13 @@ def partitions(spark: SparkSession) -> int:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator works on; a null text counts as an empty one, other columns are left out."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
+#: Tables of up to this number of narrow rows are broadcast; larger ones are joined by a shuffle.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, written out and counted, with a broadcast hint if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

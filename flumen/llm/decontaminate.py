@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import if_small
+
 #: Tokens that each mask looks at.
 MASKS = ((0, 1, 3, 4, 7, 8, 9), (0, 2, 3, 5, 7, 8, 10), (0, 1, 2, 4, 7, 9, 10))
 SPAN = 1 + max(map(max, MASKS))
@@ -65,5 +67,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that overlap an item."""
-    found = overlaps(docs, benchmark).select("doc_id").distinct()
+    found = if_small(overlaps(docs, benchmark).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, if_small
 
 #: Labelled rows to train on, at most about this many, chosen by a hash of the text.
 SAMPLE = 8_000
@@ -34,8 +34,6 @@ EVIDENCE = 60
 LEAST = 0.5
 #: Weight of what lies above in the smoothing of hosts and sites, in rows; added counts of evidence values.
 SMOOTH, ADDED = 5.0, 1.0
-#: Tables of evidence values up to this number of rows are broadcast.
-SMALL = 100_000
 UND = "und"
 
 _letters: list[np.ndarray] = []
@@ -112,11 +110,6 @@ def _value_table(rows: DataFrame, column: str, n: int) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select(column, like.alias(f"{column}_like"))
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    table = cut(table)
-    return rows.join(F.broadcast(table) if table.count() <= SMALL else table, key, "left")
-
-
 def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """rows needs text, label (for training; may be null), declared, suffix, site and host. Returns rows without text,
     and language, posterior, text_language and rejected."""
@@ -138,7 +131,9 @@ def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Dat
     others = lambda c: F.transform(c, lambda x, i: x - (i == F.col("top")).cast("double"))
     smooth = lambda c, above: F.zip_with(others(c), above, lambda x, p: (x + SMOOTH * p) / (total(others(c)) + SMOOTH))
 
-    out = _joined(_joined(_joined(found, priors, "host"), _value_table(found, "declared", n), "declared"), _value_table(found, "suffix", n), "suffix")
+    out = found.join(if_small(priors), "host", "left")
+    for column in ("declared", "suffix"):
+        out = out.join(if_small(_value_table(found, column, n)), column, "left")
     out = out.crossJoin(F.broadcast(every)).withColumn("prior", shares(F.col("all_n")))
     out = out.withColumn("prior", F.when(F.col("site_n").isNotNull(), smooth(F.col("site_n"), F.col("prior"))).otherwise(F.col("prior")))
     out = out.withColumn("prior", F.when(F.col("host_n").isNotNull(), smooth(F.col("host_n"), F.col("prior"))).otherwise(F.col("prior")))
@@ -177,6 +172,6 @@ def accepted(docs: DataFrame) -> DataFrame:
     """docs without those that are rejected; of rows with one doc_id each is judged by its own text."""
     keyed = docs.withColumn("_mark", F.xxhash64("text", "lang", "source"))
     rows = of_documents(keyed).withColumn("_mark", F.xxhash64("text", "label", "host"))
-    bad = identify(rows).filter("rejected").select("doc_id", "_mark").distinct()
+    bad = if_small(identify(rows).filter("rejected").select("doc_id", "_mark").distinct())
     same = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_mark"] == bad["_mark"])
     return keyed.join(bad, same, "left_anti").select(docs.columns)

@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import SMALL, WORD, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 FAN = 64
-#: Sources up to this number are broadcast; more are joined by a shuffle.
-SMALL = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
