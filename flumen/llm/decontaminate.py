@@ -17,29 +17,35 @@ from pyspark.sql import functions as F
 
 from .common import if_small
 
-#: Tokens that each mask looks at.
-MASKS = ((0, 1, 3, 4, 7, 8, 9), (0, 2, 3, 5, 7, 8, 10), (0, 1, 2, 4, 7, 9, 10))
-SPAN = 1 + max(map(max, MASKS))
+#: Each mask looks at three pairs of neighbouring tokens, which begin at these places of the window.
+MASKS = ((0, 3, 7), (0, 4, 9), (0, 2, 8))
+SPAN = 2 + max(map(max, MASKS))
 WINDOW, SHARE = 13, 0.75
 #: Benchmark seeds up to this number are broadcast; more are joined by a shuffle.
 SMALL = 2_000_000
 
 
 def tokens(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.split(F.lower(F.btrim(F.col(text), F.lit(" \t\n\x0b\f\r"))), r"[\x20\x09-\x0D]+")
 
 
-def _seeds(hashes: str) -> Column:
-    """The seeds of all windows, one for each mask, window after window."""
-    at = lambda i, m: F.xxhash64(F.lit(m), *(F.get(F.col(hashes), i + p) for p in MASKS[m]))
-    starts = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN))
-    return F.flatten(F.transform(starts, lambda i: F.array(*(at(i, m) for m in range(len(MASKS))))))
+def _seed_rows(table: DataFrame, key: str) -> DataFrame:
+    """key, at, seed: those of all windows under each mask. Arrays are shifted against each other and zipped, which is
+    far quicker than picking elements by index."""
+    both = lambda a, b: F.xxhash64(a, b)
+    shifted = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
+    pair = F.col("pair")
+    rows = table.select(key, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("hash"))
+    rows = rows.filter(F.size("hash") >= SPAN).select(key, F.zip_with("hash", shifted(F.col("hash"), 1), both).alias("pair"))
+    n = F.size(pair) - SPAN + 1
+    seeds = [F.slice(_under(pair, shifted(pair, x), shifted(pair, y), m), F.lit(1), n) for m, (_, x, y) in enumerate(MASKS)]
+    rows = rows.select(key, n.alias("n"), F.posexplode(F.concat(*seeds)).alias("place", "seed"))
+    return rows.select(key, F.pmod("place", "n").alias("at"), "seed")
 
 
-def _seed_rows(table: DataFrame, key: str) -> DataFrame:
-    hashed = table.select(key, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("hashes"))
-    rows = hashed.select(key, F.posexplode(_seeds("hashes")).alias("at", "seed"))
-    return rows.select(key, F.floor(F.col("at") / len(MASKS)).cast("int").alias("at"), "seed")
+def _under(a: Column, b: Column, c: Column, mask: int) -> Column:
+    """Hashes of three pairs each; the number of the mask goes into them."""
+    return F.zip_with(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), c, lambda x, y: F.xxhash64(F.lit(mask), x, y))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -54,9 +60,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     item_tokens = items.select("item_id", tokens("text").alias("item"))
     item_tokens = F.broadcast(item_tokens) if item_tokens.count() <= SMALL // 20 else item_tokens
     alone = docs.select("doc_id", "text").join(hits, "doc_id").join(item_tokens, "item_id")
-    # The aligned tokens: 1 where equal, 0 where not or outside the document.
-    equal = F.transform("item", lambda w, i: F.when((i + F.col("at") >= 0) & F.get(F.col("words"), F.greatest(i + F.col("at"), F.lit(0))).eqNullSafe(w), 1).otherwise(0))
-    lined = alone.withColumn("words", tokens("text")).select("doc_id", "item_id", "at", equal.alias("equal"))
+    # The aligned tokens: 1 where equal, 0 where not or outside the document. The one-element array keeps the words from
+    # being split anew for each token.
+    line_up = lambda words: F.transform("item", lambda w, i: F.when((i + F.col("at") >= 0) & F.get(words, F.greatest(i + F.col("at"), F.lit(0))).eqNullSafe(w), 1).otherwise(0))
+    lined = alone.select("doc_id", "item_id", "at", F.get(F.transform(F.array(tokens("text")), line_up), F.lit(0)).alias("equal"))
     width = F.least(F.size("equal"), F.lit(window))
     in_window = F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda i: F.aggregate(F.slice("equal", i, width), F.lit(0), lambda s, x: s + x))
     lined = lined.select("doc_id", "item_id", "at", F.aggregate("equal", F.lit(0), lambda s, x: s + x).alias("n_equal"), F.size("equal").alias("n_tokens"), F.array_max(in_window).alias("best"), width.alias("width"))
