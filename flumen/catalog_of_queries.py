@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.validity import finite, speed
-from .operators import compare, correlation, energy, fill, phase, pod, probe, regrid, spectra, stats, vortex, wake
+from .operators import compare, correlation, energy, fill, multi, phase, pod, probe, regrid, spectra, stats, vortex, wake
+from .plans import workflows
 from .plans.lineage import cut
 from .sources import fields
 from .sources.fields import VOXEL, event_signal, lineitem_field, snapshots
+from .sources.text import case_label
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -718,3 +720,60 @@ def cell_history(spark, sf):
     g = _grid(spark, sf).filter("iz = 1 and iy = 2 and ix = 3")
     filled = fill.interpolate_line(g, ["volume"], "ti", "t", "u")
     return compare.at_cell(g, filled, stats.temporal_mean(g), ["volume", "iz", "iy", "ix"], "u").select("volume", "ti", "raw", "mean", "raw_less_mean")
+
+
+# Several volumes, catalogues, workflows
+
+
+@query("case_labels", [], "SELECT CASE WHEN d <> '' THEN regexp_extract(name, '^(.*)_[0-9.]+D', 1) ELSE split_part(name, '__', 1) END AS \"case\", TRY_CAST(d AS DOUBLE) distance, count(*) n FROM (SELECT name, regexp_extract(name, '_([0-9]+(\\.[0-9]+)?)D$', 1) d FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag || '__raw' ELSE l_returnflag || '_' || CAST(CAST(l_linenumber AS INTEGER) AS VARCHAR) || '.5D' END AS name FROM lineitem)) GROUP BY ALL", '"case" distance:d n:i')
+def case_labels(spark, sf):
+    t = spark.read.parquet(f"{sf}/lineitem.parquet")
+    even = F.col("l_linenumber") % 2 == 0
+    name = F.concat(F.lit("data/"), F.col("l_returnflag"), F.when(even, "__raw").otherwise(F.concat(F.lit("_"), F.col("l_linenumber").cast("int").cast("string"), F.lit(".5D"))))
+    return t.select(*case_label(name)).groupBy("case", "distance").agg(F.count("*").alias("n"))
+
+
+@query("joint_energy_shares", PH, "SELECT volume, energy, energy / sum(energy) OVER () share FROM (SELECT volume, sum(pow(phase_mean - mean, 2) / n) energy FROM (SELECT *, count(*) OVER (PARTITION BY iz, iy, ix, component, phase_bin) n FROM averages WHERE phase_mean IS NOT NULL) GROUP BY volume)", "volume energy:d share:d")
+def joint_energy_shares(spark, sf):
+    return multi.source_shares(_averages(spark, sf))
+
+
+@query("joint_pod_energy", PH, f"SELECT sum(x * x) / {BINS} / 2 energy FROM (SELECT phase_bin, iz, iy, ix, component, c - avg(c) OVER (PARTITION BY iz, iy, ix, component) x, count(*) OVER (PARTITION BY iz, iy, ix, component) n FROM (SELECT phase_bin, iz, iy, ix, component, avg(phase_mean - mean) c FROM averages WHERE phase_mean IS NOT NULL GROUP BY ALL)) WHERE n = {BINS}", "energy:d")
+def joint_pod_energy(spark, sf):
+    spectrum, _, _ = multi.joint_pod(_averages(spark, sf), BINS)
+    return spectrum.agg(F.sum("energy").alias("energy"))
+
+
+@query("wake_pulsing")
+def wake_pulsing(spark, sf):
+    a = _averages(spark, sf).filter("component = 'u'")
+    cells = a.select("volume", "ix", "iz", "iy", "phase_bin", ((U_INF - F.col("phase_mean")) / U_INF).alias("deficit"), F.lit(1.0).alias("area"), (F.col("iy") - 2.0).alias("y"), (F.col("iz") - 1.5).alias("z"))
+    series = wake.fixed_support(cells, ["volume", "ix"], ["iz", "iy"], "phase_bin", "deficit", "area", BINS)
+    return multi.pulsing(series, ["volume", "ix"], BINS).select("volume", "ix", "value", "n", "offset", "amplitude", "r2")
+
+
+@query("surface_points", M, "SELECT volume, axis, iz, iy, ix FROM (" + " UNION ALL ".join(f"SELECT a.volume, 'i{x}' axis, " + ", ".join(f"a.i{y}" + (f" + (52.0 - a.v_mean) / (b.v_mean - a.v_mean)" if x == y else "") + f" i{y}" for y in "zyx") + f" FROM mean a JOIN mean b ON a.volume = b.volume AND " + " AND ".join(f"b.i{y} = a.i{y}" + (" + 1" if x == y else "") for y in "zyx") + " WHERE (a.v_mean < 52.0) <> (b.v_mean < 52.0)" for x in "zyx") + ")", "volume axis iz:d iy:d ix:d")
+def surface_points(spark, sf):
+    return multi.surface_points(_mean(spark, sf), ["volume"], "v_mean", 52.0)
+
+
+@query("common_slab", [FIELD, "al AS (SELECT volume, ti, iy, ix, 0.5 * a + 0.5 * b AS u FROM (SELECT volume, ti, iy, ix, max(CASE WHEN iz = 1 THEN u END) a, max(CASE WHEN iz = 2 THEN u END) b FROM (SELECT volume, CAST(floor(ti / 30) AS INTEGER) ti, iz, iy, ix, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) u FROM field GROUP BY ALL) GROUP BY ALL HAVING count(CASE WHEN iz IN (1, 2) THEN 1 END) > 0))", "vx AS (SELECT volume, iy, ix, count(u) n, avg(u) u FROM al GROUP BY ALL)", "nt AS (SELECT volume, count(DISTINCT ti) nt FROM al GROUP BY volume)"], "SELECT volume, ix, avg(u) u_mean, count(*) n FROM vx JOIN (SELECT iy, ix FROM vx JOIN nt USING (volume) GROUP BY ALL HAVING bool_and(n >= ceil(0.05 * nt) AND n >= 2) AND count(DISTINCT volume) = (SELECT count(*) FROM nt)) USING (iy, ix) GROUP BY ALL", "volume ix:i u_mean:d n:i")
+def common_slab(spark, sf):
+    g = _grid(spark, sf).withColumn("z", F.col("iz").cast("double"))
+    targets = g.select("volume").distinct().withColumns({"idx": F.lit(0), "z": F.lit(1.5)})
+    return multi.common_slab(g, targets, 0.05)
+
+
+@query("free_flow_scale")
+def free_flow_scale(spark, sf):
+    return workflows.Engine(_grid(spark, sf)).characterise(6)["scale"]
+
+
+@query("forcing_response")
+def forcing_response(spark, sf):
+    return workflows.Engine(lineitem_field(spark, sf)).forcing_response(BINS, 1 / PERIOD, "v", OFFSET)["volumes"]
+
+
+@query("vortex_detection")
+def vortex_detection(spark, sf):
+    return workflows.detect_vortices(_swirl(spark, sf), ["volume"], "s", "p90").select("volume", "component", "size", "peak", "integral", "diameter")
