@@ -101,9 +101,9 @@ def check_samples(spark, sf):
     return fields.check_samples(lineitem_field(spark, sf))
 
 
-@query("frame_scan", [FIELD], "SELECT *, sqrt(u * u + v * v + w * w) AS speed, sqrt(u * u + v * v) AS in_plane FROM field WHERE ti = 1000 AND isfinite(u)", "volume iz:i iy:i ix:i row:i u:d v:d w:d speed:d in_plane:d".replace(" row:i", ' "row":i'))
+@query("frame_scan", [FIELD], "SELECT *, sqrt(u * u + v * v + w * w) AS speed, sqrt(u * u + v * v) AS in_plane FROM field WHERE ti = 2000 AND isfinite(u)", "volume iz:i iy:i ix:i row:i u:d v:d w:d speed:d in_plane:d".replace(" row:i", ' "row":i'))
 def frame_scan(spark, sf):
-    f = fields.frame(lineitem_field(spark, sf), 1000).filter(finite(F.col("u")))
+    f = fields.frame(lineitem_field(spark, sf), 2000).filter(finite(F.col("u")))
     return f.select("volume", "iz", "iy", "ix", "row", "u", "v", "w", speed(F.col("u"), F.col("v"), F.col("w")).alias("speed"), speed(F.col("u"), F.col("v")).alias("in_plane"))
 
 
@@ -119,9 +119,9 @@ def axis_description(spark, sf):
     return fields.describe(lineitem_field(spark, sf))
 
 
-@query("region_view", [FIELD], "SELECT volume, count(*) n, count(CASE WHEN NOT filled AND isfinite(u) THEN 1 END) n_u, avg(CASE WHEN NOT filled AND isfinite(u) THEN u * 0.001 END) u, max(t * 0.5) t FROM field WHERE ix BETWEEN 2 AND 5 AND t BETWEEN 300 AND 900 GROUP BY volume", "volume n:i n_u:i u:d t:d")
+@query("region_view", [FIELD], "SELECT volume, count(*) n, count(CASE WHEN NOT filled AND isfinite(u) THEN 1 END) n_u, avg(CASE WHEN NOT filled AND isfinite(u) THEN u * 0.001 END) u, max(t * 0.5) t FROM field WHERE ix BETWEEN 2 AND 5 AND t BETWEEN 1700 AND 2900 GROUP BY volume", "volume n:i n_u:i u:d t:d")
 def region_view(spark, sf):
-    f = fields.selected(lineitem_field(spark, sf), 0.001, 0.5, ix=(2, 5), t=(300, 900))
+    f = fields.selected(lineitem_field(spark, sf), 0.001, 0.5, ix=(2, 5), t=(1700, 2900))
     ok = finite(F.col("u"))
     return f.groupBy("volume").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_u"), F.avg(F.when(ok, F.col("u"))).alias("u"), F.max("t").alias("t"))
 
@@ -672,10 +672,10 @@ def baseline_ratios(spark, sf):
     return compare.to_baselines(rows, "volume", ["ix"], "d", ("A",))
 
 
-@query("missing_combinations", [FIELD], "SELECT volume, month FROM (SELECT DISTINCT volume FROM field) CROSS JOIN (SELECT DISTINCT CAST(floor(ti / 30) AS BIGINT) AS month FROM field) EXCEPT SELECT volume, CAST(floor(ti / 30) AS BIGINT) FROM field", "volume month:i")
+@query("missing_combinations", [FIELD], "SELECT volume, day FROM (SELECT DISTINCT volume FROM field) CROSS JOIN (SELECT DISTINCT CAST(ti AS BIGINT)  AS day FROM field) EXCEPT SELECT volume, ti FROM field", "volume day:i")
 def missing_combinations(spark, sf):
-    f = lineitem_field(spark, sf).select("volume", F.floor(F.col("ti") / 30).alias("month"))
-    return compare.missing_combinations(f, "volume", "month")
+    f = lineitem_field(spark, sf).select("volume", F.col("ti").cast("long").alias("day"))
+    return compare.missing_combinations(f, "volume", "day")
 
 
 SUP = "sup AS (SELECT volume, iz, iy, ix FROM mean WHERE u_count >= ceil(0.05 * n_times))"
