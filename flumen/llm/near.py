@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, partitions, texts
 from .graph import components
 from .hashing import mixed
 
 BITS, SEGMENT, SEGMENTS = 256, 24, 10
 PAIRS = 2
 TILE = 4096
+#: Rows that a task's call compares, about.
+BUCKET_ROWS = 50_000
 STREAMS = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,10 +65,9 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                     full[i], search[i] = wide_fingerprint(w, words), wide_fingerprint(w, PAIRS)
             bits = np.unpackbits(search.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")[:, : SEGMENT * SEGMENTS]
             keys = bits.reshape(-1, SEGMENTS, SEGMENT).astype(np.int64) @ (1 << np.arange(SEGMENT))
-            lists = lambda x: pa.array(list(x), pa.list_(pa.int64()))
-            yield pa.record_batch([b.column("doc_id"), lists(full.view(np.int64)), lists(keys)], ["doc_id", "full", "keys"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "full", "keys"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, full array<long>, keys array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, full binary, keys array<long>")
 
 
 def limit(similarity: float) -> int:
@@ -75,24 +76,60 @@ def limit(similarity: float) -> int:
     return int(BITS * p + math.sqrt(BITS * p * (1 - p)))
 
 
-def _forest(most: int):
-    """Links that hold together what is within `most` bits in one group of fingerprints."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node")
-        node = frame["node"].to_numpy()
-        full = np.array(frame["full"].tolist(), np.int64).view(np.uint64).reshape(len(node), -1)
-        left, links = np.ones(len(node), bool), []
+#: Groups of up to so many fingerprints are compared side by side, larger ones one after the other.
+FEW = 32
+
+
+def _near_in_groups(key: np.ndarray, full: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (of rows sorted by key) of near copies within each key: all pairs of small groups, enough pairs to hold
+    together those of large ones."""
+    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    small = np.repeat(sizes <= FEW, sizes)
+    for d in range(1, min(FEW, int(sizes.max(initial=0)))):
+        i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(full[i] ^ full[i + d]).sum(1) <= most]
+        yield i, i + d
+    for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        left = np.ones(n, bool)
         while left.any():
             todo = [int(np.flatnonzero(left)[0])]
             left[todo[0]] = False
             while todo:
                 i = todo.pop()
                 rest = np.flatnonzero(left)
-                near = rest[np.bitwise_count(full[rest] ^ full[i]).sum(1) <= most]
+                near = rest[np.bitwise_count(full[s + rest] ^ full[s + i]).sum(1) <= most]
                 left[near] = False
                 todo += near.tolist()
-                links += [(node[i], node[j]) for j in near]
+                yield np.full(len(near), s + i), s + near
+
+
+def _forest(most: int):
+    """Links that hold together what is within `most` bits under some key of a bucket, without those that close rings."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "i", "j", "node"], kind="stable")
+        node = frame["node"].to_numpy()
+        whole = frame[["key", "i", "j"]].to_numpy()
+        key = np.cumsum(np.concatenate(([0], (whole[1:] != whole[:-1]).any(1))))
+        full = np.frombuffer(b"".join(frame["full"]), np.uint64).reshape(len(node), -1)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        links = []
+        for a, b in _near_in_groups(key, full, most):
+            for x, y in zip(node[a].tolist(), node[b].tolist()):
+                rx, ry = root(x), root(y)
+                if rx != ry:
+                    up[max(rx, ry)] = min(rx, ry)
+                    links.append((x, y))
         return pd.DataFrame(links, columns=["u", "v"])
 
     return run
@@ -118,8 +155,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     members = members.join(sizes, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = members.select("key", "node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(nodes.select("node", "full"), "node")
-    links = members.groupBy("key", "i", "j").applyInPandas(_forest(limit(similarity)), "u long, v long")
+    members = cut(members.select("key", "node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).distinct().join(nodes.select("node", "full"), "node"))
+    # Many keys to a task's call: a key's rows are few.
+    n_members = members.count()
+    buckets = max(partitions(docs.sparkSession), -(-n_members // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")
+    links = members.select(bucket, "key", "i", "j", "node", "full").groupBy("bucket").applyInPandas(_forest(limit(similarity)), "u long, v long")
     comp = components(links)
     named = fps.join(nodes.select("print", "node"), "print", "left").select("doc_id", "node")
     return named.join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node", "doc_id").alias("component_id"))
