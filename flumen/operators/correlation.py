@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def pair_moments(table: DataFrame, line: list[str], index: str, value: str, max_lag: int, pool: list[str]) -> DataFrame:
     """For each lag up to max_lag, over all pairs of valid values so far apart along their line: n, and sums of ab, aa,
     bb, pooled. Every value meets the max_lag + 1 ones after it: rows grow with the table, not with its square."""
-    good = table.filter(F.col(value).isNotNull()).select(*line, *(p for p in pool if p not in line), F.col(index).alias("i"), F.col(value).alias("x"))
+    good = table.filter(F.col(value).isNotNull()).select(*line, *(p for p in pool if p not in line), F.col(index).alias("_at"), F.col(value).alias("_x"))
     lags = F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")
-    first = good.select("*", lags).withColumn("i", F.col("i") + F.col("lag")).withColumnRenamed("x", "a")
-    second = good.select(*line, "i", F.col("x").alias("b"))
-    both = first.join(second, [*line, "i"])
+    first = good.select("*", lags).withColumn("_at", F.col("_at") + F.col("lag")).withColumnRenamed("_x", "a")
+    second = good.select(*line, "_at", F.col("_x").alias("b"))
+    both = first.join(second, [*line, "_at"])
     return both.groupBy(*pool, "lag").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
 
 

@@ -140,7 +140,7 @@ def compare(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     rel = lambda x, y: F.try_divide(x - y, F.abs(y))
     pct = lambda c: F.percentile(c, [float(p) for p in PERCENTILES])
-    corr = lambda x, y: F.when((F.count("*") >= 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    corr = lambda x, y: F.when(F.count("*") >= 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     m = good.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(F.abs(d)).alias("max_difference"), F.sqrt(F.avg(F.col(b) * F.col(b))).alias("_s"),
         corr(a, b).alias("pearson"), corr("_ra", "_rb").alias("spearman"), F.max(a).alias("_ma"), F.max(b).alias("_mb"), pct(a).alias("_pa"), pct(b).alias("_pb"),
