@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import if_small
 
 #: Each mask looks at three pairs of neighbouring tokens, which begin at these places of the window.
-MASKS = ((0, 3, 7), (0, 4, 9), (0, 2, 8))
+MASKS = ((0, 3, 7), (0, 3, 9), (0, 2, 8))
 SPAN = 2 + max(map(max, MASKS))
 WINDOW, SHARE = 13, 0.75
 #: Benchmark seeds up to this number are broadcast; more are joined by a shuffle.
@@ -34,20 +34,19 @@ def _seed_rows(table: DataFrame, key: str) -> DataFrame:
     far quicker than picking elements by index."""
     both = lambda a, b: F.xxhash64(a, b)
     shifted = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
-    pair = F.col("pair")
+    pair, seconds = F.col("pair"), sorted({second for _, second, _ in MASKS})
     rows = table.select(key, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("hash"))
     rows = rows.filter(F.size("hash") >= SPAN).select(key, F.zip_with("hash", shifted(F.col("hash"), 1), both).alias("pair"))
-    n = F.size(pair) - SPAN + 1
-    seeds = [F.slice(_under(pair, shifted(pair, x), shifted(pair, y), m), F.lit(1), n) for m, (_, x, y) in enumerate(MASKS)]
-    rows = rows.select(key, n.alias("n"), F.posexplode(F.concat(*seeds)).alias("place", "seed"))
+    # Masks that begin alike share their first two pairs. A seed of one mask may also meet one of another: verification
+    # tells.
+    rows = rows.select(key, "pair", *(F.zip_with(pair, shifted(pair, x), both).alias(f"two_{x}") for x in seconds))
+    n = F.size(pair) - SPAN + 1  # zip_with pads to the longer array
+    seeds = [F.slice(F.zip_with(f"two_{x}", shifted(pair, y), both), F.lit(1), n) for _, x, y in MASKS]
+    # The outer form, as for the inner one Spark infers a filter that computes the arrays a second time.
+    rows = rows.select(key, n.alias("n"), F.posexplode_outer(F.concat(*seeds)).alias("place", "seed"))
     return rows.select(key, F.pmod("place", "n").alias("at"), "seed")
 
 
-def _under(a: Column, b: Column, c: Column, mask: int) -> Column:
-    """Hashes of three pairs each; the number of the mask goes into them."""
-    return F.zip_with(F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)), c, lambda x, y: F.xxhash64(F.lit(mask), x, y))
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_equal, n_tokens, best, at: for each document and each item it overlaps, of its alignments with
     the most equal tokens (then the first) the number of them, the item's number of tokens, the most equal tokens in a
@@ -57,6 +56,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     ours = _seed_rows(items, "item_id").withColumnRenamed("at", "item_at")
     ours = F.broadcast(ours) if ours.count() <= SMALL else ours
     hits = _seed_rows(docs, "doc_id").join(ours, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("at")).distinct()
+    hits = if_small(hits)
     item_tokens = items.select("item_id", tokens("text").alias("item"))
     item_tokens = F.broadcast(item_tokens) if item_tokens.count() <= SMALL // 20 else item_tokens
     alone = docs.select("doc_id", "text").join(hits, "doc_id").join(item_tokens, "item_id")
