@@ -36,14 +36,16 @@ def _seed_rows(table: DataFrame, key: str) -> DataFrame:
     shifted = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
     pair, seconds = F.col("pair"), sorted({second for _, second, _ in MASKS})
     rows = table.select(key, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("hash"))
-    rows = rows.filter(F.size("hash") >= SPAN).select(key, F.zip_with("hash", shifted(F.col("hash"), 1), both).alias("pair"))
+    rows = rows.select(key, F.zip_with("hash", shifted(F.col("hash"), 1), both).alias("pair"))
     # Masks that begin alike share their first two pairs. A seed of one mask may also meet one of another: verification
     # tells.
     rows = rows.select(key, "pair", *(F.zip_with(pair, shifted(pair, x), both).alias(f"two_{x}") for x in seconds))
-    n = F.size(pair) - SPAN + 1  # zip_with pads to the longer array
+    n = F.greatest(F.size(pair) - SPAN + 1, F.lit(0))  # zip_with pads to the longer array
     seeds = [F.slice(F.zip_with(f"two_{x}", shifted(pair, y), both), F.lit(1), n) for _, x, y in MASKS]
-    # The outer form, as for the inner one Spark infers a filter that computes the arrays a second time.
-    rows = rows.select(key, n.alias("n"), F.posexplode_outer(F.concat(*seeds)).alias("place", "seed"))
+    # All is computed before the arrays are dealt out, so that a row for a seed carries the key and n only. The outer
+    # form, as for the inner one Spark infers a filter that computes the arrays a second time.
+    rows = rows.select(key, F.greatest(n, F.lit(1)).alias("n"), F.concat(*seeds).alias("seeds"))
+    rows = rows.select(key, "n", F.posexplode_outer("seeds").alias("place", "seed"))
     return rows.select(key, F.pmod("place", "n").alias("at"), "seed")
 
 
