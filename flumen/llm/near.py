@@ -28,23 +28,24 @@ from .common import cut, partitions, texts
 from .graph import components
 from .hashing import mixed
 
-BITS, SEGMENT, SEGMENTS = 256, 24, 10
+BITS, SEGMENT, SEGMENTS = 256, 28, 12
 PAIRS = 2
 TILE = 4096
 #: Rows that a task's call compares, about.
 BUCKET_ROWS = 50_000
-STREAMS = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Hash streams of 64 bits each: for the fingerprint that is compared, and for the one that is searched by.
+FULL, SEARCH = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (BITS // 64, -(-SEGMENT * SEGMENTS // 64)))
 
 
-def wide_fingerprint(words: list[bytes], k: int) -> np.ndarray:
-    """BITS bits as 64-bit numbers: majorities over the different shingles of k words."""
+def wide_fingerprint(words: list[bytes], k: int, streams: np.ndarray) -> np.ndarray:
+    """64 bits for each stream: majorities over the different shingles of k words."""
     k = min(k, len(words))
     line = b" ".join(words)
     ends = np.cumsum([len(x) + 1 for x in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     h = np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts)))
-    out = np.zeros(len(STREAMS), np.uint64)
-    for i, stream in enumerate(STREAMS):
+    out = np.zeros(len(streams), np.uint64)
+    for i, stream in enumerate(streams):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
             ones += np.unpackbits(mixed(h[at : at + (1 << 16)] + stream).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -57,12 +58,12 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            full = np.zeros((b.num_rows, len(STREAMS)), np.uint64)
-            search = np.zeros((b.num_rows, len(STREAMS)), np.uint64)
+            full = np.zeros((b.num_rows, len(FULL)), np.uint64)
+            search = np.zeros((b.num_rows, len(SEARCH)), np.uint64)
             for i, x in enumerate(b.column("text").cast(pa.binary())):
                 w = x.as_buffer().to_pybytes().lower().split()
                 if w:
-                    full[i], search[i] = wide_fingerprint(w, words), wide_fingerprint(w, PAIRS)
+                    full[i], search[i] = wide_fingerprint(w, words, FULL), wide_fingerprint(w, PAIRS, SEARCH)
             bits = np.unpackbits(search.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")[:, : SEGMENT * SEGMENTS]
             keys = bits.reshape(-1, SEGMENTS, SEGMENT).astype(np.int64) @ (1 << np.arange(SEGMENT))
             yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "full", "keys"])
