@@ -139,28 +139,28 @@ def in_runs(docs: DataFrame, each: int = 8) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _run(frame: pd.DataFrame) -> pd.DataFrame:
+def _run(table: pa.Table) -> pa.Table:
+    # Nullable integers: ids stay exact beside nulls.
+    frame = table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
     frame = frame.sort_values(["lead", "doc_id", "text"], na_position="first", kind="stable")
     own = frame[~frame["lead"]]
-    if own.empty:
-        return pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])
     n, every = len(own), frame["text"].tolist()[: len(own) + 1]
     changed = [edited(a, b) for a, b in zip(every, every[1:])]
     raw = [t.encode() for t in [*every, *changed]]
     fps = fingerprints(raw)
     plain, after = fps[: n + 1], fps[n + 1 :]
-    return pd.DataFrame(
+    return pa.table(
         {
-            "doc_id": own["doc_id"], "n_chars": [len(t) for t in every[:n]], "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw[n + 1 :]],
-            "fingerprint": [written(f) for f in plain[:n]], "edited_fingerprint": [written(f) for f in after],
-            "near_edited": [likeness(a, b) for a, b in zip(plain, after)], "near_next": [likeness(a, b) for a, b in zip(plain, plain[1:])],
+            "doc_id": pa.array(own["doc_id"], pa.int64()), "n_chars": pa.array([len(t) for t in every[:n]], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in raw[n + 1 :]], pa.string()),
+            "fingerprint": pa.array([written(f) for f in plain[:n]], pa.string()), "edited_fingerprint": pa.array([written(f) for f in after], pa.string()),
+            "near_edited": pa.array([likeness(a, b) for a, b in zip(plain, after)], pa.float64()), "near_next": pa.array([likeness(a, b) for a, b in zip(plain, plain[1:])], pa.float64()),
         }
     )
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness; see edited() and likeness()."""
-    return in_runs(docs).groupBy("run").applyInPandas(_run, SCHEMA)
+    return in_runs(docs).groupBy("run").applyInArrow(_run, SCHEMA)
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=
 SAMPLE = 20_000
 #: Tokens of fewer random ones than this aren't enough to train from.
 LEAST = 20
-#: Mean log-likelihood ratio for each character above which a token counts as random, and characters it must mix.
+#: Mean log-likelihood ratio for each character above which a token with letters and digits counts as random.
 THRESHOLD = 0.5
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
@@ -97,10 +98,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> np.n
 def scan(docs: DataFrame, ratio: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans (kind, start, end in code points) of each text; base spans first by start, then kind."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             n, base, every = [], [], []
-            for text in frame["text"]:
+            for text in b.column("text").to_pylist():
                 spans = base_spans(text)
                 more = []
                 for s, e in _plain_tokens(text, spans) if ratio is not None else []:
@@ -115,9 +116,9 @@ def scan(docs: DataFrame, ratio: np.ndarray | None, threshold: float = THRESHOLD
                 base.append(hashlib.sha256(join(spans).encode()).hexdigest())
                 every.append(join(sorted(spans + more)))
             cols = np.array(n, np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_assign": cols[:, 0], "n_access": cols[:, 1], "n_hex": cols[:, 2], "base_sha256": base, "spans": every})
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(cols[:, i]) for i in range(3)), pa.array(base, pa.string()), pa.array(every, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def find_secrets(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
