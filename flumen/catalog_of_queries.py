@@ -777,3 +777,29 @@ def forcing_response(spark, sf):
 @query("vortex_detection")
 def vortex_detection(spark, sf):
     return workflows.detect_vortices(_swirl(spark, sf), ["volume"], "s", "p90").select("volume", "component", "size", "peak", "integral", "diameter")
+
+
+@query("sinusoid_pair", [SIGNAL, "two AS (SELECT CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS mode, t / 86400 AS d, value AS a FROM signal WHERE value IS NOT NULL)", "m AS (SELECT mode, avg(a) my, avg(c) mc, avg(s) ms, covar_pop(c, c) cc, covar_pop(s, s) ss, covar_pop(c, s) cs, covar_pop(c, a) cy, covar_pop(s, a) sy, var_pop(a) yy FROM (SELECT *, cos(2 * pi() * d) c, sin(2 * pi() * d) s FROM two) GROUP BY mode)", "f AS (SELECT mode, (cy * ss - sy * cs) / (cc * ss - cs * cs) a, (sy * cc - cy * cs) / (cc * ss - cs * cs) b, cy, sy, yy FROM m)"],
+ "SELECT p.r2 r2_1, q.r2 r2_2, p.amp amplitude_1, q.amp amplitude_2, (degrees(q.ph - p.ph) + 180) - 360 * floor((degrees(q.ph - p.ph) + 180) / 360) - 180 difference FROM (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 1) p CROSS JOIN (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 2) q", "r2_1:d r2_2:d amplitude_1:d amplitude_2:d difference:d")
+def sinusoid_pair(spark, sf):
+    s = event_signal(spark, sf).select(F.when(F.col("id") % 2 == 0, 1).otherwise(2).alias("mode"), (F.col("t") / DAY).alias("t"), F.col("value").alias("a"))
+    return pod.sinusoid_pair(s, 1.0).select("r2_1", "r2_2", "amplitude_1", "amplitude_2", "difference")
+
+
+@query("modal_band", SP, "SELECT sum(s * f) band_fraction_of_total, sum(s) saved_fraction, sum(s * f) * 10 band_energy, sum(s * f) / sum(s) band_fraction_of_saved FROM (SELECT series, sum(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN psd ELSE 0 END) / sum(psd) f, 0.1 s FROM psd WHERE k > 0 GROUP BY series)", "band_fraction_of_total:d saved_fraction:d band_energy:d band_fraction_of_saved:d")
+def modal_band(spark, sf):
+    p = _psd(spark, sf).withColumnRenamed("series", "mode")
+    return spectra.modal_band(p, p.select("mode").distinct().withColumn("fraction", F.lit(0.1)), 0.02, 0.1, 10.0).drop("last_frequency")
+
+
+@query("common_extents", [FIELD], "SELECT low, high, low + (high - low) / 3 third, (low + high) / 2 centre, low + (high - low) * 2 / 3 two_thirds FROM (SELECT max(lo) low, min(hi) high FROM (SELECT volume, CAST(min(ti) AS DOUBLE) lo, CAST(max(ti) AS DOUBLE) hi FROM field GROUP BY volume))", "low:d high:d third:d centre:d two_thirds:d")
+def common_extents(spark, sf):
+    f = lineitem_field(spark, sf)
+    return regrid.extents(fields.axes_of(f.withColumn("ix", F.col("ti")), x="ti"), "x")
+
+
+@query("aligned_counts", [FIELD, "g AS (SELECT volume, CAST(floor(ti / 30) AS INTEGER) ti, iz, iy, ix, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) u FROM field GROUP BY ALL)", "al AS (SELECT volume, ti, iy, ix, CASE WHEN count(u) = 2 THEN 1 END ok FROM g WHERE iz IN (1, 2) GROUP BY ALL)"], "SELECT volume, iy, ix, count(ok) n, n_times FROM al JOIN (SELECT volume, count(DISTINCT ti) n_times FROM al GROUP BY volume) USING (volume) GROUP BY ALL", "volume iy:i ix:i n:i n_times:i")
+def aligned_counts(spark, sf):
+    g = _grid(spark, sf).withColumn("z", F.col("iz").cast("double"))
+    targets = g.select("volume").distinct().withColumns({"idx": F.lit(0), "z": F.lit(1.5)})
+    return regrid.valid_counts(g, "z", "z", targets).select("volume", "iy", "ix", "n", "n_times")

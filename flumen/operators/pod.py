@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .phase import fit_harmonic
+
 #: Snapshots up to which the covariance of snapshots goes to the driver (its square of numbers).
 MOST = 2_000
 
@@ -90,3 +94,13 @@ def cumulative_energy(spectrum: DataFrame, keys: list[str]) -> DataFrame:
 def threshold_table(spectrum: DataFrame, keys: list[str], counts: tuple[int, ...] = (1, 2, 5, 10, 20)) -> DataFrame:
     """Energy of the first so many modes, a column for each number."""
     return spectrum.groupBy(*keys).agg(*(F.sum(F.when(F.col("mode") <= k, F.col("fraction"))).alias(f"first_{k}") for k in counts))
+
+
+def sinusoid_pair(coefficients: DataFrame, frequency: float, first: int = 1, second: int = 2) -> DataFrame:
+    """Fit of a sinusoid to two modes' coefficients (mode, t, a): explained share, amplitude and phase of each, and the
+    second's phase less the first's in degrees, within -180 and 180."""
+    fit = fit_harmonic(coefficients.filter(F.col("mode").isin(first, second)), ["mode"], "a", 2 * math.pi * frequency * F.col("t"))
+    one, two = (fit.filter(F.col("mode") == m).select(*(F.col(c).alias(f"{c}_{k}") for c in ("r2", "amplitude", "phase"))) for k, m in ((1, first), (2, second)))
+    both = one.crossJoin(two)  # a row each
+    turn = F.degrees(F.col("phase_2") - F.col("phase_1"))
+    return both.withColumn("difference", F.pmod(turn + 180, F.lit(360.0)) - 180)

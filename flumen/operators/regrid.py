@@ -105,3 +105,27 @@ def centre_widths(axes: DataFrame, convention: str = "half") -> DataFrame:
     inner, end = (before + after) / 2, ends[convention](F.coalesce(before, after))
     width: Column = F.abs(F.coalesce(inner, end))
     return axes.withColumn("width", F.coalesce(width, F.lit(1.0)) if convention == "full" else width)
+
+
+def trilinear_strict(field: DataFrame, axes: DataFrame, targets: DataFrame, values: list[str]) -> DataFrame:
+    """As trilinear, but a corner that is missing spoils the target even at weight zero: its values are null."""
+    found = trilinear(field, axes, targets, values, eps=-1.0)
+    inside = targets
+    for a in ("z", "y", "x"):
+        inside = inside.join(F.broadcast(bracket(targets, axes.filter(F.col("axis") == a), ["volume"], a).select("volume", a)), ["volume", a], "left_semi")
+    return inside.select("volume", "target").join(found, ["volume", "target"], "left")
+
+
+def extents(axes: DataFrame, axis: str) -> DataFrame:
+    """The range that all volumes share along an axis, its thirds and centre; nothing where they share none."""
+    by = axes.filter(F.col("axis") == axis).groupBy("volume").agg(F.min("coord").alias("lo"), F.max("coord").alias("hi"))
+    common = by.agg(F.max("lo").alias("low"), F.min("hi").alias("high")).filter("low <= high")
+    at = lambda s: F.col("low") + (F.col("high") - F.col("low")) * s
+    return common.select("low", "high", at(1 / 3).alias("third"), at(0.5).alias("centre"), at(2 / 3).alias("two_thirds"))
+
+
+def valid_counts(samples: DataFrame, axis: str, coord: str, targets: DataFrame, value: str = "u") -> DataFrame:
+    """Frames in which a target voxel has a value after alignment along an axis, and the frames there are."""
+    aligned = align_axis(samples, axis, coord, targets, (value,))
+    times = aligned.select("volume", "ti").distinct().groupBy("volume").agg(F.count("*").alias("n_times"))
+    return aligned.groupBy("volume", "iz", "iy", "ix").agg(F.count(value).alias("n")).join(F.broadcast(times), "volume")

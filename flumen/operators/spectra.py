@@ -69,3 +69,11 @@ def band_table(spectrum: DataFrame, keys: list[str], bands: DataFrame) -> DataFr
     met = s.filter("k > 0").join(F.broadcast(bands), F.col("frequency").between(F.col("low") - 1e-5 * F.col("df"), F.col("high") + 1e-5 * F.col("df")))
     out = met.groupBy(*keys, "band").agg(F.sum(F.col("psd") * F.col("df")).alias("energy"), F.max("whole").alias("whole"), F.count("*").alias("n_bins"))
     return out.withColumn("fraction", F.try_divide("energy", "whole")).drop("whole")
+
+
+def modal_band(spectrum: DataFrame, shares: DataFrame, low: float, high: float, total: float) -> DataFrame:
+    """Energy of a band over all modes: each mode's share (mode, fraction) times the part of its spectrum (mode, k,
+    frequency, psd) that lies in the band; as energy, of the saved modes and of all fluctuations (total)."""
+    parts = band_energy(spectrum, ["mode"], low, high).join(shares, "mode")
+    out = parts.agg(F.sum(F.col("fraction") * F.col("band_fraction")).alias("band_fraction_of_total"), F.sum("fraction").alias("saved_fraction"), F.max("last_frequency").alias("last_frequency"))
+    return out.withColumns({"band_energy": F.col("band_fraction_of_total") * total, "band_fraction_of_saved": F.try_divide("band_fraction_of_total", "saved_fraction")})

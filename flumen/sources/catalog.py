@@ -153,3 +153,27 @@ def forcing_frequency(table: DataFrame, explicit: float | None = None) -> DataFr
     f = F.when(F.lit(explicit is not None), F.lit(explicit)).when(static, F.lit(None)).otherwise(F.col("frequency_hz"))
     source = F.when(F.lit(explicit is not None), "explicit").when(static, "static").when(F.col("frequency_hz").isNotNull(), "case").otherwise("none")
     return table.select("case_id", f.cast("double").alias("frequency"), source.alias("source"))
+
+
+def with_reference(table: DataFrame, explicit: float | None = None) -> DataFrame:
+    """cases with u_ref: the explicit speed, else the case's own; a row without either is marked by has_u_ref."""
+    u = F.coalesce(F.lit(explicit).cast("double"), F.col("u_inf"))
+    return table.withColumns({"u_ref": u, "has_u_ref": u.isNotNull() & (u != 0)})
+
+
+def inherited_mode(attrs: dict[str, str], explicit: str | None = None) -> str:
+    """The validity mode of a product: explicit, else as stored with it, else nan."""
+    return explicit or attrs.get("invalid_samples") or "nan"
+
+
+def phase_list(text: str) -> list[float]:
+    """Angles in degrees from a comma list, within a turn."""
+    return [float(x) % 360 for x in text.split(",") if x.strip()]
+
+
+def component_list(text: str, known: tuple[str, ...] = ("u", "v", "w")) -> list[str]:
+    """Components from a comma list, without repeats, in order."""
+    found = list(dict.fromkeys(x.strip() for x in text.split(",") if x.strip()))
+    if not set(found) <= set(known):
+        raise ValueError(f"components are some of {known}")
+    return found
