@@ -102,12 +102,25 @@ def _counts(n: int) -> Column:
     return F.array(*(F.count_if(F.col("top") == i).cast("double") for i in range(n)))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _shares(a: Column) -> Column:
+    return _once(F.struct(a.alias("a"), _total(a).alias("t")), lambda s: F.transform(s["a"], lambda x: x / s["t"]))
+
+
 def _value_table(rows: DataFrame, column: str, n: int) -> DataFrame:
     """Log-likelihood of each value of an evidence column in each language, over all rows."""
-    by = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(_counts(n).alias("c"))
-    total = by.agg(F.array(*(F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0.0)) for i in range(n))).alias("t"), F.count("*").alias("values"))
-    like = F.zip_with("c", "t", lambda c, t: F.ln((c + ADDED) / (t + ADDED * (F.col("values") + 1))))
-    return by.crossJoin(F.broadcast(total)).select(column, like.alias(f"{column}_like"))
+    by = cut(rows.filter(F.col(column).isNotNull()).groupBy(column).agg(_counts(n).alias("c")))
+    *totals, values = by.agg(*(F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0.0)) for i in range(n)), F.count("*")).first()
+    below = F.array(*(F.lit(t + ADDED * (values + 1)) for t in totals))
+    return by.select(column, F.zip_with("c", below, lambda c, t: F.ln((c + ADDED) / t)).alias(f"{column}_like"))
 
 
 def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
@@ -120,27 +133,28 @@ def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Dat
 
     hosts = found.filter("host is not null").groupBy("host").agg(F.max("site").alias("site"), _counts(n).alias("host_n"))
     sites = hosts.filter("site is not null").groupBy("site").agg(F.array(*(F.sum(F.get("host_n", F.lit(i))) for i in range(n))).alias("site_n"))
-    every = found.agg(F.transform(_counts(n), lambda c: c + ADDED).alias("all_n"))
+    every = found.agg(*(F.count_if(F.col("top") == i) for i in range(n))).first()
+    share = F.array(*(F.lit((c + ADDED) / (sum(every) + ADDED * n)) for c in every))
     # A host of no known site is a site of its own.
     priors = hosts.join(sites, "site", "left").select("host", "host_n", F.coalesce("site_n", "host_n").alias("site_n"))
 
     name = F.array(*(F.lit(x) for x in [*langs, UND]))
     flat = F.array(*(F.lit(0.0) for _ in range(n)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    shares = lambda a: F.transform(a, lambda x: x / total(a))
-    others = lambda c: F.transform(c, lambda x, i: x - (i == F.col("top")).cast("double"))
-    smooth = lambda c, above: F.zip_with(others(c), above, lambda x, p: (x + SMOOTH * p) / (total(others(c)) + SMOOTH))
+
+    def smooth(c: Column, above: Column) -> Column:
+        """Counts of all rows but the one at hand, as shares, drawn towards those above."""
+        others = F.transform(c, lambda x, i: x - (i == F.col("top")).cast("double"))
+        return _once(F.struct(others.alias("o"), _total(others).alias("t")), lambda s: F.zip_with(s["o"], above, lambda x, p: (x + SMOOTH * p) / (s["t"] + SMOOTH)))
 
     out = found.join(if_small(priors), "host", "left")
     for column in ("declared", "suffix"):
         out = out.join(if_small(_value_table(found, column, n)), column, "left")
-    out = out.crossJoin(F.broadcast(every)).withColumn("prior", shares(F.col("all_n")))
-    out = out.withColumn("prior", F.when(F.col("site_n").isNotNull(), smooth(F.col("site_n"), F.col("prior"))).otherwise(F.col("prior")))
+    out = out.withColumn("prior", F.when(F.col("site_n").isNotNull(), smooth(F.col("site_n"), share)).otherwise(share))
     out = out.withColumn("prior", F.when(F.col("host_n").isNotNull(), smooth(F.col("host_n"), F.col("prior"))).otherwise(F.col("prior")))
     log = F.zip_with("like", "prior", lambda a, p: a + F.ln(p + 1e-9))
     for column in ("declared_like", "suffix_like"):
         log = F.zip_with(log, F.coalesce(column, flat), lambda a, b: a + b)
-    out = out.withColumn("log", log).withColumn("log", F.transform("log", lambda x: F.exp(x - F.array_max("log")))).withColumn("log", shares(F.col("log")))
+    out = out.withColumn("log", _once(F.struct(log.alias("a"), F.array_max(log).alias("m")), lambda s: _shares(F.transform(s["a"], lambda x: F.exp(x - s["m"])))))
     best = F.array_max("log")
     out = out.withColumn("posterior", best).withColumn("language", F.get(name, F.array_position("log", best).cast("int") - 1)).withColumn("text_language", F.get(name, F.col("top")))
     kept = [c for c in rows.columns if c not in ("text", "label")]
