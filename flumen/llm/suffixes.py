@@ -78,7 +78,8 @@ class Anchors:
             first, last = first[real], last[real]
             q = at[first]
             place.append(q + base)
-            gram.append(grams[q])
+            # The smallest hashes fill a small part of their space; mixed again they spread over all buckets.
+            gram.append(mixed(grams[q]))
             low.append(first + base)
             high.append(last + base)
             around.append(mixed(spans(first, last + LENGTH) + (q - first).astype(np.uint64)))
