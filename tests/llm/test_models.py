@@ -200,6 +200,15 @@ def test_page_text(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0), 4: ("plain < text", 12), 5: ("cut o", 5), 6: ("Head&line One bold <x> é y two", 30)}
 
 
+def test_containers_of_the_article(spark):
+    bare = "<body class=main><header>Site</header><div class=x>A &amp; B</div><footer>end</footer></body>"
+    role = "<body><div>out</div><div role='main'><header>Top</header><p>in</div><div>out</div></body>"
+    named = "<body><div>out</div><div class='post-content'><p>in<h2>more</h2></div></body>"
+    two = "<body><article>one</article><p>between</p><article>two</article></body>"
+    got = texts_of(spark, [(i, f"http://{i}.example", h, 1) for i, h in enumerate((bare, role, named, two))])
+    assert {k: v[0] for k, v in got.items()} == {0: "A & B", 1: "Top in", 2: "in more", 3: "one two"}
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     page = lambda i: f"<html><body><div class=top>Welcome to us</div><div class=text><p>Story number {i} of many</p></div><div class=low>All rights</div></body></html>"
     rows = [(i, f"http://h.example/{i}", page(i), 1) for i in range(8)]
