@@ -281,18 +281,24 @@ def _remove(texts: Texts, answers: pa.Table) -> pa.Table:
         np.add.at(edge, starts, 1)
         np.subtract.at(edge, starts + LENGTH, 1)
     gone = np.cumsum(edge)[:-1] > 0
-    n_removed, n_spans, kept = [], [], []
+    n_removed, n_spans, spans, kept = [], [], [], []
     for raw, s in zip(texts.raw, texts.starts.tolist()):
         g = gone[s : s + len(raw)]
         n_removed.append(int(g.sum()))
-        n_spans.append(int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if len(g) else 0)
+        spans.append(np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)))
+        n_spans.append(len(spans[-1]) // 2)
         kept.append(np.frombuffer(raw, np.uint8)[~g].tobytes() if n_removed[-1] else raw)
-    return pa.table({"doc_id": texts.ids, "n_bytes": pa.array([len(x) for x in texts.raw], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+    ends = np.concatenate([np.zeros(0, np.int64), *spans])
+    pairs = pa.StructArray.from_arrays([pa.array(ends[::2]), pa.array(ends[1::2])], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_spans))), pa.int32()), pairs)
+    counts = {"n_bytes": [len(x) for x in texts.raw], "n_removed": n_removed, "n_spans": n_spans}
+    return pa.table({"doc_id": texts.ids, **{k: pa.array(v, pa.int64()) for k, v in counts.items()}, "kept": pa.array(kept, pa.binary()), "spans": lists})
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain) for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain) and spans (what was removed, as byte offsets of
+    the text) for each row of docs."""
     dealt, buckets = deal(docs)
     classes = answer(ask(dealt, _ask_classes(buckets)), _answer_classes)
     found = answer(ask_again(dealt, classes, _ask_segments(buckets)), _answer_segments)
-    return finish(dealt, found, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return finish(dealt, found, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")

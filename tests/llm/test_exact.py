@@ -66,7 +66,12 @@ def removed_bytes(docs):
 def test_suffix_array(documents, awkward, monkeypatch, crowded):
     monkeypatch.setattr(suffixes, "CROWDED", crowded)
     docs = list(enumerate(awkward))
-    got = [(*r[:4], bytes(r[4])) for r in suffixes.deduplicated(documents(docs)).orderBy("doc_id").collect()]
+    rows = suffixes.deduplicated(documents(docs)).orderBy("doc_id").collect()
+    got = [(*r[:4], bytes(r[4])) for r in rows]
+    for (_, t), r in zip(docs, rows):
+        raw = (t or "").encode()
+        assert len(r.spans) == r.n_spans and sum(e - s for s, e in r.spans) == r.n_removed
+        assert b"".join(raw[s:e] for s, e in zip([0, *(e for _, e in r.spans)], [*(s for s, _ in r.spans), len(raw)])) == bytes(r.kept)
     assert got == list(removed_bytes(docs)) and sum(r[2] for r in got) > 2000
 
 
