@@ -1,121 +1,141 @@
-"""Near copies of a given similarity, by multi-index hashing of wide SimHash fingerprints.
+"""Near copies of a given similarity, by MinHash bands and exact comparison.
 
-The similarity of two texts is that of their sets of word shingles (Jaccard). A pair of similarity s has fingerprints
-whose bits differ with probability p = acos(2s / (1 + s)) / pi each, so of BITS bits about p * BITS; pairs that differ in
-no more than this and one standard error are near copies.
+The similarity of two texts is that of their sets of word shingles (Jaccard). Texts of one set are one node, whatever
+their ids. Candidates come from BANDS bands of ROWS minima of the set under hash functions: a pair of similarity s meets
+in a band with probability s^ROWS, however the texts differ and however short they are, so that a pair of 0.8 meets in
+one at least with 0.9996, of 0.85 with 0.99999. (Segments of SimHash fingerprints, searched with radius one, need 74
+segments of 28 bits, 2,146 keys a text, for 0.99 at 0.8; the bands are 20 keys.)
 
-Candidates come from a second fingerprint, of word pairs, of which near copies share far more: it is cut into segments
-of SEGMENT bits, and each segment is looked up with its Hamming ball of radius one. What meets at a key is compared in
-full there, block by block, and only enough links to hold each group together leave the task. Keys with more than TILE
-fingerprints are split into pairs of tiles, so that no task gets more than two tiles.
+What meets is compared by the whole sets, block by block, and only enough links to hold each group together leave the
+task. Keys with more than TILE members, or BLOCK shingles, are split into pairs of tiles, so that no task gets more than
+two tiles. Bands with the same members are compared once.
 
-Null texts count as empty, and all texts without words are copies of each other; other columns are ignored.
+Null texts count as empty, and all texts without words are copies of each other; other columns are ignored. 64-bit
+hashes stand for shingles, sets and texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, texts
+from .common import cut, partitions
 from .graph import components
 from .hashing import mixed
 
-BITS, SEGMENT, SEGMENTS = 256, 28, 12
-PAIRS = 2
+BANDS, ROWS = 20, 5
 TILE = 4096
-#: Rows that a task's call compares, about.
-BUCKET_ROWS = 50_000
-#: Hash streams of 64 bits each: for the fingerprint that is compared, and for the one that is searched by.
-FULL, SEARCH = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (BITS // 64, -(-SEGMENT * SEGMENTS // 64)))
+#: Shingles that a tile and that a task's call compare, about.
+BLOCK, BUCKET = 1 << 19, 1 << 21
+STREAMS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def wide_fingerprint(words: list[bytes], k: int, streams: np.ndarray) -> np.ndarray:
-    """64 bits for each stream: majorities over the different shingles of k words."""
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of k words; of all words together where they are fewer."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
     k = min(k, len(words))
     line = b" ".join(words)
     ends = np.cumsum([len(x) + 1 for x in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts)))
-    out = np.zeros(len(streams), np.uint64)
-    for i, stream in enumerate(streams):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(mixed(h[at : at + (1 << 16)] + stream).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each band of minima."""
+    low = np.full(len(STREAMS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h), 1024):
+        low = np.minimum(low, mixed(h[at : at + 1024] ^ STREAMS[:, None]).min(1))
+    low = low.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+    return key.view(np.int64)
+
+
+def _print(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+
+
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, full (the fingerprint of shingles) and keys (the segments of that of word pairs)."""
+    """doc_id, text_key, node (a hash of the set), size of the set and keys for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            full = np.zeros((b.num_rows, len(FULL)), np.uint64)
-            search = np.zeros((b.num_rows, len(SEARCH)), np.uint64)
-            for i, x in enumerate(b.column("text").cast(pa.binary())):
-                w = x.as_buffer().to_pybytes().lower().split()
-                if w:
-                    full[i], search[i] = wide_fingerprint(w, words, FULL), wide_fingerprint(w, PAIRS, SEARCH)
-            bits = np.unpackbits(search.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")[:, : SEGMENT * SEGMENTS]
-            keys = bits.reshape(-1, SEGMENTS, SEGMENT).astype(np.int64) @ (1 << np.arange(SEGMENT))
-            yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "full", "keys"])
+            sets = [shingles(x.as_buffer().to_pybytes(), words) for x in b.column("text").cast(pa.binary())]
+            cols = [pa.array([_print(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), *cols], ["doc_id", "text_key", "node", "size", "keys"])
+
+    return _own(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, keys array<long>")
 
-    return texts(docs).mapInArrow(run, "doc_id long, full binary, keys array<long>")
 
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """node and set (its hashes as bytes) of each row."""
 
-def limit(similarity: float) -> int:
-    """Differing bits up to which two fingerprints are of near copies."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(BITS * p + math.sqrt(BITS * p * (1 - p)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x.as_buffer().to_pybytes(), words) for x in b.column("text").cast(pa.binary())]
+            yield pa.record_batch([pa.array([_print(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "set"])
+
+    return docs.select("text").mapInArrow(run, "node long, set binary")
 
 
-#: Groups of up to so many fingerprints are compared side by side, larger ones one after the other.
+#: In groups of more than so many sets, those that are linked leave the arrays.
 FEW = 32
 
 
-def _near_in_groups(key: np.ndarray, full: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (of rows sorted by key) of near copies within each key: all pairs of small groups, enough pairs to hold
-    together those of large ones."""
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    sizes = np.diff(np.append(starts, len(key)))
-    small = np.repeat(sizes <= FEW, sizes)
-    for d in range(1, min(FEW, int(sizes.max(initial=0)))):
-        i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(full[i] ^ full[i + d]).sum(1) <= most]
-        yield i, i + d
-    for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-        left = np.ones(n, bool)
-        while left.any():
-            todo = [int(np.flatnonzero(left)[0])]
-            left[todo[0]] = False
-            while todo:
-                i = todo.pop()
-                rest = np.flatnonzero(left)
-                near = rest[np.bitwise_count(full[s + rest] ^ full[s + i]).sum(1) <= most]
-                left[near] = False
-                todo += near.tolist()
-                yield np.full(len(near), s + i), s + near
-
-
-def _forest(most: int):
-    """Links that hold together what is within `most` bits under some key of a bucket, without those that close rings."""
+def _near_in_group(ids: np.ndarray, sizes: np.ndarray, mark: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Enough pairs of near copies to hold together those of a group; ids are those of each set after the other's."""
+    place = np.arange(len(sizes))
+    left = np.ones(len(sizes), bool)
+    ends = np.cumsum(sizes)
+    own = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    size, starts = sizes, ends - sizes
+    while left.any():
+        todo = [int(np.flatnonzero(left)[0])]
+        left[todo[0]] = False
+        while todo and left.any():
+            if len(place) > FEW and 2 * left.sum() < len(place):
+                place = np.flatnonzero(left)
+                ids, size = np.concatenate([own[p] for p in place.tolist()]), sizes[place]
+                starts = np.cumsum(size) - size
+            i = todo.pop()
+            mark[own[i]] = True
+            both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+            mark[own[i]] = False
+            near = place[left[place] & (both >= similarity * (size + sizes[i] - both) - 1e-9)].tolist()
+            left[near] = False
+            todo += near
+            yield from ((i, j) for j in near)
+
+
+def _forest(similarity: float):
+    """Links that hold together the near copies under some key of a bucket, without those that close rings."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "i", "j", "node"], kind="stable")
         node = frame["node"].to_numpy()
         whole = frame[["key", "i", "j"]].to_numpy()
-        key = np.cumsum(np.concatenate(([0], (whole[1:] != whole[:-1]).any(1))))
-        full = np.frombuffer(b"".join(frame["full"]), np.uint64).reshape(len(node), -1)
+        first = np.flatnonzero(np.concatenate(([True], (whole[1:] != whole[:-1]).any(1))))
+        sizes = np.array([len(x) // 8 for x in frame["set"]], np.int64)
+        ids = np.unique(np.frombuffer(b"".join(frame["set"]), np.uint64), return_inverse=True)[1].astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        mark = np.zeros(len(ids), bool)
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -125,8 +145,9 @@ def _forest(most: int):
             return x
 
         links = []
-        for a, b in _near_in_groups(key, full, most):
-            for x, y in zip(node[a].tolist(), node[b].tolist()):
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(node)]):
+            for a, b in _near_in_group(ids[ends[s] : ends[e]], sizes[s:e], mark, similarity):
+                x, y = int(node[s + a]), int(node[s + b])
                 rx, ry = root(x), root(y)
                 if rx != ry:
                     up[max(rx, ry)] = min(rx, ry)
@@ -136,35 +157,37 @@ def _forest(most: int):
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that can be reached over near copies, for each row of docs."""
-    fps = cut(fingerprints(docs, words).withColumn("print", F.xxhash64("full", "keys")))
-    nodes = cut(fps.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("full").alias("full"), F.min("keys").alias("keys")))
-    # Nodes are numbered by their smallest doc_id; a null one has no number and stands alone.
-    nodes = nodes.filter("node is not null")
-    table = nodes.select("node", F.posexplode("keys").alias("t", "half"))
-    key = lambda t, half: (t.cast("long") * (1 << SEGMENT) + half).alias("key")
-    # Of two segments one bit apart, the one with the bit unset finds the other.
-    masks = F.array(*(F.lit(1 << i).cast("long") for i in range(SEGMENT)))
-    probes = table.select("node", "t", "half", F.explode(F.filter(masks, lambda m: F.col("half").bitwiseAND(m) == 0)).alias("m"))
-    probes = probes.select("node", key(F.col("t"), F.col("half").bitwiseOR(F.col("m"))))
-    table = table.select("node", key(F.col("t"), F.col("half")))
-    counts = table.groupBy("key").agg(F.count("*").alias("n"))
-    met = probes.join(counts.select("key"), "key", "left_semi")
-    members = cut(table.unionByName(met))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    members = members.join(sizes, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, text_key and first for each row of docs: the first is (without, id, text), whether the smallest row of
+    its group has no doc_id, its doc_id and its text_key."""
+    fps = cut(fingerprints(docs, words))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("text_key").alias("text")))
+    nodes = cut(fps.groupBy("node").agg(low.alias("low"), F.min("size").alias("size"), F.min("keys").alias("keys")))
+    table = nodes.filter("size > 0").select("node", "size", F.explode("keys").alias("key"))
+    same = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("same")
+    shared = table.groupBy("key").agg(same, F.sum("size").alias("total")).filter("same.n > 1")
+    shared = shared.groupBy("same", "total").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("same.n") / TILE, F.col("total") / BLOCK)).cast("int").alias("tiles"))
+    members = table.join(shared, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = cut(members.select("key", "node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).distinct().join(nodes.select("node", "full"), "node"))
-    # Many keys to a task's call: a key's rows are few.
-    n_members = members.count()
-    buckets = max(partitions(docs.sparkSession), -(-n_members // BUCKET_ROWS))
+    members = cut(members.select("key", "node", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    # Only texts that met another are looked at again.
+    met = members.select("node").distinct().join(nodes.select("node", "low.*"), "node").select(F.col("id").alias("met_id"), F.col("text").alias("met_text"))
+    again = _own(docs).join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_text")), "left_semi")
+    sets = _sets(again, words).groupBy("node").agg(F.first("set").alias("set"))
+    total = members.agg(F.sum("size")).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-total // BUCKET))
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")
-    links = members.select(bucket, "key", "i", "j", "node", "full").groupBy("bucket").applyInPandas(_forest(limit(similarity)), "u long, v long")
+    links = members.join(sets, "node").select(bucket, "key", "i", "j", "node", "set").groupBy("bucket").applyInPandas(_forest(similarity), "u long, v long")
     comp = components(links)
-    named = fps.join(nodes.select("print", "node"), "print", "left").select("doc_id", "node")
-    return named.join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node", "doc_id").alias("component_id"))
+    rooted = nodes.join(comp, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("low").alias("first"))
+    named = rooted.join(firsts, "root").select("node", "first")
+    return fps.join(named, "node").select("doc_id", "text_key", "first")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that can be reached over near copies, for each row of docs."""
+    return _groups(docs, words, similarity).select("doc_id", F.col("first.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -168,6 +168,19 @@ def test_near_copies_in_split_keys(documents, prose, monkeypatch):
     assert {r.component_id for r in near.near_copies(documents(docs)).collect()} == {0}
 
 
+def test_near_copies_by_kind_of_edit(documents, prose):
+    """Pairs of similarity 0.8 are linked whatever the edit and however short the texts; those just below are not."""
+    other = lambda n, seed: " ".join(f"x{w}" for w in prose(n, seed).split())
+    pairs = [(prose(400, s), f"{prose(400, s)} {other(99, s)}") for s in range(40)]  # 396 of 495 shingles
+    pairs += [(prose(8, s), f"{prose(8, s)} new") for s in range(100, 140)]  # 4 of 5
+    pairs += [(prose(15, s), " ".join(prose(15, s).split()[2:])) for s in range(200, 240)]  # 9 of 11
+    pairs += [(prose(400, s), f"{prose(400, s)} {other(100, s)}") for s in range(300, 340)]  # 396 of 496
+    pairs += [(prose(7, s), f"{prose(7, s)} new") for s in range(400, 440)]  # 3 of 4
+    got = {r.doc_id: r.component_id for r in near.near_copies(documents([t for pair in pairs for t in pair])).collect()}
+    linked = [got[2 * i + 1] == 2 * i for i in range(len(pairs))]
+    assert [sum(linked[i : i + 40]) for i in range(0, 200, 40)] == [40, 40, 40, 0, 0]
+
+
 def base_brute(text):
     """The fixed patterns, as plain as can be."""
     import re
