@@ -34,8 +34,10 @@ def _pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies", "taken")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).drop("taken_id")
+    # Rows of null or repeated doc_ids are documents of their own.
+    row = F.xxhash64("doc_id", "text")
+    taken = mixing.mix(docs.withColumn("doc_id", row)).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies", "taken")
+    return docs.join(taken, row == F.col("taken_id")).drop("taken_id")
 
 
 STAGES = [("language", _language), ("near_copies", _near_copies), ("decontamination", _decontamination), ("pseudonyms", _pseudonyms), ("mixing", _mixing)]

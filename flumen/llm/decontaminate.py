@@ -6,8 +6,8 @@ substituted. Each different alignment of a document with an item that has a hit
 counts if some WINDOW aligned tokens in a row (the whole item, where it is shorter) agree in at least SHARE of them.
 
 Tokens are runs of other than ASCII white space, lower-cased. Items of fewer than SPAN tokens have no window and are
-never found; empty and null texts have no tokens; repeated doc_ids or item_ids are looked at together; other columns
-are ignored.
+never found; empty and null texts have no tokens; rows of null or repeated ids are looked at one by one, and
+reported together; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,32 +49,41 @@ def _seed_rows(table: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.pmod("place", "n").alias("at"), "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_equal, n_tokens, best, at: for each document and each item it overlaps, of its alignments with
-    the most equal tokens (then the first) the number of them, the item's number of tokens, the most equal tokens in a
-    window, and the document's token at which the item would start.
-    """
-    docs, items = docs.select("doc_id", "text").filter("text is not null"), benchmark.select("item_id", "text").filter("text is not null")
-    ours = _seed_rows(items, "item_id").withColumnRenamed("at", "item_at")
+def _rows(table: DataFrame, key: str, row: str) -> DataFrame:
+    """key, text and row, which tells rows of null and repeated keys apart."""
+    return table.filter("text is not null").select(key, "text", F.xxhash64(key, "text").alias(row))
+
+
+def _overlaps(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
+    """doc_row, doc_id, item_id, n_equal, n_tokens, best, at of each alignment that counts, from tables with rows."""
+    ours = _seed_rows(items, "item_row").withColumnRenamed("at", "item_at")
     ours = F.broadcast(ours) if ours.count() <= SMALL else ours
-    hits = _seed_rows(docs, "doc_id").join(ours, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("at")).distinct()
+    hits = _seed_rows(docs, "doc_row").join(ours, "seed").select("doc_row", "item_row", (F.col("at") - F.col("item_at")).alias("at")).distinct()
     hits = if_small(hits)
-    item_tokens = items.select("item_id", tokens("text").alias("item"))
+    item_tokens = items.select("item_row", "item_id", tokens("text").alias("item"))
     item_tokens = F.broadcast(item_tokens) if item_tokens.count() <= SMALL // 20 else item_tokens
-    alone = docs.select("doc_id", "text").join(hits, "doc_id").join(item_tokens, "item_id")
+    alone = docs.join(hits, "doc_row").join(item_tokens, "item_row")
     # The aligned tokens: 1 where equal, 0 where not or outside the document. The one-element array keeps the words from
     # being split anew for each token.
     line_up = lambda words: F.transform("item", lambda w, i: F.when((i + F.col("at") >= 0) & F.get(words, F.greatest(i + F.col("at"), F.lit(0))).eqNullSafe(w), 1).otherwise(0))
-    lined = alone.select("doc_id", "item_id", "at", F.get(F.transform(F.array(tokens("text")), line_up), F.lit(0)).alias("equal"))
+    lined = alone.select("doc_row", "doc_id", "item_id", "at", F.get(F.transform(F.array(tokens("text")), line_up), F.lit(0)).alias("equal"))
     width = F.least(F.size("equal"), F.lit(window))
     in_window = F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda i: F.aggregate(F.slice("equal", i, width), F.lit(0), lambda s, x: s + x))
-    lined = lined.select("doc_id", "item_id", "at", F.aggregate("equal", F.lit(0), lambda s, x: s + x).alias("n_equal"), F.size("equal").alias("n_tokens"), F.array_max(in_window).alias("best"), width.alias("width"))
-    sure = lined.filter(F.col("best") >= share * F.col("width"))
+    lined = lined.select("doc_row", "doc_id", "item_id", "at", F.aggregate("equal", F.lit(0), lambda s, x: s + x).alias("n_equal"), F.size("equal").alias("n_tokens"), F.array_max(in_window).alias("best"), width.alias("width"))
+    return lined.filter(F.col("best") >= share * F.col("width"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, n_equal, n_tokens, best, at: for each document and each item it overlaps, of its alignments with
+    the most equal tokens (then the first) the number of them, the item's number of tokens, the most equal tokens in a
+    window, and the document's token at which the item would start.
+    """
+    sure = _overlaps(_rows(docs, "doc_id", "doc_row"), _rows(benchmark, "item_id", "item_row"), window, share)
     pick = F.max_by(F.struct("n_equal", "n_tokens", "best", "at"), F.struct("n_equal", "best", -F.col("at")))
     return sure.groupBy("doc_id", "item_id").agg(pick.alias("x")).select("doc_id", "item_id", *(F.col(f"x.{c}").cast("long").alias(c) for c in ("n_equal", "n_tokens", "best", "at")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that overlap an item."""
-    found = if_small(overlaps(docs, benchmark).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that overlap an item."""
+    found = if_small(_overlaps(_rows(docs, "doc_id", "doc_row"), _rows(benchmark, "item_id", "item_row"), WINDOW, SHARE).select("doc_row").distinct())
+    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("doc_row"), "left_anti").select(docs.columns)

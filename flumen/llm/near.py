@@ -191,9 +191,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near copies, that of the smallest doc_id; of repeated doc_ids one row."""
-    groups = cut(near_copies(docs, words, similarity))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    repeated = not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).select(docs.columns)
+    """docs with one row of each group of near copies, that of the smallest doc_id; rows with null or repeated doc_ids
+    are documents of their own, and null ones come last."""
+    groups = cut(_groups(docs, words, similarity))
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text"))).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = cut(first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_text"), "n"))
+    kept = docs.join(first.select("first_id", "first_text"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key() == F.col("first_text")), "left_semi")
+    if first.filter("n > 1").isEmpty():
+        return kept
+    return kept.withColumn("first_text", text_key()).dropDuplicates(["doc_id", "first_text"]).select(docs.columns)

@@ -181,6 +181,14 @@ def test_near_copies_by_kind_of_edit(documents, prose):
     assert [sum(linked[i : i + 40]) for i in range(0, 200, 40)] == [40, 40, 40, 0, 0]
 
 
+def test_one_of_each_of_null_and_repeated_ids(documents, prose):
+    """Rows of one id are documents of their own: only near copies go."""
+    copy = prose(300, 1).replace(prose(300, 1).split()[150], "other", 1)
+    docs = [(None, prose(50, 2)), (None, prose(50, 3)), (None, prose(50, 3)), (1, prose(300, 1)), (7, copy), (7, prose(50, 4)), (7, prose(50, 5)), (None, prose(50, 5)), (7, prose(50, 4))]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in near.one_of_each(documents(docs)).collect())
+    assert kept == sorted([(-1, prose(50, 2)), (-1, prose(50, 3)), (1, prose(300, 1)), (7, prose(50, 4)), (7, prose(50, 5))])
+
+
 def base_brute(text):
     """The fixed patterns, as plain as can be."""
     import re

@@ -137,6 +137,13 @@ def test_decontamination(spark, documents, prose):
     assert decontaminate.overlaps(documents([]), bench).count() == 0 == decontaminate.overlaps(documents(docs), bench.limit(0)).count()
 
 
+def test_decontamination_of_null_and_repeated_ids(spark, documents, prose):
+    docs = [(None, prose(40, 1)), (None, prose(40, 2)), (7, prose(40, 3)), (7, f"{prose(5, 9)} {prose(40, 4)}")]
+    bench = spark.createDataFrame([(None, prose(40, 1)), (5, prose(30, 8)), (5, prose(40, 4))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.at) for r in decontaminate.overlaps(documents(docs), bench).collect()} == {(None, None, 0), (7, 5, 5)}
+    assert {r.text for r in decontaminate.clean(documents(docs), bench).collect()} == {prose(40, 2), prose(40, 3)}
+
+
 def test_decontamination_without_broadcast(spark, documents, prose, monkeypatch):
     monkeypatch.setattr(decontaminate, "SMALL", 0)
     bench = spark.createDataFrame([(1, prose(30, 1))], "item_id long, text string")

@@ -24,6 +24,13 @@ def test_stages_keep_the_columns_and_take_effect(spark, prose, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
 
 
+def test_mixing_of_null_and_repeated_ids(spark, prose):
+    rows = [(i, prose(50, n), "en", "s0", 9) for n, i in enumerate([None, None, None, 7, 7, 8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = [r.text for r in corpus_pipeline._mixing(spark, docs, "").collect()]
+    assert len(texts) == len(set(texts)) > 0
+
+
 def test_empty_corpus(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
