@@ -599,7 +599,7 @@ def components_2d(spark, sf):
 def component_matching(spark, sf):
     found = vortex.component_stats(vortex.label(_active(spark, sf), ["volume"]), ["volume"], "s")
     a, b = (cut(found.filter(F.col("volume") == v).withColumn("volume", F.lit("pair"))) for v in ("A", "N"))
-    return vortex.match_greedily(a, b, ["volume"], most=10)
+    return vortex.match_greedily(a, b, ["volume"])
 
 
 RANK = "(SELECT *, rank() OVER (PARTITION BY a ORDER BY x) + (count(*) OVER (PARTITION BY a, x) - 1) / 2.0 rx, rank() OVER (PARTITION BY a ORDER BY y) + (count(*) OVER (PARTITION BY a, y) - 1) / 2.0 ry FROM (SELECT 1 a, p.v_mean x, q.v_mean y FROM mean p JOIN mean q ON p.volume = 'A' AND q.volume = 'N' AND p.iz = q.iz AND p.iy = q.iy AND p.ix = q.ix))"

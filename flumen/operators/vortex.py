@@ -148,24 +148,36 @@ def compare(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return m.select(*keys, "n", "mae", "rms", F.try_divide("rms", "_s").alias("nrms"), "max_difference", "pearson", "spearman", rel(F.col("_ma"), F.col("_mb")).alias("max_relative"), *(rel(F.get("_pa", F.lit(i)), F.get("_pb", F.lit(i))).alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}_relative") for i, p in enumerate(PERCENTILES)))
 
 
-def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str, ...] = ("ix", "iy", "iz"), most: int = 200) -> DataFrame:
+#: Components of a key that propose in a round of matching.
+PROPOSE = 64
+
+
+def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str, ...] = ("ix", "iy", "iz")) -> DataFrame:
     """Components of a, the strongest first, each with the nearest one of b that is still free: a_component,
-    b_component, distance by key. Only the `most` strongest of each key are matched (a report's length, not a sample).
+    b_component, distance by key, until either side is used up.
 
-    In round n every a of rank n takes its nearest free b, so a round is one join; ranks go up to the most.
+    In a round the next ones of a propose to their nearest free b; all before the first that wants what an earlier one
+    takes are settled, at least one for each key.
     """
     order = Window.partitionBy(*keys).orderBy(F.col("integral").desc(), "component")
-    left = cut(a.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(*keys, "rank", F.col("component").alias("a_component"), *(F.col(f"{x}_weighted").alias(f"a_{x}") for x in axes)))
+    left = cut(a.withColumn("rank", F.row_number().over(order)).select(*keys, "rank", F.col("component").alias("a_component"), *(F.col(f"{x}_weighted").alias(f"a_{x}") for x in axes)))
     free = cut(b.select(*keys, F.col("component").alias("b_component"), *(F.col(f"{x}_weighted").alias(f"b_{x}") for x in axes)))
-    rounds = left.agg(F.max("rank")).first()[0] or 0
-    done = None
-    for r in range(1, rounds + 1):
-        d = F.sqrt(reduce(lambda s, x: s + F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2), axes, F.lit(0.0)))
-        best = left.filter(F.col("rank") == r).join(free, keys).groupBy(*keys, "a_component").agg(F.min(F.struct(d.alias("distance"), "b_component")).alias("m"))
-        best = cut(best.select(*keys, "a_component", "m.b_component", "m.distance"))
-        done = best if done is None else done.unionByName(best)
+    d = F.sqrt(reduce(lambda s, x: s + F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2), axes, F.lit(0.0)))
+    cols = [*keys, "a_component", "b_component", "distance"]
+    done = left.join(free, keys).withColumn("distance", d).select(*cols).limit(0)
+    while True:
+        next_ones = left.join(left.groupBy(*keys).agg(F.min("rank").alias("_next")), keys).filter(F.col("rank") < F.col("_next") + PROPOSE)
+        best = next_ones.join(free, keys).groupBy(*keys, "rank", "a_component").agg(F.min(F.struct(d.alias("distance"), "b_component")).alias("m"))
+        best = best.select(*keys, "rank", "a_component", "m.b_component", "m.distance")
+        again = F.row_number().over(Window.partitionBy(*keys, "b_component").orderBy("rank")) > 1
+        stop = F.min(F.when(F.col("_again"), F.col("rank"))).over(Window.partitionBy(*keys))
+        best = best.withColumn("_again", again).withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("rank") < F.col("_stop")))
+        best = cut(best.select(*cols))
+        if best.isEmpty():
+            return done
+        done = cut(done.unionByName(best))
+        left = cut(left.join(best.select(*keys, "a_component"), [*keys, "a_component"], "left_anti"))
         free = cut(free.join(best.select(*keys, "b_component"), [*keys, "b_component"], "left_anti"))
-    return done if done is not None else left.join(free, keys).select(*keys, "a_component", "b_component", F.lit(0.0).alias("distance")).limit(0)
 
 
 def suitability(grid: DataFrame) -> DataFrame:

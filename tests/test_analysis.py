@@ -129,6 +129,20 @@ def test_greedy_matching(spark):
     assert sorted((r.a_component, r.b_component) for r in vortex.match_greedily(a, b, ["k"]).collect()) == [(1, 7), (2, 8)]
 
 
+def test_greedy_matching_of_all(spark):
+    """No component is left out while one is free, and conflicts are settled by rank."""
+    rows = lambda n, shift: [("k", i, float(1000 - i), 10.0 * (i % 203) + shift, 0.0, 0.0) for i in range(n)]
+    part = lambda x: spark.createDataFrame(x, "k string, component int, integral double, ix_weighted double, iy_weighted double, iz_weighted double")
+    a, b = rows(205, 1.0), rows(203, 0.0)
+    free, want = {r[1]: r[3] for r in b}, []
+    for _, i, _, x, *_ in a:
+        if free:
+            j = min(free, key=lambda j: (abs(free[j] - x), j))
+            want.append((i, j))
+            del free[j]
+    assert sorted((r.a_component, r.b_component) for r in vortex.match_greedily(part(a), part(b), ["k"]).collect()) == sorted(want) and len(want) == 203
+
+
 def test_probe_runs(spark, tmp_path):
     lines = [f"{100 if i != 20 else 103} 100 0 {i} 0 0" for i in range(30)]
     lines[10] = "100 100 0 nan 0 0"
