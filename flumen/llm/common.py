@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,13 +16,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, or the one set before. Where none is named, a temporary one
+    is made on a single machine (tests); on a cluster that is an error, as executors would not share it."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,11 +43,49 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-#: Tables of up to this number of narrow rows are broadcast; larger ones are joined by a shuffle.
-SMALL = 100_000
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+#: Tables of up to so many bytes are broadcast; larger ones are joined by a shuffle.
+SMALL = 8 << 20
+#: Keys that are dealt with apart, at most; none of the others then has more than this part of the rows.
+HOT = 100_000
+
+
+def _width(c: Column, kind: DataType) -> Column:
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType)):
+            return F.aggregate(F.coalesce(c, F.array()), F.lit(16).cast("long"), lambda s, x: s + _width(x, kind.elementType))
+        return F.coalesce(F.size(c), F.lit(0)) * 16 + 16
+    return F.lit(16)
+
+
+def n_bytes(df: DataFrame) -> int:
+    """About how many bytes df has."""
+    widths = [_width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields]
+    return df.agg(F.coalesce(F.sum(sum(widths[1:], widths[0])), F.lit(0))).first()[0]
 
 
 def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df, written out and counted, with a broadcast hint if it is small."""
+    """df, written out and measured, with a broadcast hint if it is small."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if n_bytes(df) <= most else df
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """left joined with right (inner or left), whose column count, left out of the result, says how many rows of left a
+    row of right meets. A small right side is broadcast. Of a larger one the rows are that meet more than 1 / HOT of all
+    that meet, of which there can't be more than HOT; the others are joined by a shuffle in which no key is large."""
+    right = cut(right)
+    if n_bytes(right) <= SMALL:
+        return left.join(F.broadcast(right.drop(count)), on, how)
+    bound = right.agg(F.sum(count)).first()[0] / HOT
+    hot, rest = F.broadcast(right.filter(F.col(count) > bound).drop(count)), right.filter(F.col(count) <= bound).drop(count)
+    return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(rest, on, how))
