@@ -61,21 +61,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language, op2_suffix_array, op3_pages, op4_pii, op5_simhash, op6_decontamination, op7_substrings, op8_secrets, op9_mixing, op10_fingerprints)}
 
 
+#: Every alignment with an equal token, whatever the seeds.
 OP6_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS t FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS t FROM benchmark WHERE text IS NOT NULL),
-dp AS (SELECT doc_id, t, unnest(range(1, len(t) - 9)) AS s FROM d WHERE len(t) >= 11),
-bp AS (SELECT item_id, t, unnest(range(1, len(t) - 9)) AS s FROM b WHERE len(t) >= 11),
-masks AS (SELECT * FROM (VALUES (3, 7), (3, 9), (2, 8)) m(x, y)),
-ds AS (SELECT doc_id, s, concat_ws(' ', t[s], t[s + 1], t[s + x], t[s + x + 1], t[s + y], t[s + y + 1]) AS seed FROM dp, masks),
-bs AS (SELECT item_id, s, concat_ws(' ', t[s], t[s + 1], t[s + x], t[s + x + 1], t[s + y], t[s + y + 1]) AS seed FROM bp, masks),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.s - bs.s AS shift FROM ds JOIN bs USING (seed)),
-lined AS (SELECT doc_id, item_id, shift, p, n, CAST(coalesce(d.t[p + shift + 1] = w AND p + shift >= 0, false) AS INTEGER) AS eq FROM hits
- JOIN (SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS p FROM b) USING (item_id) JOIN d USING (doc_id)),
-summed AS (SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS in_window FROM lined),
-aligned AS (SELECT doc_id, item_id, shift, sum(eq) AS n_equal, max(n) AS n_tokens, max(CASE WHEN p >= least(n, 13) - 1 THEN in_window END) AS best, least(max(n), 13) AS width FROM summed GROUP BY ALL)
+dw AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS p FROM d),
+bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS q FROM b WHERE len(t) >= 5),
+eq AS (SELECT doc_id, item_id, n, p - q AS shift, q FROM dw JOIN bw USING (w)),
+many AS (SELECT doc_id, item_id, shift, count(*) AS n_equal FROM eq GROUP BY ALL HAVING count(*) >= least(min(n), 10)),
+summed AS (SELECT doc_id, item_id, shift, n_equal, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS in_window FROM eq JOIN many USING (doc_id, item_id, shift)),
+aligned AS (SELECT doc_id, item_id, shift, n_equal, n AS n_tokens, max(in_window) AS best FROM summed GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(best AS BIGINT) AS best, CAST(shift AS BIGINT) AS "at"
-FROM aligned WHERE best >= 0.75 * width QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, best DESC, shift) = 1
+FROM aligned WHERE best >= CASE WHEN n_tokens < 13 THEN n_tokens ELSE 10 END QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, best DESC, shift) = 1
 """
 
 OP7_SQL = """
