@@ -1,18 +1,32 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two first-order models over the characters of a token are trained from labelled samples: the values that the fixed
-patterns find count as random strings, the other identifier-like tokens of the same documents as ordinary ones. A token
-that no pattern found is a span of its own if its log-likelihood ratio for each character speaks for a random string.
-
-Training reads a sample of at most SAMPLE documents, chosen by a hash of doc_id, and brings two small count tables to
-the driver; scanning reads every text whole. Null texts count as empty; other columns are ignored; repeated rows give
-repeated results. With no labelled sample both models are flat and the method adds nothing.
+Two second-order models over the characters of a token are trained from labelled samples:
+
+ - random strings: the values that the fixed patterns find, by the alphabet they are made of (lower-case hexadecimal,
+   letters and digits, ...). Each alphabet has a chain of its own, which starts as uniform over the alphabet and moves
+   towards the transitions counted; alphabets weigh as often as they were met.
+ - ordinary identifiers: the words and names of six characters and more that no pattern touches. Letters are taken
+   without case, and a second chain has the order of upper case, lower case, digits and marks.
+
+Both learn from each different token once, so that copies of a text add nothing; transitions that a single name has don't
+count, as it may be a secret that nothing labels.
+
+A token that touches no base span and has a letter is a span of its own if the log-likelihood ratio of the models is
+at least THRESHOLD. Counts of higher order are drawn towards those of lower order, so that a small sample makes the
+models vague and nothing else: without any labelled value the random strings' model is the uniform one, and without any
+ordinary word the other one is uniform over all characters.
+
+Training reads all texts for the number of those in which a pattern may match and of all others, then a sample of at
+most about SAMPLE different texts of each kind, chosen by a hash of the text; two count tables of a size that the
+alphabet fixes go to the driver. Scanning reads every text whole, in time that grows with its length. Null texts count
+as empty; other columns are ignored; repeated rows give repeated results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +41,42 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 and more are the runs of one and more that are long enough
 KINDS = ("assign", "access", "hex", "markov")
+#: Java pattern of texts in which one of these may match.
+QUICK = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}"
 
-#: What the models look at: identifiers of some length.
+#: What the models judge: tokens of some length.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-#: Documents read for training, at most.
-SAMPLE = 20_000
-#: Tokens of fewer random ones than this aren't enough to train from.
-LEAST = 20
-#: Mean log-likelihood ratio for each character above which a token with letters and digits counts as random.
-THRESHOLD = 0.5
-
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
-SIZE = len(ALPHABET) + 1  # the last state: start of a token, or another character
-CODE = np.full(128, SIZE - 1, np.uint8)
-CODE[[ord(c) for c in ALPHABET]] = range(SIZE - 1)
-
-
-def base_spans(text: str) -> list[tuple[int, str, int, int]]:
-    """(start, kind, start, end) as fixed by the patterns, in order; matches of a kind don't overlap."""
+#: What ordinary identifiers are learnt from.
+NAME = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: Texts read for training, at most about, of those in which a pattern may match and of the others.
+SAMPLE = 10_000
+#: Log-likelihood ratio from which a token counts as random.
+THRESHOLD = 8.0
+#: Weight of the order below in counts of transitions.
+DRAWN = 20.0
+#: Length of the tokens that the models can tell apart is not bounded; values are cut into parts of so many characters.
+PART = 1 << 16
+
+MARKS = "+/_=-."
+CHARACTERS = string.ascii_lowercase + string.ascii_uppercase + string.digits + MARKS
+#: The last state: start of a token, or another character.
+EDGE = len(CHARACTERS)
+SIZE = EDGE + 1
+CODE = np.full(128, EDGE, np.uint8)
+CODE[[ord(c) for c in CHARACTERS]] = range(EDGE)
+#: Letters without case, and what kind a character is: lower, upper, digit, mark, edge.
+FOLD = np.array([*range(26), *range(26), *range(52, SIZE)])
+SHAPE = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * len(MARKS) + [4])
+#: Alphabets of random strings, each in the order of what it adds; a value belongs to the first that holds it.
+ALPHABETS = [
+    string.digits + "abcdef", string.digits + "ABCDEF", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase,
+    string.digits + string.ascii_letters, string.digits + string.ascii_letters + "-_", string.digits + string.ascii_letters + "+/=", CHARACTERS,
+]
+WITHIN = np.array([[c in a for c in CHARACTERS] + [False] for a in ALPHABETS])
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) as fixed by the patterns, in order; matches of a kind don't overlap."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -55,61 +87,140 @@ def _codes(token: str) -> np.ndarray:
     return CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
 
 
-def _plain_tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that touch no span."""
-    return [(m.start(), m.end()) for m in TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+def _plain(pattern: re.Pattern, text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Matches that touch no span. Both are in order, so one look at each is enough; spans may overlap each other."""
+    at, reach = 0, 0
+    for m in pattern.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m.start(), m.end()
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Transitions of random strings (label 1) and ordinary identifiers (label 0)."""
-    counts = np.zeros((2, SIZE, SIZE), np.int64)
-    tokens = np.zeros(2, np.int64)
+def _before(codes: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The second and first character before each."""
+    padded = np.concatenate(([edge, edge], codes))
+    return padded[:-2], padded[1:-1]
+
+
+def alphabet_of(codes: np.ndarray) -> int:
+    return int(WITHIN[:, np.unique(codes)].all(1).argmax())
+
+
+#: Labels of what is counted: an alphabet's transitions, those of letters without case, those of shapes.
+FOLDED, SHAPES = len(ALPHABETS), len(ALPHABETS) + 1
+
+
+def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different tokens of each text: labelled ones (is_value) and ordinary ones."""
     for frame in frames:
+        rows = []
         for text in frame["text"]:
             spans = base_spans(text)
-            values = [m.group(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8] + [text[s:e] for s, k, e in spans if k == 1]
-            for label, found in ((1, values), (0, [text[s:e] for s, e in _plain_tokens(text, spans)])):
-                for token in found:
-                    c = _codes(token)
-                    np.add.at(counts[label], (np.concatenate(([SIZE - 1], c[:-1])), c), 1)
-                tokens[label] += len(found)
-    label, a, b = counts.nonzero()
-    yield pd.DataFrame({"label": label, "a": a, "b": b, "n": counts[label, a, b]})
-    yield pd.DataFrame({"label": [0, 1], "a": -1, "b": -1, "n": tokens})
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> np.ndarray | None:
-    """Log-likelihood ratio of each transition, random against ordinary; None without enough labelled tokens."""
-    rows = docs.count()
-    some = texts(docs).filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(rows, 1))))
-    counts = np.zeros((2, SIZE, SIZE))
-    tokens = {0: 0, 1: 0}
-    for r in some.select("text").mapInPandas(_count, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
-        if r["a"] < 0:
-            tokens[r["label"]] = r["n"]
-        else:
-            counts[r["label"], r["a"], r["b"]] = r["n"]
-    if tokens[1] < LEAST:
-        return None
-    p = (counts + smoothing) / (counts + smoothing).sum(2, keepdims=True)
-    return np.log(p[1]) - np.log(p[0])
-
-
-def scan(docs: DataFrame, ratio: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and spans (kind, start, end in code points) of each text; base spans first by start, then kind."""
+            values = {m.group(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8} | {text[s:e] for s, k, e in spans if k}
+            rows += [(True, x) for x in values]
+            rows += [(False, x) for x in {text[s:e] for s, e in _plain(NAME, text, spans)}]
+        yield pd.DataFrame(rows, columns=["is_value", "token"])
+
+
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Transitions of different tokens."""
+    counts = np.zeros((len(ALPHABETS) + 2) * SIZE**3, np.int64)
+    place = lambda label, a, b, c: ((label * SIZE + a.astype(np.int64)) * SIZE + b) * SIZE + c
+    for frame in frames:
+        for value in frame["token"][frame["is_value"]]:
+            c = _codes(value)
+            np.add.at(counts, place(alphabet_of(c), *_before(c, EDGE), c), 1)
+        names = frame["token"][~frame["is_value"]].tolist()
+        if names:
+            # All names in a row, each with two edges before it.
+            c = _codes("\n\n" + "\n\n".join(names))
+            inside = np.flatnonzero(c[2:] != EDGE) + 2
+            for label, of in ((FOLDED, FOLD), (SHAPES, SHAPE)):
+                x = of[c]
+                at, n = np.unique(place(label, x[inside - 2], x[inside - 1], x[inside]), return_counts=True)
+                counts[at] += n
+    at = counts.nonzero()[0]
+    label, a, b, c = np.unravel_index(at, (len(ALPHABETS) + 2, SIZE, SIZE, SIZE))
+    yield pd.DataFrame({"label": label, "a": a, "b": b, "c": c, "n": counts[at]})
+
+
+def _chain(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each transition (a, b, c), from counts; start is what c is without any."""
+    one = counts.sum((0, 1))
+    p = (one + DRAWN * start) / (one.sum() + DRAWN)
+    two = counts.sum(0)
+    p = (two + DRAWN * p) / (two.sum(1, keepdims=True) + DRAWN)
+    p = (counts + DRAWN * p) / (counts.sum(2, keepdims=True) + DRAWN)
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
+class Models:
+    """The two models, as tables of log-likelihoods, in single precision."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        starts = WITHIN / WITHIN.sum(1, keepdims=True)
+        self.random = np.array([_chain(counts[i], starts[i]) for i in range(len(ALPHABETS))], np.float32)
+        met = counts[: len(ALPHABETS)].sum((1, 2, 3)) + 1.0
+        self.weight = np.log(met / met.sum())
+        folded = np.bincount(FOLD[:EDGE], minlength=SIZE) > 0
+        self.folded = _chain(counts[FOLDED], folded / folded.sum()).astype(np.float32)
+        n = int(SHAPE.max()) + 1
+        shapes = np.arange(SIZE) < n - 1
+        self.shapes = _chain(counts[SHAPES], shapes / shapes.sum())[:n, :n, :n].astype(np.float32)
+
+    def ratio(self, token: str) -> float:
+        """How much better the token is explained as a random string than as an ordinary identifier, in nats."""
+        c = _codes(token)
+        random, ordinary = self.weight.copy(), 0.0
+        possible = np.flatnonzero(WITHIN[:, np.unique(c)].all(1))
+        a, b = _before(c, EDGE)
+        for at in range(0, len(c), PART):
+            s = slice(at, at + PART)
+            random[possible] += self.random[possible[:, None], a[s], b[s], c[s]].sum(1, dtype=np.float64)
+            fa, fb, fc = FOLD[a[s]], FOLD[b[s]], FOLD[c[s]]
+            ordinary += float(self.folded[fa, fb, fc].sum(dtype=np.float64))
+            # Marks and digits have a shape of their own; only letters' case is added to what the letter says.
+            sa, sb, sc = SHAPE[a[s]], SHAPE[b[s]], SHAPE[c[s]]
+            letters = sc < 2
+            both = np.logaddexp(self.shapes[sa, sb, 0], self.shapes[sa, sb, 1])
+            ordinary += float((self.shapes[sa, sb, sc] - both)[letters].sum(dtype=np.float64))
+        return float(np.logaddexp.reduce(random[possible]) - ordinary)
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
+    key = F.xxhash64("text")
+    keyed = texts(docs).select("text", key.alias("key"), F.col("text").rlike(QUICK).alias("may"))
+    found = {r["may"]: r["n"] for r in keyed.groupBy("may").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    bound = lambda may: int((1 << 62) * min(1.0, sample / max(found.get(may, 0), 1)))
+    some = keyed.filter(F.col("key").bitwiseAND(F.lit((1 << 62) - 1)) <= F.when(F.col("may"), bound(True)).otherwise(bound(False)))
+    once = some.groupBy("key").agg(F.first("text").alias("text"))
+    tokens = once.select("text").mapInPandas(_tokens, "is_value boolean, token string").distinct()
+    counts = np.zeros((len(ALPHABETS) + 2, SIZE, SIZE, SIZE))
+    for r in tokens.mapInPandas(_count, "label int, a int, b int, c int, n long").groupBy("label", "a", "b", "c").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["label"], r["a"], r["b"], r["c"]] = r["n"]
+    # What a single name has counts as not seen: a secret that nothing labels is in the sample as well.
+    counts[FOLDED] = np.maximum(counts[FOLDED] - 1, 0)
+    return Models(counts)
+
+
+def scan(docs: DataFrame, models: Models, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end in code points, by start, then kind)."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for b in batches:
             n, base, every = [], [], []
             for text in b.column("text").to_pylist():
                 spans = base_spans(text)
                 more = []
-                for s, e in _plain_tokens(text, spans) if ratio is not None else []:
+                for s, e in _plain(TOKEN, text, spans):
                     token = text[s:e]
-                    if any(x.isdigit() for x in token) and any(x.isalpha() for x in token):
-                        c = _codes(token)
-                        if ratio[np.concatenate(([SIZE - 1], c[:-1])), c].mean() > threshold:
-                            more.append((s, 3, e))
+                    if any(x.isalpha() for x in token) and known.ratio(token) >= threshold:
+                        more.append((s, 3, e))
                 join = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
                 kinds = [k for _, k, _ in spans]
                 n.append([kinds.count(k) for k in range(3)])
