@@ -1,6 +1,6 @@
 """Questions and answers between groups of documents and buckets of hashes.
 
-Documents are dealt into groups of bounded size by a hash of doc_id. A group asks about all its hashes at once: sorted,
+Documents are dealt into groups of bounded size by a hash of doc_id and text. A group asks about all its hashes at once: sorted,
 without repeats, one packed message for each bucket of the hash space. A bucket sees the messages of all groups side by
 side and answers each of them. As a group names a hash once however often it has it, a hash that a third of all rows
 share costs a bucket one entry for each group, and buckets stay equal.
@@ -30,7 +30,7 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = partitions(docs.sparkSession)
     groups, buckets = max(least, -(-total // GROUP_BYTES)), max(least, -(-total // BUCKET_BYTES))
-    grp = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp")
+    grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp")
     return docs.select(grp, "doc_id", F.coalesce("text", F.lit("")).alias("text")), buckets
 
 

@@ -1,24 +1,26 @@
-"""Exact substring deduplication over bytes with an enhanced suffix array.
+"""Exact substring deduplication over bytes with an enhanced suffix array and its common-prefix intervals.
 
 A string of LENGTH bytes that starts in two places has, in both, the same smallest hash among its GRAM-byte grams, at
 the same offset: its anchor. So each document is cut into the ranges of starts that share an anchor, and only ranges
-whose anchors hold the same gram can have strings in common. For each gram all occurrences are brought together:
-
- - occurrences with the same surroundings as another one are repeated as a whole;
- - others are put in the suffix array of the gram's occurrences: suffixes from the anchor on, in order, with the lengths
-   of their common prefixes. A scan with a stack visits the intervals of this array, each a set of suffixes with a common
-   prefix of some depth. Within an interval, occurrences are ordered by what stands to the left of the anchor: where all
-   agree to the left, the repeat is not maximal yet and goes on to the left; where they part, a maximal repeat group
-   ends. Intervals whose depth and common left part reach LENGTH are repeats, with every occurrence in the group, however
-   many lie between two of them in the array.
- - grams with more than CROWDED different surroundings (a passage in a large part of all documents) would make a group
-   that one task can't hold. Their strings of LENGTH bytes are compared by hash instead, spread over all buckets.
-
-Every byte that a repeated string covers is removed. Hashes have 64 bits: among n different surroundings or strings the
-chance of one false match is about n^2 / 2^65.
+whose anchors hold the same gram can have strings in common. For each gram there is a suffix array of all its
+occurrences: the suffixes from the anchor on, in order, with the lengths of their common prefixes. Occurrences with equal
+surroundings are one entry of it, with their number.
+
+A scan with a stack visits the intervals of the array, each a set of entries with a common prefix of some depth. The
+entries of an interval are then ordered by what stands to the left of the anchor, and the intervals of that order are
+visited alike: each is a set of entries with a common left part, whose left extensions are diverse. Of these sets, those
+that don't agree any further to the right either are the maximal repeat groups; those whose left part and depth reach
+LENGTH are reported, with every occurrence, however many lie between two of them in the array. Every byte that a
+reported repeat covers is removed.
+
+A gram with more than CROWDED different surroundings (a passage in a large part of all documents) would make an array
+that one task can't hold. Its strings of LENGTH bytes are compared by hash instead, spread over all buckets; what is
+removed is the same. Only there do 64-bit hashes stand for the bytes; elsewhere two hashes of 64 bits, of gram and
+surroundings, must agree.
 
 Null and empty texts have no bytes; texts shorter than LENGTH have no strings and stay; matches never cross documents;
-repeated rows are repeats of each other; other columns are ignored.
+repeated rows are repeats of each other; an empty table gives an empty one; other columns are ignored. A very long text
+is worked on as a whole, in memory of some fifty times its size.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .common import cut, join_counted
 from .hashing import Spans, mixed
 from .mail import Texts, answer, answered, ask, ask_again, by_bucket, deal, finish, pack, unpack
 
@@ -118,8 +122,9 @@ def _answer_classes(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, i
     of_class, of_gram = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
     repeated = np.bincount(of_class, 1 + twice[order])[of_class] > 1
     classes = np.bincount(of_gram[new])[of_gram]
-    # Of a repeated class one group sends a sample.
-    code = repeated * REPEATED + ((classes > 1) & (new | ~repeated)) * APART + ((classes > CROWDED) & (new | ~repeated)) * MANY
+    # One group sends a class to the array of its gram, if there are others; alone it is an array of one entry, and
+    # whether it is repeated says all.
+    code = repeated * REPEATED + ((classes > 1) & new) * APART + ((classes > CROWDED) & new) * MANY
     codes = np.zeros(len(order), np.uint8)
     codes[order] = code
     out, at = [], 0
@@ -150,7 +155,7 @@ def _ask_segments(buckets: int):
         for b, s in by_bucket(a.gram[send], buckets):
             own = i[s]
             text = np.concatenate([texts.data[x : y + LENGTH] for x, y in zip(a.low[own].tolist(), a.high[own].tolist())])
-            out.append((b, SEGMENTS, pack(a.gram[send][s], (a.place[own] - a.low[own]).astype(np.uint8), (a.high[own] - a.low[own]).astype(np.uint8), text)))
+            out.append((b, SEGMENTS, pack(a.gram[send][s], a.around[send][s], (a.place[own] - a.low[own]).astype(np.uint8), (a.high[own] - a.low[own]).astype(np.uint8), text)))
         hashes, _ = _strings(texts, a, np.flatnonzero(code & MANY > 0))
         hashes, n = np.unique(hashes, return_counts=True)
         return out + [(b, STRINGS, pack(hashes[s], np.packbits(n[s] > 1))) for b, s in by_bucket(hashes, buckets)]
@@ -177,10 +182,10 @@ def _common(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray)
     return np.minimum(np.where(differ.any(1), differ.argmax(1), a.shape[1]), np.minimum(len_a, len_b))
 
 
-def repeat_groups(grams: np.ndarray, right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Repeat groups of occurrences of the same grams: depth from the anchor on, members (indices), and for each member
-    the longest part to the left of the anchor that it shares with another member. right and left hold, row by row,
-    the bytes from the anchor on and those before it (nearest first), zeros after their lengths."""
+def repeat_groups(grams: np.ndarray, right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Maximal repeat groups of the same grams, of least bytes: how far they reach to the left of the anchor and from the
+    anchor on, and the members (indices). right and left hold, row by row, the bytes from the anchor on and those before
+    it (nearest first), zeros after their lengths."""
     as_text = lambda x: np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel()
     by_left = np.lexsort((n_left, as_text(left)))  # a shorter part before those it begins
     left_rank = np.empty(len(by_left), np.int64)
@@ -189,58 +194,65 @@ def repeat_groups(grams: np.ndarray, right: np.ndarray, n_right: np.ndarray, lef
     depth = _common(right[order[:-1]], right[order[1:]], n_right[order[:-1]], n_right[order[1:]])
     bounds = [0, *(np.flatnonzero(np.diff(grams[order])) + 1).tolist(), len(order)]
     depth_list = depth.tolist()
-    found: list[tuple[int, np.ndarray]] = []
+    found: list[tuple[int, int, int]] = []
     for s, e in zip(bounds, bounds[1:]):
-        for d, i, j in intervals(depth_list[s : e - 1]):
-            found.append((d, order[s + i : s + j + 1]))
-    # Left extensions of all intervals at once: members in the order of their left parts, next to each other.
+        found += [(d, s + i, s + j + 1) for d, i, j in intervals(depth_list[s : e - 1])]
     if not found:
         return
-    sizes = np.array([len(m) for _, m in found])
-    every = np.concatenate([m for _, m in found])
-    group = np.repeat(np.arange(len(found)), sizes)
-    sort = np.lexsort((left_rank[every], group))
-    every = every[sort]
+    # The members of all intervals, each interval's in the order of their left parts, and what neighbours share there.
+    sizes = np.array([e - s for _, s, e in found])
     ends = np.cumsum(sizes)
-    shared = np.zeros(len(every) + 1, np.int64)
-    for at in range(0, len(every) - 1, 1 << 17):
-        x, y = every[at : at + (1 << 17)], every[at + 1 : at + 1 + (1 << 17)]
-        shared[at + 1 : at + 1 + len(y)] = _common(left[x[: len(y)]], left[y], n_left[x[: len(y)]], n_left[y])
-    shared[ends] = 0
-    shared[0] = 0
-    longest = np.maximum(shared[:-1], shared[1:])
-    for (d, _), s, e in zip(found, ends - sizes, ends):
-        yield d, every[s:e], longest[s:e]
+    place = np.concatenate([np.arange(s, e) for _, s, e in found])
+    place = place[np.lexsort((left_rank[order[place]], np.repeat(np.arange(len(found)), sizes)))]
+    shared = np.full(len(place), -1, np.int64)
+    for at in range(0, len(place) - 1, 1 << 17):
+        x, y = order[place[at : at + (1 << 17)]], order[place[at + 1 : at + 1 + (1 << 17)]]
+        shared[at : at + len(y)] = _common(left[x[: len(y)]], left[y], n_left[x[: len(y)]], n_left[y])
+    shared[ends - 1] = -1
+    reach = shared + np.repeat([d for d, _, _ in found], sizes) >= least
+    some = np.add.reduceat(reach, ends - sizes)
+    for k in np.flatnonzero(some).tolist():
+        d, at = found[k][0], int(ends[k] - sizes[k])
+        # Only neighbours that share enough; between them the order by left parts falls into pieces.
+        enough = np.flatnonzero(reach[at : ends[k]])
+        for piece in np.split(enough, np.flatnonzero(np.diff(enough) > 1) + 1):
+            first = at + int(piece[0])
+            for common, i, j in intervals(shared[first : first + len(piece)].tolist()):
+                members = place[first + i : first + j + 1]
+                # They agree further to the right if they lie within one deeper interval, which has them as well.
+                if depth[members.min() : members.max()].min() == d:
+                    yield common, d, order[members]
+
+
+def _groups(segments: list[list[np.ndarray]]) -> list[tuple[int, int, np.ndarray]]:
+    """The repeat groups of what some groups of documents sent to a bucket; members count through all of it."""
+    grams, before, wide, text = (np.concatenate([x[i] for x in segments]) for i in (0, 2, 3, 4))
+    before, wide = before.astype(np.int64), wide.astype(np.int64)
+    start = np.cumsum(wide + LENGTH) - wide - LENGTH
+    n_right = wide + LENGTH - before
+    right = np.zeros((len(grams), LENGTH), np.uint8)
+    left = np.zeros((len(grams), REACH), np.uint8)
+    for at in range(0, len(grams), 1 << 15):
+        s = slice(at, at + (1 << 15))
+        i = np.arange(LENGTH)
+        right[s] = np.where(i < n_right[s, None], text[np.minimum((start + before)[s, None] + i, len(text) - 1)], 0)
+        i = np.arange(REACH)
+        left[s] = np.where(i < before[s, None], text[np.maximum((start + before)[s, None] - 1 - i, 0)], 0)
+    return list(repeat_groups(grams, right, n_right, left, before))
 
 
 def _answer_segments(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
     out = [(g, k, p) for g, k, p in messages if k == OWN]
-    segments = [(g, *unpack(p)) for g, k, p in messages if k == SEGMENTS]
+    segments = [(g, unpack(p)) for g, k, p in messages if k == SEGMENTS]
     if segments:
-        grams, before, wide = (np.concatenate([x[i] for x in segments]) for i in (1, 2, 3))
-        before, wide = before.astype(np.int64), wide.astype(np.int64)
-        text = np.concatenate([x[4] for x in segments])
-        start = np.cumsum(wide + LENGTH) - wide - LENGTH
-        n_right = wide + LENGTH - before
-        right = np.zeros((len(grams), LENGTH), np.uint8)
-        left = np.zeros((len(grams), REACH), np.uint8)
-        for at in range(0, len(grams), 1 << 15):
-            s = slice(at, at + (1 << 15))
-            i = np.arange(LENGTH)
-            right[s] = np.where(i < n_right[s, None], text[np.minimum((start + before)[s, None] + i, len(text) - 1)], 0)
-            i = np.arange(REACH)
-            left[s] = np.where(i < before[s, None], text[np.maximum((start + before)[s, None] - 1 - i, 0)], 0)
-        spans_of, spans_low, spans_high = [], [], []
-        for d, members, longest in repeat_groups(grams, right, n_right, left, before):
-            ok = longest + d >= LENGTH
-            spans_of.append(members[ok])
-            spans_low.append(longest[ok])
-            spans_high.append(np.full(int(ok.sum()), d))
-        of, low, high = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (spans_of, spans_low, spans_high))
+        found = _groups([x for _, x in segments])
+        n = [len(members) for _, _, members in found]
+        of = np.concatenate([members for _, _, members in found]) if found else np.zeros(0, np.int64)
+        low, high = (np.repeat(np.array([x[i] for x in found], np.int64), n) for i in (0, 1))
         order = np.argsort(of, kind="stable")
         of, low, high = of[order], low[order], high[order]
         at = 0
-        for g, own, *_ in segments:
+        for g, (own, *_) in segments:
             s, e = np.searchsorted(of, (at, at + len(own)))
             out.append((g, SEGMENTS, pack((of[s:e] - at).astype(np.uint32), low[s:e].astype(np.uint8), high[s:e].astype(np.uint8), np.array([len(own)], np.uint32))))
             at += len(own)
@@ -265,7 +277,7 @@ def _remove(texts: Texts, answers: pa.Table) -> pa.Table:
     whole = (code[a.of] & REPEATED > 0) if len(code) else np.zeros(0, bool)
     np.add.at(edge, a.low[whole], 1)
     np.subtract.at(edge, a.high[whole] + LENGTH, 1)
-    # What the suffix arrays found; only a class that is not repeated needs it, and that has one place.
+    # What the suffix arrays found beyond that. A repeated class is removed as a whole; another one has one place.
     send = a.sample[np.flatnonzero((code & APART > 0) & (code & MANY == 0))] if len(code) else np.zeros(0, np.int64)
     at = 0
     for of, low, high, n in answered(answers, SEGMENTS):
@@ -302,3 +314,40 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     classes = answer(ask(dealt, _ask_classes(buckets)), _answer_classes)
     found = answer(ask_again(dealt, classes, _ask_segments(buckets)), _answer_segments)
     return finish(dealt, found, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+
+
+def _class_groups(key: tuple, table: pa.Table) -> pa.Table:
+    """gram, around, repeat_id, low, high of each member of the repeat groups of a bucket."""
+    payloads = sorted((g, p) for g, k, p in zip(*(table.column(c).to_pylist() for c in ("grp", "kind", "payload"))) if k == SEGMENTS)
+    segments = [unpack(p) for _, p in payloads]
+    found = _groups(segments) if segments else []
+    n = [len(members) for _, _, members in found]
+    of = np.concatenate([members for _, _, members in found]) if found else np.zeros(0, np.int64)
+    gram, around = (np.concatenate([x[i] for x in segments])[of] if segments else np.zeros(0, np.uint64) for i in (0, 1))
+    ids = np.array([key[0].as_py() << 32 | i for i in range(len(found))], np.int64)
+    columns = (gram.view(np.int64), around.view(np.int64), np.repeat(ids, n), *(np.repeat(np.array([x[i] for x in found], np.int32), n) for i in (0, 1)))
+    return pa.table(dict(zip(("gram", "around", "repeat_id", "low", "high"), map(pa.array, columns))))
+
+
+def _occurrences(key: tuple, table: pa.Table) -> pa.Table:
+    """gram, around, doc_id, place (of the anchor in its document), before and after (how far its range reaches)."""
+    texts = Texts(table)
+    a = Anchors(texts)
+    doc = np.searchsorted(texts.starts, a.place, "right") - 1
+    columns = (a.gram[a.of].view(np.int64), a.around[a.of].view(np.int64), a.place - texts.starts[doc], a.place - a.low, a.high + LENGTH - a.place)
+    return pa.table({**dict(zip(("gram", "around", "place", "before", "after"), map(pa.array, columns))), "doc_id": texts.ids.take(pa.array(doc))})
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """repeat_id, doc_id, start and n_bytes of every occurrence of every maximal repeat group of LENGTH bytes and more.
+    Groups are maximal within the surroundings of their anchor, that is up to 2 * LENGTH - GRAM bytes; a longer repeat
+    comes as a chain of groups. Grams with more than CROWDED surroundings have the groups of equal surroundings only."""
+    dealt, buckets = deal(docs)
+    classes = answer(ask(dealt, _ask_classes(buckets)), _answer_classes)
+    groups = ask_again(dealt, classes, _ask_segments(buckets)).groupBy("bucket").applyInArrow(_class_groups, "gram long, around long, repeat_id long, low int, high int")
+    found = cut(dealt.groupBy("grp").applyInArrow(_occurrences, "gram long, around long, place long, before long, after long, doc_id long"))
+    counts = cut(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.first("before").alias("low"), F.first("after").alias("high")))
+    own = counts.filter("n > 1").withColumn("repeat_id", F.xxhash64("gram", "around"))
+    every = own.unionByName(groups.join(counts.select("gram", "around", "n"), ["gram", "around"]), allowMissingColumns=True)
+    met = join_counted(found, every, ["gram", "around"], "n")
+    return met.select("repeat_id", "doc_id", (F.col("place") - F.col("low")).alias("start"), (F.col("low") + F.col("high")).cast("long").alias("n_bytes")).distinct()

@@ -75,6 +75,50 @@ def test_suffix_array(documents, awkward, monkeypatch, crowded):
     assert got == list(removed_bytes(docs)) and sum(r[2] for r in got) > 2000
 
 
+def test_maximal_repeats_with_all_occurrences(documents, prose):
+    """Each group is one string, at least twice, at each of its places within reach; together they cover what goes."""
+    docs = list(enumerate([f"{prose(60, 1)} {prose(50, 2)}", f"{prose(50, 2)} {prose(60, 1)[:400]}", f"{prose(60, 1)[100:]} x", prose(40, 9), "a" * 700, prose(60, 1)]))
+    rows = suffixes.repeats(documents(docs)).collect()
+    raw = {i: t.encode() for i, t in docs}
+    groups = collections.defaultdict(set)
+    for r in rows:
+        groups[r.repeat_id].add((r.doc_id, r.start, r.n_bytes))
+    covered = collections.defaultdict(set)
+    for members in groups.values():
+        assert len(members) > 1 and len({raw[i][s : s + n] for i, s, n in members}) == 1 and min(n for *_, n in members) >= 200
+        for i, s, n in members:
+            covered[i] |= set(range(s, s + n))
+    assert [(i, len(covered[i])) for i in raw] == [(i, n) for i, _, n, *_ in removed_bytes(docs)]
+
+
+def test_groups_are_maximal_to_both_sides():
+    """Against all pairs: over a small alphabet, of occurrences with some bytes to the left and right of an anchor."""
+    r = random.Random(5)
+    for _ in range(30):
+        rows = [("".join(r.choice("ab") for _ in range(r.randint(0, 7))), "".join(r.choice("ab") for _ in range(r.randint(1, 8)))) for _ in range(25)]
+        pad = lambda xs, n: np.array([list(x.encode().ljust(n, b"\0")) for x in xs], np.uint8)
+        size = lambda xs: np.array([len(x) for x in xs])
+        left, right = [a for a, _ in rows], [b for _, b in rows]
+        got = {(low, high, frozenset(m.tolist())) for low, high, m in suffixes.repeat_groups(np.zeros(25, np.uint64), pad(right, 8), size(right), pad(left, 7), size(left), 6)}
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = set()
+        for i in range(25):
+            for j in range(i):
+                low, high = common(left[i], left[j]), common(right[i], right[j])
+                if low + high >= 6:
+                    want.add((low, high, frozenset(k for k in range(25) if common(left[k], left[i]) >= low and common(right[k], right[i]) >= high)))
+        assert got == want
+
+
+def test_spans_of_structured_text():
+    """Thue-Morse words of 1,024 bytes differ, whatever the length of the windows."""
+    word = np.array([bin(i).count("1") % 2 for i in range(1024)], np.uint8)
+    for values in (word, word.astype(np.uint64)):
+        other = 1 - values
+        both = [Spans(x)(np.array([0, 0]), np.array([1024, 512])) for x in (values, other)]
+        assert len({*both[0].tolist(), *both[1].tolist()}) == 4
+
+
 def test_intervals_of_a_suffix_array():
     text = b"banana"
     order = sorted(range(6), key=lambda i: text[i:])
