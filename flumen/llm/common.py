@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
@@ -88,4 +88,26 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, h
         return left.join(F.broadcast(right.drop(count)), on, how)
     bound = right.agg(F.sum(count)).first()[0] / HOT
     hot, rest = F.broadcast(right.filter(F.col(count) > bound).drop(count)), right.filter(F.col(count) <= bound).drop(count)
-    return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(rest, on, how))
+    # Rows without a key meet nothing and need no shuffle.
+    keyed = F.lit(True)
+    for c in on:
+        keyed = keyed & F.col(c).isNotNull()
+    met = left.join(hot, on).unionByName(left.filter(keyed).join(hot, on, "left_anti").join(rest, on, how))
+    return met.unionByName(left.filter(~keyed), allowMissingColumns=True) if how == "left" else met
+
+
+def running(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """df in an order, written out, with a column for each total: its sum over all rows before. Spark sorts by ranges;
+    sums run within each partition, and the driver adds up one number for each partition and total."""
+    part, place = unused(df, "part"), unused(df, "place")
+    df = cut(df.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()))
+    before = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(part).agg(*(F.sum(c).alias(name) for name, c in totals.items())).orderBy(part).collect()
+    for name, c in totals.items():
+        offsets, total = [], 0
+        for r in sums:
+            offsets += [F.lit(r[part]), F.lit(total)]
+            total += r[name] or 0
+        offset = F.element_at(F.create_map(*offsets), F.col(part)) if offsets else F.lit(0)
+        df = df.withColumn(name, F.coalesce(F.sum(c).over(before), F.lit(0)) + offset)
+    return df.drop(part, place)

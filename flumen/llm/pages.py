@@ -235,7 +235,8 @@ def _drawn(own: Column, pages: Column, beyond: Column) -> Column:
 
 def style_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The merged trees of all hosts, from the nodes of their pages: (host, element, presentation), and of the blocks
-    (host, element, around, value, marks, rows, content), where rows is the number of rows in nodes."""
+    (host, element, value, marks, rows, content, varied), where rows is the number of rows in nodes and varied the
+    larger presentation of the element and of the one around it."""
     # Partly aggregated before each shuffle, so that a host with a third of all pages stays spread out.
     once = cut(nodes.groupBy("is_text", "host", "element", "value", "longest").agg(F.count("*").alias("rows"), F.first("around").alias("around"), F.first("marks").alias("marks")))
 
@@ -246,18 +247,25 @@ def style_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     every = entropy(["element"]).select("element", _drawn(F.col("h"), F.col("m"), F.lit(0.0)).alias("h_all"))
     styles = entropy(["host", "element"]).join(every, "element")
-    styles = styles.select("host", "element", _drawn(F.col("h"), F.col("m"), F.col("h_all")).alias("presentation"))
+    styles = cut(styles.select("host", "element", _drawn(F.col("h"), F.col("m"), F.col("h_all")).alias("presentation")))
 
     def pages(keys: list[str], name: str) -> DataFrame:
         return once.filter("is_text").select(*keys, "longest").distinct().groupBy(*keys).agg(F.count("*").alias(name))
 
+    values = once.filter("is_text").groupBy("host", "element", "value").agg(F.count("*").alias("d"), F.sum("rows").alias("rows"), F.first("around").alias("around"), F.first("marks").alias("marks"))
+    values = cut(values)
     varied = lambda d, m: F.when(F.col(m) > 1, 1 - F.ln(d) / F.ln(m)).otherwise(1.0)
     shared = pages(["element", "value"], "d_all").filter("d_all > 1").join(pages(["element"], "m_all"), "element")
-    shared = shared.select("element", "value", _drawn(varied("d_all", "m_all"), F.col("m_all"), F.lit(1.0)).alias("h_all"))
-    values = once.filter("is_text").groupBy("host", "element", "value").agg(F.count("*").alias("d"), F.sum("rows").alias("rows"), F.first("around").alias("around"), F.first("marks").alias("marks"))
-    blocks = values.join(pages(["host", "element"], "m"), ["host", "element"]).join(shared, ["element", "value"], "left")
+    shared = shared.select("element", "value", "d_all", _drawn(varied("d_all", "m_all"), F.col("m_all"), F.lit(1.0)).alias("h_all"))
+    # One row for each element with text, then one join with its blocks, of which an element may have very many.
+    holders = values.groupBy("host", "element").agg(F.count("*").alias("n_values"), F.first("around").alias("around")).join(pages(["host", "element"], "m"), ["host", "element"])
+    outer = styles.withColumnRenamed("element", "around").withColumnRenamed("presentation", "outer")
+    holders = holders.join(styles, ["host", "element"], "left").join(outer, ["host", "around"], "left")
+    holders = holders.select("host", "element", "n_values", "m", F.greatest(F.coalesce("presentation", F.lit(0.0)), F.coalesce("outer", F.lit(0.0))).alias("varied"))
+    blocks = join_counted(values.drop("around"), holders, ["host", "element"], "n_values")
+    blocks = join_counted(blocks, shared, ["element", "value"], "d_all", "left")
     content = _drawn(varied("d", "m"), F.col("m"), F.coalesce("h_all", F.lit(1.0)))
-    return styles, blocks.select("host", "element", "around", "value", "marks", "rows", content.alias("content"))
+    return styles, blocks.select("host", "element", "value", "marks", "rows", content.alias("content"), "varied")
 
 
 def importance(content: Column, presentation: Column, marks: Column) -> Column:
@@ -276,13 +284,10 @@ def _block(element: int, value: int) -> int:
 
 def decisions(nodes: DataFrame) -> DataFrame:
     """page and its blocks (as numbers) for which the tree decides otherwise than marks alone do. nodes has been cut."""
-    styles, blocks = style_tree(nodes)
-    around = styles.withColumnRenamed("element", "around").withColumnRenamed("presentation", "outer")
-    judged = blocks.join(styles, ["host", "element"], "left").join(around, ["host", "around"], "left")
-    varied = F.greatest(F.coalesce("presentation", F.lit(0.0)), F.coalesce("outer", F.lit(0.0)))
-    stays = importance(F.col("content"), varied, F.col("marks")) >= 0
+    _, blocks = style_tree(nodes)
+    stays = importance(F.col("content"), F.col("varied"), F.col("marks")) >= 0
     alone = F.lit(math.log((1 - SURE) / SURE)) + F.col("marks") >= 0
-    turned = judged.filter(stays != alone).select("host", "element", "value", "rows")
+    turned = blocks.filter(stays != alone).select("host", "element", "value", "rows")
     rows = nodes.filter("is_text").select("page", "host", "element", "value")
     met = join_counted(rows, turned, ["host", "element", "value"], "rows")
 
