@@ -8,19 +8,23 @@ goes on. Sums are kept exactly, so at the end one document of a source at most i
 it. Documents meet in blocks of about FAN; what a block leaves open goes on to the next level, where FAN blocks meet: a
 reduction tree over hashed blocks, whatever share of the rows one source has.
 
-Draws are hashes of seed and doc_ids, so reruns agree. Null texts have no words and are never taken; documents of null
-source form one source, the last; repeated rows are rounded one by one; other columns are ignored.
+Draws are hashes of seed, doc_ids, sizes and numbers, so reruns agree. Null texts have no words and are never taken;
+documents of null source form one source, the last; rows of null and repeated doc_ids are rounded one by one, in blocks
+like any others; an empty table gives an empty one; other columns are ignored. Of a text only its number of words is
+kept, so its length doesn't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, WORD, cut
+from .common import WORD, cut, join_counted, running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 FAN = 64
+#: Rows that are alike are dealt out in runs of so many.
+RUN = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -31,18 +35,16 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = 3.0) -> DataFrame:
     """source, source_size, n (documents with words), target: one row for each source."""
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by = by.withColumn("weight", F.get(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights)).cast("int")))
+    by = running(by, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    by = by.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int")))
     by = by.withColumn("cap", max_copies * F.col("source_size"))
+    total, weight = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     # Sources reach their caps in the order of cap by weight; the level at which the rest share what is left comes
     # from running sums in that order.
-    ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = ratio.rowsBetween(Window.unboundedPreceding, -1), ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    by = by.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
-    target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    by = running(by, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("weight")})
+    by = by.withColumn("level", (total - F.col("caps")) / (weight - F.col("weights")))
+    level = by.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))).first()[0]
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if level is not None else F.col("cap")
     return by.select("source", "source_size", "n", target.alias("target"))
 
 
@@ -77,42 +79,46 @@ ITEM = "struct<key:bigint,doc_id:bigint,size:bigint,mass:double>"
 
 
 def _round(level: DataFrame, seed: int) -> DataFrame:
-    """source, block, what it leaves open, what is done; level has source, block and item."""
+    """s (the source), block, what it leaves open, what is done; level has s, block and item."""
     start = F.struct(F.lit(None).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
     items = F.array_sort(F.collect_list("item"))
-    folded = level.groupBy("source", "block").agg(items.alias("items")).withColumn("r", F.aggregate("items", start, lambda acc, x: _meet(acc, x, seed)))
-    return folded.select("source", "block", "r.open", "r.done")
+    folded = level.groupBy("s", "block").agg(items.alias("items")).withColumn("r", F.aggregate("items", start, lambda acc, x: _meet(acc, x, seed)))
+    return folded.select("s", "block", "r.open", "r.done")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = 3.0, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken for each document."""
-    sized = cut(sizes(docs))
-    dims = cut(targets(sized, weights, max_copies).withColumn("rate", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole")))
-    n_sources, most = dims.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    small = F.broadcast(dims) if n_sources <= SMALL else dims
-    with_rate = sized.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # Rows that are alike in all that counts are counted, and dealt out again with a number each.
+    alike = cut(sizes(docs).groupBy("source", "doc_id", "size").agg(F.count("*").alias("n_alike")))
+    sized = alike.select("source", "doc_id", "size", "n_alike", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_alike") - 1) / RUN))).alias("run"))
+    last = F.least(F.col("n_alike") - F.col("run") * RUN, F.lit(RUN)) - 1
+    sized = sized.select("source", "doc_id", "size", F.explode(F.sequence(F.col("run") * RUN, F.col("run") * RUN + last)).alias("number"))
+    dims = targets(sized, weights, max_copies).withColumn("rate", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole"))
+    dims = cut(dims.withColumn("s", F.coalesce(F.xxhash64("source"), F.lit(0))).withColumn("rows", F.col("n")))
+    most = dims.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    with_rate = join_counted(sized.withColumn("s", F.coalesce(F.xxhash64("source"), F.lit(0))), dims.drop("source"), ["s"], "rows")
 
     is_open = (F.col("size") > 0) & (F.col("part") > 0)
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "size", "number")
     item = F.struct(key.alias("key"), "doc_id", "size", (F.col("size") * F.col("part")).alias("mass"))
-    block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.ceil(F.col("n") / FAN).cast("long"))
-    level = with_rate.filter(is_open).select("source", block.alias("block"), item.alias("item"))
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "number"), F.ceil(F.col("n") / FAN).cast("long"))
+    level = with_rate.filter(is_open).select("s", block.alias("block"), item.alias("item"))
     done = []
     while True:
         rounded = cut(_round(level, seed))
-        done.append(rounded.select("source", F.explode("done").alias("item")))
+        done.append(rounded.select("s", F.explode("done").alias("item")))
         left = rounded.filter("open is not null")
         if most <= FAN:
             break
         most = -(-most // FAN)
-        level = left.select("source", F.floor(F.col("block") / FAN).alias("block"), F.col("open").alias("item"))
+        level = left.select("s", F.floor(F.col("block") / FAN).alias("block"), F.col("open").alias("item"))
     last = F.col("open").withField("mass", F.when(_draw(F.lit(seed + 2), F.col("open.doc_id")) * F.col("open.size") < F.col("open.mass"), F.col("open.size").cast("double")).otherwise(0.0))
-    done.append(left.select("source", last.alias("item")))
+    done.append(left.select("s", last.alias("item")))
     rounded = done[0]
     for more in done[1:]:
         rounded = rounded.unionByName(more)
     extra = (F.col("item.mass") * 2 > F.col("item.size")).cast("long").alias("extra")
-    rounded = rounded.select("source", "item.doc_id", "item.size", extra).join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rounded = join_counted(rounded.select("s", "item.doc_id", "item.size", extra), dims.drop("source"), ["s"], "rows")
     rest = with_rate.filter(~is_open).withColumn("extra", F.lit(0).cast("long"))
     cols = ["doc_id", "size", "source_size", "target", "whole", "extra"]
     out = rounded.select(*cols).unionByName(rest.select(*cols))

@@ -91,11 +91,35 @@ def test_mixing_targets_and_sums(spark):
     assert all(abs(taken[s] - t[s]) <= 60 for s in by)
 
 
+def test_counted_joins_of_large_sides(spark, monkeypatch):
+    """The same rows whether the right side is broadcast, dealt with apart or shuffled."""
+    left = spark.createDataFrame([(k % 7 or None, i, k) for i, k in enumerate([1] * 50 + [2] * 9 + list(range(30)))], "k int, i int, x int")
+    right = spark.createDataFrame([(k, f"v{k}", sum(1 for r in left.collect() if r.k == k)) for k in (1, 2, 3, 9)], "k int, v string, n long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right.drop("n"), ["k"], how).collect()), key=str)
+        for small, hot in ((1 << 20, 10), (0, 3), (0, 1000), (0, 1)):
+            monkeypatch.setattr(common, "SMALL", small)
+            monkeypatch.setattr(common, "HOT", hot)
+            assert sorted(map(tuple, common.join_counted(left, right, ["k"], "n", how).select("k", "i", "x", "v").collect()), key=str) == want
+
+
+def test_running_sums(spark):
+    rows = [(i % 10, i) for i in range(200)] + [(None, 7)]
+    got = common.running(spark.createDataFrame(rows, "a int, b int").repartition(5), [F.col("a").asc_nulls_last(), F.col("b")], {"n": F.lit(1), "s": F.col("b")}).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    sums = [sum(b for _, b in order[:i]) for i in range(len(order))]
+    assert [(r.a, r.b, r.n, r.s) for r in sorted(got, key=lambda r: r.n)] == [(a, b, i, s) for i, ((a, b), s) in enumerate(zip(order, sums))]
+    assert common.running(spark.createDataFrame([], "a int"), [F.col("a")], {"n": F.lit(1)}).count() == 0
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     same = spark.createDataFrame([(1, "a b", "x")] * 5, schema)
     assert sum(r.taken for r in mixing.mix(same).collect()) == 10
+    nulls = spark.createDataFrame([(None, "a b", "x")] * 500 + [(i, "a b", None) for i in range(500)], schema)
+    got = mixing.mix(nulls, (1.0, 3.0)).collect()
+    assert len(got) == 1000 and abs(sum(r.taken for r in got if r.doc_id is None) - 500) <= 2
 
 
 def test_rounding_is_unbiased(spark):
