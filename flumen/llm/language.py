@@ -12,7 +12,8 @@ For each text the posterior over languages combines four kinds of evidence:
 Counts come from grouped aggregation over languages by the text alone. Besides the languages of the sample there is
 "und", a flat model of trigrams that no language explains; a text without letters is und as well. A row is rejected if
 und wins or no language reaches LEAST of the posterior. Null texts count as empty; null evidence counts as none;
-repeated rows get equal results; without labelled rows everything is und.
+repeated rows get equal results; without labelled rows everything is und; an empty table gives an empty one; a very long
+text is counted in parts. Labels are languages, of which there are some hundred: the model has a column for each.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, if_small
+from .common import cut, if_small, join_counted, unused
 
 #: Labelled rows to train on, at most about this many, chosen by a hash of the text.
 SAMPLE = 8_000
@@ -120,7 +121,7 @@ def _value_table(rows: DataFrame, column: str, n: int) -> DataFrame:
     by = cut(rows.filter(F.col(column).isNotNull()).groupBy(column).agg(_counts(n).alias("c")))
     *totals, values = by.agg(*(F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0.0)) for i in range(n)), F.count("*")).first()
     below = F.array(*(F.lit(t + ADDED * (values + 1)) for t in totals))
-    return by.select(column, F.zip_with("c", below, lambda c, t: F.ln((c + ADDED) / t)).alias(f"{column}_like"))
+    return by.select(column, F.zip_with("c", below, lambda c, t: F.ln((c + ADDED) / t)).alias(f"{column}_like"), _total(F.col("c")).alias("rows"))
 
 
 def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
@@ -136,7 +137,7 @@ def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Dat
     every = found.agg(*(F.count_if(F.col("top") == i) for i in range(n))).first()
     share = F.array(*(F.lit((c + ADDED) / (sum(every) + ADDED * n)) for c in every))
     # A host of no known site is a site of its own.
-    priors = hosts.join(sites, "site", "left").select("host", "host_n", F.coalesce("site_n", "host_n").alias("site_n"))
+    priors = hosts.join(sites, "site", "left").select("host", "host_n", F.coalesce("site_n", "host_n").alias("site_n"), _total(F.col("host_n")).alias("rows"))
 
     name = F.array(*(F.lit(x) for x in [*langs, UND]))
     flat = F.array(*(F.lit(0.0) for _ in range(n)))
@@ -146,9 +147,9 @@ def identify(rows: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Dat
         others = F.transform(c, lambda x, i: x - (i == F.col("top")).cast("double"))
         return _once(F.struct(others.alias("o"), _total(others).alias("t")), lambda s: F.zip_with(s["o"], above, lambda x, p: (x + SMOOTH * p) / (s["t"] + SMOOTH)))
 
-    out = found.join(if_small(priors), "host", "left")
+    out = join_counted(found, priors, ["host"], "rows", "left")
     for column in ("declared", "suffix"):
-        out = out.join(if_small(_value_table(found, column, n)), column, "left")
+        out = join_counted(out, _value_table(found, column, n), [column], "rows", "left")
     out = out.withColumn("prior", F.when(F.col("site_n").isNotNull(), smooth(F.col("site_n"), share)).otherwise(share))
     out = out.withColumn("prior", F.when(F.col("host_n").isNotNull(), smooth(F.col("host_n"), F.col("prior"))).otherwise(F.col("prior")))
     log = F.zip_with("like", "prior", lambda a, p: a + F.ln(p + 1e-9))
@@ -184,8 +185,8 @@ def _tag(c: Column) -> Column:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without those that are rejected; of rows with one doc_id each is judged by its own text."""
-    keyed = docs.withColumn("_mark", F.xxhash64("text", "lang", "source"))
-    rows = of_documents(keyed).withColumn("_mark", F.xxhash64("text", "label", "host"))
-    bad = if_small(identify(rows).filter("rejected").select("doc_id", "_mark").distinct())
-    same = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_mark"] == bad["_mark"])
-    return keyed.join(bad, same, "left_anti").select(docs.columns)
+    mark, bad_id, bad_mark = (unused(docs, n) for n in ("mark", "bad_id", "bad_mark"))
+    rows = of_documents(docs).withColumn(mark, F.xxhash64("text", "label", "host"))
+    bad = if_small(identify(rows).filter("rejected").select(F.col("doc_id").alias(bad_id), F.col(mark).alias(bad_mark)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text", "lang", "source") == F.col(bad_mark))
+    return docs.join(bad, same, "left_anti")

@@ -10,8 +10,9 @@ What meets is compared by the whole sets, block by block, and only enough links
 task. Keys with more than TILE members, or BLOCK shingles, are split into pairs of tiles, so that no task gets more than
 two tiles. Bands with the same members are compared once.
 
-Null texts count as empty, and all texts without words are copies of each other; other columns are ignored. 64-bit
-hashes stand for shingles, sets and texts.
+Null texts count as empty, and all texts without words are copies of each other; repeated rows are copies; an empty
+table gives an empty one; other columns are ignored, whatever their names. A very long text's shingles, 8 bytes for each
+word, are in one task's memory. 64-bit hashes stand for shingles, sets and texts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, unused
 from .graph import components
 from .hashing import mixed
 
@@ -194,9 +195,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """docs with one row of each group of near copies, that of the smallest doc_id; rows with null or repeated doc_ids
     are documents of their own, and null ones come last."""
     groups = cut(_groups(docs, words, similarity))
+    first_id, first_text = unused(docs, "first_id"), unused(docs, "first_text")
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text"))).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
-    first = cut(first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_text"), "n"))
-    kept = docs.join(first.select("first_id", "first_text"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key() == F.col("first_text")), "left_semi")
+    first = cut(first.select(F.col("doc_id").alias(first_id), F.col("text_key").alias(first_text), "n"))
+    kept = docs.join(first.select(first_id, first_text), F.col("doc_id").eqNullSafe(F.col(first_id)) & (text_key() == F.col(first_text)), "left_semi")
     if first.filter("n > 1").isEmpty():
         return kept
-    return kept.withColumn("first_text", text_key()).dropDuplicates(["doc_id", "first_text"]).select(docs.columns)
+    return kept.withColumn(first_text, text_key()).dropDuplicates(["doc_id", first_text]).drop(first_text)
