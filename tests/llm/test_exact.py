@@ -315,7 +315,10 @@ def test_chunks_against_brute_force(prose):
     assert both == [chunks.fingerprints([x])[0] for x in (prose(50, 1).encode(), prose(60, 2).encode())]
 
 
-def test_neighbours(documents, prose):
+@pytest.mark.parametrize("size", [1 << 25, 300])
+def test_neighbours(documents, prose, monkeypatch, size):
+    monkeypatch.setattr(chunks.in_runs, "__defaults__", (size,))
+    monkeypatch.setattr(chunks, "PART", size)
     texts = [prose(80, i) for i in range(30)] + ["", None, "é" * 7, prose(80, 3)]
     docs = [(i * 7 - 50, t) for i, t in enumerate(texts)]
     rows = {r.doc_id: r for r in chunks.neighbours(documents(random.Random(1).sample(docs, len(docs)))).collect()}
@@ -339,6 +342,13 @@ def test_neighbours_of_few(documents):
     assert len(two) == 3
 
 
+def test_neighbours_of_repeated_and_null_ids(documents, prose):
+    docs = [(None, prose(20, i % 7)) for i in range(30)] + [(7, prose(30, i % 5)) for i in range(60)] + [(9, "abcd efgh")]
+    got = chunks.neighbours(documents(docs)).collect()
+    assert collections.Counter(r.doc_id for r in got) == {None: 30, 7: 60, 9: 1}
+    assert sum(r.near_next == 1 for r in got) == 30 - 7 + 60 - 5
+
+
 def test_shift_resistance(prose):
     a = prose(3000, 1)
     x, y = chunks.fingerprints([a.encode(), ("zz " + a).encode()])
