@@ -1,39 +1,52 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-Found values are checked (card numbers by their check digit, dates by the calendar, network addresses by their octets,
-telephone numbers by their grouping) and then permuted within their own format by a keyed Feistel network, so that
+Found values are checked (card and account numbers by their check digits, dates by the calendar, network addresses by
+their octets, social security numbers by their ranges, telephone numbers by grouping and number of digits) and then permuted within their own format by a keyed Feistel network, so that
 equal values get equal pseudonyms in every document, different values different ones, and whoever has the key can
 undo it. What fails its check stays as it is.
 
  - card: 13 to 19 digits in one run or in the usual groups; all digits but the last are permuted, and the last makes
    the check digit right again.
- - phone: the last ten digits are permuted; country code, brackets and separators stay.
- - ip: the four octets are permuted as two 16-bit halves.
+ - phone: grouped in threes and four with or without a country code: the last ten digits are permuted; with a plus sign
+   and other groups (8 to 15 digits): all but the first two; with a leading zero and groups (9 to 12 digits): all but
+   the zero. Country code, brackets and separators stay. A run of one digit is no number.
+ - ip: the four octets, none with a leading zero, are permuted as two 16-bit halves.
+ - ssn: three, two and four digits with hyphens, in the ranges that are given out; permuted among these.
+ - iban: the digits after the first four characters are permuted, and the two check digits made right again.
  - date: year-month-day with - or /, or day and month before the year with . / or -, years 1000 to 9999. A date is
    permuted within its 400-year cycle of 146,097 = 189 x 773 days and written as it was. With day and month in doubt
    the day comes first.
  - email: addresses have no format to permute in; the local part becomes a keyed digest of the address.
 
-Null texts stay null, empty ones empty; every occurrence is treated, in texts of any length; other columns stay as they
-are, whatever their names.
+The key is a secret: whoever runs this sets spark.pseudonyms.key in the session, or passes it. Without either there is a
+key that everyone can read here, for tests.
+
+Null texts stay null, empty ones empty; every occurrence is treated, in texts of any length; repeated rows get equal
+pseudonyms; an empty table stays empty; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 KEY = "a key of your own"
+SETTING = "spark.pseudonyms.key"
 ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 DATE = r"(?<![\p{L}\p{N}_./-])(?:[1-9]\d{3}([-/])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2[1-9]\d{3})(?![\p{L}\p{N}_]|[./-]\d)"
 PHONE = r"(?<![\p{L}\p{N}_+.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}_]|[.-]\d)"
 IP = r"(?<![\p{L}\p{N}_.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}_]|\.\d)"
+ABROAD = r"(?<![\p{L}\p{N}_+.])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}(?![\p{L}\p{N}_]|[.-]\d)"
+NATIONAL = r"(?<![\p{L}\p{N}_+./-])0\d{1,4}[ -]\d{3,5}(?:[ -]\d{3,5}){1,2}(?![\p{L}\p{N}_]|[ .-]\d)"
+SSN = r"(?<![\p{L}\p{N}_.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_]|[.-]\d)"
+IBAN = r"(?<![\p{L}\p{N}_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])"
 CARD = r"(?<![\p{L}\p{N}_])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{4}|\d{4}([ -])\d{6}\4\d{5})(?![\p{L}\p{N}_])"
-ANY = "|".join((EMAIL, DATE, PHONE, IP, CARD))
-KINDS = ("email", "date", "phone", "ip", "card")
+ANY = "|".join((EMAIL, DATE, PHONE, IP, CARD, SSN, ABROAD, NATIONAL, IBAN))
+KINDS = ("email", "date", "phone", "ip", "card", "ssn", "iban")
 
 
 def _number(key: str, tweak: str, i: Column, half: Column, below: Column) -> Column:
@@ -96,19 +109,70 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     def body(d: Column) -> Column:
-        code = F.substr(d, F.lit(1), F.length(d) - 10)
-        return _into_format(m, F.concat(code, _digits(F.substr(d, F.length(d) - 9), key, "phone")))
+        grouped = m.rlike(rf"^(?:{PHONE})$")
+        kept = F.when(grouped, F.length(d) - 10).when(m.startswith("+"), 2).otherwise(1)
+        fine = grouped | F.when(m.startswith("+"), F.length(d).between(8, 15)).otherwise(F.length(d).between(9, 12))
+        new = F.concat(F.substr(d, F.lit(1), kept), _digits(F.substr(d, kept + 1), key, "phone"))
+        return F.when(fine & ~d.rlike(r"^(\d)\1*$"), _into_format(m, new))
 
     return _once(F.regexp_replace(m, "[^0-9]", ""), body)
 
 
+#: Groups (1 to 99) and serials (1 to 9999) of social security numbers; areas are 1 to 899 but 666.
+GROUPS, SERIALS, AREAS = 99, 9999, 898
+
+
+def _ssn(m: Column, key: str) -> Column:
+    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2, 3))
+    fine = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - F.when(area > 666, 2).otherwise(1)
+    moved = feistel(place * GROUPS + group - 1, serial - 1, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, "ssn")
+
+    def write(x: Column) -> Column:
+        at = F.floor(x["a"] / GROUPS)
+        wide = lambda v, n: F.lpad(v.cast("string"), n, "0")
+        return F.concat_ws("-", wide(at + F.when(at >= 665, 2).otherwise(1), 3), wide(F.pmod(x["a"], F.lit(GROUPS)) + 1, 2), wide(x["b"] + 1, 4))
+
+    return F.when(fine, _once(moved, write))
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of the number that letters (10 to 35) and digits make."""
+    values = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(values, F.lit(0), lambda s, v: F.pmod(s * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
+def _iban(m: Column, key: str) -> Column:
+    def body(c: Column) -> Column:
+        land, rest = F.substring(c, 1, 2), F.substr(c, F.lit(5))
+
+        def moved(d: Column) -> Column:
+            # Up to 30 digits: permuted in two parts of at most 18.
+            half = F.floor(F.length(d) / 2).cast("int")
+            parts = F.when(F.length(d) > 18, F.concat(_digits(F.substr(d, F.lit(1), half), key, "iban1"), _digits(F.substr(d, half + 1), key, "iban2"))).when(F.length(d) > 1, _digits(d, key, "iban")).otherwise(d)
+            return _into_format(rest, parts)
+
+        new = _once(_once(F.regexp_replace(rest, "[^0-9]", ""), moved), lambda r: F.concat(land, F.lpad((98 - _mod97(F.concat(r, land, F.lit("00")))).cast("string"), 2, "0"), r))
+        return F.when((F.length(c) >= 15) & (_mod97(F.concat(rest, F.substring(c, 1, 4))) == 1), _once(new, lambda n: _spaced(m, n)))
+
+    return _once(F.regexp_replace(m, " ", ""), body)
+
+
+def _spaced(shape: Column, text: Column) -> Column:
+    """The text with blanks where shape has them."""
+    marks = F.filter(F.split(shape, ""), lambda c: c != "")
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    put = lambda s, c: F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substr(text, s["at"], F.lit(1)))).alias("out"), (s["at"] + (c != " ").cast("int")).alias("at"))
+    return F.aggregate(marks, start, put, lambda s: s["out"])
+
+
 def _ip(m: Column, key: str) -> Column:
     def body(o: Column) -> Column:
         at = lambda i: F.get(o, F.lit(i))
         size = F.lit(65536)
         out = feistel(at(0) * 256 + at(1), at(2) * 256 + at(3), size, size, key, "ip")
         octets = lambda x: F.concat_ws(".", *(p.cast("string") for h in ("a", "b") for p in (F.floor(x[h] / 256), F.pmod(x[h], F.lit(256)))))
-        return F.when(~F.exists(o, lambda v: v > 255), _once(out, octets))
+        return F.when(~F.exists(o, lambda v: v > 255) & ~m.rlike(r"(?:^|\.)0\d"), _once(out, octets))
 
     return _once(F.transform(F.split(m, r"\."), lambda p: p.cast("int")), body)
 
@@ -145,22 +209,24 @@ def _treated(m: Column, key: str) -> Column:
     """kind and pseudonym of one match; kind is null where it fails its check, and the text then stays."""
     whole = lambda p: m.rlike(rf"^(?:{p})$")
     card = CARD.replace(r"\3", r"\1").replace(r"\4", r"\2")
-    kind = F.when(m.contains("@"), "email").when(whole(IP), "ip").when(whole(DATE), "date").when(whole(card), "card").otherwise("phone")
-    new = F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "card", _card(m, key)).otherwise(_phone(m, key))
+    kind = F.when(m.contains("@"), "email").when(whole(IP), "ip").when(whole(DATE), "date").when(whole(SSN), "ssn").when(whole(IBAN), "iban").when(whole(card), "card").otherwise("phone")
+    new = F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "card", _card(m, key)).when(kind == "ssn", _ssn(m, key)).when(kind == "iban", _iban(m, key)).otherwise(_phone(m, key))
     return _once(F.struct(kind.alias("kind"), new.alias("new")), lambda x: F.struct(F.when(x["new"].isNotNull(), x["kind"]).alias("kind"), F.coalesce(x["new"], m).alias("new")))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None, counts: bool = False) -> DataFrame:
     """docs with pseudonyms in text; counts: with n_<kind> columns added, replacing columns of these names."""
+    key = key or docs.sparkSession.conf.get(SETTING, KEY)
     names = [f"n_{k}" for k in KINDS]
     kept = [c for c in docs.columns if not (counts and c.lower() in names)]
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     treated = F.transform(found, lambda m: _treated(m, key))
+    name = unused(docs, "found")
+    out = docs.withColumn(name, F.coalesce(treated, F.array()))
     # The pieces between matches, each followed by its match's pseudonym.
     pieces = F.split("text", ANY, -1)
-    joined = F.when(F.size("_found") > 0, F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_found"), i)["new"], F.lit("")))), "")).otherwise(F.col("text"))
-    of_kind = lambda k: F.size(F.filter("_found", lambda x: x["kind"].eqNullSafe(F.lit(k)))).cast("long")
-    out = docs.withColumn("_found", F.coalesce(treated, F.array()))
+    joined = F.when(F.size(name) > 0, F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(name), i)["new"], F.lit("")))), "")).otherwise(F.col("text"))
+    of_kind = lambda k: F.size(F.filter(name, lambda x: x["kind"].eqNullSafe(F.lit(k)))).cast("long")
     return out.select(
         *(joined.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept),
         *(of_kind(k).alias(n) for k, n in zip(KINDS, names) if counts),
