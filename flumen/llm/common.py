@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,7 +63,8 @@ def _width(c: Column, kind: DataType) -> Column:
     if isinstance(kind, ArrayType):
         if isinstance(kind.elementType, (StringType, BinaryType, ArrayType)):
             return F.aggregate(F.coalesce(c, F.array()), F.lit(16).cast("long"), lambda s, x: s + _width(x, kind.elementType))
-        return F.coalesce(F.size(c), F.lit(0)) * 16 + 16
+        fields = len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 1
+        return F.coalesce(F.size(c), F.lit(0)) * (16 * fields) + 16
     return F.lit(16)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, unused
+from .common import cut, join_counted, partitions, unused
 from .graph import components
 from .hashing import mixed
 
@@ -163,12 +163,12 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     its group has no doc_id, its doc_id and its text_key."""
     fps = cut(fingerprints(docs, words))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("text_key").alias("text")))
-    nodes = cut(fps.groupBy("node").agg(low.alias("low"), F.min("size").alias("size"), F.min("keys").alias("keys")))
+    nodes = cut(fps.groupBy("node").agg(low.alias("low"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.count("*").alias("rows")))
     table = nodes.filter("size > 0").select("node", "size", F.explode("keys").alias("key"))
     same = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("same")
     shared = table.groupBy("key").agg(same, F.sum("size").alias("total")).filter("same.n > 1")
-    shared = shared.groupBy("same", "total").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("same.n") / TILE, F.col("total") / BLOCK)).cast("int").alias("tiles"))
-    members = table.join(shared, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    shared = shared.groupBy("same", "total").agg(F.min("key").alias("key")).select("key", "same.n", F.ceil(F.greatest(F.col("same.n") / TILE, F.col("total") / BLOCK)).cast("int").alias("tiles"))
+    members = join_counted(table, shared, ["key"], "n").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     members = cut(members.select("key", "node", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
     # Only texts that met another are looked at again.
@@ -180,10 +180,10 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")
     links = members.join(sets, "node").select(bucket, "key", "i", "j", "node", "set").groupBy("bucket").applyInPandas(_forest(similarity), "u long, v long")
     comp = components(links)
-    rooted = nodes.join(comp, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(comp, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("low").alias("first"))
-    named = rooted.join(firsts, "root").select("node", "first")
-    return fps.join(named, "node").select("doc_id", "text_key", "first")
+    named = rooted.join(firsts, "root").select("node", "first", "rows")
+    return join_counted(fps, named, ["node"], "rows").select("doc_id", "text_key", "first")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

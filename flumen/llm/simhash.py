@@ -9,7 +9,8 @@ near copies), their pairs would grow with the square of the family; such a half
 of its other half instead, whose number is linear in the family and which links exactly the same fingerprints.
 
 Null texts count as empty; a text without words has fingerprint zero and links like any other; repeated doc_ids give
-one row for each input row; other columns are ignored.
+one row for each input row; an empty table gives an empty one; other columns are ignored. A very long text is hashed as
+a whole, its bits counted in slices.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, join_counted, texts
 from .graph import components
 
 #: Shingle hashes held as bits at a time, for very long texts.
@@ -111,12 +112,12 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links of at most three bits."""
     fps = cut(fingerprints(docs, words))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     comp = components(links(nodes.select("fp")))
-    roots = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    roots = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
     low = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(low, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = roots.join(low, "root").select("fp", "component_id", "n")
+    return join_counted(fps, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: str) -> Column:
