@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.validity import is_close
+from ..plans.order import few
 
 
 def grid_differences(a: DataFrame, b: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
@@ -32,7 +33,7 @@ def to_baselines(rows: DataFrame, group: str, on: list[str], value: str, baselin
 
 def missing_combinations(rows: DataFrame, case: str, place: str) -> DataFrame:
     """Pairs of a case and a place that each occur, but not together. Both are short lists of names."""
-    pairs = rows.select(case).distinct().crossJoin(F.broadcast(rows.select(place).distinct()))
+    pairs = rows.select(case).distinct().crossJoin(few(rows.select(place).distinct(), 1_000_000))
     return pairs.join(rows.select(case, place).distinct(), [case, place], "left_anti")
 
 

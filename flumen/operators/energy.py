@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validity import finite
+from ..plans.order import few
 from .phase import bin_angle, cycle_of, fit_harmonic
 
 
@@ -53,4 +54,4 @@ def slab_weights(cells: DataFrame, slabs: DataFrame) -> DataFrame:
     """cells (volume, idx, low, high) joined with the slabs (slab, from_, to) that they overlap, and by how much. Slabs
     are a handful; cells of an axis as well."""
     w = overlap(F.col("low"), F.col("high"), F.col("from_"), F.col("to"))
-    return cells.join(F.broadcast(slabs), (F.col("high") > F.col("from_")) & (F.col("low") < F.col("to"))).withColumn("weight", w)
+    return cells.join(few(slabs), (F.col("high") > F.col("from_")) & (F.col("low") < F.col("to"))).withColumn("weight", w)

@@ -48,7 +48,7 @@ def common_slab(samples: DataFrame, targets: DataFrame, min_fraction: float) ->
     """Mean u at each x over voxels that every volume covers, after all are brought to the target planes in z."""
     aligned = align_axis(samples, "z", "z", targets, ("u",))
     times = aligned.select("volume", "ti").distinct().groupBy("volume").agg(F.count("*").alias("n_times"))
-    by = aligned.groupBy("volume", "iz", "iy", "ix").agg(F.count("u").alias("n"), F.avg("u").alias("u")).join(F.broadcast(times), "volume")
+    by = aligned.groupBy("volume", "iz", "iy", "ix").agg(F.count("u").alias("n"), F.avg("u").alias("u")).join(times, "volume")
     support = common_support(by, ["iz", "iy", "ix"], "volume", min_fraction).filter("support").select("iz", "iy", "ix")
     return by.join(support, ["iz", "iy", "ix"]).groupBy("volume", "ix").agg(F.avg("u").alias("u_mean"), F.count("*").alias("n"))
 

@@ -27,7 +27,7 @@ def phase_average(phased: DataFrame, mode: str = "nan", mask: str = "component",
     """Mean and count of each component for each voxel and bin, and the coherent part: bin mean less the mean of all
     valid samples (which ignores min_fraction). The fraction is of the bin's frames. A row for each component."""
     ok = valid_flags(mode, mask)
-    frames = F.broadcast(phased.select("volume", "ti", "phase_bin").distinct().groupBy("volume", "phase_bin").agg(F.count("*").alias("bin_frames")))
+    frames = phased.select("volume", "ti", "phase_bin").distinct().groupBy("volume", "phase_bin").agg(F.count("*").alias("bin_frames"))
     long = F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.when(ok[c], F.col(c)).alias("x")) for c in COMPONENTS))).alias("c")
     by = phased.select(*VOXEL, "phase_bin", long).groupBy(*VOXEL, "c.component", "phase_bin").agg(F.sum("c.x").alias("s"), F.count("c.x").alias("n"))
     whole = Window.partitionBy(*VOXEL, "component")
@@ -90,10 +90,10 @@ def all_bins(averages: DataFrame, bins: int, min_fraction: float, strict: bool =
 def quality(phased: DataFrame, averages: DataFrame, bins: int) -> DataFrame:
     """For each voxel and bin of u: mean, sample deviation, standard error, coherent part, residual RMS about the mean."""
     means = averages.filter("component = 'u'").select(*VOXEL, "phase_bin", "phase_mean", "coherent")
-    both = phased.join(means, [*VOXEL, "phase_bin"])
-    ok = finite(F.col("u"))
-    residual = F.when(ok, F.pow(F.col("u") - F.col("phase_mean"), 2))
-    out = both.groupBy(*VOXEL, "phase_bin").agg(F.count_if(ok).alias("n"), F.avg(F.when(ok, F.col("u"))).alias("mean"), F.stddev_samp(F.when(ok, F.col("u"))).alias("std"), F.max("coherent").alias("coherent"), F.sqrt(F.avg(residual)).alias("residual_rms"))
+    on = F.when(finite(F.col("u")), F.col("u"))
+    by = phased.groupBy(*VOXEL, "phase_bin").agg(F.count(on).alias("n"), F.avg(on).alias("mean"), F.stddev_samp(on).alias("std"), F.var_pop(on).alias("_var"))
+    about = F.col("_var") + F.pow(F.col("mean") - F.col("phase_mean"), 2)
+    out = by.join(means, [*VOXEL, "phase_bin"]).select(*VOXEL, "phase_bin", "n", "mean", "std", "coherent", F.sqrt(about).alias("residual_rms"))
     return out.withColumn("standard_error", F.col("std") / F.sqrt("n"))
 
 

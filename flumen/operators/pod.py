@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,24 +26,59 @@ def fluctuations(snapshots: DataFrame, min_fraction: float = 0.0, weight: float
     return snapshots.filter("value is not null").join(kept.select("dof", "mean"), "dof").select("snapshot", "dof", ((F.col("value") - F.col("mean")) * scale).alias("x"))
 
 
-def gram(x: DataFrame, row: str, col: str) -> DataFrame:
-    """Inner products of all pairs of `row`s over `col`s: i, j, g with i <= j. For snapshots it is meant for as many as
-    the driver takes; the other way round (dofs) for few dofs."""
-    a = x.select(F.col(row).alias("i"), F.col(col).alias("k"), F.col("x").alias("a"))
-    b = x.select(F.col(row).alias("j"), F.col(col).alias("k"), F.col("x").alias("b"))
-    return a.join(b, "k").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+#: Rows of the other side whose products are summed at a time.
+CHUNK = 1_024
 
 
-def _square(g: DataFrame) -> tuple[list, np.ndarray]:
-    rows = g.collect()
-    ids = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    if len(ids) > MOST:
-        raise ValueError(f"{len(ids)} rows are more than the {MOST} that the driver decomposes")
+def _ids(x: DataFrame, row: str, most: int) -> list:
+    """The different `row`s, which must be few; they are counted before they go to the driver."""
+    found = x.select(row).distinct()
+    n = found.count()
+    if n > most:
+        raise ValueError(f"{n} rows are more than the {most} that the driver decomposes")
+    return sorted(r[0] for r in found.collect())
+
+
+def gram(x: DataFrame, row: str, col: str, most: int = MOST) -> DataFrame:
+    """Inner products of all pairs of `row`s (few) over `col`s (any number): i, j, g with i <= j. Each task sums the
+    products of its part of the `col`s; only these sums are shuffled."""
+    ids = _ids(x, row, most)
+    kind = dict(x.dtypes)[row]
+    index = {v: k for k, v in enumerate(ids)}
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, rest = np.zeros((len(ids), len(ids))), None
+
+        def add(part: pd.DataFrame) -> None:
+            at, of = part[row].map(index).to_numpy(), pd.factorize(part[col])[0]
+            for s in range(0, int(of.max()) + 1, CHUNK):
+                inside = (of >= s) & (of < s + CHUNK)
+                block = np.zeros((CHUNK, len(ids)))
+                np.add.at(block, (of[inside] - s, at[inside]), part["x"].to_numpy()[inside])
+                g[...] += block.T @ block
+
+        for frame in frames:  # sorted by col; the last one of a batch may go on in the next
+            frame = frame if rest is None else pd.concat([rest, frame])
+            last = frame[col] == frame[col].iloc[-1]
+            rest = frame[last]
+            if not last.all():
+                add(frame[~last])
+        if rest is not None:
+            add(rest)
+        i, j = np.nonzero(np.triu(g))
+        name = np.array(ids, object)
+        yield pd.DataFrame({"i": name[i], "j": name[j], "g": g[i, j]})
+
+    parts = x.select(row, col, "x").repartition(col).sortWithinPartitions(col).mapInPandas(products, f"i {kind}, j {kind}, g double")
+    return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def _square(g: DataFrame, ids: list) -> np.ndarray:
     at = {x: k for k, x in enumerate(ids)}
     m = np.zeros((len(ids), len(ids)))
-    for r in rows:
+    for r in g.toLocalIterator():
         m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["g"]
-    return ids, m
+    return m
 
 
 def decompose(snapshots: DataFrame, modes: int = 20, min_fraction: float = 0.0, weight: float | None = None, drop: float = 1e-12, by: str = "dof") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,7 +91,8 @@ def decompose(snapshots: DataFrame, modes: int = 20, min_fraction: float = 0.0,
     spark = snapshots.sparkSession
     x = fluctuations(snapshots, min_fraction, weight)
     n = snapshots.select("snapshot").distinct().count()
-    ids, g = _square(gram(x, by, "snapshot" if by == "dof" else "dof"))
+    ids = _ids(x, by, MOST)
+    g = _square(gram(x, by, "snapshot" if by == "dof" else "dof"), ids)
     values, vectors = np.linalg.eigh(g / max(n, 1))
     order = [k for k in np.argsort(values)[::-1] if values[k] > drop * max(np.trace(g) / max(n, 1), 0)][:modes]
     total = float(np.trace(g)) / max(n, 1)

@@ -7,22 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import few
+
 
 def bracket(targets: DataFrame, axis: DataFrame, keys: list[str], at: str) -> DataFrame:
     """For each target coordinate, the axis' neighbours: lo, hi (indices) and weight of hi. A target on a coordinate has
     it on both sides; one outside has none and is left out. axis: keys, idx, coord.
 
-    Both sides are sorted together and looked through once, so nothing is compared pairwise.
+    The axis is cut into as many equal buckets as it has coordinates; each of its steps is in the buckets it reaches
+    into, and a target meets the steps of its bucket. So targets are neither compared with the whole axis nor all of them
+    sorted in one task, and a bucket with very many of them can be split.
     """
-    knots = axis.select(*keys, F.col("coord").cast("double").alias("c"), F.struct(F.col("idx").alias("i"), F.col("coord").cast("double").alias("c")).alias("k"), F.lit(None).cast("double").alias("at"))
-    marks = targets.select(*keys, F.col(at).cast("double").alias("c")).distinct().select(*keys, "c", F.lit(None).cast(knots.schema["k"].dataType).alias("k"), F.col("c").alias("at"))
-    both = knots.unionByName(marks)
-    w = Window.partitionBy(*keys).orderBy("c")
-    lo = F.last("k", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first("k", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.select(*keys, "at", lo.alias("lo"), hi.alias("hi")).filter("at is not null and lo is not null and hi is not null")
-    weight = F.coalesce(F.try_divide(F.col("at") - F.col("lo.c"), F.col("hi.c") - F.col("lo.c")), F.lit(0.0))
-    return found.select(*keys, F.col("at").alias(at), F.col("lo.i").alias("lo"), F.col("hi.i").alias("hi"), weight.alias("weight"))
+    c = F.col("coord").cast("double")
+    ahead = F.lead(F.struct(F.col("idx").alias("i"), c.alias("c"))).over(Window.partitionBy(*keys).orderBy(c))
+    steps = axis.select(*keys, F.struct(F.col("idx").alias("i"), c.alias("c")).alias("lo"), ahead.alias("next"))
+    span = steps.groupBy(*keys).agg(F.min("lo.c").alias("_c0"), F.max("lo.c").alias("_c1"), F.count("*").alias("_n"))
+    width = F.when(F.col("_c1") > F.col("_c0"), (F.col("_c1") - F.col("_c0")) / F.col("_n")).otherwise(1.0)
+    bucket = lambda x: F.floor((x - F.col("_c0")) / width)
+    steps = steps.join(span, keys).withColumn("_b", F.explode(F.sequence(bucket(F.col("lo.c")), bucket(F.coalesce("next.c", "lo.c")))))
+    marks = targets.select(*keys, F.col(at).cast("double").alias(at)).distinct().join(span, keys).filter(F.col(at).between(F.col("_c0"), F.col("_c1"))).withColumn("_b", bucket(F.col(at)))
+    met = marks.join(steps.select(*keys, "_b", "lo", "next"), [*keys, "_b"])
+    on = F.col(at) == F.col("lo.c")
+    found = met.filter(on | ((F.col(at) > F.col("lo.c")) & (F.col(at) < F.col("next.c"))))
+    weight = F.when(on, 0.0).otherwise((F.col(at) - F.col("lo.c")) / (F.col("next.c") - F.col("lo.c")))
+    return found.select(*keys, at, F.col("lo.i").alias("lo"), F.when(on, F.col("lo.i")).otherwise(F.col("next.i")).alias("hi"), weight.alias("weight"))
 
 
 def align_axis(samples: DataFrame, axis: str, coord: str, targets: DataFrame, values: tuple[str, ...] = ("u", "v", "w"), strict: bool = True) -> DataFrame:
@@ -33,7 +41,7 @@ def align_axis(samples: DataFrame, axis: str, coord: str, targets: DataFrame, va
     known = samples.groupBy("volume", F.col(index).alias("idx")).agg(F.min(F.col(coord).cast("double")).alias("coord"))
     b = bracket(targets, known, ["volume"], coord).join(targets, ["volume", coord])
     ends = b.select("volume", coord, "idx", F.explode(F.array(F.struct(F.col("lo").alias("src"), (1 - F.col("weight")).alias("weight")), F.struct(F.col("hi").alias("src"), F.col("weight").alias("weight")))).alias("e")).select("volume", coord, "idx", "e.*")
-    near = samples.select(*rest, F.col(index).alias("src"), *values).join(F.broadcast(ends), ["volume", "src"])
+    near = samples.select(*rest, F.col(index).alias("src"), *values).join(ends, ["volume", "src"])
     good = reduce(lambda a, c: a & c, (F.col(v).isNotNull() for v in values))
     ok = good if strict else good | (F.col("weight") == 0)
     value = lambda v: F.when(F.bool_and(ok) & (F.count("*") == 2), F.sum(F.when(F.col("weight") != 0, F.col(v) * F.col("weight")).otherwise(0.0)))
@@ -46,7 +54,7 @@ def trilinear(field: DataFrame, axes: DataFrame, targets: DataFrame, values: lis
     out = targets
     for a in ("z", "y", "x"):
         b = bracket(targets, axes.filter(F.col("axis") == a), ["volume"], a)
-        out = out.join(F.broadcast(b.withColumnRenamed("lo", f"{a}0").withColumnRenamed("hi", f"{a}1").withColumnRenamed("weight", f"{a}w")), ["volume", a])
+        out = out.join(b.withColumnRenamed("lo", f"{a}0").withColumnRenamed("hi", f"{a}1").withColumnRenamed("weight", f"{a}w"), ["volume", a])
     pick = lambda a, i: F.struct(F.col(f"{a}{i}").alias("i"), (F.col(f"{a}w") if i else 1 - F.col(f"{a}w")).alias("w"))
     corner = lambda k: [pick(a, k >> s & 1) for a, s in (("z", 2), ("y", 1), ("x", 0))]
     eight = F.array(*(F.struct(z["i"].alias("iz"), y["i"].alias("iy"), x["i"].alias("ix"), (z["w"] * y["w"] * x["w"]).alias("weight")) for z, y, x in map(corner, range(8))))
@@ -62,11 +70,17 @@ def bilinear_rows(plane: DataFrame, line: list[str], index: str, targets: DataFr
     column named as index); null outside and with fewer than two finite points."""
     known = plane.filter(F.col(value).isNotNull())
     enough = known.groupBy(*line).agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
-    marks = enough.crossJoin(F.broadcast(targets.select(F.col(index).cast("double").alias("at"))))
+    marks = enough.crossJoin(few(targets.select(F.col(index).cast("double").alias("at")), 100_000))
     b = bracket(marks, known.select(*line, F.struct(F.col(index).cast("double").alias("c"), F.col(value).alias("v")).alias("idx"), F.col(index).alias("coord")), line, "at")
     return b.select(*line, F.col("at").alias(index), (F.col("lo.v") + F.col("weight") * (F.col("hi.v") - F.col("lo.v"))).alias(value))
 
 
+def bilinear(plane: DataFrame, keys: list[str], targets_x: DataFrame, targets_y: DataFrame, value: str, x: str = "x", y: str = "y") -> DataFrame:
+    """A plane (keys, y, x, value) on a target grid: first along x at each y, then along y at each target x."""
+    rows = bilinear_rows(plane, [*keys, y], x, targets_x, value)
+    return bilinear_rows(rows, [*keys, x], y, targets_y, value)
+
+
 def common_support(counts: DataFrame, keys: list[str], case: str, min_fraction: float, least: int = 2) -> DataFrame:
     """Voxels that every case covers with at least the fraction's part of its frames, and `least`; counts: keys, case,
     n (valid frames), n_times. Adds the least availability."""
@@ -112,7 +126,7 @@ def trilinear_strict(field: DataFrame, axes: DataFrame, targets: DataFrame, valu
     found = trilinear(field, axes, targets, values, eps=-1.0)
     inside = targets
     for a in ("z", "y", "x"):
-        inside = inside.join(F.broadcast(bracket(targets, axes.filter(F.col("axis") == a), ["volume"], a).select("volume", a)), ["volume", a], "left_semi")
+        inside = inside.join(bracket(targets, axes.filter(F.col("axis") == a), ["volume"], a).select("volume", a), ["volume", a], "left_semi")
     return inside.select("volume", "target").join(found, ["volume", "target"], "left")
 
 
@@ -128,4 +142,4 @@ def valid_counts(samples: DataFrame, axis: str, coord: str, targets: DataFrame,
     """Frames in which a target voxel has a value after alignment along an axis, and the frames there are."""
     aligned = align_axis(samples, axis, coord, targets, (value,))
     times = aligned.select("volume", "ti").distinct().groupBy("volume").agg(F.count("*").alias("n_times"))
-    return aligned.groupBy("volume", "iz", "iy", "ix").agg(F.count(value).alias("n")).join(F.broadcast(times), "volume")
+    return aligned.groupBy("volume", "iz", "iy", "ix").agg(F.count(value).alias("n")).join(times, "volume")

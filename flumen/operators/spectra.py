@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import few
+
 
-def window_of(i: Column, n: Column, kind: str) -> Column:
+def window_of(n: int, kind: str) -> np.ndarray:
     """Periodic Hann, or boxcar."""
     if kind not in ("hann", "boxcar"):
         raise ValueError("a window is hann or boxcar")
-    return F.lit(1.0) if kind == "boxcar" else 0.5 - 0.5 * F.cos(2 * math.pi * i / n)
+    return np.ones(n) if kind == "boxcar" else 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
 def periodogram(signal: DataFrame, keys: list[str], index: str, value: str, fs: float, kind: str = "boxcar") -> DataFrame:
-    """One-sided power density of each key's values (index 0 .. n - 1), less their mean: k, frequency, psd. Every value
-    meets n / 2 + 1 waves; long records are cut into segments first (see welch)."""
-    w = Window.partitionBy(*keys)
-    x = signal.select(*keys, F.col(index).cast("long").alias("i"), F.col(value).alias("x")).withColumns({"n": F.count("*").over(w), "m": F.avg("x").over(w)})
-    x = x.withColumn("w", window_of(F.col("i"), F.col("n"), kind)).withColumn("x", (F.col("x") - F.col("m")) * F.col("w"))
-    waves = x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))).alias("k"))
-    # The product is taken modulo n first, which keeps angles small and exact.
-    angle = 2 * math.pi * F.pmod(F.col("k") * F.col("i"), F.col("n")) / F.col("n")
-    sums = waves.groupBy(*keys, "k", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    twice = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("n")), 1.0).otherwise(2.0)
-    return sums.select(*keys, "k", (F.col("k") * fs / F.col("n")).alias("frequency"), (twice * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("ww"))).alias("psd"))
+    """One-sided power density of each key's values (index 0 .. n - 1), less their mean: k, frequency, psd. Each record
+    becomes one array, which numpy transforms; many records go in one batch. A record that is too long for a task is
+    cut into segments first (see welch)."""
+    window_of(1, kind)
+    by = signal.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("x")))).alias("x"))
+
+    @F.pandas_udf("array<double>")
+    def density(records: pd.Series) -> pd.Series:
+        def one(x: np.ndarray) -> np.ndarray:
+            n, w = len(x), window_of(len(x), kind)
+            f = np.fft.rfft((x - x.mean()) * w)
+            twice = np.full(len(f), 2.0)
+            twice[0] = 1.0
+            if n % 2 == 0:
+                twice[-1] = 1.0
+            return twice * (f.real**2 + f.imag**2) / (fs * (w * w).sum())
+
+        return records.map(one)
+
+    out = by.select(*keys, F.size("x").alias("n"), F.posexplode(density(F.transform("x", lambda p: p["x"]))).alias("k", "psd"))
+    return out.select(*keys, F.col("k").cast("long").alias("k"), (F.col("k") * fs / F.col("n")).alias("frequency"), "psd")
 
 
 def segments(signal: DataFrame, keys: list[str], index: str, value: str, length: int, step: int) -> DataFrame:
@@ -66,7 +78,7 @@ def band_table(spectrum: DataFrame, keys: list[str], bands: DataFrame) -> DataFr
     w = Window.partitionBy(*keys).orderBy("k")
     s = spectrum.withColumn("df", F.coalesce(F.col("frequency") - F.lag("frequency").over(w), F.lead("frequency").over(w) - F.col("frequency")))
     s = s.withColumn("whole", F.sum(F.when(F.col("k") > 0, F.col("psd") * F.col("df"))).over(Window.partitionBy(*keys)))
-    met = s.filter("k > 0").join(F.broadcast(bands), F.col("frequency").between(F.col("low") - 1e-5 * F.col("df"), F.col("high") + 1e-5 * F.col("df")))
+    met = s.filter("k > 0").join(few(bands), F.col("frequency").between(F.col("low") - 1e-5 * F.col("df"), F.col("high") + 1e-5 * F.col("df")))
     out = met.groupBy(*keys, "band").agg(F.sum(F.col("psd") * F.col("df")).alias("energy"), F.max("whole").alias("whole"), F.count("*").alias("n_bins"))
     return out.withColumn("fraction", F.try_divide("energy", "whole")).drop("whole")
 

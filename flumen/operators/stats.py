@@ -23,7 +23,7 @@ def temporal_mean(samples: DataFrame, mode: str = "nan", mask: str = "component"
         raise ValueError("u_inf is zero")
     ok = valid_flags(mode, mask)
     sums = samples.groupBy(*VOXEL).agg(*(F.sum(F.when(ok[c], F.col(c))).alias(f"{c}_sum") for c in COMPONENTS), *(F.count_if(ok[c]).alias(f"{c}_count") for c in COMPONENTS))
-    sums = sums.join(F.broadcast(n_times(samples)), "volume")
+    sums = sums.join(n_times(samples), "volume")
     mean = lambda c: F.when(enough(F.col(f"{c}_count"), F.col("n_times"), min_fraction), F.col(f"{c}_sum") / F.col(f"{c}_count"))
     out = sums.select(*VOXEL, *(mean(c).alias(f"{c}_mean") for c in COMPONENTS), *(f"{c}_count" for c in COMPONENTS), "n_times")
     out = out.withColumn("speed_from_mean", speed(F.col("u_mean"), F.col("v_mean"), F.col("w_mean")))
@@ -42,29 +42,39 @@ def cut_by_fraction(mean: DataFrame, min_fraction: float) -> DataFrame:
     return out.drop("u_over_u_inf", "wake_deficit", "wake_mask_u09")
 
 
-def _with_mean(samples: DataFrame, mean: DataFrame) -> DataFrame:
-    return samples.join(mean.select(*VOXEL, *(f"{c}_mean" for c in COMPONENTS)), VOXEL)
+def _about(mean: Column, average: Column, spread: Column) -> Column:
+    """The mean square about a given mean, from average and variance: samples needn't meet their mean."""
+    return spread + (average - mean) * (average - mean)
 
 
 def kinetic_energy(samples: DataFrame, mean: DataFrame, mode: str = "nan", mask: str = "component") -> DataFrame:
-    """Population variances about the stored mean, and half their sum where all three are there."""
+    """Population variances about the stored mean, and half their sum where all three are there. One pass over the
+    samples; the mean joins what is left of each voxel."""
     ok = valid_flags(mode, mask)
-    use = {c: ok[c] & finite(F.col(f"{c}_mean")) for c in COMPONENTS}
-    prime = lambda c: F.col(c) - F.col(f"{c}_mean")
-    out = _with_mean(samples, mean).groupBy(*VOXEL).agg(*(F.avg(F.when(use[c], prime(c) * prime(c))).alias(f"{c}_prime2") for c in COMPONENTS), *(F.count_if(use[c]).alias(f"{c}_prime2_count") for c in COMPONENTS))
+    on = {c: F.when(ok[c], F.col(c)) for c in COMPONENTS}
+    by = samples.groupBy(*VOXEL).agg(*(f(on[c]).alias(f"_{c}_{n}") for c in COMPONENTS for f, n in ((F.avg, "avg"), (F.var_pop, "var"), (F.count, "n"))))
+    both = by.join(mean.select(*VOXEL, *(f"{c}_mean" for c in COMPONENTS)), VOXEL)
+    use = {c: finite(F.col(f"{c}_mean")) for c in COMPONENTS}
+    prime2 = (F.when(use[c], _about(F.col(f"{c}_mean"), F.col(f"_{c}_avg"), F.col(f"_{c}_var"))).alias(f"{c}_prime2") for c in COMPONENTS)
+    out = both.select(*VOXEL, *prime2, *(F.when(use[c], F.col(f"_{c}_n")).otherwise(0).alias(f"{c}_prime2_count") for c in COMPONENTS))
     return out.withColumn("tke", 0.5 * (F.col("u_prime2") + F.col("v_prime2") + F.col("w_prime2")))
 
 
 def reynolds_stresses(samples: DataFrame, mean: DataFrame, which: tuple[str, ...] = ("all",), mode: str = "nan", mask: str = "component") -> DataFrame:
-    """Means of products of fluctuations, over samples where both are valid."""
+    """Means of products of fluctuations, over samples where both are valid; one pass, as for the energy."""
     which = tuple(dict.fromkeys(which))
     if "all" in which and len(which) > 1 or not set(which) <= {*STRESSES, "all"}:
         raise ValueError(f"stresses are some of {STRESSES}, or all")
     which = STRESSES if "all" in which else which
     ok = valid_flags(mode, mask)
-    use = {c: ok[c] & finite(F.col(f"{c}_mean")) for c in COMPONENTS}
-    prime = lambda c: F.col(c) - F.col(f"{c}_mean")
-    return _with_mean(samples, mean).groupBy(*VOXEL).agg(*(F.avg(F.when(use[a] & use[b], prime(a) * prime(b))).alias(f"{a}{b}_stress") for a, b in which), *(F.count_if(use[a] & use[b]).alias(f"{a}{b}_count") for a, b in which))
+    on = lambda a, b, c: F.when(ok[a] & ok[b], F.col(c))
+    by = samples.groupBy(*VOXEL).agg(*(x for a, b in which for x in (
+        F.covar_pop(on(a, b, a), on(a, b, b)).alias(f"_{a}{b}_cov"), F.avg(on(a, b, a)).alias(f"_{a}{b}_a"), F.avg(on(a, b, b)).alias(f"_{a}{b}_b"), F.count(on(a, b, a)).alias(f"_{a}{b}_n"),
+    )))
+    both = by.join(mean.select(*VOXEL, *(f"{c}_mean" for c in COMPONENTS)), VOXEL)
+    use = lambda a, b: finite(F.col(f"{a}_mean")) & finite(F.col(f"{b}_mean"))
+    product = lambda a, b: F.col(f"_{a}{b}_cov") + (F.col(f"_{a}{b}_a") - F.col(f"{a}_mean")) * (F.col(f"_{a}{b}_b") - F.col(f"{b}_mean"))
+    return both.select(*VOXEL, *(F.when(use(a, b), product(a, b)).alias(f"{a}{b}_stress") for a, b in which), *(F.when(use(a, b), F.col(f"_{a}{b}_n")).otherwise(0).alias(f"{a}{b}_count") for a, b in which))
 
 
 def moments(samples: DataFrame, keys: list[str] = VOXEL, mode: str = "nan", mask: str = "vector", u_ref: float | None = None, min_count: int = 2, min_speed: float = 0.0) -> DataFrame:
@@ -94,8 +104,9 @@ def blocks(samples: DataFrame, mean: DataFrame, n: int, first: int, last: int, m
     e = F.array(*map(F.lit, edges))
     block = F.size(F.filter(e, lambda x: x <= F.col("ti"))) - 1
     ok = finite(F.col("u"))
-    by = _with_mean(samples.filter(F.col("ti").between(first, last)), mean).withColumn("block", block).groupBy("block", *VOXEL)
-    by = by.agg(F.avg(F.when(ok, F.col("u") - F.col("u_mean"))).alias("shift"), F.var_pop(F.when(ok, F.col("u"))).alias("var"), F.count_if(ok).alias("n"), F.count_distinct("ti").alias("frames"))
+    by = samples.filter(F.col("ti").between(first, last)).withColumn("block", block).groupBy("block", *VOXEL)
+    by = by.agg(F.avg(F.when(ok, F.col("u"))).alias("_u"), F.var_pop(F.when(ok, F.col("u"))).alias("var"), F.count_if(ok).alias("n"), F.count_distinct("ti").alias("frames"))
+    by = by.join(mean.select(*VOXEL, "u_mean"), VOXEL).withColumn("shift", F.col("_u") - F.col("u_mean"))
     by = by.filter((F.col("n") >= 2) & (F.col("n") >= F.ceil(min_fraction * F.col("frames"))))
     return by.groupBy("volume", "block").agg(F.count("*").alias("n_voxels"), F.avg("shift").alias("mean_shift"), F.avg("var").alias("mean_var"))
 

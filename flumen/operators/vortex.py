@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.validity import finite
 from ..plans.lineage import cut
+from ..plans.order import running
 
 SHARES, PERCENTILES = (0.2, 0.3, 0.4), (0.9, 0.95, 0.975, 0.99)
 ALIASES = {
@@ -47,7 +48,7 @@ def signed(field: DataFrame, value: str, keys: list[str], sign: str = "auto") ->
     ok = F.when(finite(F.col(value)), F.col(value))
     ends = field.groupBy(*keys).agg(F.max(ok).alias("_hi"), F.min(ok).alias("_lo"))
     flip = {"auto": (F.col("_hi") <= 0) & (F.col("_lo") < 0), "negative": F.lit(True), "positive": F.lit(False)}[sign]
-    out = field.join(F.broadcast(ends), keys) if keys else field.crossJoin(F.broadcast(ends))
+    out = field.join(ends, keys) if keys else field.crossJoin(F.broadcast(ends))
     return out.withColumn(value, F.greatest(F.when(flip, -F.col(value)).otherwise(F.col(value)), F.lit(0.0))).drop("_hi", "_lo")
 
 
@@ -63,12 +64,20 @@ def inspect_grid(points: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, "nx", "ny", "nz", "n", "repeated", missing.alias("missing"), ((missing == 0) & (F.col("repeated") == 0)).alias("structured"), (100.0 * F.col("bad") / F.col("n")).alias("bad_percent"))
 
 
+def _numbered(table: DataFrame, keys: list[str], by: str, sizes: dict[str, Column]) -> DataFrame:
+    """table with running sums of sizes before each row, in the order of `by` within keys."""
+    out = running(table, [*map(F.col, keys), F.col(by)], sizes)
+    first = [F.min(n).alias(f"_{n}0") for n in sizes]
+    ends = out.groupBy(*keys).agg(*first)
+    out = out.join(ends, keys) if keys else out.crossJoin(F.broadcast(ends))  # a row, without keys
+    return out.select(*table.columns, *((F.col(n) - F.col(f"_{n}0")).alias(n) for n in sizes))
+
+
 def grid_indices(points: DataFrame, keys: list[str]) -> DataFrame:
     """points with ix, iy, iz: ranks of their coordinates. Ranks come from the axes, not from the points."""
     for a in ("x", "y", "z"):
-        axis = points.select(*keys, a).distinct()
-        axis = axis.withColumn(f"i{a}", F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(a)) - 1)
-        points = points.join(F.broadcast(axis), [*keys, a])
+        axis = _numbered(points.select(*keys, a).distinct(), keys, a, {f"i{a}": F.lit(1)})
+        points = points.join(axis, [*keys, a])
     return points
 
 
@@ -87,7 +96,7 @@ def label(cells: DataFrame, keys: list[str], axes: tuple[str, ...] = ("ix", "iy"
     logarithm of a component's length rather than with the length.
     """
     spans = cells.groupBy(*keys).agg(*(f(a).alias(f"_{a}{k}") for a in axes for f, k in ((F.min, 0), (F.max, 1))))
-    numbered = cells.join(F.broadcast(spans), keys) if keys else cells.crossJoin(F.broadcast(spans))
+    numbered = cells.join(spans, keys) if keys else cells.crossJoin(F.broadcast(spans))
     number, stride = F.lit(0).cast("long"), F.lit(1).cast("long")
     for a in reversed(axes):
         number = number + (F.col(a) - F.col(f"_{a}0")) * stride
@@ -126,9 +135,8 @@ def component_stats(labelled: DataFrame, keys: list[str], value: str, axes: tupl
 
 def ranked(field: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Average ranks of values by key, ties sharing theirs."""
-    counts = field.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(value)
-    ranks = counts.withColumn(out, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2.0).drop("_n")
+    counts = _numbered(field.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, {"_before": F.col("_n")})
+    ranks = counts.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
     return field.join(ranks, [*keys, value])
 
 

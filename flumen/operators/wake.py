@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.validity import finite
+from ..plans.order import few
 
 
 def disc(y: Column, z: Column, radius: float, y0: float = 0.0, z0: float = 0.0) -> Column:
@@ -69,7 +70,7 @@ def slab_mean(mean: DataFrame, min_fraction: float) -> DataFrame:
 def nearest_plane(slices: DataFrame, x: str, target: float) -> DataFrame:
     """The rows of the slice nearest to a place, by volume; the first of equally near ones."""
     known = slices.groupBy("volume").agg(F.min_by(x, F.struct(F.abs(F.col(x) - target), F.col(x))).alias("_x"))
-    return slices.join(F.broadcast(known), "volume").filter(F.col(x) == F.col("_x")).drop("_x")
+    return slices.join(known, "volume").filter(F.col(x) == F.col("_x")).drop("_x")
 
 
 def centre(cells: DataFrame, keys: list[str], deficit: str, area: Column, y: str = "y", z: str = "z") -> DataFrame:
@@ -97,7 +98,7 @@ def outside_earlier(cells: DataFrame, order: str, names: tuple[str, ...] = ("x",
     hit = F.col(order) > F.col("_o")
     for n in names:
         hit = hit & F.col(n).between(F.col(f"_{n}0"), F.col(f"_{n}1"))
-    return cells.join(F.broadcast(ext), hit, "left_anti")
+    return cells.join(few(ext), hit, "left_anti")
 
 
 def straight_line(points: DataFrame, keys: list[str], x: str, y: str, trim: float = 0.0) -> DataFrame:

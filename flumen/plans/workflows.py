@@ -68,5 +68,5 @@ class Engine:
 def detect_vortices(field: DataFrame, keys: list[str], value: str = "swirl", kind: str = "p95", min_size: int = 1) -> DataFrame:
     """Components of a swirl field (keys, ix, iy, iz, value) at or above one of its thresholds."""
     level = vortex.thresholds(field, keys, value).filter(F.col("kind") == kind).drop("kind")
-    active = field.join(F.broadcast(level), keys).filter(F.col(value) >= F.col("level"))
+    active = field.join(level, keys).filter(F.col(value) >= F.col("level"))
     return vortex.component_stats(vortex.label(active, keys), keys, value, min_size=min_size)

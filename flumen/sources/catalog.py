@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.order import few
+
 from .text import case_label
 
 CASE = "case_id string, label string, motion_type string, distance_raw string, distance double, frequency_hz double, u_inf double, rotor_diameter double, files map<string,string>"
@@ -76,7 +78,7 @@ def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def incomplete_matrix(found: DataFrame) -> DataFrame:
     """Pairs of case and distance that are missing although both occur, or that occur twice, with the reason."""
-    pairs = found.select("case").distinct().crossJoin(F.broadcast(found.select("distance").distinct()))
+    pairs = found.select("case").distinct().crossJoin(few(found.select("distance").distinct()))
     by = found.groupBy("case", "distance").agg(F.count("*").alias("n"))
     out = pairs.join(by, ["case", "distance"], "left")
     return out.select("case", "distance", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").alias("reason")).filter("reason is not null")

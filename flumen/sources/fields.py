@@ -101,7 +101,7 @@ def center_slab(samples: DataFrame, width: int, axis: str = "z", center: float =
     mid = known.groupBy("volume").agg(F.min_by(index, F.struct(F.abs(F.col("c") - center), F.col(index))).alias("mid"), F.min(index).alias("low"), F.max(index).alias("high"))
     half = width // 2
     fits = mid.filter((F.col("mid") - half >= F.col("low")) & (F.col("mid") + half <= F.col("high")))
-    return samples.join(F.broadcast(fits.select("volume", "mid")), "volume").filter(F.abs(F.col(index) - F.col("mid")) <= half).drop("mid")
+    return samples.join(fits.select("volume", "mid"), "volume").filter(F.abs(F.col(index) - F.col("mid")) <= half).drop("mid")
 
 
 def nearest_index(axes: DataFrame, value: float) -> DataFrame:
