@@ -137,12 +137,13 @@ def valid_counts(spark, sf):
     return fields.counted(lineitem_field(spark, sf), "zero-or-nan")
 
 
-@query("center_slab", [FIELD], "SELECT volume, iy, count(*) n FROM field WHERE iy BETWEEN 1 AND 3 GROUP BY ALL", "volume iy:i n:i")
+@query("center_slab", [FIELD], """SELECT volume, iy, count(*) n FROM field JOIN (SELECT volume, iy AS mid FROM (SELECT DISTINCT volume, iy FROM field) QUALIFY row_number() OVER (PARTITION BY volume ORDER BY abs(iy - 2.2), iy) = 1) USING (volume)
+ JOIN (SELECT volume, min(iy) lo, max(iy) hi FROM field GROUP BY volume) USING (volume) WHERE mid - 1 >= lo AND mid + 1 <= hi AND abs(iy - mid) <= 1 GROUP BY ALL""", "volume iy:i n:i")
 def center_slab(spark, sf):
     return fields.center_slab(lineitem_field(spark, sf), 3, "y", 2.2).groupBy("volume", "iy").agg(F.count("*").alias("n"))
 
 
-@query("nearest_plane", [FIELD], "SELECT volume, 2 AS idx FROM field GROUP BY volume", "volume idx:i")
+@query("nearest_plane", [FIELD], "SELECT volume, iy AS idx FROM (SELECT DISTINCT volume, iy FROM field) QUALIFY row_number() OVER (PARTITION BY volume ORDER BY abs(iy - 2.5), iy) = 1", "volume idx:i")
 def nearest_plane(spark, sf):
     axes = fields.axes_of(lineitem_field(spark, sf), y="iy")
     return fields.nearest_index(axes, 2.5).select("volume", "idx")
@@ -343,12 +344,6 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("volume", "ti", "iz", "iy", "ix").agg(F.col("ti").cast("double").alias("t"), F.avg(F.when(ok, F.col("u"))).alias("u"), F.avg("v").alias("v"), F.avg("w").alias("w"))
 
 
-@query("gap_fill_passes")
-def gap_fill_passes(spark, sf):
-    out = fill.fill(_grid(spark, sf), ("t", "x"), ("u",), 2, 3, 2)
-    return out.groupBy("volume").agg(F.count("*").alias("n"), F.count_if("u_filled").alias("n_filled"), F.avg("u").alias("u"))
-
-
 @query("align_planes", [FIELD], """SELECT volume, ti, iy, ix, k idx, CASE WHEN count(v) = 2 AND count(*) = 2 THEN sum(v * w) END v FROM (SELECT g.*, s.k, CASE WHEN g.iz = s.lo THEN 1 - s.wt ELSE s.wt END w FROM (SELECT volume, floor(ti / 30) ti, iz, iy, ix, avg(field.v) v FROM field GROUP BY ALL) g JOIN (VALUES (0, 0, 1, 0.5), (1, 2, 3, 0.25)) s(k, lo, hi, wt) ON g.iz = s.lo OR g.iz = s.hi) GROUP BY volume, ti, iy, ix, k""", "volume ti:i iy:i ix:i idx:i v:d")
 def align_planes(spark, sf):
     g = _grid(spark, sf).withColumn("z", F.col("iz").cast("double"))
@@ -417,7 +412,7 @@ def snapshot_gram(spark, sf):
     return pod.gram(pod.fluctuations(snapshots(spark, sf)), "dof", "snapshot")
 
 
-@query("pod_energy", [SNAP, CENTERED], "SELECT sum(x * x) / count(DISTINCT snapshot) / 2 energy, 64 modes, 1.0 fraction FROM flu", "energy:d modes:i fraction:d")
+@query("pod_energy", [SNAP, CENTERED], "SELECT sum(x * x) / count(DISTINCT snapshot) / 2 energy, count(DISTINCT dof) modes, sum(x * x) / sum(x * x) fraction FROM flu", "energy:d modes:i fraction:d")
 def pod_energy(spark, sf):
     spectrum, _, _ = pod.decompose(snapshots(spark, sf), 64)
     return spectrum.agg(F.sum("energy").alias("energy"), F.count("*").alias("modes"), F.sum("fraction").alias("fraction"))
@@ -429,17 +424,6 @@ def pod_reconstruction(spark, sf):
     return pod.reconstruct(modes, a).groupBy("snapshot").agg(F.sum(F.col("x") * F.col("x")).alias("energy"))
 
 
-@query("mode_orthogonality", [SNAP], "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END g FROM (SELECT unnest(range(1, 7)) i) CROSS JOIN (SELECT unnest(range(1, 7)) j) WHERE i <= j", "i:i j:i g:d")
-def mode_orthogonality(spark, sf):
-    return pod.mode_gram(pod.decompose(snapshots(spark, sf), 6)[1])
-
-
-@query("mode_energy_table")
-def mode_energy_table(spark, sf):
-    spectrum, _, _ = pod.decompose(snapshots(spark, sf), 20)
-    return pod.threshold_table(pod.cumulative_energy(spectrum, []), [])
-
-
 # Spectra
 
 
@@ -522,21 +506,23 @@ def wake_centre(spark, sf):
     return wake.centre(_wake(spark, sf), ["volume", "ix"], "deficit", F.lit(0.25))
 
 
-@query("fixed_support", PH, f"SELECT volume, phase_bin, sum(d * (iy + 1)) / sum(iy + 1) mean_deficit, sum(CASE WHEN d > 0 THEN d * (iy + 1) * y END) / sum(CASE WHEN d > 0 THEN d * (iy + 1) END) y, max(cov) coverage FROM (SELECT *, ({U_INF} - phase_mean) / {U_INF} d, iy - 2.0 y, count(phase_mean) OVER (PARTITION BY volume, iz, iy) = {BINS} held FROM averages WHERE component = 'u' AND ix = 3) JOIN (SELECT volume, sum(CASE WHEN held THEN iy + 1 END) / sum(iy + 1) cov FROM (SELECT volume, iz, iy, count(phase_mean) = {BINS} held FROM averages WHERE component = 'u' AND ix = 3 GROUP BY ALL) GROUP BY volume) USING (volume) WHERE held GROUP BY ALL", "volume phase_bin:i mean_deficit:d y:d coverage:d")
+@query("fixed_support", PH, f"""SELECT volume, ix, phase_bin, sum(d * (iy + 1)) / sum(iy + 1) mean_deficit, sum(CASE WHEN d > 0 THEN d * (iy + 1) * y END) / sum(CASE WHEN d > 0 THEN d * (iy + 1) END) y, max(cov) coverage FROM
+ (SELECT *, ({U_INF} - phase_mean) / {U_INF} d, iy - 2.0 y, count(phase_mean) OVER (PARTITION BY volume, ix, iz, iy) = {BINS} held FROM averages WHERE component = 'u')
+ JOIN (SELECT volume, ix, sum(CASE WHEN held THEN iy + 1 END) / sum(iy + 1) cov FROM (SELECT volume, ix, iz, iy, count(phase_mean) = {BINS} held FROM averages WHERE component = 'u' GROUP BY ALL) GROUP BY ALL) USING (volume, ix) WHERE held GROUP BY ALL""", "volume ix:i phase_bin:i mean_deficit:d y:d coverage:d")
 def fixed_support(spark, sf):
-    a = _averages(spark, sf).filter("component = 'u' and ix = 3")
-    cells = a.select("volume", "iz", "iy", "phase_bin", ((U_INF - F.col("phase_mean")) / U_INF).alias("deficit"), (F.col("iy") + 1.0).alias("area"), (F.col("iy") - 2.0).alias("y"), (F.col("iz") - 1.5).alias("z"))
-    return wake.fixed_support(cells, ["volume"], ["iz", "iy"], "phase_bin", "deficit", "area", BINS).select("volume", "phase_bin", "mean_deficit", "y", "coverage")
+    a = _averages(spark, sf).filter("component = 'u'")
+    cells = a.select("volume", "ix", "iz", "iy", "phase_bin", ((U_INF - F.col("phase_mean")) / U_INF).alias("deficit"), (F.col("iy") + 1.0).alias("area"), (F.col("iy") - 2.0).alias("y"), (F.col("iz") - 1.5).alias("z"))
+    return wake.fixed_support(cells, ["volume", "ix"], ["iz", "iy"], "phase_bin", "deficit", "area", BINS).select("volume", "ix", "phase_bin", "mean_deficit", "y", "coverage")
 
 
-@query("sector_area", W_, """SELECT volume, sum(area) area FROM (SELECT volume, iy, iz, ix, count(*) / 256.0 area FROM wake CROSS JOIN (SELECT unnest(range(0, 16)) i) CROSS JOIN (SELECT unnest(range(0, 16)) j) WHERE ix = 3 AND pow(y + (i + 0.5) / 16 - 0.5, 2) + pow(z + (j + 0.5) / 16 - 0.5, 2) <= 2.25
- AND degrees(atan2(z + (j + 0.5) / 16 - 0.5, y + (i + 0.5) / 16 - 0.5)) + 30 - 360 * floor((degrees(atan2(z + (j + 0.5) / 16 - 0.5, y + (i + 0.5) / 16 - 0.5)) + 30) / 360) <= 100 GROUP BY ALL) GROUP BY volume""", "volume area:d")
+@query("sector_area", W_, """SELECT volume, ix, sum(area) area FROM (SELECT volume, iy, iz, ix, count(*) / 256.0 area FROM wake CROSS JOIN (SELECT unnest(range(0, 16)) i) CROSS JOIN (SELECT unnest(range(0, 16)) j) WHERE pow(y + (i + 0.5) / 16 - 0.5, 2) + pow(z + (j + 0.5) / 16 - 0.5, 2) <= 2.25
+ AND degrees(atan2(z + (j + 0.5) / 16 - 0.5, y + (i + 0.5) / 16 - 0.5)) + 30 - 360 * floor((degrees(atan2(z + (j + 0.5) / 16 - 0.5, y + (i + 0.5) / 16 - 0.5)) + 30) / 360) <= 100 GROUP BY ALL) GROUP BY volume, ix""", "volume ix:i area:d")
 def sector_area(spark, sf):
-    cells = _wake(spark, sf).filter("ix = 3")
-    return cells.groupBy("volume").agg(F.sum(wake.sector_share(F.col("y"), F.col("z"), F.lit(1.0), F.lit(1.0), 1.5, -30.0, 100.0)).alias("area"))
+    return _wake(spark, sf).groupBy("volume", "ix").agg(F.sum(wake.sector_share(F.col("y"), F.col("z"), F.lit(1.0), F.lit(1.0), 1.5, -30.0, 100.0)).alias("area"))
 
 
-@query("outside_earlier", M, "SELECT volume, count(*) n FROM (SELECT volume, ix + CASE volume WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 8 END x FROM mean) WHERE NOT (volume = 'N' AND x BETWEEN 1 AND 7) AND NOT (volume = 'R' AND (x BETWEEN 1 AND 7 OR x BETWEEN 5 AND 11)) GROUP BY volume", "volume n:i")
+@query("outside_earlier", [*M, "placed AS (SELECT volume, o, ix + 4 * o x FROM (SELECT volume, ix, CASE volume WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END o FROM mean))", "reached AS (SELECT o, min(x) lo, max(x) hi FROM placed GROUP BY o)"],
+ "SELECT volume, count(*) n FROM placed p WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.o < p.o AND p.x BETWEEN r.lo AND r.hi) GROUP BY volume", "volume n:i")
 def outside_earlier(spark, sf):
     order = F.when(F.col("volume") == "A", 0).when(F.col("volume") == "N", 1).otherwise(2)
     cells = _mean(spark, sf).withColumn("order", order).withColumn("x", F.col("ix") + 4 * F.col("order"))
@@ -595,28 +581,11 @@ def components_2d(spark, sf):
     return found.select("volume", "iz", "size", "peak")
 
 
-@query("component_matching")
-def component_matching(spark, sf):
-    found = vortex.component_stats(vortex.label(_active(spark, sf), ["volume"]), ["volume"], "s")
-    a, b = (cut(found.filter(F.col("volume") == v).withColumn("volume", F.lit("pair"))) for v in ("A", "N"))
-    return vortex.match_greedily(a, b, ["volume"])
-
-
-RANK = "(SELECT *, rank() OVER (PARTITION BY a ORDER BY x) + (count(*) OVER (PARTITION BY a, x) - 1) / 2.0 rx, rank() OVER (PARTITION BY a ORDER BY y) + (count(*) OVER (PARTITION BY a, y) - 1) / 2.0 ry FROM (SELECT 1 a, p.v_mean x, q.v_mean y FROM mean p JOIN mean q ON p.volume = 'A' AND q.volume = 'N' AND p.iz = q.iz AND p.iy = q.iy AND p.ix = q.ix))"
-
-
-@query("field_comparison", M, f"SELECT count(*) n, avg(abs(x - y)) mae, sqrt(avg((x - y) * (x - y))) rms, sqrt(avg((x - y) * (x - y))) / sqrt(avg(y * y)) nrms, max(abs(x - y)) max_difference, corr(x, y) pearson, corr(rx, ry) spearman, (max(x) - max(y)) / abs(max(y)) max_relative, (quantile_cont(x, 0.9) - quantile_cont(y, 0.9)) / abs(quantile_cont(y, 0.9)) p90_relative FROM {RANK}", "n:i mae:d rms:d nrms:d max_difference:d pearson:d spearman:d max_relative:d p90_relative:d")
-def field_comparison(spark, sf):
-    m = _mean(spark, sf)
-    a = m.filter("volume = 'A'").select("iz", "iy", "ix", F.col("v_mean").alias("x"), F.lit(1).alias("one"))
-    b = m.filter("volume = 'N'").select("iz", "iy", "ix", F.col("v_mean").alias("y"))
-    return vortex.compare(a.join(b, ["iz", "iy", "ix"]), ["one"], "x", "y").select("n", "mae", "rms", "nrms", "max_difference", "pearson", "spearman", "max_relative", "p90_relative")
-
-
-@query("grid_inspection", [FIELD], "SELECT volume, count(DISTINCT ix) nx, count(DISTINCT iy) ny, count(DISTINCT iz) nz, sum(n) n, sum(n) - count(*) repeated, count(DISTINCT ix) * count(DISTINCT iy) * count(DISTINCT iz) - count(*) missing, 100.0 * sum(bad) / sum(n) bad_percent FROM (SELECT volume, ix, iy, iz, count(*) n, count(CASE WHEN NOT isfinite(u) THEN 1 END) bad FROM field GROUP BY ALL) GROUP BY volume", "volume nx:i ny:i nz:i n:i repeated:i missing:i bad_percent:d")
+@query("grid_inspection", [FIELD, "grids AS (SELECT volume, count(DISTINCT ix) nx, count(DISTINCT iy) ny, count(DISTINCT iz) nz, sum(n) n, sum(n) - count(*) repeated, count(DISTINCT ix) * count(DISTINCT iy) * count(DISTINCT iz) - count(*) missing, 100.0 * sum(bad) / sum(n) bad_percent FROM (SELECT volume, ix, iy, iz, count(*) n, count(CASE WHEN NOT isfinite(u) THEN 1 END) bad FROM field GROUP BY ALL) GROUP BY volume)", "scored AS (SELECT *, missing = 0 AND repeated = 0 structured, CASE WHEN least(nx, ny, nz) < 3 THEN 3 ELSE 0 END + CASE WHEN missing = 0 AND repeated = 0 THEN 0 ELSE 2 END + CASE WHEN bad_percent > 20 THEN 2 WHEN bad_percent > 5 THEN 1 ELSE 0 END score FROM grids)"],
+ "SELECT *, CASE WHEN score >= 5 THEN 'too coarse' WHEN score >= 2 THEN 'qualitative' ELSE 'suitable' END verdict FROM scored", "volume nx:i ny:i nz:i n:i repeated:i missing:i bad_percent:d structured score:i verdict")
 def grid_inspection(spark, sf):
     f = lineitem_field(spark, sf).withColumns({a: F.col(f"i{a}") for a in "xyz"})
-    return vortex.suitability(vortex.inspect_grid(f, ["volume"], "u")).select("volume", "nx", "ny", "nz", "n", "repeated", "missing", "bad_percent")
+    return vortex.suitability(vortex.inspect_grid(f, ["volume"], "u"))
 
 
 @query("structured_indices", M, "SELECT volume, dense_rank() OVER (PARTITION BY volume ORDER BY ix) - 1 kx, dense_rank() OVER (PARTITION BY volume ORDER BY iy) - 1 ky, dense_rank() OVER (PARTITION BY volume ORDER BY iz) - 1 kz, v_mean FROM mean", "volume kx:i ky:i kz:i v_mean:d")
@@ -661,9 +630,9 @@ def shared_densities(spark, sf):
     return probe.densities(event_signal(spark, sf), ["series"], "value", 20)
 
 
-@query("matched_heights", [SIGNAL, HEIGHT], "SELECT a.height, a.m mean_a, b.m mean_b, b.m - a.m mean_difference, 100 * (b.m - a.m) / abs(a.m) mean_percent FROM (SELECT height, avg(value) m FROM heights WHERE series = 'click' GROUP BY height) a JOIN (SELECT height, avg(value) m FROM heights WHERE series = 'view' GROUP BY height) b ON a.height = b.height", "height:i mean_a:d mean_b:d mean_difference:d mean_percent:d")
+@query("matched_heights", [SIGNAL, HEIGHT, "profiles AS (SELECT series, height, avg(value) m FROM heights GROUP BY ALL)"], "SELECT a.series first_series, b.series second_series, a.height, a.m mean_a, b.m mean_b, b.m - a.m mean_difference, 100 * (b.m - a.m) / abs(a.m) mean_percent FROM profiles a JOIN profiles b ON a.series < b.series AND a.height = b.height", "first_series second_series height:i mean_a:d mean_b:d mean_difference:d mean_percent:d")
 def matched_heights(spark, sf):
-    return probe.paired(probe.profile(_heights(spark, sf), ["series", "height"], "value"), "series", ["height"], "click", "view", ["mean"])
+    return probe.all_paired(probe.profile(_heights(spark, sf), ["series", "height"], "value"), "series", ["height"], ["mean"])
 
 
 @query("baseline_ratios", W_, "SELECT r.volume, r.ix, r.d, r.d / b.d \"A_ratio\", r.d - b.d \"A_difference\", 100 * (r.d - b.d) / b.d \"A_percent\" FROM (SELECT volume, ix, avg(deficit) d FROM wake GROUP BY ALL) r LEFT JOIN (SELECT ix, avg(deficit) d FROM wake WHERE volume = 'A' GROUP BY ix) b ON r.ix = b.ix", 'volume ix:i d:d "A_ratio":d "A_difference":d "A_percent":d')
@@ -681,10 +650,14 @@ def missing_combinations(spark, sf):
 SUP = "sup AS (SELECT volume, iz, iy, ix FROM mean WHERE u_count >= ceil(0.05 * n_times))"
 
 
-@query("unequal_supports", [*M, SUP], "SELECT iz, iy, ix, 'a' only_in FROM (SELECT iz, iy, ix FROM sup WHERE volume = 'A' EXCEPT SELECT iz, iy, ix FROM sup WHERE volume = 'R') UNION ALL SELECT iz, iy, ix, 'b' FROM (SELECT iz, iy, ix FROM sup WHERE volume = 'R' EXCEPT SELECT iz, iy, ix FROM sup WHERE volume = 'A')", "iz:i iy:i ix:i only_in")
+@query("unequal_supports", [*M, SUP], """SELECT a || '-' || b pair, iz, iy, ix, only_in FROM (SELECT p.volume a, q.volume b, s.iz, s.iy, s.ix, CASE WHEN s.volume = p.volume THEN 'a' ELSE 'b' END only_in, CASE WHEN s.volume = p.volume THEN q.volume ELSE p.volume END other
+ FROM (SELECT DISTINCT volume FROM sup) p JOIN (SELECT DISTINCT volume FROM sup) q ON p.volume < q.volume JOIN sup s ON s.volume IN (p.volume, q.volume)) x WHERE NOT EXISTS (SELECT 1 FROM sup t WHERE t.volume = x.other AND t.iz = x.iz AND t.iy = x.iy AND t.ix = x.ix)""", "pair iz:i iy:i ix:i only_in")
 def unequal_supports(spark, sf):
-    s = _mean(spark, sf).filter(F.col("u_count") >= F.ceil(0.05 * F.col("n_times")))
-    return compare.unequal_supports(*(s.filter(F.col("volume") == v).select("iz", "iy", "ix") for v in ("A", "R")))
+    s = cut(_mean(spark, sf).filter(F.col("u_count") >= F.ceil(0.05 * F.col("n_times"))).select(*VOXEL))
+    names = s.select(F.col("volume").alias("p")).distinct()
+    pairs = names.join(names.withColumnRenamed("p", "q"), F.col("p") < F.col("q")).withColumn("pair", F.concat_ws("-", "p", "q"))  # of volumes
+    a, b = (s.join(pairs.select("pair", F.col(side).alias("volume")), "volume").select("pair", "iz", "iy", "ix") for side in "pq")
+    return compare.unequal_supports(a, b)
 
 
 @query("nested_supports", [*M, SUP], "SELECT volume, iz, iy, ix FROM mean WHERE v_count >= ceil(0.05 * n_times) EXCEPT SELECT volume, iz, iy, ix FROM sup", "volume iz:i iy:i ix:i")
@@ -744,14 +717,6 @@ def joint_pod_energy(spark, sf):
     return spectrum.agg(F.sum("energy").alias("energy"))
 
 
-@query("wake_pulsing")
-def wake_pulsing(spark, sf):
-    a = _averages(spark, sf).filter("component = 'u'")
-    cells = a.select("volume", "ix", "iz", "iy", "phase_bin", ((U_INF - F.col("phase_mean")) / U_INF).alias("deficit"), F.lit(1.0).alias("area"), (F.col("iy") - 2.0).alias("y"), (F.col("iz") - 1.5).alias("z"))
-    series = wake.fixed_support(cells, ["volume", "ix"], ["iz", "iy"], "phase_bin", "deficit", "area", BINS)
-    return multi.pulsing(series, ["volume", "ix"], BINS).select("volume", "ix", "value", "n", "offset", "amplitude", "r2")
-
-
 @query("surface_points", M, "SELECT volume, axis, iz, iy, ix FROM (" + " UNION ALL ".join(f"SELECT a.volume, 'i{x}' axis, " + ", ".join(f"a.i{y}" + (f" + (52.0 - a.v_mean) / (b.v_mean - a.v_mean)" if x == y else "") + f" i{y}" for y in "zyx") + f" FROM mean a JOIN mean b ON a.volume = b.volume AND " + " AND ".join(f"b.i{y} = a.i{y}" + (" + 1" if x == y else "") for y in "zyx") + " WHERE (a.v_mean < 52.0) <> (b.v_mean < 52.0)" for x in "zyx") + ")", "volume axis iz:d iy:d ix:d")
 def surface_points(spark, sf):
     return multi.surface_points(_mean(spark, sf), ["volume"], "v_mean", 52.0)
@@ -764,21 +729,6 @@ def common_slab(spark, sf):
     return multi.common_slab(g, targets, 0.05)
 
 
-@query("free_flow_scale")
-def free_flow_scale(spark, sf):
-    return workflows.Engine(_grid(spark, sf)).characterise(6)["scale"]
-
-
-@query("forcing_response")
-def forcing_response(spark, sf):
-    return workflows.Engine(lineitem_field(spark, sf)).forcing_response(BINS, 1 / PERIOD, "v", OFFSET)["volumes"]
-
-
-@query("vortex_detection")
-def vortex_detection(spark, sf):
-    return workflows.detect_vortices(_swirl(spark, sf), ["volume"], "s", "p90").select("volume", "component", "size", "peak", "integral", "diameter")
-
-
 @query("sinusoid_pair", [SIGNAL, "two AS (SELECT CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS mode, t / 86400 AS d, value AS a FROM signal WHERE value IS NOT NULL)", "m AS (SELECT mode, avg(a) my, avg(c) mc, avg(s) ms, covar_pop(c, c) cc, covar_pop(s, s) ss, covar_pop(c, s) cs, covar_pop(c, a) cy, covar_pop(s, a) sy, var_pop(a) yy FROM (SELECT *, cos(2 * pi() * d) c, sin(2 * pi() * d) s FROM two) GROUP BY mode)", "f AS (SELECT mode, (cy * ss - sy * cs) / (cc * ss - cs * cs) a, (sy * cc - cy * cs) / (cc * ss - cs * cs) b, cy, sy, yy FROM m)"],
  "SELECT p.r2 r2_1, q.r2 r2_2, p.amp amplitude_1, q.amp amplitude_2, (degrees(q.ph - p.ph) + 180) - 360 * floor((degrees(q.ph - p.ph) + 180) / 360) - 180 difference FROM (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 1) p CROSS JOIN (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 2) q", "r2_1:d r2_2:d amplitude_1:d amplitude_2:d difference:d")
 def sinusoid_pair(spark, sf):

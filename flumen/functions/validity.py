@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 MODES = ("nan", "zero", "zero-or-nan", "none")
 
 
+def clamped(current: Column, offset: Column, upper: Column) -> Column:
+    """An index moved by an offset, within 0 and upper."""
+    return F.least(F.greatest(current + offset, F.lit(0)), upper)
+
+
+def quantity(name: str) -> Column:
+    """A mean product's quantity by its name: speed (of the mean) or a component."""
+    names = {"speed": "speed_from_mean", "u": "u_mean", "v": "v_mean", "w": "w_mean"}
+    if name not in names:
+        raise ValueError(f"a quantity is one of {tuple(names)}")
+    return F.col(names[name])
+
+
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 

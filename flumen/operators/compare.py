@@ -31,6 +31,32 @@ def to_baselines(rows: DataFrame, group: str, on: list[str], value: str, baselin
     return rows
 
 
+def without_baseline(rows: DataFrame, group: str, on: list[str], baselines: tuple[str, ...]) -> DataFrame:
+    """Places and baselines that rows have no baseline row for; to_baselines gives nothing there, a strict caller stops."""
+    places = rows.select(*on).distinct().withColumn("baseline", F.explode(F.array(*map(F.lit, baselines))))
+    have = rows.select(*on, F.col(group).alias("baseline")).distinct()
+    return places.join(have, [*on, "baseline"], "left_anti")
+
+
+def broken_bands(rows: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Rows of band tables (keys, low, high, band_energy, fraction, total) that can't be right, with the reason: another
+    band than the others', energy that is not fraction x total, values out of range, repeated keys."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    first = rows.agg(F.min("low").alias("_low"), F.min("high").alias("_high"))
+    off = F.abs(F.col("band_energy") - F.col("fraction") * F.col("total")) > tolerance * F.greatest(F.abs("total"), F.lit(1.0))
+    wrong = ~F.coalesce(F.col("fraction").between(0, 1) & (F.col("total") >= 0) & ~F.isnan("band_energy"), F.lit(False))
+    checks = [(F.col("_n") > 1, "repeated"), ((F.col("low") != F.col("_low")) | (F.col("high") != F.col("_high")), "another band"), (wrong, "out of range"), (F.coalesce(off, F.lit(True)), "energy is not fraction x total")]
+    reasons = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in checks)))
+    return rows.join(n, keys).crossJoin(F.broadcast(first)).select(*keys, F.array_join(reasons, "; ").alias("reason")).filter("reason <> ''")  # one row
+
+
+def ordered_groups(rows: DataFrame, case: str = "case", distance: str = "distance", x: str = "x_start", label: str = "label") -> DataFrame:
+    """rows with place: their order in a report, by distance (unknown last), then start, case and label."""
+    from ..plans.order import running
+
+    return running(rows, [F.col(distance).asc_nulls_last(), F.col(x).asc_nulls_last(), F.col(case), F.col(label)], {"place": F.lit(1)})
+
+
 def missing_combinations(rows: DataFrame, case: str, place: str) -> DataFrame:
     """Pairs of a case and a place that each occur, but not together. Both are short lists of names."""
     pairs = rows.select(case).distinct().crossJoin(few(rows.select(place).distinct(), 1_000_000))

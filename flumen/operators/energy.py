@@ -45,6 +45,31 @@ def budget(phased: DataFrame, keys: list[str], value: str, bins: int, frequency:
     return out.select(*keys, "n", *(c.alias(k) for k, c in on.items()))
 
 
+BUDGET = ("total", "forcing", "uniform", "locked", "residual", "cv_phase", "cv_mean")
+
+
+def slab_budget(voxels: DataFrame, cells: DataFrame, slabs: DataFrame, names: tuple[str, ...] = BUDGET) -> DataFrame:
+    """Budgets of voxels (volume, ix, names) reduced over slabs of x (slab, from_, to), each voxel weighed by how much of
+    its cell (volume, idx, low, high) lies in the slab; n voxels. Voxels without a budget are left out."""
+    weights = slab_weights(cells, slabs).select("volume", F.col("idx").alias("ix"), "slab", "weight")
+    met = voxels.filter("total is not null").join(weights, ["volume", "ix"])
+    # Weighted means by slab; one that meets a value that is missing is withheld.
+    mean = lambda c: F.when(F.bool_and(finite(F.col(c))), F.try_divide(F.sum(F.col(c) * F.col("weight")), F.sum("weight")))
+    return met.groupBy("volume", "slab").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), *(mean(c).alias(c) for c in names))
+
+
+def candidates(samples: DataFrame, value: str, min_fraction: float, **window: tuple[float, float]) -> DataFrame:
+    """samples of the voxels within a window (bounds of any columns) that have a valid value in at least the fraction's
+    part of all frames: those a budget is worth working out for."""
+    n = samples.select("volume", "ti").distinct().groupBy("volume").agg(F.count("*").alias("_frames"))
+    inside = samples
+    for name, (low, high) in window.items():
+        inside = inside.filter(F.col(name).between(low, high))
+    voxel = ["volume", "iz", "iy", "ix"]
+    enough = inside.groupBy(*voxel).agg(F.count_if(finite(F.col(value))).alias("_n")).join(n, "volume").filter(F.col("_n") >= F.ceil(min_fraction * F.col("_frames")))
+    return inside.join(enough.select(*voxel), voxel, "left_semi")
+
+
 def overlap(low: Column, high: Column, from_: Column, to: Column) -> Column:
     """Length that two intervals share."""
     return F.greatest(F.least(high, to) - F.greatest(low, from_), F.lit(0.0))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from . import pod
 from .phase import bin_angle, fit_harmonic
-from .regrid import align_axis, common_support
+from .regrid import align_axis, common_support, trilinear
+from .stats import axis_spacing
 from ..functions.validity import finite
 
 
 def phase_snapshots(averages: DataFrame) -> DataFrame:
     """Phase averages (volume, voxel, component, phase_bin, coherent) as snapshots: phase by degree of freedom, blended
     over the volumes that have a value."""
-    dof = F.xxhash64("iz", "iy", "ix", "component")
+    # The voxel and component themselves, as text: a hash could make two of them one.
+    dof = F.concat_ws(",", "iz", "iy", "ix", "component")
     return averages.filter(F.col("coherent").isNotNull()).groupBy(F.col("phase_bin").alias("snapshot"), dof.alias("dof")).agg(F.avg("coherent").alias("value"))
 
 
@@ -24,6 +26,42 @@ def joint_pod(averages: DataFrame, modes: int = 4, weight: float | None = None)
     return pod.decompose(phase_snapshots(averages), modes, 1.0, weight, by="snapshot")
 
 
+def on_grid(averages: DataFrame, axes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Phase averages of volumes with grids of their own (axes: volume, axis, idx, coord) on common target points
+    (target, z, y, x): volume, target, component, phase_bin, coherent. Points outside a volume it doesn't contribute to."""
+    fields = averages.filter(F.col("coherent").isNotNull()).withColumn("_field", F.concat_ws("/", "volume", "component", "phase_bin"))
+    names = fields.select("volume", "component", "phase_bin", "_field").distinct()
+    # Each phase and component of a volume is a field of its own on the volume's axes.
+    field = fields.select(F.col("_field").alias("volume"), "iz", "iy", "ix", "coherent")
+    own = axes.join(names.select("volume", "_field"), "volume").select(F.col("_field").alias("volume"), "axis", "idx", "coord")
+    at = targets.crossJoin(names.select(F.col("_field").alias("volume")))  # the result has a row for each pair, but for holes
+    found = trilinear(field, own, at, ["coherent"]).withColumnRenamed("volume", "_field")
+    return found.join(names, "_field").select("volume", "target", "component", "phase_bin", "coherent")
+
+
+def uniform_targets(axes: DataFrame, spacing: float | None = None, most: int = 2_000_000) -> DataFrame:
+    """Target points (target, z, y, x) of an even grid over all volumes, as far apart along each axis as the coarsest
+    volume's median step (or spacing). Refuses more than `most`."""
+    spark = axes.sparkSession
+    step = axis_spacing(axes).groupBy("axis").agg(F.max("step_median").alias("step"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    by = {r["axis"]: (r["low"], r["high"], spacing or r["step"] or 1.0) for r in step}  # three rows
+    counts = {a: int((high - low) / s + 1e-9) + 1 for a, (low, high, s) in by.items()}
+    nz, ny, nx = (counts[a] for a in "zyx")
+    if nz * ny * nx > most:
+        raise ValueError(f"{nz * ny * nx} target points are more than {most}")
+    i = F.col("id")
+    place = {"z": F.floor(i / (ny * nx)), "y": F.pmod(F.floor(i / nx), F.lit(ny)), "x": F.pmod(i, F.lit(nx))}
+    return spark.range(nz * ny * nx).select(i.cast("int").alias("target"), *((by[a][0] + p * by[a][2]).alias(a) for a, p in place.items()))
+
+
+def joint_pod_on_grid(averages: DataFrame, axes: DataFrame, targets: DataFrame, modes: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decomposition of several volumes' phase averages on common points, blended where volumes overlap; points and
+    components that lack a phase are left out."""
+    blended = on_grid(averages, axes, targets).groupBy("phase_bin", "target", "component").agg(F.avg("coherent").alias("value"))
+    number = F.col("target") * 3 + F.when(F.col("component") == "u", 0).when(F.col("component") == "v", 1).otherwise(2)
+    return pod.decompose(blended.select(F.col("phase_bin").alias("snapshot"), number.alias("dof"), "value"), modes, 1.0, by="snapshot")
+
+
 def source_shares(averages: DataFrame) -> DataFrame:
     """Each volume's part of the coherent energy, where volumes on the same voxel share it."""
     key = ["iz", "iy", "ix", "component", "phase_bin"]

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .phase import fit_harmonic
 
 #: Snapshots up to which the covariance of snapshots goes to the driver (its square of numbers).
@@ -112,6 +113,68 @@ def decompose(snapshots: DataFrame, modes: int = 20, min_fraction: float = 0.0,
     return spectrum, phi.join(sign, "mode").select("mode", "dof", (F.col("phi") * F.col("sign")).alias("phi")), a.join(sign, "mode").select("mode", "snapshot", (F.col("a") * F.col("sign")).alias("a"))
 
 
+def decompose_randomised(snapshots: DataFrame, modes: int = 20, oversampling: int = 15, iterations: int = 2, min_fraction: float = 0.0, weight: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As decompose, for any number of snapshots and dofs: their covariance is looked at through modes + oversampling
+    random directions, which power iterations turn towards the strongest modes. Random numbers are hashes of dof and
+    seed, so reruns agree. Only squares of the number of directions go to the driver; fractions are of the exact total."""
+    spark = snapshots.sparkSession
+    x = cut(fluctuations(snapshots, min_fraction, weight))
+    n, total = snapshots.select("snapshot").distinct().count(), x.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
+    p = modes + oversampling
+    unit = lambda j, k: (F.pmod(F.xxhash64("dof", F.lit(seed), F.lit(j), F.lit(k)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    normal = lambda j: F.sqrt(-2 * F.ln(unit(j, 0))) * F.cos(2 * math.pi * unit(j, 1))
+    y = x.groupBy("snapshot").agg(F.array(*(F.sum(F.col("x") * normal(j)) for j in range(p))).alias("y"))
+
+    def turned(y: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
+        """y with orthonormal columns, and the matrix that made them so. Directions that vanish become zero."""
+        y = cut(y)
+        sums = y.agg(*(F.sum(F.get("y", F.lit(i)) * F.get("y", F.lit(j))) for i in range(p) for j in range(i + 1))).first()
+        g, at = np.zeros((p, p)), 0
+        for i in range(p):
+            for j in range(i + 1):
+                g[i, j] = g[j, i] = sums[at] or 0.0
+                at += 1
+        values, vectors = np.linalg.eigh(g)
+        ok = values > 1e-14 * max(values.max(), 1e-300)
+        r = vectors * np.where(ok, 1 / np.sqrt(np.where(ok, values, 1.0)), 0.0)
+        return _times(y, key, r), r
+
+    def across(q: DataFrame, have: str, want: str) -> DataFrame:
+        return x.join(q, have).groupBy(want).agg(F.array(*(F.sum(F.col("x") * F.get("y", F.lit(j))) for j in range(p))).alias("y"))
+
+    q, _ = turned(y, "snapshot")
+    for _ in range(iterations):
+        z, _ = turned(across(q, "snapshot", "dof"), "dof")
+        q, _ = turned(across(z, "dof", "snapshot"), "snapshot")
+    b = cut(across(q, "snapshot", "dof"))  # the fluctuations seen from q: its left vectors are mixed into modes
+    sums = b.agg(*(F.sum(F.get("y", F.lit(i)) * F.get("y", F.lit(j))) for i in range(p) for j in range(p))).first()
+    values, vectors = np.linalg.eigh(np.array([s or 0.0 for s in sums]).reshape(p, p))
+    order = [k for k in np.argsort(values)[::-1] if values[k] > 1e-12 * max(total, 1e-300)][:modes]
+    part = [float(values[k]) / total for k in order]
+    spectrum = spark.createDataFrame([(i + 1, float(values[k]) / max(n, 1) / 2, f, float(sum(part[: i + 1]))) for i, (k, f) in enumerate(zip(order, part))], "mode int, energy double, fraction double, cumulative double")
+    root = np.sqrt(values[order])
+    phi = _modes(_times(b, "dof", vectors[:, order] / root), "dof", "phi")
+    a = _modes(_times(q, "snapshot", vectors[:, order] * root), "snapshot", "a")
+    sign = F.broadcast(phi.groupBy("mode").agg(F.signum(F.max_by("phi", F.struct(F.abs("phi"), -F.col("dof")))).alias("sign")))  # a row each mode
+    return spectrum, phi.join(sign, "mode").select("mode", "dof", (F.col("phi") * F.col("sign")).alias("phi")), a.join(sign, "mode").select("mode", "snapshot", (F.col("a") * F.col("sign")).alias("a"))
+
+
+def _times(y: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+    """Each row's array times a small matrix."""
+    kind = dict(y.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = np.array(f["y"].tolist(), float).reshape(len(f), -1)
+            yield pd.DataFrame({key: f[key], "y": list(rows @ m)}) if len(f) else f[[key, "y"]]
+
+    return y.select(key, "y").mapInPandas(run, f"{key} {kind}, y array<double>")
+
+
+def _modes(y: DataFrame, key: str, name: str) -> DataFrame:
+    return y.select(key, F.posexplode("y").alias("mode", name)).withColumn("mode", F.col("mode") + 1)
+
+
 def reconstruct(modes: DataFrame, coefficients: DataFrame) -> DataFrame:
     """snapshot, dof and the fluctuation that the modes give."""
     return modes.join(coefficients, "mode").groupBy("snapshot", "dof").agg(F.sum(F.col("phi") * F.col("a")).alias("x"))

@@ -40,3 +40,11 @@ def paired(profiles: DataFrame, group: str, on: list[str], first: str, second: s
     a, b = profiles.filter(F.col(group) == first), profiles.filter(F.col(group) == second)
     both = a.select(*on, *(F.col(v).alias(f"{v}_a") for v in values)).join(b.select(*on, *(F.col(v).alias(f"{v}_b") for v in values)), on)
     return both.withColumns({f"{v}_difference": F.col(f"{v}_b") - F.col(f"{v}_a") for v in values} | {f"{v}_percent": 100 * F.try_divide(F.col(f"{v}_b") - F.col(f"{v}_a"), F.abs(f"{v}_a")) for v in values})
+
+
+def all_paired(profiles: DataFrame, group: str, on: list[str], values: list[str]) -> DataFrame:
+    """As paired, for every two groups: first_<group>, second_<group>. Rows are as many as a place has pairs of groups."""
+    a = profiles.select(*on, F.col(group).alias(f"first_{group}"), *(F.col(v).alias(f"{v}_a") for v in values))
+    b = profiles.select(*on, F.col(group).alias(f"second_{group}"), *(F.col(v).alias(f"{v}_b") for v in values))
+    both = a.join(b, on).filter(F.col(f"first_{group}") < F.col(f"second_{group}"))
+    return both.withColumns({f"{v}_difference": F.col(f"{v}_b") - F.col(f"{v}_a") for v in values} | {f"{v}_percent": 100 * F.try_divide(F.col(f"{v}_b") - F.col(f"{v}_a"), F.abs(f"{v}_a")) for v in values})

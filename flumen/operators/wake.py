@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.validity import finite
 from ..plans.order import few
+from ..sources.fields import nearest_index
 
 
 def disc(y: Column, z: Column, radius: float, y0: float = 0.0, z0: float = 0.0) -> Column:
@@ -45,6 +46,37 @@ def radial_average(cells: DataFrame, keys: list[str], r: str, value: str, width:
     return binned.groupBy(*keys, "ring").agg(F.avg(F.when(ok, F.col(value))).alias("mean"), F.count_if(ok).alias("n"))
 
 
+def profile(mean: DataFrame, axes: DataFrame, along: str, at: dict[str, float], u_inf: float, diameter: float, x: float | None = None) -> DataFrame:
+    """A plane's or line's deficit: volume, coordinate along an axis in diameters, deficit; at the indices nearest to the
+    given places of other axes (at), and to x. axes: volume, axis, idx, coord."""
+    picked = mean
+    for axis, place in {**at, **({} if x is None else {"x": x})}.items():
+        index = nearest_index(axes.filter(F.col("axis") == axis), place).select("volume", F.col("idx").alias(f"i{axis}"))
+        picked = picked.join(index, ["volume", f"i{axis}"], "left_semi")
+    coords = axes.filter(F.col("axis") == along).select("volume", F.col("idx").alias(f"i{along}"), (F.col("coord") / diameter).alias("coordinate"))
+    out = picked.join(coords, ["volume", f"i{along}"])
+    return out.select("volume", *(f"i{a}" for a in "zyx"), "coordinate", ((u_inf - F.col("u_mean")) / u_inf).alias("deficit"))
+
+
+def gated(rows: DataFrame, keys: list[str], x: str, target: float, r2: str, min_r2: float) -> DataFrame:
+    """What may be shown of harmonics: for each key the slice nearest to a place, and of it what is explained strictly
+    better than a minimum."""
+    known = rows.groupBy(*keys).agg(F.min_by(x, F.struct(F.abs(F.col(x) - target), F.col(x))).alias("_x"))
+    return rows.join(known, keys).filter((F.col(x) == F.col("_x")) & (F.col(r2) > min_r2)).drop("_x")
+
+
+def about_phase_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """value less its mean over all phases of a key."""
+    means = rows.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    return rows.join(means, keys).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
+
+
+def visible_phase(rows: DataFrame, keys: list[str], amplitude: str, phase: str, part: float = 0.01) -> DataFrame:
+    """The phase, null where the amplitude is below a part of the key's largest."""
+    top = rows.groupBy(*keys).agg(F.max(amplitude).alias("_top"))
+    return rows.join(top, keys).withColumn(phase, F.when(F.col(amplitude) >= part * F.col("_top"), F.col(phase))).drop("_top")
+
+
 def integrated(cells: DataFrame, keys: list[str], value: str, region: Column | None = None) -> DataFrame:
     """Mean over valid cells of a region, cells alike."""
     ok = finite(F.col(value)) & (region if region is not None else F.lit(True))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet."""
-    have = {c.lower() for c in df.columns}
+def unused(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that is neither df's nor among others."""
+    have = {c.lower() for c in (*df.columns, *others)}
     while name in have:
         name += "_"
     return name
@@ -19,7 +19,7 @@ def unused(df: DataFrame, name: str) -> str:
 def running(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
     """df in an order, written out, with a column for each total: its sum over all rows before. Spark sorts by ranges;
     sums run within each partition, and the driver adds up one number for each partition and total."""
-    part, place = unused(df, "part"), unused(df, "place")
+    part, place = unused(df, "part", *totals), unused(df, "place", *totals)
     df = cut(df.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()))
     before = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(part).agg(*(F.sum(c).alias(name) for name, c in totals.items())).orderBy(part).collect()

@@ -5,13 +5,16 @@ Batches need no loop: every operator groups by volume, so one job treats all vol
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correlation, energy, fill, phase, stats, vortex
+from ..operators import energy, fill, freeflow, phase, stats, vortex
+from ..sources import catalog
 from ..sources.fields import VOXEL
+from .lineage import cut
 
 
 @dataclass
@@ -42,27 +45,33 @@ class Engine:
     def filled(self, **how) -> DataFrame:
         return fill.fill(self.samples, **how)
 
-    def characterise(self, max_lag: int = 20, spacing: float = 1.0, blocks: int = 4) -> dict[str, DataFrame]:
-        """A free flow's tables: mean, energy, stresses, profiles, blocks, and correlations of u along x with their
-        integral scale."""
+    def characterise(self, max_lag: int = 20, spacing: float = 1.0, blocks: int = 4, probe: tuple[int, int, int] = (0, 0, 0), time_step: float = 1.0, min_pairs: int = 1) -> dict[str, DataFrame]:
+        """A free flow's tables: mean, energy, stresses, intensity, profiles, blocks; correlations of each component
+        along each axis, and in time at a probe (iz, iy, ix); their integral scales, and the length that goes with the
+        probe's time scale."""
         mean = self.mean()
         te = stats.kinetic_energy(self.samples, mean, self.mode, self.mask)
         first, last = self.samples.agg(F.min("ti"), F.max("ti")).first()
-        prime = self.samples.join(mean.select(*VOXEL, "u_mean"), VOXEL).withColumn("up", F.col("u") - F.col("u_mean"))
-        prime = prime.withColumn("up", F.when(~F.isnan("up"), F.col("up")))
-        rho = correlation.normalised(correlation.pair_moments(prime, ["volume", "ti", "iz", "iy"], "ix", "up", max_lag, ["volume"]), ["volume"])
+        primes = cut(freeflow.fluctuations(self.samples, mean))
+        rho = cut(freeflow.spatial_correlations(primes, max_lag, min_pairs))
+        in_time = cut(freeflow.temporal_correlations(primes, probe, max_lag, min_pairs))
         return {
-            "mean": mean, "energy": te, "stresses": stats.reynolds_stresses(self.samples, mean, ("all",), self.mode, self.mask), "profiles": stats.plane_profiles(mean, te),
-            "blocks": stats.blocks(self.samples, mean, blocks, first, last) if first is not None else mean.limit(0), "correlation": rho, "scale": correlation.integral_scale(rho, ["volume"], spacing),
+            "mean": mean, "energy": te, "stresses": stats.reynolds_stresses(self.samples, mean, ("all",), self.mode, self.mask), "intensity": stats.moments(self.samples, VOXEL, self.mode, self.mask),
+            "profiles": stats.plane_profiles(mean, te), "blocks": stats.blocks(self.samples, mean, blocks, first, last) if first is not None else mean.limit(0),
+            "correlations": rho, "in_time": in_time, "scales": freeflow.scales(rho, in_time, mean, probe, spacing, time_step),
         }
 
-    def forcing_response(self, bins: int, frequency: float, component: str = "u", offset: float = 0.0) -> dict[str, DataFrame]:
-        """Energy budget of a component at each voxel, and reduced over each volume."""
+    def forcing_response(self, bins: int, frequency: float, component: str = "u", offset: float = 0.0, min_samples: int = 1, slabs: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Energy budget of a component at each voxel, and reduced over each volume; with slabs (slab, from_, to, in
+        units of ix) also over these, each voxel by the part of its cell that lies in a slab."""
         phased = phase.with_phase(self.samples, bins, frequency, None, offset)
-        voxels = energy.budget(phased, VOXEL, component, bins, frequency, offset)
-        names = ["total", "forcing", "uniform", "locked", "residual", "cv_phase", "cv_mean"]
-        whole = stats.weighted(voxels.filter("total is not null").withColumn("weight", F.lit(1.0)), names, "weight", ["volume"])
-        return {"voxels": voxels, "volumes": whole}
+        voxels = energy.budget(phased, VOXEL, component, bins, frequency, offset, min_samples)
+        whole = stats.weighted(voxels.filter("total is not null").withColumn("weight", F.lit(1.0)), list(energy.BUDGET), "weight", ["volume"])
+        found = {"voxels": voxels, "volumes": whole}
+        if slabs is not None:
+            cells = self.samples.select("volume", F.col("ix").alias("idx")).distinct().select("volume", "idx", (F.col("idx") - 0.5).alias("low"), (F.col("idx") + 0.5).alias("high"))
+            found["slabs"] = energy.slab_budget(voxels, cells, slabs)
+        return found
 
 
 def detect_vortices(field: DataFrame, keys: list[str], value: str = "swirl", kind: str = "p95", min_size: int = 1) -> DataFrame:
@@ -70,3 +79,26 @@ def detect_vortices(field: DataFrame, keys: list[str], value: str = "swirl", kin
     level = vortex.thresholds(field, keys, value).filter(F.col("kind") == kind).drop("kind")
     active = field.join(level, keys).filter(F.col(value) >= F.col("level"))
     return vortex.component_stats(vortex.label(active, keys), keys, value, min_size=min_size)
+
+
+def batch(found: DataFrame, process: Callable[[str], DataFrame], output: Callable[[str], str], manifest: str, settings: catalog.Settings, limit: int | None = None, dry_run: bool = False, overwrite: bool = False) -> list[tuple[str, str, str | None]]:
+    """One product for each input file (found has path), the first `limit` in order of path: what is there already stays
+    unless it may be overwritten, what fails is noted and the others go on. The manifest gets a row for each input after
+    each of them, so that a run that breaks off is known up to there."""
+    spark, rows = found.sparkSession, []
+    paths = found.select("path").distinct().orderBy("path")
+    for path in [r["path"] for r in (paths if limit is None else paths.limit(limit)).toLocalIterator()]:
+        target = output(path)
+        try:
+            if catalog.exists(spark, target) and not overwrite:
+                row = (path, "exists", None)
+            elif dry_run:
+                row = (path, "dry-run", None)
+            else:
+                catalog.write_product(process(path), target, overwrite)
+                row = (path, "processed", None)
+        except Exception as e:  # noted with the input it comes from
+            row = (path, "failed", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+        catalog.write_manifest(spark, manifest, [row], settings)
+        rows.append(row)
+    return rows
