@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..plans.lineage import checkpoint_dir, cut
+from ..plans.order import running, unused
+
+__all__ = ["WORD", "checkpoint_dir", "cut", "if_small", "join_counted", "n_bytes", "partitions", "read", "running", "texts", "unused"]
+
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir, or the one set before. Where none is named, a temporary one
-    is made on a single machine (tests); on a cluster that is an error, as executors would not share it."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: short lineage, safe against lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -43,14 +28,6 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet."""
-    have = {c.lower() for c in df.columns}
-    while name in have:
-        name += "_"
-    return name
-
-
 #: Tables of up to so many bytes are broadcast; larger ones are joined by a shuffle.
 SMALL = 8 << 20
 #: Keys that are dealt with apart, at most; none of the others then has more than this part of the rows.
@@ -95,20 +72,3 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, h
         keyed = keyed & F.col(c).isNotNull()
     met = left.join(hot, on).unionByName(left.filter(keyed).join(hot, on, "left_anti").join(rest, on, how))
     return met.unionByName(left.filter(~keyed), allowMissingColumns=True) if how == "left" else met
-
-
-def running(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
-    """df in an order, written out, with a column for each total: its sum over all rows before. Spark sorts by ranges;
-    sums run within each partition, and the driver adds up one number for each partition and total."""
-    part, place = unused(df, "part"), unused(df, "place")
-    df = cut(df.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()))
-    before = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(part).agg(*(F.sum(c).alias(name) for name, c in totals.items())).orderBy(part).collect()
-    for name, c in totals.items():
-        offsets, total = [], 0
-        for r in sums:
-            offsets += [F.lit(r[part]), F.lit(total)]
-            total += r[name] or 0
-        offset = F.element_at(F.create_map(*offsets), F.col(part)) if offsets else F.lit(0)
-        df = df.withColumn(name, F.coalesce(F.sum(c).over(before), F.lit(0)) + offset)
-    return df.drop(part, place)
