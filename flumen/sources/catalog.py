@@ -179,3 +179,60 @@ def component_list(text: str, known: tuple[str, ...] = ("u", "v", "w")) -> list[
     if not set(found) <= set(known):
         raise ValueError(f"components are some of {known}")
     return found
+
+
+def write_mask(mask: DataFrame, path: str, settings: dict[str, str], source: str) -> None:
+    """A product of the voxels (iz, iy, ix) that a run may use, with the settings it comes from and its source's place,
+    size and time of change beside it."""
+    spark = mask.sparkSession
+    size, modified = _stamp(spark, source)
+    attrs = {**{k: str(v) for k, v in settings.items()}, "source": source, "source_size": str(size), "source_modified": str(modified)}
+    write_product(mask.select("iz", "iy", "ix"), path, attrs=attrs)
+
+
+def read_mask(spark: SparkSession, path: str, settings: dict[str, str], source: str) -> DataFrame:
+    """The mask's voxels; fails if it is empty, has repeated voxels, was made with other settings, or its source has
+    changed since."""
+    mask = spark.read.parquet(path)
+    if {"iz", "iy", "ix"} - set(mask.columns):
+        raise ValueError(f"{path} is no mask")
+    have = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}.attrs").collect()}  # a handful
+    size, modified = _stamp(spark, source)
+    want = {**{k: str(v) for k, v in settings.items()}, "source": source, "source_size": str(size), "source_modified": str(modified)}
+    wrong = sorted(k for k, v in want.items() if have.get(k) != v)
+    if wrong:
+        raise ValueError(f"the mask at {path} doesn't fit: {wrong}")
+    n, distinct = mask.agg(F.count("*"), F.count_distinct("iz", "iy", "ix")).first()
+    if not n or n != distinct:
+        raise ValueError(f"the mask at {path} is empty or has repeated voxels")
+    return mask
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of change of a file, or of all files of a folder."""
+    Path, conf = _files(spark)
+    p = Path(path)
+    fs = p.getFileSystem(conf)
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
+BANDS = "case string, distance double, low double, high double, band_energy double, fraction double, total double"
+
+
+def band_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Band energies of cases from reports; fails if they can't be right (see compare.broken_bands)."""
+    from ..operators.compare import broken_bands
+
+    rows = spark.read.schema(BANDS).option("header", True).csv(paths)
+    broken = broken_bands(rows, ["case", "distance"]).orderBy("case", "distance").limit(5).collect()
+    if broken:
+        raise ValueError(f"band tables that can't be right: {[tuple(r) for r in broken]}")
+    return rows
+
+
+def in_order_of_x(volumes: DataFrame, x: str = "x") -> DataFrame:
+    """volume and place: volumes of a case in the order of their mean x."""
+    from ..plans.order import running
+
+    means = volumes.groupBy("volume").agg(F.avg(x).alias("mean_x"))
+    return running(means, [F.col("mean_x"), F.col("volume")], {"place": F.lit(1)})

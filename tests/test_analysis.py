@@ -225,7 +225,7 @@ def test_engine_on_a_known_flow(samples):
     t = np.arange(24)
     u = 4 + 0.4 * np.cos(2 * math.pi * x[None, None, None] / 120 + 2 * math.pi * t[:, None, None, None] / 8) * np.ones((24, 1, 2, 16))
     out = workflows.Engine(samples(u)).characterise(max_lag=8, spacing=20.0)
-    assert out["scale"].first().scale == pytest.approx(120 / (2 * math.pi), rel=0.1)
+    assert out["scales"].filter("component = 'u' and axis = 'x'").first().scale == pytest.approx(120 / (2 * math.pi), rel=0.1)
     assert out["mean"].agg(F.avg("u_mean")).first()[0] == pytest.approx(4)
 
 
