@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. Minima come from a pre-aggregated groupBy and a join, so that a hub's edges stay spread out."""
+    """One round. Minima come from a pre-aggregated groupBy and a counted join, so that a hub's edges stay spread out."""
     if large:
         e = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    e = e.join(low, "u")
+    low = cut(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    e = join_counted(e, low, ["u"], "n")
     if large:
         out = e.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("u", "v").filter("u <> v").distinct())
     mark = None
     while True:
-        e = cut(_stars(_stars(e, True), False))
+        e = cut(_stars(cut(_stars(e, True)), False))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

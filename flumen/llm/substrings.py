@@ -3,15 +3,16 @@
 A passage of WINDOW words that starts in two documents holds, in the one, a whole block of BLOCK words that begins at a
 multiple of BLOCK (any 2 * BLOCK - 1 words in a row do), and the same words at some place of the other. So the blocks
 of all documents are indexed, not overlapping, and probed with every rolling window of BLOCK words. Where a probe hits a
-block of another document, the windows of WINDOW words around the hit are candidates; hashes of their whole word
-sequences tell in which document each starts first, and runs of windows that all start in an earlier document make up
-the maximal exact repeats, whose words are removed.
+block of another document, it is extended: of the windows of WINDOW words around the hit, hashes of their whole word
+sequences tell in which document, and where in it, each starts first; windows that follow each other both here and there
+are one maximal exact repeat, however long. The words of repeats that start in an earlier document are removed.
 
 Blocks are compared by 32 bits of their hash within a bucket of the hash space, which lets a few false hits through;
 windows by 64 bits, whose chance of one false match among n windows is about n^2 / 2^65.
 
 Words are runs of other than ASCII white space, unchanged. Null and empty texts have no words. Of rows with one doc_id
-none counts as earlier than the other; a null doc_id counts as earlier than all others. Other columns are ignored.
+none counts as earlier than the other; a null doc_id counts as earlier than all others. An empty table gives an empty
+one; other columns are ignored. A very long text is worked on as a whole, in memory of some fifty times its size.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import Spans
-from .mail import Texts, answer, answered, ask, ask_again, bucket_of, by_bucket, deal, finish, pack, unpack
+from .mail import NULL_ID, Texts, answer, answered, ask, ask_again, bucket_of, by_bucket, deal, finish, pack, unpack
 
 WINDOW, BLOCK = 13, 7
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -122,47 +123,71 @@ def _candidates(words: Words, buckets: int, answers: pa.Table) -> np.ndarray:
     return inside & (sums[reach : reach + n] > sums[:n])
 
 
-def _earliest(words: Words, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The candidates' places, their different hashes, which each has, and the first document here for each hash."""
+def _earliest(words: Words, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates' places, their different hashes, which each has, and for each hash the first document here that has
+    it and the word at which it starts there."""
     at = np.flatnonzero(candidate)
     hashes, to = np.unique(words.window[at], return_inverse=True)
-    first = np.full(len(hashes), np.iinfo(np.int64).max)
-    np.minimum.at(first, to, words.rank[at])
-    return at, hashes, to, first
+    place = at - words.first[words.doc[at]]
+    order = np.lexsort((place, words.rank[at], to))
+    first = order[np.flatnonzero(np.diff(to[order], prepend=-1))]
+    return at, hashes, to, words.rank[at][first], place[first]
 
 
 def _ask_windows(buckets: int):
     def question(grp: int, texts: Texts, answers: pa.Table) -> list[tuple[int, int, bytes]]:
         words = Words(texts)
         candidate = _candidates(words, buckets, answers)
-        _, hashes, _, first = _earliest(words, candidate)
+        _, hashes, _, first, place = _earliest(words, candidate)
         own = (grp % buckets, OWN, pack(np.packbits(candidate), np.array([len(candidate)], np.uint32)))
-        return [own, *((b, ASKED, pack(hashes[s], first[s])) for b, s in by_bucket(hashes, buckets))]
+        return [own, *((b, ASKED, pack(hashes[s], first[s], place[s])) for b, s in by_bucket(hashes, buckets))]
 
     return question
 
 
 def _answer_windows(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """A bit for each window: whether it starts in an earlier document than any of the group's own."""
+    """For each window a bit, whether it starts in an earlier document than any of the group's own, and of those that do
+    the first document and word."""
     out = [(g, k, p) for g, k, p in messages if k == OWN]
     read = [(g, *unpack(p)) for g, k, p in messages if k == ASKED]
     if read:
-        every, to = np.unique(np.concatenate([h for _, h, _ in read]), return_inverse=True)
-        ranks = np.concatenate([f for _, _, f in read])
-        first = np.full(len(every), np.iinfo(np.int64).max)
-        np.minimum.at(first, to, ranks)
-        earlier, at = first[to] < ranks, 0
-        for g, h, _ in read:
-            out.append((g, ASKED, pack(np.packbits(earlier[at : at + len(h)]), np.array([len(h)], np.uint32))))
+        _, to = np.unique(np.concatenate([h for _, h, _, _ in read]), return_inverse=True)
+        ranks, places = (np.concatenate([x[i] for x in read]) for i in (2, 3))
+        order = np.lexsort((places, ranks, to))
+        first = order[np.flatnonzero(np.diff(to[order], prepend=-1))][to]
+        earlier, at = ranks[first] < ranks, 0
+        for g, h, _, _ in read:
+            s = slice(at, at + len(h))
+            which = first[s][earlier[s]]
+            out.append((g, ASKED, pack(np.packbits(earlier[s]), np.array([len(h)], np.uint32), ranks[which], places[which])))
             at += len(h)
     return out
 
 
+def _extended(words: Words, at: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal exact repeats: windows that follow each other here and in the same earlier document are one. Document
+    (its row here), first word, number of words, the earlier document's rank and the first word there."""
+    doc = words.doc[at]
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = (np.diff(at) == 1) & (np.diff(doc) == 0) & (np.diff(rank) == 0) & (np.diff(place) == 1)
+    first = np.flatnonzero(~goes_on)
+    length = np.diff(np.append(first, len(at))) + WINDOW - 1
+    return doc[first], at[first] - words.first[doc[first]], length, rank[first], place[first]
+
+
 def _remove(texts: Texts, answers: pa.Table) -> pa.Table:
     words = Words(texts)
     candidate = _bits(answers, OWN)
-    at, hashes, to, first = _earliest(words, candidate)
-    repeated = at[(_bits(answers, ASKED)[to] if len(at) else np.zeros(0, bool)) | (first[to] < words.rank[at])]
+    at, hashes, to, rank, place = _earliest(words, candidate)
+    parts = answered(answers, ASKED)
+    earlier = np.concatenate([np.unpackbits(x[0], count=int(x[1][0])).astype(bool) for x in parts]) if parts else np.zeros(len(hashes), bool)
+    rank, place = rank.copy(), place.copy()
+    if parts:
+        rank[earlier], place[earlier] = (np.concatenate([x[i] for x in parts]) for i in (2, 3))
+    of, of_place = rank[to], place[to]
+    again = of < words.rank[at]
+    repeated = at[again]
+    doc, start, length, others, other_start = _extended(words, repeated, of[again], of_place[again])
     cover = np.zeros(len(words.doc) + 1, np.int64)
     cover[repeated] += 1
     np.subtract.at(cover, repeated + WINDOW, 1)
@@ -174,12 +199,17 @@ def _remove(texts: Texts, answers: pa.Table) -> pa.Table:
         n_words.append(len(own))
         n_removed.append(int(gone.sum()))
         kept.append(b" ".join(compress(own, ~gone) if n_removed[-1] else own))
-    return pa.table({"doc_id": texts.ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())})
+    others = pa.array(others, pa.int64(), mask=others == NULL_ID)
+    repeats = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64()), others, pa.array(other_start, pa.int64())], ["start", "n_words", "of", "of_start"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts.raw) + 1)), pa.int32()), repeats)
+    return pa.table({"doc_id": texts.ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": lists})
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and text, the words kept joined by blanks, for each row of docs."""
+    """doc_id, n_words, n_removed, text (the words kept, joined by blanks) and repeats for each row of docs: the maximal
+    exact repeats that were removed, each with its first word, its number of words, and the first document and word
+    where it starts. They may overlap."""
     dealt, buckets = deal(docs)
     blocks = answer(ask(dealt, _ask_blocks(buckets)), _answer_blocks)
     windows = answer(ask_again(dealt, blocks, _ask_windows(buckets)), _answer_windows)
-    return finish(dealt, windows, _remove, "doc_id long, n_words long, n_removed long, text string")
+    return finish(dealt, windows, _remove, "doc_id long, n_words long, n_removed long, text string, repeats array<struct<start: long, n_words: long, of: long, of_start: long>>")

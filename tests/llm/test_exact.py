@@ -39,8 +39,21 @@ def removed_words(docs):
 
 def test_substrings(documents, awkward):
     docs = list(enumerate(awkward))
-    got = [tuple(r) for r in substrings.deduplicated(documents(docs)).orderBy("doc_id").collect()]
+    found = substrings.deduplicated(documents(docs)).orderBy("doc_id").collect()
+    got = [tuple(r)[:4] for r in found]
     assert got == list(removed_words(docs)) and sum(r[2] for r in got) > 500
+    raw = {i: (t or "").encode().split() for i, t in docs}
+    for r in found:
+        covered = set()
+        for x in r.repeats:
+            here, there = raw[r.doc_id], raw[x.of]
+            assert x.of < r.doc_id and x.n_words >= 13 and here[x.start : x.start + x.n_words] == there[x.of_start : x.of_start + x.n_words]
+            # Maximal: a word more to either side is another one, has ended, or starts earlier still.
+            longer = here[x.start : x.start + x.n_words + 1]
+            firsts = [i for i in range(x.of + 1) for k in range(len(raw[i]) - 12) if raw[i][k : k + 13] == longer[-13:]]
+            assert len(longer) == x.n_words or longer != there[x.of_start : x.of_start + x.n_words + 1] or firsts[0] < x.of
+            covered |= set(range(x.start, x.start + x.n_words))
+        assert len(covered) == r.n_removed
 
 
 def test_substrings_of_repeated_and_null_ids(documents, prose):
