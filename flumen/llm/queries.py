@@ -86,6 +86,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) A
 """
 
 
+#: Bytes as pairs of hexadecimal digits, in pieces, as a place far into a string takes long to find.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+pieces AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 2400) AS h FROM (SELECT *, unnest(range(0, n, 1000)) AS c FROM d)),
+win AS (SELECT doc_id, c + i AS s, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, c, h, unnest(range(0, least(1000, n - 199 - c))) AS i FROM pieces)),
+hits AS (SELECT doc_id, s FROM win SEMI JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) r USING (g)),
+marked AS (SELECT b.doc_id, p, pair, max(s) OVER (PARTITION BY b.doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+ FROM (SELECT doc_id, c + i AS p, substr(h, 2 * i + 1, 2) AS pair FROM (SELECT doc_id, c, h, unnest(range(0, least(1000, n - c))) AS i FROM pieces)) b LEFT JOIN hits ON hits.doc_id = b.doc_id AND s = p),
+kept AS (SELECT doc_id, count(CASE WHEN gone THEN 1 END) AS n_removed, count(CASE WHEN gone AND NOT coalesce(before, false) THEN 1 END) AS n_spans, string_agg(CASE WHEN NOT gone THEN pair END, '' ORDER BY p) AS k
+ FROM (SELECT *, lag(gone) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM marked) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express: the others hash, train, permute by key, parse or round at random."""
-    return {"op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL}
+    return {"op2_suffix_array": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL}
