@@ -96,7 +96,11 @@ def _phased(spark: SparkSession, sf: str) -> DataFrame:
 # Scans and views
 
 
-@query("check_samples", [FIELD], "SELECT volume, sum(n) n_samples, count(DISTINCT ti) n_times, count(DISTINCT iz) nz, count(DISTINCT iy) ny, count(DISTINCT ix) nx, sum(n - 1) n_repeated, count(DISTINCT ti) * count(DISTINCT iz) * count(DISTINCT iy) * count(DISTINCT ix) - count(*) n_missing FROM (SELECT volume, ti, iz, iy, ix, count(*) n FROM field GROUP BY ALL) GROUP BY volume", "volume n_samples:i n_times:i nz:i ny:i nx:i n_repeated:i n_missing:i")
+@query("check_samples", [FIELD], (
+    "SELECT volume, sum(n) n_samples, count(DISTINCT ti) n_times, count(DISTINCT iz) nz, count(DISTINCT iy) ny, count(DISTINCT ix) nx, sum(n - 1) "
+    "n_repeated, count(DISTINCT ti) * count(DISTINCT iz) * count(DISTINCT iy) * count(DISTINCT ix) - count(*) n_missing FROM (SELECT volume, ti, iz, iy, "
+    "ix, count(*) n FROM field GROUP BY ALL) GROUP BY volume"
+), "volume n_samples:i n_times:i nz:i ny:i nx:i n_repeated:i n_missing:i")
 def check_samples(spark, sf):
     return fields.check_samples(lineitem_field(spark, sf))
 
@@ -119,7 +123,10 @@ def axis_description(spark, sf):
     return fields.describe(lineitem_field(spark, sf))
 
 
-@query("region_view", [FIELD], "SELECT volume, count(*) n, count(CASE WHEN NOT filled AND isfinite(u) THEN 1 END) n_u, avg(CASE WHEN NOT filled AND isfinite(u) THEN u * 0.001 END) u, max(t * 0.5) t FROM field WHERE ix BETWEEN 2 AND 5 AND t BETWEEN 1700 AND 2900 GROUP BY volume", "volume n:i n_u:i u:d t:d")
+@query("region_view", [FIELD], (
+    "SELECT volume, count(*) n, count(CASE WHEN NOT filled AND isfinite(u) THEN 1 END) n_u, avg(CASE WHEN NOT filled AND isfinite(u) THEN u * 0.001 END) "
+    "u, max(t * 0.5) t FROM field WHERE ix BETWEEN 2 AND 5 AND t BETWEEN 1700 AND 2900 GROUP BY volume"
+), "volume n:i n_u:i u:d t:d")
 def region_view(spark, sf):
     f = fields.selected(lineitem_field(spark, sf), 0.001, 0.5, ix=(2, 5), t=(1700, 2900))
     ok = finite(F.col("u"))
@@ -132,7 +139,10 @@ def validity_reader(spark, sf):
     return f.groupBy("volume", "iz").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"))
 
 
-@query("valid_counts", [FIELD], "SELECT volume, count(*) n, count(CASE WHEN isfinite(u) AND u <> 0 THEN 1 END) u_valid, count(CASE WHEN v <> 0 THEN 1 END) v_valid, count(CASE WHEN w <> 0 THEN 1 END) w_valid, count(CASE WHEN isfinite(u) AND (u <> 0 OR v <> 0 OR w <> 0) THEN 1 END) vector_valid FROM field GROUP BY volume", "volume n:i u_valid:i v_valid:i w_valid:i vector_valid:i")
+@query("valid_counts", [FIELD], (
+    "SELECT volume, count(*) n, count(CASE WHEN isfinite(u) AND u <> 0 THEN 1 END) u_valid, count(CASE WHEN v <> 0 THEN 1 END) v_valid, count(CASE WHEN w "
+    "<> 0 THEN 1 END) w_valid, count(CASE WHEN isfinite(u) AND (u <> 0 OR v <> 0 OR w <> 0) THEN 1 END) vector_valid FROM field GROUP BY volume"
+), "volume n:i u_valid:i v_valid:i w_valid:i vector_valid:i")
 def valid_counts(spark, sf):
     return fields.counted(lineitem_field(spark, sf), "zero-or-nan")
 
@@ -159,17 +169,27 @@ def temporal_mean(spark, sf):
     return stats.temporal_mean(lineitem_field(spark, sf), min_fraction=0.01, u_inf=U_INF).drop("n_times")
 
 
-@query("temporal_mean_vector", [FIELD], "SELECT volume, iz, iy, ix, avg(CASE WHEN ok THEN v END) v_mean, avg(CASE WHEN ok THEN w END) w_mean, count(CASE WHEN ok THEN 1 END) v_count FROM (SELECT *, isfinite(u) AND (u <> 0 OR v <> 0 OR w <> 0) ok FROM field) GROUP BY ALL", "volume iz:i iy:i ix:i v_mean:d w_mean:d v_count:i")
+@query("temporal_mean_vector", [FIELD], (
+    "SELECT volume, iz, iy, ix, avg(CASE WHEN ok THEN v END) v_mean, avg(CASE WHEN ok THEN w END) w_mean, count(CASE WHEN ok THEN 1 END) v_count FROM "
+    "(SELECT *, isfinite(u) AND (u <> 0 OR v <> 0 OR w <> 0) ok FROM field) GROUP BY ALL"
+), "volume iz:i iy:i ix:i v_mean:d w_mean:d v_count:i")
 def temporal_mean_vector(spark, sf):
     return stats.temporal_mean(lineitem_field(spark, sf), "zero-or-nan", "vector").select(*VOXEL, "v_mean", "w_mean", "v_count")
 
 
-@query("cut_by_fraction", M, "SELECT volume, iz, iy, ix, u_count, CASE WHEN u_count > 0 AND u_count >= ceil(0.05 * n_times) THEN u_mean END u_mean, CASE WHEN v_count >= ceil(0.05 * n_times) THEN v_mean END v_mean FROM mean", "volume iz:i iy:i ix:i u_count:i u_mean:d v_mean:d")
+@query("cut_by_fraction", M, (
+    "SELECT volume, iz, iy, ix, u_count, CASE WHEN u_count > 0 AND u_count >= ceil(0.05 * n_times) THEN u_mean END u_mean, CASE WHEN v_count >= ceil(0.05 "
+    "* n_times) THEN v_mean END v_mean FROM mean"
+), "volume iz:i iy:i ix:i u_count:i u_mean:d v_mean:d")
 def cut_by_fraction(spark, sf):
     return stats.cut_by_fraction(_mean(spark, sf), 0.05).select(*VOXEL, "u_count", "u_mean", "v_mean")
 
 
-@query("kinetic_energy", [FIELD], "SELECT volume, iz, iy, ix, u_prime2, v_prime2, w_prime2, u_prime2_count, 0.5 * (u_prime2 + v_prime2 + w_prime2) tke FROM (SELECT volume, iz, iy, ix, var_pop(CASE WHEN isfinite(u) THEN u END) u_prime2, var_pop(v) v_prime2, var_pop(w) w_prime2, count(CASE WHEN isfinite(u) THEN 1 END) u_prime2_count FROM field GROUP BY ALL)", "volume iz:i iy:i ix:i u_prime2:d v_prime2:d w_prime2:d u_prime2_count:i tke:d")
+@query("kinetic_energy", [FIELD], (
+    "SELECT volume, iz, iy, ix, u_prime2, v_prime2, w_prime2, u_prime2_count, 0.5 * (u_prime2 + v_prime2 + w_prime2) tke FROM (SELECT volume, iz, iy, ix, "
+    "var_pop(CASE WHEN isfinite(u) THEN u END) u_prime2, var_pop(v) v_prime2, var_pop(w) w_prime2, count(CASE WHEN isfinite(u) THEN 1 END) u_prime2_count "
+    "FROM field GROUP BY ALL)"
+), "volume iz:i iy:i ix:i u_prime2:d v_prime2:d w_prime2:d u_prime2_count:i tke:d")
 def kinetic_energy(spark, sf):
     f = lineitem_field(spark, sf)
     return stats.kinetic_energy(f, stats.temporal_mean(f)).select(*VOXEL, "u_prime2", "v_prime2", "w_prime2", "u_prime2_count", "tke")
@@ -184,27 +204,44 @@ def reynolds_stresses(spark, sf):
     return stats.reynolds_stresses(f, stats.temporal_mean(f)).select(*VOXEL, *(f"{ab}_stress" for ab in stats.STRESSES))
 
 
-@query("turbulence_intensity", [FIELD], "SELECT volume, ix, u_rms, u_count, CASE WHEN u_count >= 2 AND abs(u_mean) > 0 THEN 100 * u_rms / abs(u_mean) END u_ti, CASE WHEN u_count >= 2 AND abs(u_mean) > 0 THEN 100 * w_rms / abs(u_mean) END w_ti FROM (SELECT volume, ix, avg(u) u_mean, stddev_pop(u) u_rms, stddev_pop(w) w_rms, count(u) u_count FROM field WHERE isfinite(u) GROUP BY ALL)", "volume ix:i u_rms:d u_count:i u_ti:d w_ti:d")
+@query("turbulence_intensity", [FIELD], (
+    "SELECT volume, ix, u_rms, u_count, CASE WHEN u_count >= 2 AND abs(u_mean) > 0 THEN 100 * u_rms / abs(u_mean) END u_ti, CASE WHEN u_count >= 2 AND "
+    "abs(u_mean) > 0 THEN 100 * w_rms / abs(u_mean) END w_ti FROM (SELECT volume, ix, avg(u) u_mean, stddev_pop(u) u_rms, stddev_pop(w) w_rms, count(u) "
+    "u_count FROM field WHERE isfinite(u) GROUP BY ALL)"
+), "volume ix:i u_rms:d u_count:i u_ti:d w_ti:d")
 def turbulence_intensity(spark, sf):
     return stats.moments(lineitem_field(spark, sf), ["volume", "ix"]).select("volume", "ix", "u_rms", "u_count", "u_ti", "w_ti")
 
 
-@query("frame_stats", [FIELD], "SELECT volume, ti, min(u) u_min, max(u) u_max, min(v) v_min, max(v) v_max, min(w) w_min, max(w) w_max, avg(sqrt(u * u + v * v + w * w)) speed_mean, max(sqrt(u * u + v * v + w * w)) speed_max FROM (SELECT volume, ti, CASE WHEN isfinite(u) THEN u END u, v, w FROM field) GROUP BY ALL", "volume ti:i u_min:d u_max:d v_min:d v_max:d w_min:d w_max:d speed_mean:d speed_max:d")
+@query("frame_stats", [FIELD], (
+    "SELECT volume, ti, min(u) u_min, max(u) u_max, min(v) v_min, max(v) v_max, min(w) w_min, max(w) w_max, avg(sqrt(u * u + v * v + w * w)) speed_mean, "
+    "max(sqrt(u * u + v * v + w * w)) speed_max FROM (SELECT volume, ti, CASE WHEN isfinite(u) THEN u END u, v, w FROM field) GROUP BY ALL"
+), "volume ti:i u_min:d u_max:d v_min:d v_max:d w_min:d w_max:d speed_mean:d speed_max:d")
 def frame_stats(spark, sf):
     return stats.frame_stats(lineitem_field(spark, sf))
 
 
-VOX = "vox AS (SELECT volume, iz, iy, ix, avg(CASE WHEN isfinite(u) THEN u END) u_mean, avg(v) v_mean, avg(w) w_mean, var_pop(CASE WHEN isfinite(u) THEN u END) u_prime2, 0.5 * (var_pop(CASE WHEN isfinite(u) THEN u END) + var_pop(v) + var_pop(w)) tke FROM field GROUP BY ALL)"
+VOX = (
+    "vox AS (SELECT volume, iz, iy, ix, avg(CASE WHEN isfinite(u) THEN u END) u_mean, avg(v) v_mean, avg(w) w_mean, var_pop(CASE WHEN isfinite(u) THEN u "
+    "END) u_prime2, 0.5 * (var_pop(CASE WHEN isfinite(u) THEN u END) + var_pop(v) + var_pop(w)) tke FROM field GROUP BY ALL)"
+)
 
 
-@query("plane_profiles", [FIELD, VOX], "SELECT *, sqrt(u_var) / nullif(abs(u_mean), 0) ti FROM (" + " UNION ALL ".join(f"SELECT volume, '{a}' axis, i{a} idx, count(u_mean) n, avg(u_mean) u_mean, avg(v_mean) v_mean, avg(w_mean) w_mean, avg(u_prime2) u_var, avg(tke) tke FROM vox GROUP BY volume, i{a}" for a in "xyz") + ")", "volume axis idx:i n:i u_mean:d v_mean:d w_mean:d u_var:d tke:d ti:d")
+@query("plane_profiles", [FIELD, VOX], "SELECT *, sqrt(u_var) / nullif(abs(u_mean), 0) ti FROM (" + " UNION ALL ".join((
+    f"SELECT volume, '{a}' axis, i{a} idx, count(u_mean) n, avg(u_mean) u_mean, avg(v_mean) v_mean, avg(w_mean) w_mean, avg(u_prime2) u_var, avg(tke) tke "
+    f"FROM vox GROUP BY volume, i{a}"
+) for a in "xyz") + ")", "volume axis idx:i n:i u_mean:d v_mean:d w_mean:d u_var:d tke:d ti:d")
 def plane_profiles(spark, sf):
     f = lineitem_field(spark, sf)
     mean = stats.temporal_mean(f)
     return stats.plane_profiles(mean, stats.kinetic_energy(f, mean))
 
 
-@query("stationarity_blocks", [FIELD, VOX], "SELECT volume, block, count(*) n_voxels, avg(shift) mean_shift, avg(var) mean_var FROM (SELECT volume, iz, iy, ix, block, avg(u - u_mean) shift, var_pop(u) var FROM (SELECT *, CASE WHEN ti < 700 THEN 0 WHEN ti < 1100 THEN 1 WHEN ti < 1500 THEN 2 ELSE 3 END block FROM field WHERE ti BETWEEN 300 AND 1899 AND isfinite(u)) JOIN vox USING (volume, iz, iy, ix) GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL", "volume block:i n_voxels:i mean_shift:d mean_var:d")
+@query("stationarity_blocks", [FIELD, VOX], (
+    "SELECT volume, block, count(*) n_voxels, avg(shift) mean_shift, avg(var) mean_var FROM (SELECT volume, iz, iy, ix, block, avg(u - u_mean) shift, "
+    "var_pop(u) var FROM (SELECT *, CASE WHEN ti < 700 THEN 0 WHEN ti < 1100 THEN 1 WHEN ti < 1500 THEN 2 ELSE 3 END block FROM field WHERE ti BETWEEN 300 "
+    "AND 1899 AND isfinite(u)) JOIN vox USING (volume, iz, iy, ix) GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL"
+), "volume block:i n_voxels:i mean_shift:d mean_var:d")
 def stationarity_blocks(spark, sf):
     f = lineitem_field(spark, sf)
     return stats.blocks(f, stats.temporal_mean(f), 4, 300, 1899)
@@ -225,7 +262,10 @@ def display_limits(spark, sf):
     return stats.limits(lineitem_field(spark, sf), "v", ["volume"])
 
 
-@query("precision_statistics", [FIELD], "SELECT volume, count(*) n, avg(d) mean, quantile_cont(d, 0.95) p95, quantile_cont(d, 0.99) p99, max(d) \"max\" FROM (SELECT volume, abs(v - round(v, 1)) d FROM field) GROUP BY volume", 'volume n:i mean:d p95:d p99:d "max":d')
+@query("precision_statistics", [FIELD], (
+    "SELECT volume, count(*) n, avg(d) mean, quantile_cont(d, 0.95) p95, quantile_cont(d, 0.99) p99, max(d) \"max\" FROM (SELECT volume, abs(v - round(v, "
+    "1)) d FROM field) GROUP BY volume"
+), 'volume n:i mean:d p95:d p99:d "max":d')
 def precision_statistics(spark, sf):
     return stats.difference_stats(lineitem_field(spark, sf).withColumn("coarse", F.round("v", 1)), "v", "coarse", ["volume"])
 
@@ -233,7 +273,10 @@ def precision_statistics(spark, sf):
 # Phase
 
 
-LONG = "long AS (SELECT volume, iz, iy, ix, ti, phase_bin, 'u' component, CASE WHEN isfinite(u) THEN u END x FROM phased UNION ALL SELECT volume, iz, iy, ix, ti, phase_bin, 'v', v FROM phased UNION ALL SELECT volume, iz, iy, ix, ti, phase_bin, 'w', w FROM phased)"
+LONG = (
+    "long AS (SELECT volume, iz, iy, ix, ti, phase_bin, 'u' component, CASE WHEN isfinite(u) THEN u END x FROM phased UNION ALL SELECT volume, iz, iy, ix, "
+    "ti, phase_bin, 'v', v FROM phased UNION ALL SELECT volume, iz, iy, ix, ti, phase_bin, 'w', w FROM phased)"
+)
 AVG = """averages AS (SELECT volume, iz, iy, ix, component, phase_bin, CASE WHEN n > 0 AND n >= ceil(0.001 * bin_frames) THEN s / n END phase_mean, n phase_count, bin_frames, sum(s) OVER w / sum(n) OVER w mean
  FROM (SELECT volume, iz, iy, ix, component, phase_bin, sum(x) s, count(x) n FROM long GROUP BY ALL) JOIN (SELECT volume, phase_bin, count(DISTINCT ti) bin_frames FROM phased GROUP BY ALL) USING (volume, phase_bin) WINDOW w AS (PARTITION BY volume, iz, iy, ix, component))"""
 PH = [FIELD, PHASED, LONG, AVG]
@@ -243,7 +286,10 @@ def _averages(spark: SparkSession, sf: str) -> DataFrame:
     return phase.phase_average(_phased(spark, sf), min_fraction=0.001)
 
 
-@query("phase_average", PH, f"SELECT *, phase_mean - mean coherent, CASE WHEN component = 'u' THEN ({U_INF} - phase_mean) / {U_INF} END phase_deficit, CASE WHEN component = 'u' THEN -(phase_mean - mean) / {U_INF} END coherent_deficit FROM averages", "volume iz:i iy:i ix:i component phase_bin:i phase_mean:d phase_count:i bin_frames:i mean:d coherent:d phase_deficit:d coherent_deficit:d")
+@query("phase_average", PH, (
+    f"SELECT *, phase_mean - mean coherent, CASE WHEN component = 'u' THEN ({U_INF} - phase_mean) / {U_INF} END phase_deficit, CASE WHEN component = 'u' "
+    f"THEN -(phase_mean - mean) / {U_INF} END coherent_deficit FROM averages"
+), "volume iz:i iy:i ix:i component phase_bin:i phase_mean:d phase_count:i bin_frames:i mean:d coherent:d phase_deficit:d coherent_deficit:d")
 def phase_average(spark, sf):
     return phase.phase_average(_phased(spark, sf), min_fraction=0.001, u_inf=U_INF)
 
@@ -263,12 +309,19 @@ def phase_coverage(spark, sf):
     return phase.coverage(_phased(spark, sf), BINS, 1, 2, 3, 0.02)
 
 
-@query("harmonic_display_mask", PH, f"SELECT volume, iz, iy, ix, component, bool_and(phase_count >= greatest(ceil(0.002 * bin_frames), 1)) AND count(*) = {BINS} shown, min(phase_count / bin_frames) least_share FROM averages GROUP BY ALL", "volume iz:i iy:i ix:i component shown least_share:d")
+@query("harmonic_display_mask", PH, (
+    f"SELECT volume, iz, iy, ix, component, bool_and(phase_count >= greatest(ceil(0.002 * bin_frames), 1)) AND count(*) = {BINS} shown, min(phase_count / "
+    "bin_frames) least_share FROM averages GROUP BY ALL"
+), "volume iz:i iy:i ix:i component shown least_share:d")
 def harmonic_display_mask(spark, sf):
     return phase.all_bins(_averages(spark, sf), BINS, 0.002)
 
 
-@query("phase_quality", PH, "SELECT *, std / sqrt(n) standard_error FROM (SELECT p.volume, p.iz, p.iy, p.ix, p.phase_bin, count(*) n, avg(u) mean, stddev_samp(u) std, max(phase_mean - a.mean) coherent, sqrt(avg((u - phase_mean) * (u - phase_mean))) residual_rms FROM phased p JOIN averages a ON a.component = 'u' AND a.volume = p.volume AND a.iz = p.iz AND a.iy = p.iy AND a.ix = p.ix AND a.phase_bin = p.phase_bin WHERE isfinite(u) GROUP BY ALL)", "volume iz:i iy:i ix:i phase_bin:i n:i mean:d std:d coherent:d residual_rms:d standard_error:d")
+@query("phase_quality", PH, (
+    "SELECT *, std / sqrt(n) standard_error FROM (SELECT p.volume, p.iz, p.iy, p.ix, p.phase_bin, count(*) n, avg(u) mean, stddev_samp(u) std, "
+    "max(phase_mean - a.mean) coherent, sqrt(avg((u - phase_mean) * (u - phase_mean))) residual_rms FROM phased p JOIN averages a ON a.component = 'u' AND "
+    "a.volume = p.volume AND a.iz = p.iz AND a.iy = p.iy AND a.ix = p.ix AND a.phase_bin = p.phase_bin WHERE isfinite(u) GROUP BY ALL)"
+), "volume iz:i iy:i ix:i phase_bin:i n:i mean:d std:d coherent:d residual_rms:d standard_error:d")
 def phase_quality(spark, sf):
     return phase.quality(_phased(spark, sf), _averages(spark, sf), BINS).filter("n > 0")
 
@@ -303,7 +356,10 @@ def energy_budget(spark, sf):
     return energy.budget(_phased(spark, sf), ["volume", "ix"], "v", BINS, 1 / PERIOD, OFFSET).select("volume", "ix", "n", "total", "locked", "residual", "cv_mean", "cv_phase")
 
 
-@query("energy_reduction", [FIELD, VOX], "SELECT volume, CASE WHEN count(*) = count(tke) THEN sum(tke * (ix + 1)) / sum(ix + 1) END tke, sum(w_mean * (ix + 1)) / sum(ix + 1) w_mean FROM vox GROUP BY volume", "volume tke:d w_mean:d")
+@query("energy_reduction", [FIELD, VOX], (
+    "SELECT volume, CASE WHEN count(*) = count(tke) THEN sum(tke * (ix + 1)) / sum(ix + 1) END tke, sum(w_mean * (ix + 1)) / sum(ix + 1) w_mean FROM vox "
+    "GROUP BY volume"
+), "volume tke:d w_mean:d")
 def energy_reduction(spark, sf):
     f = lineitem_field(spark, sf)
     mean = stats.temporal_mean(f)
@@ -311,7 +367,11 @@ def energy_reduction(spark, sf):
     return stats.weighted(both, ["tke", "w_mean"], "weight", ["volume"])
 
 
-@query("slab_overlap", M, "SELECT volume, slab, sum(w * u_mean) / sum(w) u, sum(w) weight FROM (SELECT volume, u_mean, slab, greatest(least(ix + 0.5, hi) - greatest(ix - 0.5, lo), 0) w FROM mean CROSS JOIN (VALUES ('near', 0.5, 2.75), ('far', 2.75, 9.0)) s(slab, lo, hi) WHERE u_mean IS NOT NULL AND ix + 0.5 > lo AND ix - 0.5 < hi) GROUP BY ALL", "volume slab u:d weight:d")
+@query("slab_overlap", M, (
+    "SELECT volume, slab, sum(w * u_mean) / sum(w) u, sum(w) weight FROM (SELECT volume, u_mean, slab, greatest(least(ix + 0.5, hi) - greatest(ix - 0.5, "
+    "lo), 0) w FROM mean CROSS JOIN (VALUES ('near', 0.5, 2.75), ('far', 2.75, 9.0)) s(slab, lo, hi) WHERE u_mean IS NOT NULL AND ix + 0.5 > lo AND ix - "
+    "0.5 < hi) GROUP BY ALL"
+), "volume slab u:d weight:d")
 def slab_overlap(spark, sf):
     cells = _mean(spark, sf).filter(finite(F.col("u_mean"))).select("volume", "u_mean", (F.col("ix") - 0.5).alias("low"), (F.col("ix") + 0.5).alias("high"))
     slabs = spark.createDataFrame([("near", 0.5, 2.75), ("far", 2.75, 9.0)], "slab string, from_ double, to double")
@@ -359,7 +419,10 @@ def trilinear_points(spark, sf):
     return regrid.trilinear(mean, axes, targets, ["v_mean"])
 
 
-@query("common_support", M, "SELECT iz, iy, ix, bool_and(u_count >= ceil(0.05 * n_times) AND u_count >= 2) AND count(DISTINCT volume) = (SELECT count(DISTINCT volume) FROM mean) support, min(u_count / n_times) availability FROM mean GROUP BY ALL", "iz:i iy:i ix:i support availability:d")
+@query("common_support", M, (
+    "SELECT iz, iy, ix, bool_and(u_count >= ceil(0.05 * n_times) AND u_count >= 2) AND count(DISTINCT volume) = (SELECT count(DISTINCT volume) FROM mean) "
+    "support, min(u_count / n_times) availability FROM mean GROUP BY ALL"
+), "iz:i iy:i ix:i support availability:d")
 def common_support(spark, sf):
     counts = _mean(spark, sf).select("volume", "iz", "iy", "ix", F.col("u_count").alias("n"), "n_times")
     return regrid.common_support(counts, ["iz", "iy", "ix"], "volume", 0.05)
@@ -370,12 +433,22 @@ def blended_volumes(spark, sf):
     return regrid.blend(_mean(spark, sf), ["iz", "iy", "ix"], "u_mean")
 
 
-@query("overlap_diagnostics", M, "SELECT a.volume AS \"first\", b.volume AS \"second\", count(*) n, sqrt(avg(pow(a.v_mean - b.v_mean, 2) + pow(a.w_mean - b.w_mean, 2))) rms, sqrt(pow(sum(a.v_mean * b.v_mean + a.w_mean * b.w_mean), 2) + pow(sum(a.w_mean * b.v_mean - a.v_mean * b.w_mean), 2)) / sqrt(sum(a.v_mean * a.v_mean + a.w_mean * a.w_mean) * sum(b.v_mean * b.v_mean + b.w_mean * b.w_mean)) correlation, degrees(atan2(sum(a.w_mean * b.v_mean - a.v_mean * b.w_mean), sum(a.v_mean * b.v_mean + a.w_mean * b.w_mean))) phase_difference FROM mean a JOIN mean b ON a.iz = b.iz AND a.iy = b.iy AND a.ix = b.ix AND a.volume < b.volume GROUP BY ALL", '"first" "second" n:i rms:d correlation:d phase_difference:d')
+@query("overlap_diagnostics", M, (
+    "SELECT a.volume AS \"first\", b.volume AS \"second\", count(*) n, sqrt(avg(pow(a.v_mean - b.v_mean, 2) + pow(a.w_mean - b.w_mean, 2))) rms, "
+    "sqrt(pow(sum(a.v_mean * b.v_mean + a.w_mean * b.w_mean), 2) + pow(sum(a.w_mean * b.v_mean - a.v_mean * b.w_mean), 2)) / sqrt(sum(a.v_mean * a.v_mean "
+    "+ a.w_mean * a.w_mean) * sum(b.v_mean * b.v_mean + b.w_mean * b.w_mean)) correlation, degrees(atan2(sum(a.w_mean * b.v_mean - a.v_mean * b.w_mean), "
+    "sum(a.v_mean * b.v_mean + a.w_mean * b.w_mean))) phase_difference FROM mean a JOIN mean b ON a.iz = b.iz AND a.iy = b.iy AND a.ix = b.ix AND a.volume "
+    "< b.volume GROUP BY ALL"
+), '"first" "second" n:i rms:d correlation:d phase_difference:d')
 def overlap_diagnostics(spark, sf):
     return regrid.overlap_diagnostics(_mean(spark, sf), ["iz", "iy", "ix"], "v_mean", "w_mean")
 
 
-@query("cell_widths", [FIELD], "SELECT volume, idx, CASE WHEN b IS NULL OR a IS NULL THEN coalesce(a, b) / 2 ELSE (a + b) / 2 END width FROM (SELECT volume, ix idx, coord - lag(coord) OVER w b, lead(coord) OVER w - coord a FROM (SELECT DISTINCT volume, ix, CAST(ix * ix AS DOUBLE) coord FROM field) WINDOW w AS (PARTITION BY volume ORDER BY ix))", "volume idx:i width:d")
+@query("cell_widths", [FIELD], (
+    "SELECT volume, idx, CASE WHEN b IS NULL OR a IS NULL THEN coalesce(a, b) / 2 ELSE (a + b) / 2 END width FROM (SELECT volume, ix idx, coord - "
+    "lag(coord) OVER w b, lead(coord) OVER w - coord a FROM (SELECT DISTINCT volume, ix, CAST(ix * ix AS DOUBLE) coord FROM field) WINDOW w AS (PARTITION "
+    "BY volume ORDER BY ix))"
+), "volume idx:i width:d")
 def cell_widths(spark, sf):
     axes = fields.axes_of(lineitem_field(spark, sf).withColumn("x2", F.col("ix") * F.col("ix")), x="x2")
     return regrid.centre_widths(axes).select("volume", "idx", "width")
@@ -429,7 +502,11 @@ def pod_reconstruction(spark, sf):
 
 HOURS = "hours AS (SELECT series, floor(t / 3600) AS h, avg(value) AS x FROM signal WHERE value IS NOT NULL GROUP BY ALL)"
 HX = "hx AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY h) - 1 AS i, x - avg(x) OVER (PARTITION BY series) AS x, count(*) OVER (PARTITION BY series) AS n FROM hours)"
-PSD = "psd AS (SELECT series, k, k / CAST(n AS DOUBLE) AS frequency, CASE WHEN k = 0 OR 2 * k = n THEN 1.0 ELSE 2.0 END * (pow(sum(x * cos(2 * pi() * ((k * i) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((k * i) % n) / n)), 2)) / n AS psd FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM hx) GROUP BY series, k, n)"
+PSD = (
+    "psd AS (SELECT series, k, k / CAST(n AS DOUBLE) AS frequency, CASE WHEN k = 0 OR 2 * k = n THEN 1.0 ELSE 2.0 END * (pow(sum(x * cos(2 * pi() * ((k * "
+    "i) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((k * i) % n) / n)), 2)) / n AS psd FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM hx) GROUP "
+    "BY series, k, n)"
+)
 SP = [SIGNAL, HOURS, HX, PSD]
 
 
@@ -452,19 +529,34 @@ def spectral_peak(spark, sf):
     return spectra.peak(_psd(spark, sf), ["series"])
 
 
-@query("band_energy", SP, "SELECT series, sum(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN psd END) * max(frequency / nullif(k, 0)) band_energy, sum(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN psd END) / sum(psd) band_fraction, max(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN frequency END) last_frequency FROM psd WHERE k > 0 GROUP BY series", "series band_energy:d band_fraction:d last_frequency:d")
+@query("band_energy", SP, (
+    "SELECT series, sum(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN psd END) * max(frequency / nullif(k, 0)) band_energy, sum(CASE WHEN frequency "
+    "BETWEEN 0.02 AND 0.1 THEN psd END) / sum(psd) band_fraction, max(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN frequency END) last_frequency FROM psd "
+    "WHERE k > 0 GROUP BY series"
+), "series band_energy:d band_fraction:d last_frequency:d")
 def band_energy(spark, sf):
     return spectra.band_energy(_psd(spark, sf), ["series"], 0.02, 0.1)
 
 
-@query("band_table", SP, "SELECT series, band, sum(psd * frequency / k) energy, count(*) n_bins, sum(psd * frequency / k) / max(whole) fraction FROM (SELECT *, sum(psd * frequency / k) OVER (PARTITION BY series) whole FROM psd WHERE k > 0) JOIN (VALUES ('daily', 0.03, 0.06), ('half', 0.07, 0.09)) b(band, low, high) ON frequency BETWEEN low AND high GROUP BY ALL", "series band energy:d n_bins:i fraction:d")
+@query("band_table", SP, (
+    "SELECT series, band, sum(psd * frequency / k) energy, count(*) n_bins, sum(psd * frequency / k) / max(whole) fraction FROM (SELECT *, sum(psd * "
+    "frequency / k) OVER (PARTITION BY series) whole FROM psd WHERE k > 0) JOIN (VALUES ('daily', 0.03, 0.06), ('half', 0.07, 0.09)) b(band, low, high) ON "
+    "frequency BETWEEN low AND high GROUP BY ALL"
+), "series band energy:d n_bins:i fraction:d")
 def band_table(spark, sf):
     bands = spark.createDataFrame([("daily", 0.03, 0.06), ("half", 0.07, 0.09)], "band string, low double, high double")
     return spectra.band_table(_psd(spark, sf), ["series"], bands)
 
 
-@query("welch_spectrum", [SIGNAL, HOURS, "hi AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY h) - 1 AS i, x, count(*) OVER (PARTITION BY series) AS n FROM hours)", "seg AS (SELECT series, s, i - 16 * s AS j, x - avg(x) OVER (PARTITION BY series, s) AS x FROM hi JOIN (SELECT unnest(range(0, 100000)) s) ON i BETWEEN 16 * s AND 16 * s + 31 AND 16 * s + 32 <= n)"],
- "SELECT series, k, k / 32.0 frequency, avg(p) psd, count(*) n_segments FROM (SELECT series, s, k, CASE WHEN k IN (0, 16) THEN 1.0 ELSE 2.0 END * (pow(sum(x * wt * cos(2 * pi() * ((k * j) % 32) / 32)), 2) + pow(sum(x * wt * sin(2 * pi() * ((k * j) % 32) / 32)), 2)) / sum(wt * wt) p FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / 32) wt, unnest(range(0, 17)) k FROM seg) GROUP BY series, s, k) GROUP BY ALL", "series k:i frequency:d psd:d n_segments:i")
+@query("welch_spectrum", [SIGNAL, HOURS, "hi AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY h) - 1 AS i, x, count(*) OVER (PARTITION BY series) AS n FROM hours)", (
+    "seg AS (SELECT series, s, i - 16 * s AS j, x - avg(x) OVER (PARTITION BY series, s) AS x FROM hi JOIN (SELECT unnest(range(0, 100000)) s) ON i "
+    "BETWEEN 16 * s AND 16 * s + 31 AND 16 * s + 32 <= n)"
+)],
+ (
+     "SELECT series, k, k / 32.0 frequency, avg(p) psd, count(*) n_segments FROM (SELECT series, s, k, CASE WHEN k IN (0, 16) THEN 1.0 ELSE 2.0 END * "
+     "(pow(sum(x * wt * cos(2 * pi() * ((k * j) % 32) / 32)), 2) + pow(sum(x * wt * sin(2 * pi() * ((k * j) % 32) / 32)), 2)) / sum(wt * wt) p FROM (SELECT "
+     "*, 0.5 - 0.5 * cos(2 * pi() * j / 32) wt, unnest(range(0, 17)) k FROM seg) GROUP BY series, s, k) GROUP BY ALL"
+ ), "series k:i frequency:d psd:d n_segments:i")
 def welch_spectrum(spark, sf):
     return spectra.welch(_hours(spark, sf), ["series"], "i", "x", 1.0, 32)
 
@@ -481,7 +573,10 @@ def _wake(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumns({"y": F.col("iy") - 2.0, "z": F.col("iz") - 1.5})
 
 
-@query("radial_average", W_, "SELECT volume, ix, CAST(floor(sqrt(y * y + z * z) / 0.5) AS INTEGER) ring, avg(deficit) mean, count(deficit) n FROM wake WHERE floor(sqrt(y * y + z * z) / 0.5) < (SELECT ceil((max(sqrt(y * y + z * z)) + 0.5) / 0.5) - 1 FROM wake) GROUP BY ALL", "volume ix:i ring:i mean:d n:i")
+@query("radial_average", W_, (
+    "SELECT volume, ix, CAST(floor(sqrt(y * y + z * z) / 0.5) AS INTEGER) ring, avg(deficit) mean, count(deficit) n FROM wake WHERE floor(sqrt(y * y + z * "
+    "z) / 0.5) < (SELECT ceil((max(sqrt(y * y + z * z)) + 0.5) / 0.5) - 1 FROM wake) GROUP BY ALL"
+), "volume ix:i ring:i mean:d n:i")
 def radial_average(spark, sf):
     return wake.radial_average(_wake(spark, sf).withColumn("r", F.sqrt(F.col("y") * F.col("y") + F.col("z") * F.col("z"))), ["volume", "ix"], "r", "deficit", 0.5)
 
@@ -491,17 +586,27 @@ def integrated_deficit(spark, sf):
     return wake.integrated(wake.nearest_plane(_wake(spark, sf), "ix", 3.2), ["volume"], "deficit", wake.disc(F.col("y"), F.col("z"), 2.0))
 
 
-@query("deficit_by_slice", W_, "SELECT volume, ix, n, CASE WHEN n >= ceil(0.9 * max(n) OVER (PARTITION BY volume)) THEN mean END mean FROM (SELECT volume, ix, avg(deficit) mean, count(deficit) n FROM wake GROUP BY ALL) QUALIFY ix > min(ix) OVER (PARTITION BY volume) AND ix < max(ix) OVER (PARTITION BY volume)", "volume ix:i n:i mean:d")
+@query("deficit_by_slice", W_, (
+    "SELECT volume, ix, n, CASE WHEN n >= ceil(0.9 * max(n) OVER (PARTITION BY volume)) THEN mean END mean FROM (SELECT volume, ix, avg(deficit) mean, "
+    "count(deficit) n FROM wake GROUP BY ALL) QUALIFY ix > min(ix) OVER (PARTITION BY volume) AND ix < max(ix) OVER (PARTITION BY volume)"
+), "volume ix:i n:i mean:d")
 def deficit_by_slice(spark, sf):
     return wake.integrated_by_slice(_wake(spark, sf), "deficit", 0.9, 1)
 
 
-@query("slab_velocity", M, "SELECT volume, ix, avg(CASE WHEN u_count / n_times > 0.03 THEN u_mean END) u_mean, count(CASE WHEN u_count / n_times > 0.03 THEN u_mean END) n FROM mean GROUP BY ALL", "volume ix:i u_mean:d n:i")
+@query("slab_velocity", M, (
+    "SELECT volume, ix, avg(CASE WHEN u_count / n_times > 0.03 THEN u_mean END) u_mean, count(CASE WHEN u_count / n_times > 0.03 THEN u_mean END) n FROM "
+    "mean GROUP BY ALL"
+), "volume ix:i u_mean:d n:i")
 def slab_velocity(spark, sf):
     return wake.slab_mean(_mean(spark, sf), 0.03)
 
 
-@query("wake_centre", W_, "SELECT volume, ix, sum(CASE WHEN deficit > 0 THEN deficit * 0.25 * y END) / sum(CASE WHEN deficit > 0 THEN deficit * 0.25 END) y, sum(CASE WHEN deficit > 0 THEN deficit * 0.25 * z END) / sum(CASE WHEN deficit > 0 THEN deficit * 0.25 END) z, sum(CASE WHEN deficit > 0 THEN deficit * 0.25 END) strength FROM wake GROUP BY ALL", "volume ix:i y:d z:d strength:d")
+@query("wake_centre", W_, (
+    "SELECT volume, ix, sum(CASE WHEN deficit > 0 THEN deficit * 0.25 * y END) / sum(CASE WHEN deficit > 0 THEN deficit * 0.25 END) y, sum(CASE WHEN "
+    "deficit > 0 THEN deficit * 0.25 * z END) / sum(CASE WHEN deficit > 0 THEN deficit * 0.25 END) z, sum(CASE WHEN deficit > 0 THEN deficit * 0.25 END) "
+    "strength FROM wake GROUP BY ALL"
+), "volume ix:i y:d z:d strength:d")
 def wake_centre(spark, sf):
     return wake.centre(_wake(spark, sf), ["volume", "ix"], "deficit", F.lit(0.25))
 
@@ -529,7 +634,10 @@ def outside_earlier(spark, sf):
     return wake.outside_earlier(cells, "order").groupBy("volume").agg(F.count("*").alias("n"))
 
 
-@query("straight_line", M, "SELECT volume, volume IS NULL pooled, count(*) n, regr_slope(v_mean, ix) slope, regr_intercept(v_mean, ix) intercept, regr_r2(v_mean, ix) r2, sqrt((regr_syy(v_mean, ix) - regr_slope(v_mean, ix) * regr_sxy(v_mean, ix)) / count(*)) rmse FROM mean GROUP BY GROUPING SETS ((volume), ())", "volume pooled n:i slope:d intercept:d r2:d rmse:d")
+@query("straight_line", M, (
+    "SELECT volume, volume IS NULL pooled, count(*) n, regr_slope(v_mean, ix) slope, regr_intercept(v_mean, ix) intercept, regr_r2(v_mean, ix) r2, "
+    "sqrt((regr_syy(v_mean, ix) - regr_slope(v_mean, ix) * regr_sxy(v_mean, ix)) / count(*)) rmse FROM mean GROUP BY GROUPING SETS ((volume), ())"
+), "volume pooled n:i slope:d intercept:d r2:d rmse:d")
 def straight_line(spark, sf):
     return wake.straight_line(_mean(spark, sf), ["volume"], "ix", "v_mean")
 
@@ -538,7 +646,10 @@ def straight_line(spark, sf):
 
 
 SW = f"swirl AS (SELECT *, CASE WHEN u_mean IS NOT NULL THEN -(v_mean - 38) * (u_mean - 25) * 4 / ({U_INF} * {U_INF}) END AS s FROM mean)"
-SG = "signed AS (SELECT volume, iz, iy, ix, greatest(CASE WHEN top <= 0 AND low < 0 THEN -s ELSE s END, 0) AS s FROM swirl JOIN (SELECT volume, max(s) top, min(s) low FROM swirl GROUP BY volume) USING (volume))"
+SG = (
+    "signed AS (SELECT volume, iz, iy, ix, greatest(CASE WHEN top <= 0 AND low < 0 THEN -s ELSE s END, 0) AS s FROM swirl JOIN (SELECT volume, max(s) top, "
+    "min(s) low FROM swirl GROUP BY volume) USING (volume))"
+)
 V_ = [*M, SW, SG]
 
 
@@ -564,9 +675,19 @@ def _active(spark: SparkSession, sf: str, quantile: float = 0.7) -> DataFrame:
     return s.join(level, "volume").filter(F.col("s") >= F.col("level"))
 
 
-ACT = "act AS (SELECT volume, iz, iy, ix, s, (ix * 100 + iy) * 100 + iz AS c FROM signed JOIN (SELECT volume, quantile_cont(s, 0.7) level FROM signed WHERE s > 0 GROUP BY volume) USING (volume) WHERE s >= level)"
-REACH = "reach AS (SELECT volume, c, c AS r FROM act UNION SELECT b.volume, b.c, p.r FROM reach p JOIN act a ON a.volume = p.volume AND a.c = p.c JOIN act b ON b.volume = a.volume AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1)"
-COMP = "SELECT volume, size, ix_centre, iy_centre, iz_centre, peak, integral FROM (SELECT volume, root, count(*) size, avg(ix) ix_centre, avg(iy) iy_centre, avg(iz) iz_centre, max(s) peak, sum(s) integral FROM act JOIN (SELECT volume, c, min(r) root FROM reach GROUP BY ALL) USING (volume, c) GROUP BY ALL) WHERE size >= 2"
+ACT = (
+    "act AS (SELECT volume, iz, iy, ix, s, (ix * 100 + iy) * 100 + iz AS c FROM signed JOIN (SELECT volume, quantile_cont(s, 0.7) level FROM signed WHERE "
+    "s > 0 GROUP BY volume) USING (volume) WHERE s >= level)"
+)
+REACH = (
+    "reach AS (SELECT volume, c, c AS r FROM act UNION SELECT b.volume, b.c, p.r FROM reach p JOIN act a ON a.volume = p.volume AND a.c = p.c JOIN act b "
+    "ON b.volume = a.volume AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1)"
+)
+COMP = (
+    "SELECT volume, size, ix_centre, iy_centre, iz_centre, peak, integral FROM (SELECT volume, root, count(*) size, avg(ix) ix_centre, avg(iy) iy_centre, "
+    "avg(iz) iz_centre, max(s) peak, sum(s) integral FROM act JOIN (SELECT volume, c, min(r) root FROM reach GROUP BY ALL) USING (volume, c) GROUP BY ALL) "
+    "WHERE size >= 2"
+)
 
 
 @query("components_3d", ["RECURSIVE " + FIELD, TIMES, MEAN, SW, SG, ACT, REACH], COMP, "volume size:i ix_centre:d iy_centre:d iz_centre:d peak:d integral:d")
@@ -575,31 +696,53 @@ def components_3d(spark, sf):
     return found.select("volume", "size", "ix_centre", "iy_centre", "iz_centre", "peak", "integral")
 
 
-@query("components_2d", ["RECURSIVE " + FIELD, TIMES, MEAN, SW, SG, ACT.replace("act AS", "act0 AS"), "act AS (SELECT * FROM act0)", "reach AS (SELECT volume, iz, c, c AS r FROM act UNION SELECT b.volume, b.iz, b.c, p.r FROM reach p JOIN act a ON a.volume = p.volume AND a.c = p.c JOIN act b ON b.volume = a.volume AND a.iz = b.iz AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1)"], "SELECT volume, iz, count(*) size, max(s) peak FROM act JOIN (SELECT volume, c, min(r) root FROM reach GROUP BY ALL) USING (volume, c) GROUP BY volume, iz, root", "volume iz:i size:i peak:d")
+@query("components_2d", ["RECURSIVE " + FIELD, TIMES, MEAN, SW, SG, ACT.replace("act AS", "act0 AS"), "act AS (SELECT * FROM act0)", (
+    "reach AS (SELECT volume, iz, c, c AS r FROM act UNION SELECT b.volume, b.iz, b.c, p.r FROM reach p JOIN act a ON a.volume = p.volume AND a.c = p.c "
+    "JOIN act b ON b.volume = a.volume AND a.iz = b.iz AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1)"
+)], (
+    "SELECT volume, iz, count(*) size, max(s) peak FROM act JOIN (SELECT volume, c, min(r) root FROM reach GROUP BY ALL) USING (volume, c) GROUP BY "
+    "volume, iz, root"
+), "volume iz:i size:i peak:d")
 def components_2d(spark, sf):
     found = vortex.component_stats(vortex.label(_active(spark, sf), ["volume", "iz"], ("iy", "ix")), ["volume", "iz"], "s", ("iy", "ix"))
     return found.select("volume", "iz", "size", "peak")
 
 
-@query("grid_inspection", [FIELD, "grids AS (SELECT volume, count(DISTINCT ix) nx, count(DISTINCT iy) ny, count(DISTINCT iz) nz, sum(n) n, sum(n) - count(*) repeated, count(DISTINCT ix) * count(DISTINCT iy) * count(DISTINCT iz) - count(*) missing, 100.0 * sum(bad) / sum(n) bad_percent FROM (SELECT volume, ix, iy, iz, count(*) n, count(CASE WHEN NOT isfinite(u) THEN 1 END) bad FROM field GROUP BY ALL) GROUP BY volume)", "scored AS (SELECT *, missing = 0 AND repeated = 0 structured, CASE WHEN least(nx, ny, nz) < 3 THEN 3 ELSE 0 END + CASE WHEN missing = 0 AND repeated = 0 THEN 0 ELSE 2 END + CASE WHEN bad_percent > 20 THEN 2 WHEN bad_percent > 5 THEN 1 ELSE 0 END score FROM grids)"],
+@query("grid_inspection", [FIELD, (
+    "grids AS (SELECT volume, count(DISTINCT ix) nx, count(DISTINCT iy) ny, count(DISTINCT iz) nz, sum(n) n, sum(n) - count(*) repeated, count(DISTINCT "
+    "ix) * count(DISTINCT iy) * count(DISTINCT iz) - count(*) missing, 100.0 * sum(bad) / sum(n) bad_percent FROM (SELECT volume, ix, iy, iz, count(*) n, "
+    "count(CASE WHEN NOT isfinite(u) THEN 1 END) bad FROM field GROUP BY ALL) GROUP BY volume)"
+), (
+    "scored AS (SELECT *, missing = 0 AND repeated = 0 structured, CASE WHEN least(nx, ny, nz) < 3 THEN 3 ELSE 0 END + CASE WHEN missing = 0 AND repeated "
+    "= 0 THEN 0 ELSE 2 END + CASE WHEN bad_percent > 20 THEN 2 WHEN bad_percent > 5 THEN 1 ELSE 0 END score FROM grids)"
+)],
  "SELECT *, CASE WHEN score >= 5 THEN 'too coarse' WHEN score >= 2 THEN 'qualitative' ELSE 'suitable' END verdict FROM scored", "volume nx:i ny:i nz:i n:i repeated:i missing:i bad_percent:d structured score:i verdict")
 def grid_inspection(spark, sf):
     f = lineitem_field(spark, sf).withColumns({a: F.col(f"i{a}") for a in "xyz"})
     return vortex.suitability(vortex.inspect_grid(f, ["volume"], "u"))
 
 
-@query("structured_indices", M, "SELECT volume, dense_rank() OVER (PARTITION BY volume ORDER BY ix) - 1 kx, dense_rank() OVER (PARTITION BY volume ORDER BY iy) - 1 ky, dense_rank() OVER (PARTITION BY volume ORDER BY iz) - 1 kz, v_mean FROM mean", "volume kx:i ky:i kz:i v_mean:d")
+@query("structured_indices", M, (
+    "SELECT volume, dense_rank() OVER (PARTITION BY volume ORDER BY ix) - 1 kx, dense_rank() OVER (PARTITION BY volume ORDER BY iy) - 1 ky, dense_rank() "
+    "OVER (PARTITION BY volume ORDER BY iz) - 1 kz, v_mean FROM mean"
+), "volume kx:i ky:i kz:i v_mean:d")
 def structured_indices(spark, sf):
     m = _mean(spark, sf).select("volume", F.col("ix").alias("x"), F.col("iy").alias("y"), F.col("iz").alias("z"), "v_mean")
     return vortex.grid_indices(m, ["volume"]).select("volume", F.col("ix").alias("kx"), F.col("iy").alias("ky"), F.col("iz").alias("kz"), "v_mean")
 
 
-@query("axis_projection", V_, "SELECT volume, ix, iz, max(s) most, coalesce(sum(tr), 0) integral FROM (SELECT *, (s + lag(s) OVER w) / 2 * (iy - lag(iy) OVER w) tr FROM signed WHERE s IS NOT NULL WINDOW w AS (PARTITION BY volume, ix, iz ORDER BY iy)) GROUP BY ALL", "volume ix:i iz:i most:d integral:d")
+@query("axis_projection", V_, (
+    "SELECT volume, ix, iz, max(s) most, coalesce(sum(tr), 0) integral FROM (SELECT *, (s + lag(s) OVER w) / 2 * (iy - lag(iy) OVER w) tr FROM signed "
+    "WHERE s IS NOT NULL WINDOW w AS (PARTITION BY volume, ix, iz ORDER BY iy)) GROUP BY ALL"
+), "volume ix:i iz:i most:d integral:d")
 def axis_projection(spark, sf):
     return vortex.projection(_swirl(spark, sf), ["volume", "ix", "iz"], "iy", "s")
 
 
-@query("isosurface_points", V_, "SELECT volume, iz, iy, ix, s, level FROM signed CROSS JOIN (SELECT quantile_cont(s, 0.9) level, max(s) top FROM signed WHERE s > 0) WHERE level > 0 AND level < top AND s >= level", "volume iz:i iy:i ix:i s:d level:d")
+@query("isosurface_points", V_, (
+    "SELECT volume, iz, iy, ix, s, level FROM signed CROSS JOIN (SELECT quantile_cont(s, 0.9) level, max(s) top FROM signed WHERE s > 0) WHERE level > 0 "
+    "AND level < top AND s >= level"
+), "volume iz:i iy:i ix:i s:d level:d")
 def isosurface_points(spark, sf):
     return vortex.exceedance(_swirl(spark, sf), "s", 0.9)
 
@@ -620,28 +763,44 @@ def _heights(spark: SparkSession, sf: str) -> DataFrame:
     return event_signal(spark, sf).withColumn("height", F.floor(F.col("t") / DAY / 5))
 
 
-@query("probe_profile", [SIGNAL, HEIGHT], "SELECT series, height, count(value) n, avg(value) mean, stddev_samp(value) std, 100 * stddev_samp(value) / nullif(abs(avg(value)), 0) intensity, avg(value) / 10 mean_ref FROM heights GROUP BY ALL", "series height:i n:i mean:d std:d intensity:d mean_ref:d")
+@query("probe_profile", [SIGNAL, HEIGHT], (
+    "SELECT series, height, count(value) n, avg(value) mean, stddev_samp(value) std, 100 * stddev_samp(value) / nullif(abs(avg(value)), 0) intensity, "
+    "avg(value) / 10 mean_ref FROM heights GROUP BY ALL"
+), "series height:i n:i mean:d std:d intensity:d mean_ref:d")
 def probe_profile(spark, sf):
     return probe.profile(_heights(spark, sf), ["series", "height"], "value", 10.0).drop("std_ref")
 
 
-@query("shared_densities", [SIGNAL], "SELECT series, bin, count(*) n, any_value(lo) + bin * any_value(w) from_, count(*) / (sum(count(*)) OVER (PARTITION BY series) * any_value(w)) density FROM (SELECT series, least(CAST(floor((value - lo) / w) AS INTEGER), 19) bin, lo, w FROM signal CROSS JOIN (SELECT min(value) lo, (max(value) - min(value)) / 20 w FROM signal) WHERE value IS NOT NULL) GROUP BY series, bin", "series bin:i n:i from_:d density:d")
+@query("shared_densities", [SIGNAL], (
+    "SELECT series, bin, count(*) n, any_value(lo) + bin * any_value(w) from_, count(*) / (sum(count(*)) OVER (PARTITION BY series) * any_value(w)) "
+    "density FROM (SELECT series, least(CAST(floor((value - lo) / w) AS INTEGER), 19) bin, lo, w FROM signal CROSS JOIN (SELECT min(value) lo, (max(value) "
+    "- min(value)) / 20 w FROM signal) WHERE value IS NOT NULL) GROUP BY series, bin"
+), "series bin:i n:i from_:d density:d")
 def shared_densities(spark, sf):
     return probe.densities(event_signal(spark, sf), ["series"], "value", 20)
 
 
-@query("matched_heights", [SIGNAL, HEIGHT, "profiles AS (SELECT series, height, avg(value) m FROM heights GROUP BY ALL)"], "SELECT a.series first_series, b.series second_series, a.height, a.m mean_a, b.m mean_b, b.m - a.m mean_difference, 100 * (b.m - a.m) / abs(a.m) mean_percent FROM profiles a JOIN profiles b ON a.series < b.series AND a.height = b.height", "first_series second_series height:i mean_a:d mean_b:d mean_difference:d mean_percent:d")
+@query("matched_heights", [SIGNAL, HEIGHT, "profiles AS (SELECT series, height, avg(value) m FROM heights GROUP BY ALL)"], (
+    "SELECT a.series first_series, b.series second_series, a.height, a.m mean_a, b.m mean_b, b.m - a.m mean_difference, 100 * (b.m - a.m) / abs(a.m) "
+    "mean_percent FROM profiles a JOIN profiles b ON a.series < b.series AND a.height = b.height"
+), "first_series second_series height:i mean_a:d mean_b:d mean_difference:d mean_percent:d")
 def matched_heights(spark, sf):
     return probe.all_paired(probe.profile(_heights(spark, sf), ["series", "height"], "value"), "series", ["height"], ["mean"])
 
 
-@query("baseline_ratios", W_, "SELECT r.volume, r.ix, r.d, r.d / b.d \"A_ratio\", r.d - b.d \"A_difference\", 100 * (r.d - b.d) / b.d \"A_percent\" FROM (SELECT volume, ix, avg(deficit) d FROM wake GROUP BY ALL) r LEFT JOIN (SELECT ix, avg(deficit) d FROM wake WHERE volume = 'A' GROUP BY ix) b ON r.ix = b.ix", 'volume ix:i d:d "A_ratio":d "A_difference":d "A_percent":d')
+@query("baseline_ratios", W_, (
+    "SELECT r.volume, r.ix, r.d, r.d / b.d \"A_ratio\", r.d - b.d \"A_difference\", 100 * (r.d - b.d) / b.d \"A_percent\" FROM (SELECT volume, ix, "
+    "avg(deficit) d FROM wake GROUP BY ALL) r LEFT JOIN (SELECT ix, avg(deficit) d FROM wake WHERE volume = 'A' GROUP BY ix) b ON r.ix = b.ix"
+), 'volume ix:i d:d "A_ratio":d "A_difference":d "A_percent":d')
 def baseline_ratios(spark, sf):
     rows = _wake(spark, sf).groupBy("volume", "ix").agg(F.avg("deficit").alias("d"))
     return compare.to_baselines(rows, "volume", ["ix"], "d", ("A",))
 
 
-@query("missing_combinations", [FIELD], "SELECT volume, day FROM (SELECT DISTINCT volume FROM field) CROSS JOIN (SELECT DISTINCT CAST(ti AS BIGINT)  AS day FROM field) EXCEPT SELECT volume, ti FROM field", "volume day:i")
+@query("missing_combinations", [FIELD], (
+    "SELECT volume, day FROM (SELECT DISTINCT volume FROM field) CROSS JOIN (SELECT DISTINCT CAST(ti AS BIGINT)  AS day FROM field) EXCEPT SELECT volume, "
+    "ti FROM field"
+), "volume day:i")
 def missing_combinations(spark, sf):
     f = lineitem_field(spark, sf).select("volume", F.col("ti").cast("long").alias("day"))
     return compare.missing_combinations(f, "volume", "day")
@@ -671,24 +830,37 @@ def repeated_samples(spark, sf):
     return compare.repeated(lineitem_field(spark, sf), ["volume", "ti", "iz", "iy", "ix"])
 
 
-@query("merged_slabs", M, "SELECT * FROM (SELECT volume, ix, avg(v_mean) v_mean, max(v_mean) - min(v_mean) > 5 conflict FROM mean GROUP BY ALL) QUALIFY ix BETWEEN min(ix) OVER (PARTITION BY volume) + 0.1 * (max(ix) OVER (PARTITION BY volume) - min(ix) OVER (PARTITION BY volume)) AND max(ix) OVER (PARTITION BY volume) - 0.1 * (max(ix) OVER (PARTITION BY volume) - min(ix) OVER (PARTITION BY volume))", "volume ix:i v_mean:d conflict")
+@query("merged_slabs", M, (
+    "SELECT * FROM (SELECT volume, ix, avg(v_mean) v_mean, max(v_mean) - min(v_mean) > 5 conflict FROM mean GROUP BY ALL) QUALIFY ix BETWEEN min(ix) OVER "
+    "(PARTITION BY volume) + 0.1 * (max(ix) OVER (PARTITION BY volume) - min(ix) OVER (PARTITION BY volume)) AND max(ix) OVER (PARTITION BY volume) - 0.1 "
+    "* (max(ix) OVER (PARTITION BY volume) - min(ix) OVER (PARTITION BY volume))"
+), "volume ix:i v_mean:d conflict")
 def merged_slabs(spark, sf):
     return compare.merged_slabs(_mean(spark, sf), "ix", "v_mean", 5.0, 0.1)
 
 
-@query("coverage_summary", M, "SELECT volume, count(*) n, count(CASE WHEN u_count >= ceil(0.05 * n_times) THEN 1 END) kept, 100.0 * count(CASE WHEN u_count >= ceil(0.05 * n_times) THEN 1 END) / count(*) \"percent\" FROM mean GROUP BY volume", 'volume n:i kept:i "percent":d')
+@query("coverage_summary", M, (
+    "SELECT volume, count(*) n, count(CASE WHEN u_count >= ceil(0.05 * n_times) THEN 1 END) kept, 100.0 * count(CASE WHEN u_count >= ceil(0.05 * n_times) "
+    "THEN 1 END) / count(*) \"percent\" FROM mean GROUP BY volume"
+), 'volume n:i kept:i "percent":d')
 def coverage_summary(spark, sf):
     m = _mean(spark, sf).withColumn("ok", F.col("u_count") >= F.ceil(0.05 * F.col("n_times")))
     return compare.coverage_summary(m, ["volume"], "ok")
 
 
-@query("incompatible_grids", [FIELD], "SELECT volume, 'x' axis, ix idx, CAST(ix AS DOUBLE) coord_a, CASE WHEN ix = 3 THEN 3.01 ELSE ix END coord_b FROM (SELECT DISTINCT volume, ix FROM field) WHERE ix = 3", "volume axis idx:i coord_a:d coord_b:d")
+@query("incompatible_grids", [FIELD], (
+    "SELECT volume, 'x' axis, ix idx, CAST(ix AS DOUBLE) coord_a, CASE WHEN ix = 3 THEN 3.01 ELSE ix END coord_b FROM (SELECT DISTINCT volume, ix FROM "
+    "field) WHERE ix = 3"
+), "volume axis idx:i coord_a:d coord_b:d")
 def incompatible_grids(spark, sf):
     a = fields.axes_of(lineitem_field(spark, sf), x="ix")
     return compare.grid_differences(a, a.withColumn("coord", F.when(F.col("idx") == 3, 3.01).otherwise(F.col("coord"))))
 
 
-@query("cell_history", [FIELD, "cell AS (SELECT volume, CAST(floor(ti / 30) AS INTEGER) AS ti, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) AS u FROM field WHERE iz = 1 AND iy = 2 AND ix = 3 GROUP BY ALL)"], "SELECT volume, ti, u raw, avg(u) OVER (PARTITION BY volume) mean, u - avg(u) OVER (PARTITION BY volume) raw_less_mean FROM cell", "volume ti:i raw:d mean:d raw_less_mean:d")
+@query("cell_history", [FIELD, (
+    "cell AS (SELECT volume, CAST(floor(ti / 30) AS INTEGER) AS ti, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) AS u FROM field WHERE iz = 1 "
+    "AND iy = 2 AND ix = 3 GROUP BY ALL)"
+)], "SELECT volume, ti, u raw, avg(u) OVER (PARTITION BY volume) mean, u - avg(u) OVER (PARTITION BY volume) raw_less_mean FROM cell", "volume ti:i raw:d mean:d raw_less_mean:d")
 def cell_history(spark, sf):
     g = _grid(spark, sf).filter("iz = 1 and iy = 2 and ix = 3")
     filled = fill.interpolate_line(g, ["volume"], "ti", "t", "u")
@@ -698,7 +870,11 @@ def cell_history(spark, sf):
 # Several volumes, catalogues, workflows
 
 
-@query("case_labels", [], "SELECT CASE WHEN d <> '' THEN regexp_extract(name, '^(.*)_[0-9.]+D', 1) ELSE split_part(name, '__', 1) END AS \"case\", TRY_CAST(d AS DOUBLE) distance, count(*) n FROM (SELECT name, regexp_extract(name, '_([0-9]+(\\.[0-9]+)?)D$', 1) d FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag || '__raw' ELSE l_returnflag || '_' || CAST(CAST(l_linenumber AS INTEGER) AS VARCHAR) || '.5D' END AS name FROM lineitem)) GROUP BY ALL", '"case" distance:d n:i')
+@query("case_labels", [], (
+    "SELECT CASE WHEN d <> '' THEN regexp_extract(name, '^(.*)_[0-9.]+D', 1) ELSE split_part(name, '__', 1) END AS \"case\", TRY_CAST(d AS DOUBLE) "
+    "distance, count(*) n FROM (SELECT name, regexp_extract(name, '_([0-9]+(\\.[0-9]+)?)D$', 1) d FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN "
+    "l_returnflag || '__raw' ELSE l_returnflag || '_' || CAST(CAST(l_linenumber AS INTEGER) AS VARCHAR) || '.5D' END AS name FROM lineitem)) GROUP BY ALL"
+), '"case" distance:d n:i')
 def case_labels(spark, sf):
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
     even = F.col("l_linenumber") % 2 == 0
@@ -706,12 +882,19 @@ def case_labels(spark, sf):
     return t.select(*case_label(name)).groupBy("case", "distance").agg(F.count("*").alias("n"))
 
 
-@query("joint_energy_shares", PH, "SELECT volume, energy, energy / sum(energy) OVER () share FROM (SELECT volume, sum(pow(phase_mean - mean, 2) / n) energy FROM (SELECT *, count(*) OVER (PARTITION BY iz, iy, ix, component, phase_bin) n FROM averages WHERE phase_mean IS NOT NULL) GROUP BY volume)", "volume energy:d share:d")
+@query("joint_energy_shares", PH, (
+    "SELECT volume, energy, energy / sum(energy) OVER () share FROM (SELECT volume, sum(pow(phase_mean - mean, 2) / n) energy FROM (SELECT *, count(*) "
+    "OVER (PARTITION BY iz, iy, ix, component, phase_bin) n FROM averages WHERE phase_mean IS NOT NULL) GROUP BY volume)"
+), "volume energy:d share:d")
 def joint_energy_shares(spark, sf):
     return multi.source_shares(_averages(spark, sf))
 
 
-@query("joint_pod_energy", PH, f"SELECT sum(x * x) / {BINS} / 2 energy FROM (SELECT phase_bin, iz, iy, ix, component, c - avg(c) OVER (PARTITION BY iz, iy, ix, component) x, count(*) OVER (PARTITION BY iz, iy, ix, component) n FROM (SELECT phase_bin, iz, iy, ix, component, avg(phase_mean - mean) c FROM averages WHERE phase_mean IS NOT NULL GROUP BY ALL)) WHERE n = {BINS}", "energy:d")
+@query("joint_pod_energy", PH, (
+    f"SELECT sum(x * x) / {BINS} / 2 energy FROM (SELECT phase_bin, iz, iy, ix, component, c - avg(c) OVER (PARTITION BY iz, iy, ix, component) x, count(*) "
+    "OVER (PARTITION BY iz, iy, ix, component) n FROM (SELECT phase_bin, iz, iy, ix, component, avg(phase_mean - mean) c FROM averages WHERE phase_mean IS "
+    f"NOT NULL GROUP BY ALL)) WHERE n = {BINS}"
+), "energy:d")
 def joint_pod_energy(spark, sf):
     spectrum, _, _ = multi.joint_pod(_averages(spark, sf), BINS)
     return spectrum.agg(F.sum("energy").alias("energy"))
@@ -722,33 +905,59 @@ def surface_points(spark, sf):
     return multi.surface_points(_mean(spark, sf), ["volume"], "v_mean", 52.0)
 
 
-@query("common_slab", [FIELD, "al AS (SELECT volume, ti, iy, ix, 0.5 * a + 0.5 * b AS u FROM (SELECT volume, ti, iy, ix, max(CASE WHEN iz = 1 THEN u END) a, max(CASE WHEN iz = 2 THEN u END) b FROM (SELECT volume, CAST(floor(ti / 30) AS INTEGER) ti, iz, iy, ix, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) u FROM field GROUP BY ALL) GROUP BY ALL HAVING count(CASE WHEN iz IN (1, 2) THEN 1 END) > 0))", "vx AS (SELECT volume, iy, ix, count(u) n, avg(u) u FROM al GROUP BY ALL)", "nt AS (SELECT volume, count(DISTINCT ti) nt FROM al GROUP BY volume)"], "SELECT volume, ix, avg(u) u_mean, count(*) n FROM vx JOIN (SELECT iy, ix FROM vx JOIN nt USING (volume) GROUP BY ALL HAVING bool_and(n >= ceil(0.05 * nt) AND n >= 2) AND count(DISTINCT volume) = (SELECT count(*) FROM nt)) USING (iy, ix) GROUP BY ALL", "volume ix:i u_mean:d n:i")
+@query("common_slab", [FIELD, (
+    "al AS (SELECT volume, ti, iy, ix, 0.5 * a + 0.5 * b AS u FROM (SELECT volume, ti, iy, ix, max(CASE WHEN iz = 1 THEN u END) a, max(CASE WHEN iz = 2 "
+    "THEN u END) b FROM (SELECT volume, CAST(floor(ti / 30) AS INTEGER) ti, iz, iy, ix, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) u FROM "
+    "field GROUP BY ALL) GROUP BY ALL HAVING count(CASE WHEN iz IN (1, 2) THEN 1 END) > 0))"
+), "vx AS (SELECT volume, iy, ix, count(u) n, avg(u) u FROM al GROUP BY ALL)", "nt AS (SELECT volume, count(DISTINCT ti) nt FROM al GROUP BY volume)"], (
+    "SELECT volume, ix, avg(u) u_mean, count(*) n FROM vx JOIN (SELECT iy, ix FROM vx JOIN nt USING (volume) GROUP BY ALL HAVING bool_and(n >= ceil(0.05 * "
+    "nt) AND n >= 2) AND count(DISTINCT volume) = (SELECT count(*) FROM nt)) USING (iy, ix) GROUP BY ALL"
+), "volume ix:i u_mean:d n:i")
 def common_slab(spark, sf):
     g = _grid(spark, sf).withColumn("z", F.col("iz").cast("double"))
     targets = g.select("volume").distinct().withColumns({"idx": F.lit(0), "z": F.lit(1.5)})
     return multi.common_slab(g, targets, 0.05)
 
 
-@query("sinusoid_pair", [SIGNAL, "two AS (SELECT CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS mode, t / 86400 AS d, value AS a FROM signal WHERE value IS NOT NULL)", "m AS (SELECT mode, avg(a) my, avg(c) mc, avg(s) ms, covar_pop(c, c) cc, covar_pop(s, s) ss, covar_pop(c, s) cs, covar_pop(c, a) cy, covar_pop(s, a) sy, var_pop(a) yy FROM (SELECT *, cos(2 * pi() * d) c, sin(2 * pi() * d) s FROM two) GROUP BY mode)", "f AS (SELECT mode, (cy * ss - sy * cs) / (cc * ss - cs * cs) a, (sy * cc - cy * cs) / (cc * ss - cs * cs) b, cy, sy, yy FROM m)"],
- "SELECT p.r2 r2_1, q.r2 r2_2, p.amp amplitude_1, q.amp amplitude_2, (degrees(q.ph - p.ph) + 180) - 360 * floor((degrees(q.ph - p.ph) + 180) / 360) - 180 difference FROM (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 1) p CROSS JOIN (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 2) q", "r2_1:d r2_2:d amplitude_1:d amplitude_2:d difference:d")
+@query("sinusoid_pair", [SIGNAL, "two AS (SELECT CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS mode, t / 86400 AS d, value AS a FROM signal WHERE value IS NOT NULL)", (
+    "m AS (SELECT mode, avg(a) my, avg(c) mc, avg(s) ms, covar_pop(c, c) cc, covar_pop(s, s) ss, covar_pop(c, s) cs, covar_pop(c, a) cy, covar_pop(s, a) "
+    "sy, var_pop(a) yy FROM (SELECT *, cos(2 * pi() * d) c, sin(2 * pi() * d) s FROM two) GROUP BY mode)"
+), "f AS (SELECT mode, (cy * ss - sy * cs) / (cc * ss - cs * cs) a, (sy * cc - cy * cs) / (cc * ss - cs * cs) b, cy, sy, yy FROM m)"],
+ (
+     "SELECT p.r2 r2_1, q.r2 r2_2, p.amp amplitude_1, q.amp amplitude_2, (degrees(q.ph - p.ph) + 180) - 360 * floor((degrees(q.ph - p.ph) + 180) / 360) - "
+     "180 difference FROM (SELECT (a * cy + b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 1) p CROSS JOIN (SELECT (a * cy + "
+     "b * sy) / yy r2, sqrt(a * a + b * b) amp, atan2(-b, a) ph FROM f WHERE mode = 2) q"
+ ), "r2_1:d r2_2:d amplitude_1:d amplitude_2:d difference:d")
 def sinusoid_pair(spark, sf):
     s = event_signal(spark, sf).select(F.when(F.col("id") % 2 == 0, 1).otherwise(2).alias("mode"), (F.col("t") / DAY).alias("t"), F.col("value").alias("a"))
     return pod.sinusoid_pair(s, 1.0).select("r2_1", "r2_2", "amplitude_1", "amplitude_2", "difference")
 
 
-@query("modal_band", SP, "SELECT sum(s * f) band_fraction_of_total, sum(s) saved_fraction, sum(s * f) * 10 band_energy, sum(s * f) / sum(s) band_fraction_of_saved FROM (SELECT series, sum(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN psd ELSE 0 END) / sum(psd) f, 0.1 s FROM psd WHERE k > 0 GROUP BY series)", "band_fraction_of_total:d saved_fraction:d band_energy:d band_fraction_of_saved:d")
+@query("modal_band", SP, (
+    "SELECT sum(s * f) band_fraction_of_total, sum(s) saved_fraction, sum(s * f) * 10 band_energy, sum(s * f) / sum(s) band_fraction_of_saved FROM (SELECT "
+    "series, sum(CASE WHEN frequency BETWEEN 0.02 AND 0.1 THEN psd ELSE 0 END) / sum(psd) f, 0.1 s FROM psd WHERE k > 0 GROUP BY series)"
+), "band_fraction_of_total:d saved_fraction:d band_energy:d band_fraction_of_saved:d")
 def modal_band(spark, sf):
     p = _psd(spark, sf).withColumnRenamed("series", "mode")
     return spectra.modal_band(p, p.select("mode").distinct().withColumn("fraction", F.lit(0.1)), 0.02, 0.1, 10.0).drop("last_frequency")
 
 
-@query("common_extents", [FIELD], "SELECT low, high, low + (high - low) / 3 third, (low + high) / 2 centre, low + (high - low) * 2 / 3 two_thirds FROM (SELECT max(lo) low, min(hi) high FROM (SELECT volume, CAST(min(ti) AS DOUBLE) lo, CAST(max(ti) AS DOUBLE) hi FROM field GROUP BY volume))", "low:d high:d third:d centre:d two_thirds:d")
+@query("common_extents", [FIELD], (
+    "SELECT low, high, low + (high - low) / 3 third, (low + high) / 2 centre, low + (high - low) * 2 / 3 two_thirds FROM (SELECT max(lo) low, min(hi) high "
+    "FROM (SELECT volume, CAST(min(ti) AS DOUBLE) lo, CAST(max(ti) AS DOUBLE) hi FROM field GROUP BY volume))"
+), "low:d high:d third:d centre:d two_thirds:d")
 def common_extents(spark, sf):
     f = lineitem_field(spark, sf)
     return regrid.extents(fields.axes_of(f.withColumn("ix", F.col("ti")), x="ti"), "x")
 
 
-@query("aligned_counts", [FIELD, "g AS (SELECT volume, CAST(floor(ti / 30) AS INTEGER) ti, iz, iy, ix, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) u FROM field GROUP BY ALL)", "al AS (SELECT volume, ti, iy, ix, CASE WHEN count(u) = 2 THEN 1 END ok FROM g WHERE iz IN (1, 2) GROUP BY ALL)"], "SELECT volume, iy, ix, count(ok) n, n_times FROM al JOIN (SELECT volume, count(DISTINCT ti) n_times FROM al GROUP BY volume) USING (volume) GROUP BY ALL", "volume iy:i ix:i n:i n_times:i")
+@query("aligned_counts", [FIELD, (
+    "g AS (SELECT volume, CAST(floor(ti / 30) AS INTEGER) ti, iz, iy, ix, avg(CASE WHEN isfinite(u) AND \"row\" % 3 = 0 THEN u END) u FROM field GROUP BY "
+    "ALL)"
+), "al AS (SELECT volume, ti, iy, ix, CASE WHEN count(u) = 2 THEN 1 END ok FROM g WHERE iz IN (1, 2) GROUP BY ALL)"], (
+    "SELECT volume, iy, ix, count(ok) n, n_times FROM al JOIN (SELECT volume, count(DISTINCT ti) n_times FROM al GROUP BY volume) USING (volume) GROUP BY "
+    "ALL"
+), "volume iy:i ix:i n:i n_times:i")
 def aligned_counts(spark, sf):
     g = _grid(spark, sf).withColumn("z", F.col("iz").cast("double"))
     targets = g.select("volume").distinct().withColumns({"idx": F.lit(0), "z": F.lit(1.5)})

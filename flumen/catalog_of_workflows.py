@@ -79,7 +79,10 @@ def randomised_modes(spark, sf):
 VECTORS = [
     *THREE,
     "e AS (" + " UNION ALL ".join(f"SELECT {k} AS mode, m01 * m12 - m02 * (m11 - l{k}) AS e0, m02 * m01 - (m00 - l{k}) * m12 AS e1, (m00 - l{k}) * (m11 - l{k}) - m01 * m01 AS e2 FROM l" for k in (1, 2, 3)) + ")",
-    "n AS (SELECT mode, e0 / s AS e0, e1 / s AS e1, e2 / s AS e2 FROM (SELECT *, sqrt(e0 * e0 + e1 * e1 + e2 * e2) * CASE WHEN abs(e0) >= abs(e1) AND abs(e0) >= abs(e2) THEN sign(e0) WHEN abs(e1) >= abs(e2) THEN sign(e1) ELSE sign(e2) END AS s FROM e))",
+    (
+        "n AS (SELECT mode, e0 / s AS e0, e1 / s AS e1, e2 / s AS e2 FROM (SELECT *, sqrt(e0 * e0 + e1 * e1 + e2 * e2) * CASE WHEN abs(e0) >= abs(e1) AND "
+        "abs(e0) >= abs(e2) THEN sign(e0) WHEN abs(e1) >= abs(e2) THEN sign(e1) ELSE sign(e2) END AS s FROM e))"
+    ),
 ]
 
 
@@ -101,11 +104,17 @@ PULSE = [
     *PH,
     f"""pc AS (SELECT volume, ix, phase_bin, ({U_INF} - phase_mean) / {U_INF} AS d, iy - 2.0 AS y, iz - 1.5 AS z,
  count(phase_mean) OVER (PARTITION BY volume, ix, iz, iy) = {BINS} AS held FROM averages WHERE component = 'u')""",
-    "ps AS (SELECT volume, ix, phase_bin, avg(d) AS mean_deficit, sum(CASE WHEN d > 0 THEN d * y END) / sum(CASE WHEN d > 0 THEN d END) AS y, sum(CASE WHEN d > 0 THEN d * z END) / sum(CASE WHEN d > 0 THEN d END) AS z FROM pc WHERE held GROUP BY ALL)",
+    (
+        "ps AS (SELECT volume, ix, phase_bin, avg(d) AS mean_deficit, sum(CASE WHEN d > 0 THEN d * y END) / sum(CASE WHEN d > 0 THEN d END) AS y, sum(CASE "
+        "WHEN d > 0 THEN d * z END) / sum(CASE WHEN d > 0 THEN d END) AS z FROM pc WHERE held GROUP BY ALL)"
+    ),
     f"pl AS (SELECT volume, ix, value, x, cos((phase_bin + 0.5) * 2 * pi() / {BINS}) AS c, sin((phase_bin + 0.5) * 2 * pi() / {BINS}) AS s FROM (" + " UNION ALL ".join(f"SELECT volume, ix, phase_bin, '{v}' AS value, {v} AS x FROM ps" for v in ("mean_deficit", "y", "z")) + ") WHERE x IS NOT NULL)",
     """pm AS (SELECT volume, ix, value, count(*) AS n, avg(x) AS mx, avg(c) AS mc, avg(s) AS ms, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs,
  covar_pop(c, x) AS cx, covar_pop(s, x) AS sx FROM pl GROUP BY ALL)""",
-    "pf AS (SELECT *, CASE WHEN n >= 3 AND cc * ss - cs * cs > 1e-10 THEN (cx * ss - sx * cs) / (cc * ss - cs * cs) END AS a, CASE WHEN n >= 3 AND cc * ss - cs * cs > 1e-10 THEN (sx * cc - cx * cs) / (cc * ss - cs * cs) END AS b FROM pm)",
+    (
+        "pf AS (SELECT *, CASE WHEN n >= 3 AND cc * ss - cs * cs > 1e-10 THEN (cx * ss - sx * cs) / (cc * ss - cs * cs) END AS a, CASE WHEN n >= 3 AND cc * ss "
+        "- cs * cs > 1e-10 THEN (sx * cc - cx * cs) / (cc * ss - cs * cs) END AS b FROM pm)"
+    ),
     "po AS (SELECT volume, ix, value, n, a, b, mx - a * mc - b * ms AS offs FROM pf)",
     """pulse AS (SELECT volume, ix, value, any_value(n) AS n, any_value(offs) AS "offset", any_value(sqrt(a * a + b * b)) AS amplitude,
  CASE WHEN sum(pow(x - offs, 2)) > 1e-24 THEN 1 - sum(pow(x - offs - a * c - b * s, 2)) / sum(pow(x - offs, 2)) END AS r2 FROM pl JOIN po USING (volume, ix, value) GROUP BY ALL)""",
@@ -190,7 +199,10 @@ def _budgets(more: str = "") -> list[str]:
  sum(bn * pow(bs / bn - ks / kn, 2)) / max(kn) / 2 AS locked FROM by_bin JOIN by_key USING ({v}) GROUP BY ALL)""",
         f"""cvp AS (SELECT {v}, bool_and(bn > n) AS p, sum(q - 2 * (bs - s) / nullif(bn - n, 0) * s + n * pow((bs - s) / nullif(bn - n, 0), 2)) AS ps, sum(n) AS pn
  FROM cells JOIN by_bin USING ({v}, phase_bin) GROUP BY ALL)""",
-        f"cvm AS (SELECT {v}, bool_and(kn > cn) AS m, sum(cq - 2 * (ks - cs) / nullif(kn - cn, 0) * cs + cn * pow((ks - cs) / nullif(kn - cn, 0), 2)) AS ms FROM by_cycle JOIN by_key USING ({v}) GROUP BY ALL)",
+        (
+            f"cvm AS (SELECT {v}, bool_and(kn > cn) AS m, sum(cq - 2 * (ks - cs) / nullif(kn - cn, 0) * cs + cn * pow((ks - cs) / nullif(kn - cn, 0), 2)) AS ms "
+            f"FROM by_cycle JOIN by_key USING ({v}) GROUP BY ALL)"
+        ),
         f"h AS (SELECT {v}, covar_pop(c, c) AS cc, covar_pop(s1, s1) AS ss, covar_pop(c, s1) AS cs, covar_pop(c, v) AS cy, covar_pop(s1, v) AS sy FROM good GROUP BY ALL)",
         f"""bm AS (SELECT {v}, covar_pop(c, c) AS cc, covar_pop(s, s) AS ss, covar_pop(c, s) AS cs, covar_pop(c, y) AS cy, covar_pop(s, y) AS sy FROM
  (SELECT {v}, bs / bn AS y, cos((phase_bin + 0.5) * 2 * pi() / {BINS}) AS c, sin((phase_bin + 0.5) * 2 * pi() / {BINS}) AS s FROM by_bin) GROUP BY ALL)""",
@@ -210,13 +222,19 @@ def forcing_response(spark, sf):
     return workflows.Engine(lineitem_field(spark, sf)).forcing_response(BINS, 1 / PERIOD, "v", OFFSET)["volumes"]
 
 
-CANDIDATES = "SEMI JOIN (SELECT volume, iz, iy, ix FROM field JOIN (SELECT volume, count(DISTINCT ti) AS f FROM field GROUP BY volume) USING (volume) WHERE iz BETWEEN 1 AND 3 GROUP BY volume, iz, iy, ix HAVING count(v) >= ceil(0.03 * any_value(f))) USING (volume, iz, iy, ix)"
+CANDIDATES = (
+    "SEMI JOIN (SELECT volume, iz, iy, ix FROM field JOIN (SELECT volume, count(DISTINCT ti) AS f FROM field GROUP BY volume) USING (volume) WHERE iz "
+    "BETWEEN 1 AND 3 GROUP BY volume, iz, iy, ix HAVING count(v) >= ceil(0.03 * any_value(f))) USING (volume, iz, iy, ix)"
+)
 SLAB_ROWS = ", ".join(f"CASE WHEN count(*) = count({c}) THEN sum({c} * wt) / sum(wt) END {c}" for c in energy.BUDGET)
 
 
 @query(
     "forcing_slabs", _budgets(CANDIDATES),
-    f"SELECT volume, slab, count(*) n, sum(wt) weight, {SLAB_ROWS} FROM (SELECT *, least(ix + 0.5, hi) - greatest(ix - 0.5, lo) wt FROM vox CROSS JOIN (VALUES ('near', 0.5, 2.75), ('far', 2.75, 9.0)) s(slab, lo, hi) WHERE ix + 0.5 > lo AND ix - 0.5 < hi) GROUP BY volume, slab",
+    (
+        f"SELECT volume, slab, count(*) n, sum(wt) weight, {SLAB_ROWS} FROM (SELECT *, least(ix + 0.5, hi) - greatest(ix - 0.5, lo) wt FROM vox CROSS JOIN "
+        "(VALUES ('near', 0.5, 2.75), ('far', 2.75, 9.0)) s(slab, lo, hi) WHERE ix + 0.5 > lo AND ix - 0.5 < hi) GROUP BY volume, slab"
+    ),
     f"volume slab n:i weight:d {PARTS}",
 )
 def forcing_slabs(spark, sf):
@@ -255,7 +273,11 @@ NINE = ACT.replace("quantile_cont(s, 0.7)", "quantile_cont(s, 0.9)")
 
 @query(
     "vortex_detection", ["RECURSIVE " + FIELD, TIMES, MEAN, SW, SG, NINE, REACH],
-    "SELECT volume, row_number() OVER (PARTITION BY volume ORDER BY root) component, size, peak, integral, pow(6 * size / pi(), 1 / 3.0) diameter FROM (SELECT volume, root, count(*) size, max(s) peak, sum(s) integral FROM act JOIN (SELECT volume, c, min(r) root FROM reach GROUP BY ALL) USING (volume, c) GROUP BY ALL)",
+    (
+        "SELECT volume, row_number() OVER (PARTITION BY volume ORDER BY root) component, size, peak, integral, pow(6 * size / pi(), 1 / 3.0) diameter FROM "
+        "(SELECT volume, root, count(*) size, max(s) peak, sum(s) integral FROM act JOIN (SELECT volume, c, min(r) root FROM reach GROUP BY ALL) USING "
+        "(volume, c) GROUP BY ALL)"
+    ),
     "volume component:i size:i peak:d integral:d diameter:d",
 )
 def vortex_detection(spark, sf):
@@ -276,7 +298,10 @@ def bilinear_plane(spark, sf):
     return regrid.bilinear(plane, ["volume", "iz"], xs, ys, "v")
 
 
-@query("centred_phases", PH, "SELECT volume, ix, phase_bin, d - avg(d) OVER (PARTITION BY volume, ix) d FROM (SELECT volume, ix, phase_bin, avg(phase_mean) d FROM averages WHERE component = 'v' GROUP BY ALL)", "volume ix:i phase_bin:i d:d")
+@query("centred_phases", PH, (
+    "SELECT volume, ix, phase_bin, d - avg(d) OVER (PARTITION BY volume, ix) d FROM (SELECT volume, ix, phase_bin, avg(phase_mean) d FROM averages WHERE "
+    "component = 'v' GROUP BY ALL)"
+), "volume ix:i phase_bin:i d:d")
 def centred_phases(spark, sf):
     rows = _averages(spark, sf).filter("component = 'v'").groupBy("volume", "ix", "phase_bin").agg(F.avg("phase_mean").alias("d"))
     return wake.about_phase_mean(rows, ["volume", "ix"], "d")
@@ -287,7 +312,10 @@ def display_mask_strict(spark, sf):
     return phase.all_bins(_averages(spark, sf), BINS, 0.02, strict=True).drop("least_share")
 
 
-@query("report_order", M, "SELECT volume, ix, row_number() OVER (ORDER BY d ASC NULLS LAST, ix, volume) - 1 place FROM (SELECT DISTINCT volume, ix, CASE WHEN volume <> 'R' THEN ix % 3 END d FROM mean)", "volume ix:i place:i")
+@query("report_order", M, (
+    "SELECT volume, ix, row_number() OVER (ORDER BY d ASC NULLS LAST, ix, volume) - 1 place FROM (SELECT DISTINCT volume, ix, CASE WHEN volume <> 'R' THEN "
+    "ix % 3 END d FROM mean)"
+), "volume ix:i place:i")
 def report_order(spark, sf):
     rows = _mean(spark, sf).select("volume", "ix").distinct().withColumn("distance", F.when(F.col("volume") != "R", F.col("ix") % 3))
     return compare.ordered_groups(rows.withColumn("label", F.col("volume")), "volume", "distance", "ix").select("volume", "ix", "place")
@@ -304,7 +332,10 @@ def any_filled(spark, sf):
     return freeflow.any_filled(f).groupBy("volume").agg(F.count_if("filled").alias("n"))
 
 
-WIDTHS = "SELECT volume, idx, {} width FROM (SELECT volume, ix idx, coord - lag(coord) OVER w b, lead(coord) OVER w - coord a FROM (SELECT DISTINCT volume, ix, CAST(ix * ix AS DOUBLE) coord FROM field) WINDOW w AS (PARTITION BY volume ORDER BY ix))"
+WIDTHS = (
+    "SELECT volume, idx, {} width FROM (SELECT volume, ix idx, coord - lag(coord) OVER w b, lead(coord) OVER w - coord a FROM (SELECT DISTINCT volume, ix, "
+    "CAST(ix * ix AS DOUBLE) coord FROM field) WINDOW w AS (PARTITION BY volume ORDER BY ix))"
+)
 
 
 @query("cell_widths_full", [FIELD], WIDTHS.format("CASE WHEN b IS NULL OR a IS NULL THEN coalesce(a, b, 1) ELSE (a + b) / 2 END"), "volume idx:i width:d")
@@ -325,7 +356,10 @@ HIGH = ", ".join(f"(quantile_cont(x, {p}) - quantile_cont(y, {p})) / abs(quantil
 
 @query(
     "field_comparison", [*M, PAIRED],
-    f"SELECT pair, count(*) n, avg(abs(x - y)) mae, sqrt(avg((x - y) * (x - y))) rms, sqrt(avg((x - y) * (x - y))) / sqrt(avg(y * y)) nrms, max(abs(x - y)) max_difference, corr(x, y) pearson, corr(rx, ry) spearman, (max(x) - max(y)) / abs(max(y)) max_relative, {HIGH} FROM ranked GROUP BY pair",
+    (
+        "SELECT pair, count(*) n, avg(abs(x - y)) mae, sqrt(avg((x - y) * (x - y))) rms, sqrt(avg((x - y) * (x - y))) / sqrt(avg(y * y)) nrms, max(abs(x - y)) "
+        f"max_difference, corr(x, y) pearson, corr(rx, ry) spearman, (max(x) - max(y)) / abs(max(y)) max_relative, {HIGH} FROM ranked GROUP BY pair"
+    ),
     "pair n:i mae:d rms:d nrms:d max_difference:d pearson:d spearman:d max_relative:d p90_relative:d p95_relative:d p97_5_relative:d p99_relative:d",
 )
 def field_comparison(spark, sf):
