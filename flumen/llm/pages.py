@@ -61,7 +61,10 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    (
+        "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
+        "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul"
+    ).split()
 )
 #: Elements that end an open one of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -70,10 +73,16 @@ SCOPE = frozenset("table ul ol dl div section article main body html".split())
 NO_TEXT = frozenset("head title button select textarea object".split())
 STRONG_TAGS = frozenset("nav aside footer dialog menu".split())
 STRONG_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer colophon contentinfo complementary related recommended recommendations comment comments disqus reply replies respond discussion login search pagination pager toolbar".split()
+    (
+        "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer colophon contentinfo complementary related recommended recommendations comment "
+        "comments disqus reply replies respond discussion login search pagination pager toolbar"
+    ).split()
 )
 WEAK_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay widget share sharing social legal copyright disclaimer masthead".split()
+    (
+        "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
+        "newsletter subscribe subscription signup popup modal overlay widget share sharing social legal copyright disclaimer masthead"
+    ).split()
 )
 MAIN_NAMES = frozenset("article articlebody content entry main post story".split())
 #: A name with one of these words says how something is or is laid out, not what it is.
