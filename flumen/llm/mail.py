@@ -3,7 +3,8 @@
 Documents are dealt into groups of bounded size by a hash of doc_id and text. A group asks about all its hashes at once: sorted,
 without repeats, one packed message for each bucket of the hash space. A bucket sees the messages of all groups side by
 side and answers each of them. As a group names a hash once however often it has it, a hash that a third of all rows
-share costs a bucket one entry for each group, and buckets stay equal.
+share costs a bucket one entry for each group; where groups are many, runs of them are merged on the way, so that no task
+gets more than FAN messages.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ MAIL = "grp int, bucket int, kind int, payload binary"
 NULL_ID = np.iinfo(np.int64).min
 
 
-def deal(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text and grp for each row (a null text counts as empty), and the number of buckets for its hashes."""
+def deal(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """doc_id, text and grp for each row (a null text counts as empty), the number of groups, and that of buckets for
+    their hashes."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = partitions(docs.sparkSession)
     groups, buckets = max(least, -(-total // GROUP_BYTES)), max(least, -(-total // BUCKET_BYTES))
     grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp")
-    return docs.select(grp, "doc_id", F.coalesce("text", F.lit("")).alias("text")), buckets
+    return docs.select(grp, "doc_id", F.coalesce("text", F.lit("")).alias("text")), groups, buckets
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -128,12 +130,52 @@ def finish(dealt: DataFrame, answers: DataFrame, result: Callable[[Texts, pa.Tab
     return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
 
 
-def answer(messages: DataFrame, reply: Callable[[list[tuple[int, int, bytes]]], list[tuple[int, int, bytes]]]) -> DataFrame:
-    """reply: from the messages to a bucket (grp, kind, payload) to its answers (grp, kind, payload)."""
+#: Messages to one bucket that a task takes. Of more groups than so many, each run of them is merged into one message
+#: first, and what that is answered is shared out: a tree whose depth grows with the logarithm of the corpus.
+FAN = 4096
+
+Message = tuple[int, int, bytes]
+#: From the payloads of one kind to one payload; and from that one's answer and the payloads to an answer for each.
+Merge = Callable[[int, list[bytes]], bytes]
+Share = Callable[[int, bytes, list[bytes]], list[bytes]]
+
+
+def _table(bucket: int, out: list[Message]) -> pa.Table:
+    g, k, p = zip(*out) if out else ((), (), ())
+    return pa.table({"grp": pa.array(g, pa.int32()), "bucket": pa.array([bucket] * len(g), pa.int32()), "kind": pa.array(k, pa.int32()), "payload": pa.array(p, pa.binary())})
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        out = reply(sorted(zip(*(table.column(c).to_pylist() for c in ("grp", "kind", "payload")))))
-        g, k, p = zip(*out) if out else ((), (), ())
-        return pa.table({"grp": pa.array(g, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(g), pa.int32()), "kind": pa.array(k, pa.int32()), "payload": pa.array(p, pa.binary())})
 
-    return messages.groupBy("bucket").applyInArrow(run, MAIL)
+def _sorted(table: pa.Table) -> list[Message]:
+    return sorted(zip(*(table.column(c).to_pylist() for c in ("grp", "kind", "payload"))))
+
+
+def answer(messages: DataFrame, groups: int, reply: Callable[[list[Message]], list[Message]], merge: Merge, share: Share, merged: tuple[int, ...]) -> DataFrame:
+    """reply: from the messages to a bucket (grp, kind, payload) to its answers (grp, kind, payload). Messages of the
+    kinds in merged, which any number of groups may send to a bucket, go there in runs of groups if there are many."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return _table(key[0].as_py(), reply(_sorted(table)))
+
+    if groups <= FAN:
+        return messages.groupBy("bucket").applyInArrow(run, MAIL)
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        rows, out = _sorted(table), []
+        for kind in sorted({k for _, k, _ in rows}):
+            out.append((key[1].as_py(), kind, merge(kind, [p for _, k, p in rows if k == kind])))
+        return _table(key[0].as_py(), out)
+
+    def deal_out(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+        rows, out = _sorted(table), []
+        for _, kind, payload in _sorted(got):
+            own = [(g, p) for g, k, p in rows if k == kind]
+            out += [(g, kind, p) for (g, _), p in zip(own, share(kind, payload, [p for _, p in own]))]
+        return _table(key[0].as_py(), out)
+
+    # Runs have numbers below 0, another for each level.
+    of_run = F.when(F.col("grp") >= 0, -1 - F.floor(F.col("grp") / FAN)).otherwise(-1 - F.floor((-1 - F.col("grp")) / FAN)).cast("int").alias("run")
+    many, few = messages.filter(F.col("kind").isin(*merged)), messages.filter(~F.col("kind").isin(*merged))
+    runs = many.groupBy("bucket", of_run).applyInArrow(join, MAIL)
+    answers = answer(runs.unionByName(few), -(-groups // FAN), reply, merge, share, merged)
+    shared = many.groupBy("bucket", of_run).cogroup(answers.filter("grp < 0").groupBy("bucket", F.col("grp").alias("run"))).applyInArrow(deal_out, MAIL)
+    return shared.unionByName(answers.filter("grp >= 0"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import Spans
-from .mail import NULL_ID, Texts, answer, answered, ask, ask_again, bucket_of, by_bucket, deal, finish, pack, unpack
+from .mail import NULL_ID, Message, Texts, answer, answered, ask, ask_again, bucket_of, by_bucket, deal, finish, pack, unpack
 
 WINDOW, BLOCK = 13, 7
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -64,43 +64,62 @@ class Words:
 
 
 def _ask_blocks(buckets: int):
-    def question(grp: int, texts: Texts) -> list[tuple[int, int, bytes]]:
+    def question(grp: int, texts: Texts) -> list[Message]:
         _, key, block = Words(texts).keys(buckets)
         asked, out = np.unique(key), []
-        has = np.zeros(len(asked), bool)
-        has[np.searchsorted(asked, key[block])] = True
+        has = np.zeros(len(asked), np.uint8)
+        has[np.searchsorted(asked, key[block])] = 1
         of = (asked >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
-            low = asked[s:e].astype(np.uint32)
-            out.append((int(of[s]), ASKED, pack(np.diff(low, prepend=np.uint32(0)), np.packbits(has[s:e]))))
+            out.append((int(of[s]), ASKED, _packed(asked[s:e].astype(np.uint32), has[s:e])))
         return out
 
     return question
 
 
-def _answer_blocks(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """A bit for each probe: whether another group has such a block."""
-    read = []
-    for grp, _, payload in messages:
-        steps, bits = unpack_bits(payload)
-        read.append((grp, np.cumsum(steps, dtype=np.uint32), bits))
-    blocks, groups = np.unique(np.concatenate([low[has] for _, low, has in read]), return_counts=True)
-    out = []
-    for grp, low, has in read:
-        at = np.minimum(np.searchsorted(blocks, low), max(len(blocks) - 1, 0))
-        n = np.where(blocks[at] == low, groups[at], 0) if len(blocks) else np.zeros(len(low), np.int64)
-        out.append((grp, ASKED, pack(np.packbits(n > has), np.array([len(low)], np.uint32))))
-    return out
+def _packed(low: np.ndarray, groups: np.ndarray) -> bytes:
+    """Sorted keys, and how many groups (0, 1, more) have each as a block."""
+    return pack(np.diff(low, prepend=np.uint32(0)), np.packbits(groups > 0), np.packbits(groups > 1))
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, one, more = unpack(payload)
+    return np.cumsum(steps, dtype=np.uint32), np.unpackbits(one, count=len(steps)) + np.unpackbits(more, count=len(steps))
+
+
+def _all_groups(read: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys of several messages, how many groups have each, and which of them each key asked for is."""
+    keys, to = np.unique(np.concatenate([low for low, _ in read]), return_inverse=True)
+    return keys, np.minimum(np.bincount(to, np.concatenate([n for _, n in read])), 2).astype(np.uint8), to
+
+
+def _replies(n: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """For each message how many groups have a block, key by key."""
+    return [pack(np.packbits(x > 0), np.packbits(x > 1), np.array([len(x)], np.uint32)) for x in np.split(n, np.cumsum(sizes)[:-1])]
+
+
+def _answer_blocks(messages: list[Message]) -> list[Message]:
+    """How many groups (0, 1, more) have each probe as a block."""
+    read = [_unpacked(p) for *_, p in messages]
+    _, n, to = _all_groups(read)
+    return [(grp, ASKED, p) for (grp, _, _), p in zip(messages, _replies(n[to], [len(low) for low, _ in read]))]
+
 
+def _merge_blocks(kind: int, payloads: list[bytes]) -> bytes:
+    keys, n, _ = _all_groups([_unpacked(p) for p in payloads])
+    return _packed(keys, n)
 
-def unpack_bits(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    values, bits = unpack(payload)
-    return values, np.unpackbits(bits, count=len(values)).astype(bool)
 
+def _share_blocks(kind: int, payload: bytes, payloads: list[bytes]) -> list[bytes]:
+    read = [_unpacked(p) for p in payloads]
+    one, more, n = unpack(payload)
+    found = np.unpackbits(one, count=int(n[0])) + np.unpackbits(more, count=int(n[0]))
+    return _replies(found[_all_groups(read)[2]], [len(low) for low, _ in read])
 
-def _bits(answers: pa.Table, kind: int) -> np.ndarray:
-    parts = [np.unpackbits(bits, count=int(n[0])).astype(bool) for bits, n in answered(answers, kind)]
+
+def _bits(answers: pa.Table, kind: int, which: int = 0) -> np.ndarray:
+    parts = [np.unpackbits(x[which], count=int(x[-1][0])).astype(bool) for x in answered(answers, kind)]
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
@@ -108,7 +127,10 @@ def _candidates(words: Words, buckets: int, answers: pa.Table) -> np.ndarray:
     """Whether a window starts at each word that has a hit in it: in another group's block or another document's here."""
     at, key, block = words.keys(buckets)
     asked, to = np.unique(key, return_inverse=True)
-    hit = _bits(answers, ASKED)[to] if len(key) else np.zeros(0, bool)
+    mine_too = np.zeros(len(asked), np.uint8)
+    mine_too[to[block]] = 1
+    groups = _bits(answers, ASKED).astype(np.uint8) + _bits(answers, ASKED, 1)
+    hit = (groups > mine_too)[to] if len(key) else np.zeros(0, bool)
     own, doc = to[block], words.rank[at[block]]
     low, high = np.full(len(asked), np.iinfo(np.int64).max), np.full(len(asked), np.iinfo(np.int64).min)
     np.minimum.at(low, own, doc)
@@ -135,7 +157,7 @@ def _earliest(words: Words, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _ask_windows(buckets: int):
-    def question(grp: int, texts: Texts, answers: pa.Table) -> list[tuple[int, int, bytes]]:
+    def question(grp: int, texts: Texts, answers: pa.Table) -> list[Message]:
         words = Words(texts)
         candidate = _candidates(words, buckets, answers)
         _, hashes, _, first, place = _earliest(words, candidate)
@@ -145,25 +167,50 @@ def _ask_windows(buckets: int):
     return question
 
 
-def _answer_windows(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """For each window a bit, whether it starts in an earlier document than any of the group's own, and of those that do
-    the first document and word."""
+def _all_windows(read: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different windows of several messages, the first document and word of each, and which of them each is."""
+    hashes, to = np.unique(np.concatenate([x[0] for x in read]), return_inverse=True)
+    ranks, places = (np.concatenate([x[i] for x in read]) for i in (1, 2))
+    order = np.lexsort((places, ranks, to))
+    first = order[np.flatnonzero(np.diff(to[order], prepend=-1))]
+    return hashes, ranks[first], places[first], to
+
+
+def _earlier(read: list[list[np.ndarray]], rank: np.ndarray, place: np.ndarray) -> list[bytes]:
+    """For each message a bit for each window, whether it starts in an earlier document than any of its own, and of those
+    that do the first document and word."""
+    out, at = [], 0
+    for h, own, _ in read:
+        s = slice(at, at + len(h))
+        earlier = rank[s] < own
+        out.append(pack(np.packbits(earlier), rank[s][earlier], place[s][earlier], np.array([len(h)], np.uint32)))
+        at += len(h)
+    return out
+
+
+def _answer_windows(messages: list[Message]) -> list[Message]:
     out = [(g, k, p) for g, k, p in messages if k == OWN]
-    read = [(g, *unpack(p)) for g, k, p in messages if k == ASKED]
-    if read:
-        _, to = np.unique(np.concatenate([h for _, h, _, _ in read]), return_inverse=True)
-        ranks, places = (np.concatenate([x[i] for x in read]) for i in (2, 3))
-        order = np.lexsort((places, ranks, to))
-        first = order[np.flatnonzero(np.diff(to[order], prepend=-1))][to]
-        earlier, at = ranks[first] < ranks, 0
-        for g, h, _, _ in read:
-            s = slice(at, at + len(h))
-            which = first[s][earlier[s]]
-            out.append((g, ASKED, pack(np.packbits(earlier[s]), np.array([len(h)], np.uint32), ranks[which], places[which])))
-            at += len(h)
+    asked = [(g, unpack(p)) for g, k, p in messages if k == ASKED]
+    if asked:
+        read = [x for _, x in asked]
+        _, rank, place, to = _all_windows(read)
+        out += [(g, ASKED, p) for (g, _), p in zip(asked, _earlier(read, rank[to], place[to]))]
     return out
 
 
+def _merge_windows(kind: int, payloads: list[bytes]) -> bytes:
+    return pack(*_all_windows([unpack(p) for p in payloads])[:3])
+
+
+def _share_windows(kind: int, payload: bytes, payloads: list[bytes]) -> list[bytes]:
+    read = [unpack(p) for p in payloads]
+    _, rank, place, to = _all_windows(read)
+    bits, ranks, places, n = unpack(payload)
+    earlier = np.unpackbits(bits, count=int(n[0])).astype(bool)
+    rank[earlier], place[earlier] = ranks, places
+    return _earlier(read, rank[to], place[to])
+
+
 def _extended(words: Words, at: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """Maximal exact repeats: windows that follow each other here and in the same earlier document are one. Document
     (its row here), first word, number of words, the earlier document's rank and the first word there."""
@@ -180,10 +227,10 @@ def _remove(texts: Texts, answers: pa.Table) -> pa.Table:
     candidate = _bits(answers, OWN)
     at, hashes, to, rank, place = _earliest(words, candidate)
     parts = answered(answers, ASKED)
-    earlier = np.concatenate([np.unpackbits(x[0], count=int(x[1][0])).astype(bool) for x in parts]) if parts else np.zeros(len(hashes), bool)
+    earlier = _bits(answers, ASKED) if parts else np.zeros(len(hashes), bool)
     rank, place = rank.copy(), place.copy()
     if parts:
-        rank[earlier], place[earlier] = (np.concatenate([x[i] for x in parts]) for i in (2, 3))
+        rank[earlier], place[earlier] = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
     of, of_place = rank[to], place[to]
     again = of < words.rank[at]
     repeated = at[again]
@@ -209,7 +256,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, text (the words kept, joined by blanks) and repeats for each row of docs: the maximal
     exact repeats that were removed, each with its first word, its number of words, and the first document and word
     where it starts. They may overlap."""
-    dealt, buckets = deal(docs)
-    blocks = answer(ask(dealt, _ask_blocks(buckets)), _answer_blocks)
-    windows = answer(ask_again(dealt, blocks, _ask_windows(buckets)), _answer_windows)
+    dealt, groups, buckets = deal(docs)
+    blocks = answer(ask(dealt, _ask_blocks(buckets)), groups, _answer_blocks, _merge_blocks, _share_blocks, (ASKED,))
+    windows = answer(ask_again(dealt, blocks, _ask_windows(buckets)), groups, _answer_windows, _merge_windows, _share_windows, (ASKED,))
     return finish(dealt, windows, _remove, "doc_id long, n_words long, n_removed long, text string, repeats array<struct<start: long, n_words: long, of: long, of_start: long>>")

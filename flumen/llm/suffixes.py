@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_counted
 from .hashing import Spans, mixed
-from .mail import Texts, answer, answered, ask, ask_again, by_bucket, deal, finish, pack, unpack
+from .mail import Message, Texts, answer, answered, ask, ask_again, by_bucket, deal, finish, pack, unpack
 
 LENGTH, GRAM = 200, 48
 #: Starts of one string's grams: the widest range that an anchor can have.
@@ -103,23 +103,34 @@ class Anchors:
 
 
 def _ask_classes(buckets: int):
-    def question(grp: int, texts: Texts) -> list[tuple[int, int, bytes]]:
+    def question(grp: int, texts: Texts) -> list[Message]:
         a = Anchors(texts)
         return [(b, CLASSES, pack(a.gram[s], a.around[s], np.packbits(a.count[s] > 1))) for b, s in by_bucket(a.gram, buckets)]
 
     return question
 
 
-def _answer_classes(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """For each class: is it repeated, are there other classes of its gram to compare with, are there many."""
-    read = [(g, *unpack(p)) for g, _, p in messages]
-    gram, around = np.concatenate([x[1] for x in read]), np.concatenate([x[2] for x in read])
-    twice = np.concatenate([np.unpackbits(x[3], count=len(x[1])) for x in read]).astype(np.int64)
+def _classes_of(gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In order of gram and surroundings: the order, and for each place in it the number of its class and of its gram,
+    and whether it is the first of its class."""
     order = np.lexsort((around, gram))
     g, r = gram[order], around[order]
     new_gram = np.diff(g, prepend=g[:1] + np.uint64(1)) != 0
     new = new_gram | (np.diff(r, prepend=r[:1] + np.uint64(1)) != 0)
-    of_class, of_gram = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
+    return order, np.cumsum(new) - 1, np.cumsum(new_gram) - 1, new
+
+
+def _read_classes(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    read = [unpack(p) for p in payloads]
+    sizes = [len(x[0]) for x in read]
+    twice = np.concatenate([np.unpackbits(x[2], count=n) for x, n in zip(read, sizes)]).astype(np.int64)
+    return np.concatenate([x[0] for x in read]), np.concatenate([x[1] for x in read]), twice, sizes
+
+
+def _answer_classes(messages: list[Message]) -> list[Message]:
+    """For each class: is it repeated, are there other classes of its gram to compare with, are there many."""
+    gram, around, twice, sizes = _read_classes([p for *_, p in messages])
+    order, of_class, of_gram, new = _classes_of(gram, around)
     repeated = np.bincount(of_class, 1 + twice[order])[of_class] > 1
     classes = np.bincount(of_gram[new])[of_gram]
     # One group sends a class to the array of its gram, if there are others; alone it is an array of one entry, and
@@ -127,11 +138,35 @@ def _answer_classes(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, i
     code = repeated * REPEATED + ((classes > 1) & new) * APART + ((classes > CROWDED) & new) * MANY
     codes = np.zeros(len(order), np.uint8)
     codes[order] = code
-    out, at = [], 0
-    for x in read:
-        out.append((x[0], CLASSES, pack(codes[at : at + len(x[1])])))
-        at += len(x[1])
-    return out
+    return [(grp, CLASSES, pack(c)) for (grp, _, _), c in zip(messages, np.split(codes, np.cumsum(sizes)[:-1]))]
+
+
+def _merge(kind: int, payloads: list[bytes]) -> bytes:
+    """One message of the different classes or strings in several."""
+    if kind == CLASSES:
+        gram, around, twice, _ = _read_classes(payloads)
+        order, of_class, _, new = _classes_of(gram, around)
+        return pack(gram[order][new], around[order][new], np.packbits(np.bincount(of_class, 1 + twice[order]) > 1))
+    read = [unpack(p) for p in payloads]
+    hashes, to = np.unique(np.concatenate([h for h, _ in read]), return_inverse=True)
+    twice = np.concatenate([np.unpackbits(b, count=len(h)) for h, b in read])
+    return pack(hashes, np.packbits(np.bincount(to, 1.0 + twice) > 1))
+
+
+def _share(kind: int, payload: bytes, payloads: list[bytes]) -> list[bytes]:
+    """The answer to a merged message, for each of those it was merged from. A class is asked for from the first of them
+    only, as from one of all."""
+    if kind == CLASSES:
+        gram, around, _, sizes = _read_classes(payloads)
+        order, of_class, _, new = _classes_of(gram, around)
+        codes = np.zeros(len(order), np.uint8)
+        codes[order] = np.where(new, 255, REPEATED).astype(np.uint8) & unpack(payload)[0][of_class]
+        return [pack(c) for c in np.split(codes, np.cumsum(sizes)[:-1])]
+    own = [unpack(p)[0] for p in payloads]
+    _, to = np.unique(np.concatenate(own), return_inverse=True)
+    bits, n = unpack(payload)
+    repeated = np.unpackbits(bits, count=int(n[0])).astype(bool)[to]
+    return [pack(np.packbits(r), np.array([len(r)], np.uint32)) for r in np.split(repeated, np.cumsum([len(h) for h in own])[:-1])]
 
 
 def _strings(texts: Texts, a: Anchors, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +180,7 @@ def _strings(texts: Texts, a: Anchors, which: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _ask_segments(buckets: int):
-    def question(grp: int, texts: Texts, answers: pa.Table) -> list[tuple[int, int, bytes]]:
+    def question(grp: int, texts: Texts, answers: pa.Table) -> list[Message]:
         a = Anchors(texts)
         codes = [x[0] for x in answered(answers, CLASSES)]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
@@ -241,7 +276,7 @@ def _groups(segments: list[list[np.ndarray]]) -> list[tuple[int, int, np.ndarray
     return list(repeat_groups(grams, right, n_right, left, before))
 
 
-def _answer_segments(messages: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+def _answer_segments(messages: list[Message]) -> list[Message]:
     out = [(g, k, p) for g, k, p in messages if k == OWN]
     segments = [(g, unpack(p)) for g, k, p in messages if k == SEGMENTS]
     if segments:
@@ -310,9 +345,9 @@ def _remove(texts: Texts, answers: pa.Table) -> pa.Table:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain) and spans (what was removed, as byte offsets of
     the text) for each row of docs."""
-    dealt, buckets = deal(docs)
-    classes = answer(ask(dealt, _ask_classes(buckets)), _answer_classes)
-    found = answer(ask_again(dealt, classes, _ask_segments(buckets)), _answer_segments)
+    dealt, groups, buckets = deal(docs)
+    classes = answer(ask(dealt, _ask_classes(buckets)), groups, _answer_classes, _merge, _share, (CLASSES,))
+    found = answer(ask_again(dealt, classes, _ask_segments(buckets)), groups, _answer_segments, _merge, _share, (STRINGS,))
     return finish(dealt, found, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
 
 
@@ -342,8 +377,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """repeat_id, doc_id, start and n_bytes of every occurrence of every maximal repeat group of LENGTH bytes and more.
     Groups are maximal within the surroundings of their anchor, that is up to 2 * LENGTH - GRAM bytes; a longer repeat
     comes as a chain of groups. Grams with more than CROWDED surroundings have the groups of equal surroundings only."""
-    dealt, buckets = deal(docs)
-    classes = answer(ask(dealt, _ask_classes(buckets)), _answer_classes)
+    dealt, n_groups, buckets = deal(docs)
+    classes = answer(ask(dealt, _ask_classes(buckets)), n_groups, _answer_classes, _merge, _share, (CLASSES,))
     groups = ask_again(dealt, classes, _ask_segments(buckets)).groupBy("bucket").applyInArrow(_class_groups, "gram long, around long, repeat_id long, low int, high int")
     found = cut(dealt.groupBy("grp").applyInArrow(_occurrences, "gram long, around long, place long, before long, after long, doc_id long"))
     counts = cut(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.first("before").alias("low"), F.first("after").alias("high")))

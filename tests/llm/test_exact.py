@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from flumen.llm import chunks, near, secrets, simhash, substrings, suffixes
+from flumen.llm import chunks, mail, near, secrets, simhash, substrings, suffixes
 from flumen.llm.graph import components
 from flumen.llm.hashing import Spans
 
@@ -37,7 +37,9 @@ def removed_words(docs):
         yield i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()
 
 
-def test_substrings(documents, awkward):
+@pytest.mark.parametrize("fan", [4096, 2])
+def test_substrings(documents, awkward, monkeypatch, fan):
+    monkeypatch.setattr(mail, "FAN", fan)
     docs = list(enumerate(awkward))
     found = substrings.deduplicated(documents(docs)).orderBy("doc_id").collect()
     got = [tuple(r)[:4] for r in found]
@@ -75,8 +77,9 @@ def removed_bytes(docs):
         yield i, len(t), int(g.sum()), int((g[1:] & ~g[:-1]).sum() + g[0]) if len(g) else 0, np.frombuffer(t, np.uint8)[~g].tobytes()
 
 
-@pytest.mark.parametrize("crowded", [1_000, 4])
-def test_suffix_array(documents, awkward, monkeypatch, crowded):
+@pytest.mark.parametrize("crowded,fan", [(1_000, 4096), (4, 4096), (1_000, 2), (4, 3)])
+def test_suffix_array(documents, awkward, monkeypatch, crowded, fan):
+    monkeypatch.setattr(mail, "FAN", fan)
     monkeypatch.setattr(suffixes, "CROWDED", crowded)
     docs = list(enumerate(awkward))
     rows = suffixes.deduplicated(documents(docs)).orderBy("doc_id").collect()
