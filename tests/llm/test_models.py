@@ -287,6 +287,60 @@ def test_priors_decide_what_the_text_leaves_open(spark, corpus):
     assert got == {3000: "bb", 3001: "cc"}
 
 
+def test_posteriors_against_plain_python(spark):
+    """The fusion of all four kinds of evidence, worked out row by row from the trigram model."""
+    import collections
+    import math
+
+    import numpy as np
+
+    r = random.Random(8)
+    rows = []
+    for i in range(90):
+        lang = r.choice(list(SYLLABLES))
+        text = tongue(lang, r.choice([1, 2, 12]), i) if r.random() < 0.9 else r.choice(["", "12 !!", "m"])
+        host = None if r.random() < 0.1 else f"h{r.randint(0, 9)}.{'site' if r.random() < 0.5 else 'other'}.{lang}"
+        rows.append((i, text, lang if r.random() < 0.5 else None, r.choice([lang, lang, "xx", None]), host and lang, host and host.split(".", 1)[1], host))
+    df = spark.createDataFrame(rows, "id int, text string, label string, declared string, suffix string, site string, host string")
+    langs, model = language.train(df)
+    n, names = len(langs) + 1, [*langs, "und"]
+    like = []
+    for _, text, *_ in rows:
+        t = language.trigrams(text)
+        like.append([float(x) * min(1.0, language.EVIDENCE / len(t)) for x in model[t].astype(float).sum(0)] if len(t) else [-1e6] * (n - 1) + [0.0])
+    top = [max(range(n), key=lambda k: x[k]) for x in like]
+    count = lambda key: {v: [sum(t == k for t, row in zip(top, rows) if row[key] == v) for k in range(n)] for v in {row[key] for row in rows} - {None}}
+    tables = {}
+    for key in (3, 4):
+        c = count(key)
+        totals = [sum(x[k] for x in c.values()) for k in range(n)]
+        tables[key] = {v: [math.log((x[k] + language.ADDED) / (totals[k] + language.ADDED * (len(c) + 1))) for k in range(n)] for v, x in c.items()}
+    hosts, sites = count(6), collections.defaultdict(lambda: [0] * n)
+    of_site = {row[6]: row[5] for row in rows if row[6]}
+    for host, c in hosts.items():
+        sites[of_site[host]] = [a + b for a, b in zip(sites[of_site[host]], c)]
+    every = collections.Counter(top)
+    share = [(every[k] + language.ADDED) / (len(rows) + language.ADDED * n) for k in range(n)]
+
+    def smooth(c, own, above):
+        o = [x - (k == own) for k, x in enumerate(c)]
+        return [(x + language.SMOOTH * p) / (sum(o) + language.SMOOTH) for x, p in zip(o, above)]
+
+    got = {x.id: x for x in language.identify(df).collect()}
+    for row, x, own in zip(rows, like, top):
+        prior = share
+        if row[6]:
+            prior = smooth(hosts[row[6]], own, smooth(sites[row[5]], own, share))
+        log = [a + math.log(p + 1e-9) for a, p in zip(x, prior)]
+        for key in (3, 4):
+            if row[key]:
+                log = [a + b for a, b in zip(log, tables[key][row[key]])]
+        p = np.exp(np.array(log) - max(log))
+        p /= p.sum()
+        assert got[row[0]].posterior == pytest.approx(p.max(), rel=1e-4) and got[row[0]].language == names[int(p.argmax())]
+        assert got[row[0]].rejected == (names[int(p.argmax())] == "und" or p.max() < language.LEAST)
+
+
 def test_page_evidence(spark):
     p = spark.createDataFrame([(1, "https://u@www.a.example.de:80/x", "<html class=x LANG='de-DE'><script>var x</script>hallo"), (2, None, None), (3, "nonsense", "")], "page_id long, url string, html string")
     r = {x.page_id: x for x in language.of_pages(p).collect()}
