@@ -7,8 +7,10 @@ one at least with 0.9996, of 0.85 with 0.99999. (Segments of SimHash fingerprint
 segments of 28 bits, 2,146 keys a text, for 0.99 at 0.8; the bands are 20 keys.)
 
 What meets is compared by the whole sets, block by block, and only enough links to hold each group together leave the
-task. Keys with more than TILE members, or BLOCK shingles, are split into pairs of tiles, so that no task gets more than
-two tiles. Bands with the same members are compared once.
+task. Keys with more than TILE members, or BLOCK shingles, are split into tiles, so that no task gets more than two. Each
+tile is compared in itself; then every member with one of each large part that is linked by then, which suffices for
+large families; and only the keys that are in parts after that have all pairs of their tiles compared. Bands with the
+same members are compared once.
 
 Null texts count as empty, and all texts without words are copies of each other; repeated rows are copies; an empty
 table gives an empty one; other columns are ignored, whatever their names. A very long text's shingles, 8 bytes for each
@@ -32,6 +34,8 @@ from .hashing import mixed
 
 BANDS, ROWS = 20, 5
 TILE = 4096
+#: Of a key of several tiles, parts of at least this part of the key have a centre each.
+CENTRES = 64
 #: Shingles that a tile and that a task's call compare, about.
 BLOCK, BUCKET = 1 << 19, 1 << 21
 STREAMS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -158,6 +162,47 @@ def _forest(similarity: float):
     return run
 
 
+def _links(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links among the members (key, i, j, node, size) of each key and tiles. Only texts that met another are looked at
+    again."""
+    met = members.select("node").distinct().join(nodes.select("node", "low.*"), "node").select(F.col("id").alias("met_id"), F.col("text").alias("met_text"))
+    again = _own(docs).join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_text")), "left_semi")
+    sets = _sets(again, words).groupBy("node").agg(F.first("set").alias("set"))
+    total = members.agg(F.sum("size")).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-total // BUCKET))
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")
+    met_sets = members.join(sets, "node").select(bucket, "key", "i", "j", "node", "set")
+    return cut(met_sets.groupBy("bucket").applyInPandas(_forest(similarity), "u long, v long"))
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of the keys that the links don't hold together yet, each with the root of its part."""
+    rooted = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).filter("several").withColumn("of", F.col("n"))
+    return cut(join_counted(rooted, several.drop("several"), ["key"], "n"))
+
+
+def _crowded_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """links and what is needed besides to hold together the near copies among the members (key, node, size, tiles, tile)
+    of keys of several tiles, each tile of which has been compared in itself.
+
+    Most of such keys are large families, whose tiles are linked by comparing every member with one of each large part.
+    Only of keys that are still in parts are all pairs of tiles compared."""
+    open_ = _apart(members, links)
+    if open_.isEmpty():
+        return links
+    parts = open_.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("tiles").alias("tiles"), F.min(F.struct("node", "size")).alias("centre"))
+    centres = parts.filter(F.col("n") * CENTRES >= F.col("of")).select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), "centre.node", "centre.size")
+    star = open_.select("key", F.col("tile").alias("i"), "node", "size").unionByName(centres).distinct().withColumn("j", F.lit(-1))
+    links = cut(links.unionByName(_links(docs, nodes, cut(star), words, similarity)))
+    open_ = _apart(members.join(open_.select("key").distinct(), "key", "left_semi"), links)
+    if open_.isEmpty():
+        return links
+    pairs = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tile <> other")
+    pairs = cut(pairs.select("key", "node", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    return links.unionByName(_links(docs, nodes, pairs, words, similarity))
+
+
 def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """doc_id, text_key and first for each row of docs: the first is (without, id, text), whether the smallest row of
     its group has no doc_id, its doc_id and its text_key."""
@@ -167,18 +212,12 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     table = nodes.filter("size > 0").select("node", "size", F.explode("keys").alias("key"))
     same = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("same")
     shared = table.groupBy("key").agg(same, F.sum("size").alias("total")).filter("same.n > 1")
-    shared = shared.groupBy("same", "total").agg(F.min("key").alias("key")).select("key", "same.n", F.ceil(F.greatest(F.col("same.n") / TILE, F.col("total") / BLOCK)).cast("int").alias("tiles"))
+    tiles = F.ceil(F.greatest(F.col("same.n") / TILE, F.col("total") / BLOCK)).cast("int").alias("tiles")
+    shared = shared.groupBy("same", "total").agg(F.min("key").alias("key")).select("key", "same.n", tiles)
     members = join_counted(table, shared, ["key"], "n").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = cut(members.select("key", "node", "size", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
-    # Only texts that met another are looked at again.
-    met = members.select("node").distinct().join(nodes.select("node", "low.*"), "node").select(F.col("id").alias("met_id"), F.col("text").alias("met_text"))
-    again = _own(docs).join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_text")), "left_semi")
-    sets = _sets(again, words).groupBy("node").agg(F.first("set").alias("set"))
-    total = members.agg(F.sum("size")).first()[0] or 0
-    buckets = max(partitions(docs.sparkSession), -(-total // BUCKET))
-    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")
-    links = members.join(sets, "node").select(bucket, "key", "i", "j", "node", "set").groupBy("bucket").applyInPandas(_forest(similarity), "u long, v long")
+    members = cut(members.withColumns({"i": F.col("tile"), "j": F.col("tile")}))
+    links = _links(docs, nodes, members, words, similarity)
+    links = _crowded_links(docs, nodes, members.filter("tiles > 1").drop("i", "j"), links, words, similarity)
     comp = components(links)
     rooted = nodes.join(comp, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("low").alias("first"))

@@ -228,6 +228,33 @@ def test_near_copies_in_split_keys(documents, prose, monkeypatch):
     assert {r.component_id for r in near.near_copies(documents(docs)).collect()} == {0}
 
 
+@pytest.mark.parametrize("centres", [64, 2])
+def test_near_copies_in_keys_of_many_parts(documents, prose, monkeypatch, centres):
+    """A template with families of near copies, and rows that are like no other: all in keys of several tiles, that
+    centres don't hold together. Against all pairs."""
+    monkeypatch.setattr(near, "TILE", 4)
+    monkeypatch.setattr(near, "CENTRES", centres)
+    r = random.Random(3)
+    template, texts = prose(120, 1).split(), []
+    for family in range(4):
+        own = prose(60, 10 + family).split()
+        for k in range(9):
+            w = [*template, *own]
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(120, 180)] = f"x{r.random()}"
+            texts.append(" ".join(w))
+    texts += [" ".join([*template, *prose(60, 50 + i).split()]) for i in range(9)]
+    sets = [set(near.shingles(t.encode(), 5).tolist()) for t in texts]
+    up = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) >= 0.8 * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+    got = {x.doc_id: x.component_id for x in near.near_copies(documents(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == up and len(set(up)) > 10
+
+
 def test_near_copies_by_kind_of_edit(documents, prose):
     """Pairs of similarity 0.8 are linked whatever the edit and however short the texts; those just below are not."""
     other = lambda n, seed: " ".join(f"x{w}" for w in prose(n, seed).split())
