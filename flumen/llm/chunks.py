@@ -112,7 +112,7 @@ def in_runs(docs: DataFrame, size: int = RUN) -> DataFrame:
     docs = texts(docs).withColumn("hash", F.xxhash64("text"))
     sizes = docs.select("doc_id", "hash", F.octet_length("text").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    size = max(1, min(size, -(-total // (2 * partitions(docs.sparkSession)))))
+    size = max(1, min(size, -(-total // (8 * partitions(docs.sparkSession)))))
     placed = running(sizes, [F.col("doc_id").asc_nulls_first(), F.col("hash")], {"before": F.col("n")})
     order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "hash")
     least = placed.groupBy(F.floor(F.col("before") / size).alias("run")).agg(F.min(order).alias("first")).select("first.*").distinct().orderBy("some", "doc_id", "hash").collect()
