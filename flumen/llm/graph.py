@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +26,24 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that has a link; root is the smallest node reachable. edges has longs u and v."""
-    e = cut(edges.select("u", "v").filter("u <> v").distinct())
-    mark = None
+    """(node, root) for every node that has a link; root is the smallest node reachable. edges has longs u and v.
+
+    Each round's edges are kept on disk while the next is planned, as only then does Spark know their size: estimates
+    multiply with each join and grow beyond all bounds over some rounds. They are written to the checkpoint folder as
+    well, so that an executor's loss costs no more than reading them again."""
+
+    def held(e: DataFrame) -> tuple[DataFrame, tuple]:
+        e = cut(e).persist(StorageLevel.DISK_ONLY)
+        return e, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    e, mark = held(edges.select("u", "v").filter("u <> v").distinct())
     while True:
-        e = cut(_stars(cut(_stars(e, True)), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, (e, now) = e, held(_stars(cut(_stars(e, True)), False))
+        before.unpersist()
         if now == mark:
             break
         mark = now
     stars = e.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    found = cut(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()))
+    e.unpersist()
+    return found

@@ -1,10 +1,12 @@
-"""Near copies of a given similarity, by MinHash bands and exact comparison.
+"""Near copies of a given similarity: SimHash with multi-index hashing, bands of minima, and exact comparison.
 
 The similarity of two texts is that of their sets of word shingles (Jaccard). Texts of one set are one node, whatever
-their ids. Candidates come from BANDS bands of ROWS minima of the set under hash functions: a pair of similarity s meets
-in a band with probability s^ROWS, however the texts differ and however short they are, so that a pair of 0.8 meets in
-one at least with 0.9996, of 0.85 with 0.99999. (Segments of SimHash fingerprints, searched with radius one, need 74
-segments of 28 bits, 2,146 keys a text, for 0.99 at 0.8; the bands are 20 keys.)
+their ids. Sets whose SimHash fingerprints are within three bits meet by multi-index hashing (see simhash). That is near
+0.95 and above: fingerprints of a pair of 0.8 differ in about 10 bits, and to find 0.99 of such pairs by multi-index
+hashing takes 74 segments of 28 bits with radius one, 2,146 keys a text. So the rest of the candidates come from BANDS
+bands of ROWS minima of the set under hash functions, 20 keys a text: a pair of similarity s meets in a band with
+probability s^ROWS, however the texts differ and however short they are, so that a pair of 0.8 meets in one at least with
+0.9996, of 0.85 with 0.99999.
 
 What meets is compared by the whole sets, block by block, and only enough links to hold each group together leave the
 task. Keys with more than TILE members, or BLOCK shingles, are split into tiles, so that no task gets more than two. Each
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, join_counted, partitions, unused
 from .graph import components
 from .hashing import mixed
@@ -65,6 +68,14 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _simhash(h: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def _print(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
 
@@ -78,15 +89,15 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set), size of the set and keys for each row."""
+    """doc_id, text_key, node (a hash of the set), size of the set, its SimHash (fp) and keys for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x.as_buffer().to_pybytes(), words) for x in b.column("text").cast(pa.binary())]
-            cols = [pa.array([_print(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), *cols], ["doc_id", "text_key", "node", "size", "keys"])
+            cols = [pa.array([_print(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([_simhash(h) for h in sets], pa.int64()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), *cols], ["doc_id", "text_key", "node", "size", "fp", "keys"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, keys array<long>")
+    return _own(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -203,13 +214,22 @@ def _crowded_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, links:
     return links.unionByName(_links(docs, nodes, pairs, words, similarity))
 
 
+def _near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """node, size and key, one key for each two fingerprints that multi-index hashing links, with a set of each."""
+    fps = cut(nodes.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("x")))
+    pairs = cut(simhash.links(fps.select("fp"))).withColumn("key", F.xxhash64("u", "v"))
+    ends = pairs.select("key", F.explode(F.array("u", "v")).alias("fp"))
+    met = ends.groupBy("fp").agg(F.count("*").alias("n_met"))
+    return join_counted(ends, fps.select("fp", "x").join(met, "fp"), ["fp"], "n_met").select("x.node", "x.size", "key")
+
+
 def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """doc_id, text_key and first for each row of docs: the first is (without, id, text), whether the smallest row of
     its group has no doc_id, its doc_id and its text_key."""
     fps = cut(fingerprints(docs, words))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("text_key").alias("text")))
-    nodes = cut(fps.groupBy("node").agg(low.alias("low"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.count("*").alias("rows")))
-    table = nodes.filter("size > 0").select("node", "size", F.explode("keys").alias("key"))
+    nodes = cut(fps.groupBy("node").agg(low.alias("low"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.count("*").alias("rows")))
+    table = nodes.filter("size > 0").select("node", "size", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).unionByName(_near_fingerprints(nodes.filter("size > 0")))
     same = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("same")
     shared = table.groupBy("key").agg(same, F.sum("size").alias("total")).filter("same.n > 1")
     tiles = F.ceil(F.greatest(F.col("same.n") / TILE, F.col("total") / BLOCK)).cast("int").alias("tiles")
