@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.validity import finite
-from ..plans.lineage import cut
+from ..plans.lineage import cut, held
 from ..plans.order import running
 
 SHARES, PERCENTILES = (0.2, 0.3, 0.4), (0.9, 0.95, 0.975, 0.99)
@@ -105,19 +105,24 @@ def label(cells: DataFrame, keys: list[str], axes: tuple[str, ...] = ("ix", "iy"
     steps = [F.struct(*((F.col(b) + (1 if a == b else 0)).alias(b) for b in axes)) for a in axes]
     ahead = cells.select(*keys, F.col("cell").alias("u"), F.explode(F.array(*steps)).alias("s")).select(*keys, "u", "s.*")
     edges = ahead.join(cells.select(*keys, *axes, F.col("cell").alias("v")), [*keys, *axes]).select(*keys, "u", "v")
-    edges = cut(edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))))
-    roots = cut(cells.select(*keys, F.col("cell").alias("u"), F.col("cell").alias("root")))
+    edges = held(edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))))
+    roots = held(cells.select(*keys, F.col("cell").alias("u"), F.col("cell").alias("root")))
     while True:
-        seen = edges.join(roots.withColumnRenamed("u", "v"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("root").alias("m"))
-        low = roots.join(seen, [*keys, "u"], "left").select(*keys, "u", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
+        seen = edges.join(roots.select(*keys, F.col("u").alias("v"), "root"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("root").alias("m"))
+        low = roots.select(*keys, "u", "root").join(seen, [*keys, "u"], "left").select(*keys, "u", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
         best = low.groupBy(*keys, F.col("old").alias("u")).agg(F.min("root").alias("hook"))
         step = low.join(best.withColumnRenamed("u", "old"), [*keys, "old"]).select(*keys, "u", F.least("root", "hook").alias("root"), "old")
         jump = step.select(*keys, F.col("u").alias("root"), F.col("root").alias("far"))
-        new = cut(step.join(jump, [*keys, "root"], "left").select(*keys, "u", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
-        if new.filter("root <> old").isEmpty():
+        new = held(step.join(jump, [*keys, "root"], "left").select(*keys, "u", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
+        roots.unpersist()
+        done = new.filter("root <> old").isEmpty()
+        roots = new
+        if done:
             break
-        roots = new.drop("old")
-    return cells.join(new.select(*keys, F.col("u").alias("cell"), "root"), [*keys, "cell"])
+    edges.unpersist()
+    found = cut(cells.join(roots.select(*keys, F.col("u").alias("cell"), "root"), [*keys, "cell"]))
+    roots.unpersist()
+    return found
 
 
 def component_stats(labelled: DataFrame, keys: list[str], value: str, axes: tuple[str, ...] = ("ix", "iy", "iz"), cell_volume: float = 1.0, min_size: int = 1) -> DataFrame:
@@ -168,8 +173,8 @@ def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str,
     takes are settled, at least one for each key.
     """
     order = Window.partitionBy(*keys).orderBy(F.col("integral").desc(), "component")
-    left = cut(a.withColumn("rank", F.row_number().over(order)).select(*keys, "rank", F.col("component").alias("a_component"), *(F.col(f"{x}_weighted").alias(f"a_{x}") for x in axes)))
-    free = cut(b.select(*keys, F.col("component").alias("b_component"), *(F.col(f"{x}_weighted").alias(f"b_{x}") for x in axes)))
+    left = held(a.withColumn("rank", F.row_number().over(order)).select(*keys, "rank", F.col("component").alias("a_component"), *(F.col(f"{x}_weighted").alias(f"a_{x}") for x in axes)))
+    free = held(b.select(*keys, F.col("component").alias("b_component"), *(F.col(f"{x}_weighted").alias(f"b_{x}") for x in axes)))
     d = F.sqrt(reduce(lambda s, x: s + F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2), axes, F.lit(0.0)))
     cols = [*keys, "a_component", "b_component", "distance"]
     done = left.join(free, keys).withColumn("distance", d).select(*cols).limit(0)
@@ -180,12 +185,17 @@ def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str,
         again = F.row_number().over(Window.partitionBy(*keys, "b_component").orderBy("rank")) > 1
         stop = F.min(F.when(F.col("_again"), F.col("rank"))).over(Window.partitionBy(*keys))
         best = best.withColumn("_again", again).withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("rank") < F.col("_stop")))
-        best = cut(best.select(*cols))
+        best = held(best.select(*cols))
         if best.isEmpty():
+            for x in (best, left, free):
+                x.unpersist()
             return done
         done = cut(done.unionByName(best))
-        left = cut(left.join(best.select(*keys, "a_component"), [*keys, "a_component"], "left_anti"))
-        free = cut(free.join(best.select(*keys, "b_component"), [*keys, "b_component"], "left_anti"))
+        old = best, left, free
+        left = held(left.join(best.select(*keys, "a_component"), [*keys, "a_component"], "left_anti"))
+        free = held(free.join(best.select(*keys, "b_component"), [*keys, "b_component"], "left_anti"))
+        for x in old:
+            x.unpersist()
 
 
 def suitability(grid: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back: short lineage, safe against lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """As cut, and kept on disk besides, for rounds of joins: only so does Spark know its size, as estimates multiply with
+    each join and grow beyond all bounds over some rounds. The caller unpersists it."""
+    df = cut(df).persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
