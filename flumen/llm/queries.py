@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, language, mixing, pages, pii, secrets, simhash, substrings, suffixes
+from . import chunks, decontaminate, exact, language, mixing, pages, pii, secrets, simhash, substrings, suffixes, variants, whiten
 from .common import read
 
 
@@ -57,8 +57,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.neighbours(read(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whitened(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_suffix_array, op3_pages, op4_pii, op5_simhash, op6_decontamination, op7_substrings, op8_secrets, op9_mixing, op10_fingerprints)}
+    first = (op1_language, op2_suffix_array, op3_pages, op4_pii, op5_simhash, op6_decontamination, op7_substrings, op8_secrets, op9_mixing, op10_fingerprints)
+    return {f.__name__: f for f in (*first, op11_variants, op12_whitening, op13_exact)}
 
 
 #: Every alignment with an equal token, whatever the seeds.
@@ -100,6 +114,30 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 """
 
 
+#: The checksum by its rule (a table of 256 entries, a step for each byte), then near words through equal rests: a
+#: replaced letter leaves what is around it, a deleted one the shorter word.
+OP11_SQL = r"""
+WITH shift AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(CAST(x AS BIGINT), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+bytes AS (SELECT doc_id, w, n, hex(encode(concat(doc_id, ':', w))) AS h FROM runs WHERE length(w) >= 6),
+sums AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST(('0x' || substr(h, i, 2)) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM bytes, shift),
+spoilt AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(w, 1, crc % length(w)) || substr(w, crc % length(w) + 2) ELSE w END AS word, n FROM sums),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+ UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (WITH RECURSIVE s AS (SELECT word, word AS root, 0 AS k FROM formed UNION ALL SELECT s.word, f.form, k + 1 FROM s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL) SELECT word, arg_max(root, k) AS root FROM s GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN steps USING (word)
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for what it can express: the others hash, train, permute by key, parse or round at random."""
-    return {"op2_suffix_array": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL}
+    """SQL for what it can express: the others hash, train, permute by key, parse, decompose or round at random."""
+    return {"op2_suffix_array": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substrings": OP7_SQL, "op11_variants": OP11_SQL, "op13_exact": OP13_SQL}
