@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pod
 from .phase import bin_angle, fit_harmonic
-from .regrid import align_axis, common_support, trilinear
+from .regrid import align_axis, apply_table, common_support, interpolation_table
 from .stats import axis_spacing
 from ..functions.validity import finite
+from ..plans.lineage import cut
+from ..plans.order import few
 
 
 def phase_snapshots(averages: DataFrame) -> DataFrame:
@@ -28,15 +32,14 @@ def joint_pod(averages: DataFrame, modes: int = 4, weight: float | None = None)
 
 def on_grid(averages: DataFrame, axes: DataFrame, targets: DataFrame) -> DataFrame:
     """Phase averages of volumes with grids of their own (axes: volume, axis, idx, coord) on common target points
-    (target, z, y, x): volume, target, component, phase_bin, coherent. Points outside a volume it doesn't contribute to."""
-    fields = averages.filter(F.col("coherent").isNotNull()).withColumn("_field", F.concat_ws("/", "volume", "component", "phase_bin"))
-    names = fields.select("volume", "component", "phase_bin", "_field").distinct()
-    # Each phase and component of a volume is a field of its own on the volume's axes.
-    field = fields.select(F.col("_field").alias("volume"), "iz", "iy", "ix", "coherent")
-    own = axes.join(names.select("volume", "_field"), "volume").select(F.col("_field").alias("volume"), "axis", "idx", "coord")
-    at = targets.crossJoin(names.select(F.col("_field").alias("volume")))  # the result has a row for each pair, but for holes
-    found = trilinear(field, own, at, ["coherent"]).withColumnRenamed("volume", "_field")
-    return found.join(names, "_field").select("volume", "target", "component", "phase_bin", "coherent")
+    (target, z, y, x): volume, target, component, phase_bin, coherent. Points outside a volume it doesn't contribute to.
+    A volume's interpolation table is made once, for all its components and phases."""
+    volumes = axes.groupBy("volume").agg(*(f(F.when(F.col("axis") == a, F.col("coord"))).alias(f"_{a}{n}") for a in "zyx" for f, n in ((F.min, 0), (F.max, 1))))
+    # A target meets a volume only within its box.
+    inside = reduce(lambda p, q: p & q, (F.col(a).between(F.col(f"_{a}0"), F.col(f"_{a}1")) for a in "zyx"))
+    at = targets.join(few(volumes), inside).select("volume", "target", "z", "y", "x")
+    table = cut(interpolation_table(axes, at))
+    return apply_table(table, averages, ["coherent"], ["component", "phase_bin"])
 
 
 def uniform_targets(axes: DataFrame, spacing: float | None = None, most: int = 2_000_000) -> DataFrame:

@@ -29,15 +29,16 @@ def fluctuations(snapshots: DataFrame, min_fraction: float = 0.0, weight: float
 
 #: Rows of the other side whose products are summed at a time.
 CHUNK = 1_024
+#: Rows up to which a column is one array whose products Spark sums itself.
+DENSE = 64
 
 
 def _ids(x: DataFrame, row: str, most: int) -> list:
-    """The different `row`s, which must be few; they are counted before they go to the driver."""
-    found = x.select(row).distinct()
-    n = found.count()
-    if n > most:
-        raise ValueError(f"{n} rows are more than the {most} that the driver decomposes")
-    return sorted(r[0] for r in found.collect())
+    """The different `row`s, which must be few; no more than that come to the driver."""
+    found = x.select(row).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"there are more than the {most} rows that the driver decomposes")
+    return sorted(r[0] for r in found)
 
 
 def gram(x: DataFrame, row: str, col: str, most: int = MOST) -> DataFrame:
@@ -45,6 +46,13 @@ def gram(x: DataFrame, row: str, col: str, most: int = MOST) -> DataFrame:
     products of its part of the `col`s; only these sums are shuffled."""
     ids = _ids(x, row, most)
     kind = dict(x.dtypes)[row]
+    if len(ids) <= DENSE:
+        place = F.transform(F.array(*map(F.lit, ids)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+        summed = x.repartition(col).groupBy(col, row).agg(F.sum("x").alias("x"))
+        wide = summed.groupBy(col).agg(F.map_from_entries(F.collect_list(F.struct(row, "x"))).alias("_m")).select(place.alias("_v"))
+        pairs = wide.select(F.posexplode("_v").alias("_i", "_x"), "_v").select("_i", F.posexplode(F.transform(F.slice("_v", F.col("_i") + 1, len(ids)), lambda y: y * F.col("_x"))).alias("_k", "_p"))
+        name = lambda c: F.get(F.array(*map(F.lit, ids)), c).cast(kind)
+        return pairs.groupBy("_i", "_k").agg(F.sum("_p").alias("g")).select(name(F.col("_i")).alias("i"), name(F.col("_i") + F.col("_k")).alias("j"), "g")
     index = {v: k for k, v in enumerate(ids)}
 
     def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +98,7 @@ def decompose(snapshots: DataFrame, modes: int = 20, min_fraction: float = 0.0,
     largest magnitude of each is positive.
     """
     spark = snapshots.sparkSession
-    x = fluctuations(snapshots, min_fraction, weight)
+    x = cut(fluctuations(snapshots, min_fraction, weight))
     n = snapshots.select("snapshot").distinct().count()
     ids = _ids(x, by, MOST)
     g = _square(gram(x, by, "snapshot" if by == "dof" else "dof"), ids)

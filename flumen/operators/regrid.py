@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.order import few
 
 
@@ -48,21 +49,37 @@ def align_axis(samples: DataFrame, axis: str, coord: str, targets: DataFrame, va
     return near.groupBy(*rest, F.col("idx").alias(index), F.col(coord)).agg(*(value(v).alias(v) for v in values))
 
 
-def trilinear(field: DataFrame, axes: DataFrame, targets: DataFrame, values: list[str], eps: float = 1e-12) -> DataFrame:
-    """field (volume, iz, iy, ix, values) at targets (volume, target, z, y, x): weighted corners of the cell that holds
-    the target. Targets outside, or with a corner of weight that is missing, are left out."""
-    out = targets
+def interpolation_table(axes: DataFrame, targets: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """The sparse map from each volume's voxels to target points (volume, target, z, y, x): volume, target, iz, iy, ix,
+    weight, and corners, how many rows a target has. It depends on the axes alone, so one table serves every field of a
+    volume. Targets outside have no rows; corners of weight below eps are left out."""
+    marks = [targets.select("volume", F.lit(a).alias("axis"), F.col(a).cast("double").alias("at")).distinct() for a in ("z", "y", "x")]
+    # Different coordinates only, so it is far smaller than the targets; written out, as it is joined once for each axis.
+    found = cut(bracket(reduce(DataFrame.unionByName, marks), axes, ["volume", "axis"], "at"))
+    out = targets.withColumns({a: F.col(a).cast("double") for a in ("z", "y", "x")})
     for a in ("z", "y", "x"):
-        b = bracket(targets, axes.filter(F.col("axis") == a), ["volume"], a)
-        out = out.join(b.withColumnRenamed("lo", f"{a}0").withColumnRenamed("hi", f"{a}1").withColumnRenamed("weight", f"{a}w"), ["volume", a])
+        own = found.filter(F.col("axis") == a).select("volume", F.col("at").alias(a), F.col("lo").alias(f"{a}0"), F.col("hi").alias(f"{a}1"), F.col("weight").alias(f"{a}w"))
+        out = out.join(own, ["volume", a])
     pick = lambda a, i: F.struct(F.col(f"{a}{i}").alias("i"), (F.col(f"{a}w") if i else 1 - F.col(f"{a}w")).alias("w"))
     corner = lambda k: [pick(a, k >> s & 1) for a, s in (("z", 2), ("y", 1), ("x", 0))]
     eight = F.array(*(F.struct(z["i"].alias("iz"), y["i"].alias("iy"), x["i"].alias("ix"), (z["w"] * y["w"] * x["w"]).alias("weight")) for z, y, x in map(corner, range(8))))
-    corners = out.select("volume", "target", F.explode(eight).alias("c")).select("volume", "target", "c.*").filter(F.col("weight") >= eps)
-    met = corners.join(field.select("volume", "iz", "iy", "ix", *values), ["volume", "iz", "iy", "ix"], "left")
-    there = reduce(lambda a, c: a & c, (F.col(v).isNotNull() for v in values))
-    found = met.groupBy("volume", "target").agg(F.bool_and(there).alias("ok"), *(F.sum(F.col(v) * F.col("weight")).alias(v) for v in values))
-    return found.filter("ok").drop("ok")
+    used = F.filter(eight, lambda c: c["weight"] >= eps)
+    return out.select("volume", "target", F.size(used).alias("corners"), F.explode(used).alias("c")).select("volume", "target", "c.*", "corners")
+
+
+def apply_table(table: DataFrame, field: DataFrame, values: list[str], keys: list[str] = ()) -> DataFrame:
+    """field (volume, iz, iy, ix, keys, values) at the targets of an interpolation table: one join and one aggregate,
+    whatever the number of fields (keys tell them apart). A target whose corners aren't all there is left out."""
+    valid = reduce(lambda a, c: a & c, (F.col(v).isNotNull() for v in values))
+    there = field.filter(valid).select("volume", "iz", "iy", "ix", *keys, *values)
+    found = there.join(table, ["volume", "iz", "iy", "ix"]).groupBy("volume", "target", *keys).agg(F.count("*").alias("_n"), F.first("corners").alias("_corners"), *(F.sum(F.col(v) * F.col("weight")).alias(v) for v in values))
+    return found.filter("_n = _corners").drop("_n", "_corners")
+
+
+def trilinear(field: DataFrame, axes: DataFrame, targets: DataFrame, values: list[str], eps: float = 1e-12) -> DataFrame:
+    """field (volume, iz, iy, ix, values) at targets (volume, target, z, y, x): weighted corners of the cell that holds
+    the target. Targets outside, or with a corner of weight that is missing, are left out."""
+    return apply_table(interpolation_table(axes, targets, eps), field, values)
 
 
 def bilinear_rows(plane: DataFrame, line: list[str], index: str, targets: DataFrame, value: str) -> DataFrame:
