@@ -15,6 +15,7 @@ from .functions.validity import finite, speed
 from .operators import compare, correlation, energy, fill, multi, phase, pod, probe, regrid, spectra, stats, vortex, wake
 from .plans import workflows
 from .plans.lineage import cut
+from .plans.quantile import quantiles
 from .sources import fields
 from .sources.fields import VOXEL, event_signal, lineitem_field, snapshots
 from .sources.text import case_label
@@ -671,7 +672,7 @@ def swirl_thresholds(spark, sf):
 
 def _active(spark: SparkSession, sf: str, quantile: float = 0.7) -> DataFrame:
     s = _swirl(spark, sf)
-    level = s.filter("s > 0").groupBy("volume").agg(F.percentile("s", quantile).alias("level"))
+    level = quantiles(s.filter("s > 0"), ["volume"], "s", [quantile]).select("volume", F.get("q", F.lit(0)).alias("level"))
     return s.join(level, "volume").filter(F.col("s") >= F.col("level"))
 
 

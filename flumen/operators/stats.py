@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.validity import enough, finite, speed, valid_flags
+from ..plans.quantile import with_quantiles
 from ..sources.fields import VOXEL
 
 COMPONENTS = ("u", "v", "w")
@@ -127,7 +128,9 @@ def difference_stats(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataF
     """Mean, 95th and 99th percentile and most of |a - b|."""
     d = F.abs(F.col(a) - F.col(b))
     d = F.when(finite(d), d)
-    return pairs.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.percentile(d, 0.95).alias("p95"), F.percentile(d, 0.99).alias("p99"), F.max(d).alias("max"))
+    by = pairs.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.max(d).alias("max"))
+    q = lambda i: F.get("_q", F.lit(i))
+    return with_quantiles(by, pairs, keys, d, [0.95, 0.99], "_q").select(*keys, "n", "mean", q(0).alias("p95"), q(1).alias("p99"), "max")
 
 
 def axis_spacing(axes: DataFrame, rtol: float = 0.002) -> DataFrame:
@@ -148,7 +151,9 @@ def coverage_at(samples: DataFrame, mode: str = "nan", min_fraction: float = 0.0
 def limits(field: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Shared limits for a quantity: 1st and 99th percentile, ends, and the largest magnitude."""
     ok = F.when(finite(F.col(value)), F.col(value))
-    return field.groupBy(*keys).agg(F.percentile(ok, 0.01).alias("p01"), F.percentile(ok, 0.99).alias("p99"), F.min(ok).alias("low"), F.max(ok).alias("high"), F.max(F.abs(ok)).alias("most"))
+    by = field.groupBy(*keys).agg(F.min(ok).alias("low"), F.max(ok).alias("high"), F.max(F.abs(ok)).alias("most"))
+    q = lambda i: F.get("_q", F.lit(i))
+    return with_quantiles(by, field, keys, ok, [0.01, 0.99], "_q").select(*keys, q(0).alias("p01"), q(1).alias("p99"), "low", "high", "most")
 
 
 def weighted(field: DataFrame, values: list[str], weight: str, keys: list[str]) -> DataFrame:

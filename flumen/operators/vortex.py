@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.validity import finite
 from ..plans.lineage import cut, held
 from ..plans.order import running
+from ..plans.quantile import with_quantiles
 
 SHARES, PERCENTILES = (0.2, 0.3, 0.4), (0.9, 0.95, 0.975, 0.99)
 ALIASES = {
@@ -84,7 +85,7 @@ def grid_indices(points: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(field: DataFrame, keys: list[str], value: str) -> DataFrame:
     """kind and level: parts of the maximum and percentiles of positive finite values."""
     ok = F.when(finite(F.col(value)) & (F.col(value) > 0), F.col(value))
-    by = field.groupBy(*keys).agg(F.max(ok).alias("top"), F.percentile(ok, [float(p) for p in PERCENTILES]).alias("p"))
+    by = with_quantiles(field.groupBy(*keys).agg(F.max(ok).alias("top")), field, keys, ok, list(PERCENTILES), "p")
     rows = [F.struct(F.lit(f"max_{round(s * 100)}").alias("kind"), (F.col("top") * s).alias("level")) for s in SHARES] + [F.struct(F.lit(f"p{p * 100:g}").alias("kind"), F.get("p", F.lit(i)).alias("level")) for i, p in enumerate(PERCENTILES)]
     return by.select(*keys, F.explode(F.array(*rows)).alias("t")).select(*keys, "t.*")
 
@@ -149,15 +150,16 @@ def compare(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Two fields on one grid: errors, correlation of values and of ranks, differences of maximum and high percentiles
     relative to b. Correlations need two values and variance."""
     good = pairs.filter(finite(F.col(a)) & finite(F.col(b)))
-    good = ranked(ranked(good, keys, a, "_ra"), keys, b, "_rb")
+    good = cut(ranked(ranked(good, keys, a, "_ra"), keys, b, "_rb"))
     d = F.col(a) - F.col(b)
     rel = lambda x, y: F.try_divide(x - y, F.abs(y))
-    pct = lambda c: F.percentile(c, [float(p) for p in PERCENTILES])
     corr = lambda x, y: F.when(F.count("*") >= 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     m = good.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(F.abs(d)).alias("max_difference"), F.sqrt(F.avg(F.col(b) * F.col(b))).alias("_s"),
-        corr(a, b).alias("pearson"), corr("_ra", "_rb").alias("spearman"), F.max(a).alias("_ma"), F.max(b).alias("_mb"), pct(a).alias("_pa"), pct(b).alias("_pb"),
+        corr(a, b).alias("pearson"), corr("_ra", "_rb").alias("spearman"), F.max(a).alias("_ma"), F.max(b).alias("_mb"),
     )
+    for c, name in ((a, "_pa"), (b, "_pb")):
+        m = with_quantiles(m, good, keys, c, list(PERCENTILES), name)
     return m.select(*keys, "n", "mae", "rms", F.try_divide("rms", "_s").alias("nrms"), "max_difference", "pearson", "spearman", rel(F.col("_ma"), F.col("_mb")).alias("max_relative"), *(rel(F.get("_pa", F.lit(i)), F.get("_pb", F.lit(i))).alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}_relative") for i, p in enumerate(PERCENTILES)))
 
 
@@ -216,5 +218,6 @@ def exceedance(field: DataFrame, value: str, percentile: float = 0.9, level: flo
     """The points at or above a level shared by all rows: given, or a percentile of the positive finite values. A level
     outside (0, maximum) leaves none."""
     ok = F.when(finite(F.col(value)) & (F.col(value) > 0), F.col(value))
-    shared = field.agg((F.lit(level) if level is not None else F.percentile(ok, percentile)).alias("level"), F.max(ok).alias("_top"))
+    shared = field.agg(F.max(ok).alias("_top"))
+    shared = shared.withColumn("level", F.lit(float(level))) if level is not None else with_quantiles(shared, field, [], ok, [percentile]).select("_top", F.get("q", F.lit(0)).alias("level"))
     return field.crossJoin(F.broadcast(shared)).filter((F.col("level") > 0) & (F.col("level") < F.col("_top")) & (F.col(value) >= F.col("level"))).drop("_top")

@@ -51,7 +51,7 @@ def test_products_by_partition(spark, by, monkeypatch):
 
 def test_too_many_rows_are_refused_before_they_are_collected(spark, monkeypatch):
     monkeypatch.setattr(pod, "MOST", 5)
-    with pytest.raises(ValueError, match="9 rows"):
+    with pytest.raises(ValueError, match="more than the 5 rows"):
         pod.decompose(snapshots_of(spark, low_rank(17, 9, 2, 3)))
 
 
