@@ -14,8 +14,8 @@ undo it. What fails its check stays as it is.
  - ssn: three, two and four digits with hyphens, in the ranges that are given out; permuted among these.
  - iban: the digits after the first four characters are permuted, and the two check digits made right again.
  - date: year-month-day with - or /, or day and month before the year with . / or -, years 1000 to 9999. A date is
-   permuted within its 400-year cycle of 146,097 = 189 x 773 days and written as it was. With day and month in doubt
-   the day comes first.
+   permuted within its 400-year cycle and written as it was, days up to the 12th (57,600 = 240 x 240) and later ones
+   (88,497 = 9 x 9833) each among themselves. With day and month in doubt the day comes first.
  - email: addresses have no format to permute in; the local part becomes a keyed digest of the address.
 
 The key is a secret: whoever runs this sets spark.pseudonyms.key in the session, or passes it. Without either there is a
@@ -177,6 +177,42 @@ def _ip(m: Column, key: str) -> Column:
     return _once(F.transform(F.split(m, r"\."), lambda p: p.cast("int")), body)
 
 
+#: Days of a month that could be a month. Later ones are permuted among themselves, so that what is written with the
+#: month first never reads as another date with the day first, and all notations of a date get one pseudonym.
+LAST = 12
+
+
+def _early(w: Column, key: str) -> Column:
+    """Another date with a day up to LAST, in the same 400 years."""
+    start = w["cycle"] * 400 + 1600
+    at = ((w["y"] - start) * 12 + w["m"] - 1) * LAST + w["d"] - 1  # of 57,600
+    back = lambda f: _once(f["a"] * 240 + f["b"], lambda x: F.struct((start + F.floor(x / 144)).alias("y"), (F.pmod(F.floor(x / 12), F.lit(12)) + 1).alias("m"), (F.pmod(x, F.lit(12)) + 1).alias("d")))
+    return _once(feistel(F.floor(at / 240), F.pmod(at, F.lit(240)), F.lit(240), F.lit(240), key, "early"), back)
+
+
+def _late(w: Column, key: str) -> Column:
+    """Another date with a day over LAST, in the same 400 years: they are numbered, 221 or 222 a year, 88,497 in all."""
+    start = w["cycle"] * 400 + 1600
+    before = lambda y: y * 221 + F.ceil(y / 4) - F.ceil(y / 100) + F.ceil(y / 400)  # noqa: E731  of the years before
+    year = w["y"] - start
+    at = before(year) + w["n"] - w["m"] * LAST - 1
+    lengths = F.array(*(F.lit(n) for n in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)))
+
+    def back(x: Column) -> Column:
+        guess = F.floor(x / 221.2425).cast("long")
+        y = F.when(before(guess + 1) <= x, guess + 1).when(before(guess) <= x, guess).otherwise(guess - 1)
+        return _once(F.struct(y.alias("y"), (x - before(y)).alias("r")), month)
+
+    def month(p: Column) -> Column:
+        leap = ((F.pmod(p["y"], F.lit(4)) == 0) & (F.pmod(p["y"], F.lit(100)) != 0)) | (p["y"] == 0)
+        each = F.transform(lengths, lambda n: n - LAST + F.when(leap & (n == 28), 1).otherwise(0))
+        step = lambda s, n: F.when(s["done"] | (s["r"] < n), F.struct(F.lit(True).alias("done"), s["m"].alias("m"), s["r"].alias("r"))).otherwise(F.struct(F.lit(False).alias("done"), (s["m"] + 1).alias("m"), (s["r"] - n).alias("r")))
+        first = F.struct(F.lit(False).alias("done"), F.lit(1).alias("m"), p["r"].alias("r"))
+        return F.aggregate(each, first, step, lambda s: F.struct((start + p["y"]).alias("y"), s["m"].alias("m"), (s["r"] + LAST + 1).alias("d")))
+
+    return _once(feistel(F.floor(at / 9833), F.pmod(at, F.lit(9833)), F.lit(9), F.lit(9833), key, "late"), lambda f: back(f["a"] * 9833 + f["b"]))
+
+
 def _date(m: Column, key: str) -> Column:
     def body(p: Column) -> Column:
         part = lambda i: F.get(p, F.lit(i))
@@ -184,18 +220,16 @@ def _date(m: Column, key: str) -> Column:
         as_date = lambda y, mo, d: F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
         ymd, dmy, mdy = as_date(part(0), part(1), part(2)), as_date(part(2), part(1), part(0)), as_date(part(2), part(0), part(1))
         order = F.when(first & ymd.isNotNull(), "ymd").when(~first & dmy.isNotNull(), "dmy").when(~first & mdy.isNotNull(), "mdy")
-        day = F.datediff(F.when(first, ymd).otherwise(F.coalesce(dmy, mdy)), F.lit("1600-01-01").cast("date"))
+        date = F.when(first, ymd).otherwise(F.coalesce(dmy, mdy))
 
         def write(x: Column) -> Column:
-            moved = F.date_add(F.lit("1600-01-01").cast("date"), (x["cycle"] * 146_097 + x["f"]["a"] * 773 + x["f"]["b"]).cast("int"))
             mark = F.regexp_extract(m, "[-/.]", 0)
             wide = lambda i, v: F.when(F.length(part(i)) == 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
-            y, mo, d = F.lpad(F.year(moved).cast("string"), 4, "0"), F.month(moved), F.day(moved)
+            y, mo, d = F.lpad(x["y"].cast("string"), 4, "0"), x["m"], x["d"]
             return F.when(order == "ymd", F.concat(y, mark, wide(1, mo), mark, wide(2, d))).when(order == "dmy", F.concat(wide(0, d), mark, wide(1, mo), mark, y)).otherwise(F.concat(wide(0, mo), mark, wide(1, d), mark, y))
 
-        cycle = F.floor(day / 146_097)
-        inside = F.pmod(day, F.lit(146_097))
-        moved = F.struct(cycle.alias("cycle"), feistel(F.floor(inside / 773), F.pmod(inside, F.lit(773)), F.lit(189), F.lit(773), key, "date").alias("f"))
+        whole = lambda c: F.struct(F.floor((F.year(c) - 1600) / 400).alias("cycle"), F.year(c).alias("y"), F.month(c).alias("m"), F.day(c).alias("d"), F.dayofyear(c).alias("n"))
+        moved = _once(date, lambda c: _once(whole(c), lambda w: F.when(w["d"] > LAST, _late(w, key)).otherwise(_early(w, key))))
         return F.when(order.isNotNull(), _once(moved, write))
 
     return _once(F.split(m, "[-/.]"), body)

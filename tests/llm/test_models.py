@@ -76,12 +76,39 @@ def test_pii_can_be_undone_with_the_key(documents):
     for was, now, k in zip(phones, pseudo(documents, phones), kept):
         d, e = re.sub(r"\D", "", was), re.sub(r"\D", "", now)
         assert re.sub(r"\d", "9", was) == re.sub(r"\d", "9", now) and d[:k] == e[:k] and back(e[k:], "phone") == d[k:] and d != e
-    dates = ["2020-02-29", "1999-12-31", "1000-01-01", "9999-12-31"]
-    start = datetime.date(1600, 1, 1)
+    dates = ["2020-02-29", "1999-12-31", "1000-01-01", "9999-12-31", "1234-05-12", "1600-01-13", "1999-12-13"]
+    # Dates of 400 years in order, those with a day over 12 and the others apart; the calendar repeats after them.
+    cycle = [datetime.date(2000 + y, m, 1) + datetime.timedelta(d) for y in range(400) for m in range(1, 13) for d in range(31)]
+    cycle = sorted(set(cycle))[: 400 * 365 + 97]
     for was, now in zip(dates, pseudo(documents, dates)):
-        day = (datetime.date.fromisoformat(now) - start).days
-        a, b = undone(*divmod(day % 146_097, 773), 189, 773, pii.KEY, "date")
-        assert (start + datetime.timedelta(day // 146_097 * 146_097 + a * 773 + b)).isoformat() == was
+        year, month, day = map(int, now.split("-"))
+        of = [(d.year - 2000, d.month, d.day) for d in cycle if (d.day > 12) == (day > 12)]
+        first = (year - 1600) // 400 * 400 + 1600
+        sizes = (9, 9833, "late") if day > 12 else (240, 240, "early")
+        a, b = undone(*divmod(of.index((year - first, month, day)), sizes[1]), *sizes[:2], pii.KEY, sizes[2])
+        y, m, d = of[a * sizes[1] + b]
+        assert f"{first + y:04d}-{m:02d}-{d:02d}" == was
+
+
+def test_pii_dates_of_400_years_stay_different_in_every_notation(documents):
+    """All days in three notations: different strings of one notation, and of all of them, have different pseudonyms; the
+    notations of one date have those of one other date."""
+    import datetime
+
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(i) for i in range(146_097)]
+    texts = [f"{d:%Y-%m-%d} {d:%d/%m/%Y} {d:%m/%d/%Y}" for d in days]
+    docs = documents(texts).repartition(8)
+    got = {r.doc_id: r.text.split() for r in pii.pseudonymised(docs).collect()}
+    for column in range(3):
+        assert len({x[column] for x in got.values()}) == len(days)
+    both = {}
+    for i, d in enumerate(days):
+        both.setdefault(f"{d:%d/%m/%Y}", got[i][1])
+        if d.day > 12:
+            both.setdefault(f"{d:%m/%d/%Y}", got[i][2])
+            ymd = got[i][0].split("-")
+            assert got[i][1].split("/") == ymd[::-1] and got[i][2].split("/") == [ymd[1], ymd[2], ymd[0]]
+    assert len(set(both.values())) == len(both) > 146_097
 
 
 def test_pii_other_numbers(documents):

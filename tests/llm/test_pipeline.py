@@ -36,3 +36,11 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_keeps_columns_of_any_type(spark, documents, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = documents([(i, f"some words of text {i}") for i in range(30)]).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("deep", F.array(F.struct(F.create_map(F.lit(1), F.lit("x")).alias("m"))))
+    got = corpus_pipeline._mixing(spark, docs, str(tmp_path)).collect()
+    assert got and all(r.tags == {"a": r.doc_id} and r.deep[0].m == {1: "x"} for r in got)
