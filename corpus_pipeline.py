@@ -42,7 +42,9 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows of null or repeated doc_ids are documents of their own; rows that are alike in all columns are one another's
     # equals, and as many of them stay as are taken.
     docs = docs.drop("copies", "taken")
-    row, taken_row = F.xxhash64(*(f"`{c}`" for c in docs.columns)), unused(docs, "taken_row")
+    # Spark hashes no maps, so columns that hold any are hashed as text.
+    whole = lambda c, kind: F.to_json(F.struct(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`")
+    row, taken_row = F.xxhash64(*(whole(c, kind) for c, kind in docs.dtypes)), unused(docs, "taken_row")
     taken = mixing.mix(docs.withColumn("doc_id", row)).filter("copies > 0").select(F.col("doc_id").alias(taken_row), "copies", "taken")
     taken = cut(taken)
     if not taken.groupBy(taken_row).count().filter("count > 1").isEmpty():
