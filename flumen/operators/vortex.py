@@ -18,14 +18,15 @@ from ..plans.quantile import with_quantiles
 from ..plans.tiles import SIZE, by_tile
 
 SHARES, PERCENTILES = (0.2, 0.3, 0.4), (0.9, 0.95, 0.975, 0.99)
+#: Spellings of column names, in lower case, without marks, ^2 as 2.
 ALIASES = {
-    "x": ("x", "xm", "xmm", "xcoord", "coordinatex"),
-    "y": ("y", "ym", "ymm", "ycoord", "coordinatey"),
-    "z": ("z", "zm", "zmm", "zcoord", "coordinatez"),
-    "swirl": ("lambda", "lambdaci2", "lambda2", "lambdacisquared", "swirlingstrength2", "swirl", "swir"),
-    "u": ("u", "vx", "velocityu"),
-    "v": ("v", "vy", "velocityv"),
-    "w": ("w", "vz", "velocityw"),
+    "x": ("x", "coordx", "positionx", "posx", "xcoordinate", "coordinatex", "xcoord", "xm", "xmm"),
+    "y": ("y", "coordy", "positiony", "posy", "ycoordinate", "coordinatey", "ycoord", "ym", "ymm"),
+    "z": ("z", "coordz", "positionz", "posz", "zcoordinate", "coordinatez", "zcoord", "zm", "zmm"),
+    "swirl": ("lambdacisquared", "lambdaci2", "lambdacisq", "lambdaci", "lambdasquared", "swirlingstrengthsquared", "swir", "swirl2", "swirling2", "lambda2", "lambda", "swirlingstrength2", "swirl"),
+    "u": ("u", "ux", "velocityu", "velocityx", "uvelocity", "vx"),
+    "v": ("v", "uy", "velocityv", "velocityy", "vvelocity", "vy"),
+    "w": ("w", "uz", "velocityw", "velocityz", "wvelocity", "vz"),
 }
 
 
