@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_of_queries import M, _mean, query
-from .operators import surface
-from .sources.fields import VOXEL
+from .catalog_of_queries import FIELD, M, _mean, query
+from .operators import precision, surface
+from .sources import fields
+from .sources.fields import VOXEL, lineitem_field
 
 # Isosurfaces: the number of triangles of a case follows from the regions on its cube's faces. Where m loops cross e
 # edges there are e - 2 m triangles, and m + 1 regions: inside corners by edges, outside ones across faces as well.
@@ -70,3 +71,33 @@ def isosurface_mesh(spark, sf):
     triangles = surface.mesh(_cells(spark, sf), ["volume"], LEVEL)
     points = surface.vertices(triangles, ["volume"]).groupBy("volume").agg(F.count("*").alias("vertices"), *(F.sum(a).alias(a) for a in "xyz"))
     return points.join(triangles.groupBy("volume").agg(F.count("*").alias("triangles")), "volume").select("volume", "vertices", "triangles", "x", "y", "z")
+
+
+# Two recordings of one field: the second is rounded, lacks some samples, and its grid is shifted by a little
+
+PAIRED = [
+    FIELD,
+    'a AS (SELECT * FROM field WHERE abs(ix - 4) <= 2.5), b AS (SELECT volume, ti, "row", iz, iy, ix, u + 0 AS u, round(v, 1) AS v, w * 1.5 AS w FROM field WHERE abs(ix - 4) <= 2.5 AND "row" % 7 <> 2)',
+    "la AS (" + " UNION ALL ".join(f"SELECT '{c}' AS component, volume, ti, \"row\", iz, iy, ix, CASE WHEN isfinite({c}) THEN {c} END AS x FROM a" for c in "uvw") + ")",
+    "lb AS (" + " UNION ALL ".join(f"SELECT '{c}' AS component, volume, ti, \"row\", iz, iy, ix, CASE WHEN isfinite({c}) THEN {c} END AS x FROM b" for c in "uvw") + ")",
+    *(f"s{t} AS (SELECT component, iz, iy, ix, avg(x) AS m, var_pop(x) AS v, count(x) AS n FROM l{t} GROUP BY ALL)" for t in "ab"),
+    "vox AS (SELECT component, iz, iy, ix, sa.m AS ma, sb.m AS mb, sa.v AS va, sb.v AS vb, sa.n AS na, sb.n AS nb FROM sa JOIN sb USING (component, iz, iy, ix))",
+    'met AS (SELECT component, la.x - ma AS x, abs((la.x - ma) - (lb.x - mb)) AS d FROM la JOIN lb USING (component, volume, ti, "row", iz, iy, ix) JOIN vox USING (component, iz, iy, ix) WHERE la.x IS NOT NULL AND lb.x IS NOT NULL)',
+    "tke AS (SELECT sum(va) / 2 AS ka, sum(vb) / 2 AS kb FROM vox GROUP BY iz, iy, ix)",
+    """each AS (SELECT component, 'fluctuation' AS quantity, d FROM met UNION ALL SELECT component, 'variance', abs(va - vb) FROM vox UNION ALL SELECT 'tke', 'variance', abs(ka - kb) FROM tke UNION ALL SELECT component, 'count', CAST(abs(na - nb) AS DOUBLE) FROM vox)""",
+    "scales AS (SELECT component, 'fluctuation' AS quantity, sqrt(avg(x * x)) AS scale FROM met GROUP BY component UNION ALL SELECT component, 'variance', avg(va) FROM vox GROUP BY component UNION ALL SELECT 'tke', 'variance', avg(ka) FROM tke UNION ALL SELECT component, 'count', avg(na) FROM vox GROUP BY component)",
+]
+STATS = {"mean": "avg(d)", "p95": "quantile_cont(d, 0.95)", "p99": "quantile_cont(d, 0.99)", "max": "max(d)"}
+
+
+@query(
+    "precision_pairs", PAIRED,
+    "SELECT component, quantity, count(*) n, " + ", ".join(f'{s} AS "{k}"' for k, s in STATS.items()) + ", " + ", ".join(f"{s} / any_value(scale) AS {k}_relative" for k, s in STATS.items()) + " FROM each JOIN scales USING (component, quantity) GROUP BY ALL",
+    'component quantity n:i mean:d p95:d p99:d "max":d mean_relative:d p95_relative:d p99_relative:d max_relative:d',
+)
+def precision_pairs(spark, sf):
+    field = lineitem_field(spark, sf)
+    other = field.filter(F.col("row") % 7 != 2).withColumns({"v": F.round("v", 1), "w": F.col("w") * 1.5, "ix": F.col("ix") + 10})
+    axes = lambda t, shift: fields.axes_of(t.withColumns({"zz": F.col("iz") + shift, "yy": F.col("iy") - shift, "xx": F.col("ix") + shift}), z="zz", y="yy", x="xx").select("axis", "idx", "coord").distinct()
+    shifted = axes(other, 0.004).withColumn("coord", F.col("coord") - F.when(F.col("axis") == "x", 10).otherwise(0))
+    return precision.compare(field, other, axes(field, 0.0), shifted, 1e-2, {"x": (4.0, 2.5)}, sample=["volume", "ti", "row"])[0]
