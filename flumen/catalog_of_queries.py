@@ -713,14 +713,10 @@ def components_2d(spark, sf):
     "grids AS (SELECT volume, count(DISTINCT ix) nx, count(DISTINCT iy) ny, count(DISTINCT iz) nz, sum(n) n, sum(n) - count(*) repeated, count(DISTINCT "
     "ix) * count(DISTINCT iy) * count(DISTINCT iz) - count(*) missing, 100.0 * sum(bad) / sum(n) bad_percent FROM (SELECT volume, ix, iy, iz, count(*) n, "
     "count(CASE WHEN NOT isfinite(u) THEN 1 END) bad FROM field GROUP BY ALL) GROUP BY volume)"
-), (
-    "scored AS (SELECT *, missing = 0 AND repeated = 0 structured, CASE WHEN least(nx, ny, nz) < 3 THEN 3 ELSE 0 END + CASE WHEN missing = 0 AND repeated "
-    "= 0 THEN 0 ELSE 2 END + CASE WHEN bad_percent > 20 THEN 2 WHEN bad_percent > 5 THEN 1 ELSE 0 END score FROM grids)"
-)],
- "SELECT *, CASE WHEN score >= 5 THEN 'too coarse' WHEN score >= 2 THEN 'qualitative' ELSE 'suitable' END verdict FROM scored", "volume nx:i ny:i nz:i n:i repeated:i missing:i bad_percent:d structured score:i verdict")
+)], "SELECT *, missing = 0 AND repeated = 0 structured FROM grids", "volume nx:i ny:i nz:i n:i repeated:i missing:i bad_percent:d structured")
 def grid_inspection(spark, sf):
     f = lineitem_field(spark, sf).withColumns({a: F.col(f"i{a}") for a in "xyz"})
-    return vortex.suitability(vortex.inspect_grid(f, ["volume"], "u"))
+    return vortex.inspect_grid(f, ["volume"], "u")
 
 
 @query("structured_indices", M, (

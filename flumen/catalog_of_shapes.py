@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_of_queries import FIELD, M, _mean, query
-from .operators import precision, surface
+from .catalog_of_queries import FIELD, SG, SW, M, _mean, _swirl, query
+from .operators import exports, precision, surface, vortex
+from .plans.lineage import cut
 from .sources import fields
 from .sources.fields import VOXEL, lineitem_field
 
@@ -101,3 +102,47 @@ def precision_pairs(spark, sf):
     axes = lambda t, shift: fields.axes_of(t.withColumns({"zz": F.col("iz") + shift, "yy": F.col("iy") - shift, "xx": F.col("ix") + shift}), z="zz", y="yy", x="xx").select("axis", "idx", "coord").distinct()
     shifted = axes(other, 0.004).withColumn("coord", F.col("coord") - F.when(F.col("axis") == "x", 10).otherwise(0))
     return precision.compare(field, other, axes(field, 0.0), shifted, 1e-2, {"x": (4.0, 2.5)}, sample=["volume", "ti", "row"])[0]
+
+
+# A fine and a coarse export: every second plane in x, shifted, stronger
+
+D, V = 30.0, 50.0
+SCALE = D * D / (V * V)
+LEVELS = " UNION ALL ".join([f"SELECT side, volume, 'max_{round(100 * s)}' AS kind, max(s) * {s} AS level FROM ex WHERE s > 0 GROUP BY ALL" for s in vortex.SHARES] + [f"SELECT side, volume, 'p{p * 100:g}', quantile_cont(s, {p}) FROM ex WHERE s > 0 GROUP BY ALL" for p in vortex.PERCENTILES])
+RELATIVE = "quantile_cont(c, 0.99) / nullif(quantile_cont(f, 0.99), 0) - 1"
+EXPORTS = [
+    "RECURSIVE " + FIELD, *M[1:], SW, SG,
+    f"""ex AS (SELECT 'fine' AS side, volume, iz, iy, ix AS i, CAST(ix AS DOUBLE) AS x, s * {SCALE} AS s, 1e0 AS cv, 1e0 AS typical FROM signed
+ UNION ALL SELECT 'coarse', volume, iz, iy, CAST((ix - 1) / 2 AS INTEGER), ix + 0.25, s * (1 + iy * 0.2) * {SCALE}, 2e0, 4 / 3e0 FROM signed WHERE ix % 2 = 1)""",
+    f"levels AS ({LEVELS})",
+    "act AS (SELECT side, volume, kind, iz, iy, i, x, s, cv, typical, (i * 100 + iy) * 100 + iz AS c FROM ex JOIN levels USING (side, volume) WHERE s >= level)",
+    "reach AS (SELECT side, volume, kind, c, c AS r FROM act UNION SELECT b.side, b.volume, b.kind, b.c, p.r FROM reach p JOIN act a USING (side, volume, kind, c) JOIN act b ON b.side = a.side AND b.volume = a.volume AND b.kind = a.kind AND abs(a.i - b.i) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1)",
+    """found AS (SELECT side, volume, kind, row_number() OVER (PARTITION BY side, volume, kind ORDER BY root) AS component, sum_s * cv AS integral, px, py, pz, pow(6 * n * cv / pi(), 1 / 3.0) / typical AS core
+ FROM (SELECT side, volume, kind, root, count(*) AS n, sum(s) AS sum_s, sum(s * x) / sum(s) AS px, sum(s * iy) / sum(s) AS py, sum(s * iz) / sum(s) AS pz, any_value(cv) AS cv, any_value(typical) AS typical
+ FROM act JOIN (SELECT side, volume, kind, c, min(r) AS root FROM reach GROUP BY ALL) USING (side, volume, kind, c) GROUP BY ALL))""",
+    "strong AS (SELECT *, row_number() OVER (PARTITION BY volume, kind ORDER BY integral DESC, component) AS place FROM found WHERE side = 'fine')",
+    """greedy AS (SELECT DISTINCT volume, kind, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS used, CAST(NULL AS DOUBLE) AS distance FROM strong
+ UNION ALL SELECT volume, kind, place, used, distance FROM (SELECT s.volume, s.kind, s.place, list_append(g.used, CAST(b.component AS BIGINT)) AS used, b.component, sqrt(pow(s.px - b.px, 2) + pow(s.py - b.py, 2) + pow(s.pz - b.pz, 2)) AS distance
+ FROM greedy g JOIN strong s ON s.volume = g.volume AND s.kind = g.kind AND s.place = g.place + 1 JOIN found b ON b.side = 'coarse' AND b.volume = g.volume AND b.kind = g.kind AND NOT list_contains(g.used, CAST(b.component AS BIGINT)))
+ QUALIFY row_number() OVER (PARTITION BY volume, kind ORDER BY distance, component) = 1)""",
+    "pairs AS (SELECT c.volume, c.s AS c, 0.75 * a.s + 0.25 * b.s AS f FROM ex c JOIN ex a ON c.side = 'coarse' AND a.side = 'fine' AND a.volume = c.volume AND a.iz = c.iz AND a.iy = c.iy AND a.x = c.x - 0.25 JOIN ex b ON b.side = 'fine' AND b.volume = c.volume AND b.iz = c.iz AND b.iy = c.iy AND b.x = c.x + 0.75)",
+    f"measures AS (SELECT volume, 2 / {D} AS spacing, sqrt(avg((c - f) * (c - f))) / sqrt(avg(f * f)) AS nrms, corr(c, f) AS pearson, {RELATIVE} AS p99_relative FROM pairs WHERE c IS NOT NULL AND f IS NOT NULL GROUP BY volume)",
+    "more AS (SELECT * FROM measures JOIN (SELECT volume, median(distance) AS displacement FROM greedy WHERE distance IS NOT NULL GROUP BY volume) USING (volume) JOIN (SELECT volume, median(core) AS core FROM found WHERE side = 'coarse' GROUP BY volume) USING (volume))",
+    f"""points AS (SELECT *, CASE WHEN spacing > 0.08 THEN 2 WHEN spacing > 0.04 THEN 1 ELSE 0 END AS p1, CASE WHEN nrms > 0.35 THEN 2 WHEN nrms > 0.2 THEN 1 ELSE 0 END AS p2, CASE WHEN pearson < 0.75 THEN 2 WHEN pearson < 0.9 THEN 1 ELSE 0 END AS p3,
+ CASE WHEN abs(p99_relative) > 0.35 THEN 1 ELSE 0 END AS p4, CASE WHEN displacement > 0.05 * {D} THEN 1 ELSE 0 END AS p5, CASE WHEN core < 4 THEN 2 WHEN core < 6 THEN 1 ELSE 0 END AS p6 FROM more)""",
+]
+NAMED = ("grid spacing", "normalised RMS error", "correlation", "99th percentile", "displacement of centres", "cells across a core")
+
+
+@query(
+    "export_verdict", EXPORTS,
+    "SELECT volume, spacing, nrms, pearson, p99_relative, displacement, core, p1 + p2 + p3 + p4 + p5 + p6 AS score, CASE WHEN p1 + p2 + p3 + p4 + p5 + p6 >= 5 THEN 'too coarse' WHEN p1 + p2 + p3 + p4 + p5 + p6 >= 2 THEN 'qualitative' ELSE 'quantitative' END AS verdict, concat_ws('; ', "
+    + ", ".join(f"CASE WHEN p{i + 1} > 0 THEN '{n}' END" for i, n in enumerate(NAMED)) + ") AS reasons FROM points",
+    "volume spacing:d nrms:d pearson:d p99_relative:d displacement:d core:d score:i verdict reasons",
+)
+def export_verdict(spark, sf):
+    s = cut(_swirl(spark, sf))
+    points = s.select("volume", *(F.col(f"i{a}").cast("double").alias(a) for a in "xyz"), F.col("s").alias("swirl"))
+    coarse = points.filter("x % 2 = 1").select("volume", (F.col("x") + 0.25).alias("x"), "y", "z", (F.col("swirl") * (1 + F.col("y") * 0.2)).alias("swirl"))
+    found = exports.compare_exports(points, coarse, D, V)["verdict"]
+    return found.withColumn("reasons", F.concat_ws("; ", "reasons"))

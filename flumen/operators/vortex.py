@@ -321,12 +321,6 @@ def _match_in_rounds(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[st
     return done
 
 
-def suitability(grid: DataFrame) -> DataFrame:
-    """An additive score of what speaks against a grid for vortex work, and the verdict."""
-    score = F.when(F.least("nx", "ny", "nz") < 3, 3).otherwise(0) + F.when(~F.col("structured"), 2).otherwise(0) + F.when(F.col("bad_percent") > 20, 2).when(F.col("bad_percent") > 5, 1).otherwise(0)
-    return grid.withColumn("score", score).withColumn("verdict", F.when(F.col("score") >= 5, "too coarse").when(F.col("score") >= 2, "qualitative").otherwise("suitable"))
-
-
 def projection(field: DataFrame, keys: list[str], along: str, value: str) -> DataFrame:
     """Maximum along an axis and trapezoid integral over it, for each cell of the others; null where nothing is valid."""
     w = Window.partitionBy(*keys).orderBy(along)
