@@ -21,7 +21,8 @@ nearer one against. So text that a template repeats on all pages goes even from
 as articles do stays even without any mark.
 
 Pages count once for each different longest block, so that copies of an article don't make a template of it. Unclosed
-and misnested elements end where their parent ends; text in scripts, styles and hidden elements is none.
+and misnested elements end where their parent ends; text in scripts, styles, controls and hidden elements is none, within
+a line as well: a marked part of a line is a block of its own.
 
 Character references are decoded; white space within a block becomes one blank; blocks are joined by a blank. Null and
 empty pages and tables give empty texts and tables; repeated rows give repeated results; other columns are ignored,
@@ -86,7 +87,9 @@ WEAK_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article articlebody content entry main post story".split())
 #: A name with one of these words says how something is or is laid out, not what it is.
-STATES = frozenset("no not has have with without is open closed enabled disabled free hide hides layout wrapper wrap container page grid columns".split())
+STATES = frozenset("no not has have with without is open closed enabled disabled free hide hides layout wrapper wrap container page grid columns fixed sticky static loaded ready active visible".split())
+#: A name that starts with one of these says what an article is about.
+TOPICS = frozenset("category categories cat tag tags topic topics label keyword".split())
 
 BITS = (1 << 64) - 1
 
@@ -106,11 +109,12 @@ def _mark(tag: str, named: list[tuple[str, str]], attributes: str) -> float:
     if tag in NO_TEXT or (attributes and HIDDEN.search(attributes)):
         return -math.inf
     words: set[str] = set()
-    for _, value in named:
-        for token in value.split():
-            own = {w.lower() for w in WORDS.findall(token)}
-            if not own & STATES:
-                words |= own
+    tokens = [[w.lower() for w in WORDS.findall(token)] for _, value in named for token in value.split()]
+    # Where a name says in one word that it is the article, names of several words say what else is about it.
+    plainly = any(len(t) == 1 and t[0] in MAIN_NAMES for t in tokens)
+    for own in tokens:
+        if own and not STATES.intersection(own) and not (len(own) > 1 and (own[0] in TOPICS or (plainly and (STRONG_NAMES | WEAK_NAMES).intersection(own)))):
+            words.update(own)
     roles = {value.lower() for kind, value in named if kind == "role"}
     if tag in STRONG_TAGS or words & STRONG_NAMES:
         return STRONG
@@ -166,6 +170,8 @@ class Page:
                     self.blocks.append((block, around, text, marks))
 
     def pop(self) -> None:
+        if self.stack[-1][1] == self.stack[-1][2]:  # a block of its own, also one within a line
+            self.flush()
         tag, number, block, _, marks, style = self.stack.pop()
         self.places[tag].pop()
         if tag in SCOPE:
@@ -183,7 +189,7 @@ class Page:
     def open(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             return
-        if tag in BLOCK:
+        if tag in BLOCK and tag != "option":
             self.close(("p",), True)
         if tag in ENDS:
             self.close(ENDS[tag], True)
@@ -203,6 +209,9 @@ class Page:
         number ^= number >> 31
         if tag in BLOCK:
             around, block = (0 if tag in ("html", "body") else block), number
+        elif own < 0:  # part of a line that isn't the article's: a block of its own
+            self.flush()
+            around, block = block, number
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in SCOPE:
             self.scopes.append(len(self.stack))

@@ -479,3 +479,37 @@ def test_hostile_pages(spark):
     got = texts_of(spark, [(1, "a", deep, 1), (2, "a", "<" * 50_000, 1), (3, "a", '<p a="' + "b" * 50_000, 1), (4, "a", "<!--" * 1000, 1), (5, "b", heads, 1), (6, "c", "<a b='" * 20_000, 1)])
     assert got[1][0] == "x" and got[2][1] == 50_000 and got[3][0] == got[4][0] == got[6][0] == "" and got[5][0] == "y"
     assert texts_of(spark, []) == {}
+
+
+ODD = [
+    "<button>Share now</button>", "<textarea>TA</textarea>", "<select><option>Sel</select>", "<span hidden>hid</span>", "<span style='display:none'>hid</span>", "<span class='advert'>buy</span>", "<span class=\"comment\">said</span>", "<a class='share' href=x>tell</a>",
+    "<span class=advert><b>buy <i>now</i></b></span>", "<span class=advert>buy <b>now</span>",
+]
+
+
+@pytest.mark.parametrize("odd", ODD)
+def test_marked_parts_of_lines_are_no_article(odd):
+    page = pages.Page(f"<article><p>The first part {odd} and the last.</p><p>More.</p></article>")
+    # Weak marks make it a block of its own, on which the tree decides; the others keep it out in any case.
+    assert [t for *_, t, marks in page.blocks if marks > 0] == ["The first part", "and the last.", "More."]
+    assert [marks for *_, marks in page.blocks if marks <= 0] == ([pages.WEAK] if "advert" in odd or "share" in odd else [pages.STRONG] if "comment" in odd else [])
+
+
+def test_plain_parts_of_lines_stay_in_it():
+    page = pages.Page("<article><p>One <b class=x>t</b>wo <a href=y>th<i>ree</i></a> <span class='notes-open'>four</span></p></article>")
+    assert [t for *_, t, _ in page.blocks] == ["One two three four"]
+
+
+AROUND = ["<article class='post category-search tag-login'>{}</article>", "<div class='content related-content'>{}</div>", "<div class='toolbar-fixed'><article>{}</article></div>", "<div class='site comments-loaded'><article>{}</article></div>"]
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_articles_stay_within_any_class_and_odd_parts_go(spark, prose, around):
+    """On a host of 40 pages: each article whole, no control, no hidden text, no menu."""
+    odd = "<button>Share now</button><span hidden>unseen</span>"
+    rows, want = [], {}
+    for i in range(40):
+        first, last = prose(60, 100 + i), prose(50, 300 + i)
+        rows.append((i, "http://host.example/" + str(i), f"<html><body><nav><a href=/>Home</a> <a href=/x>All posts</a></nav>{around.format(f'<p>{first} {odd}</p><p>{last}</p>')}<footer>All rights</footer></body></html>", 1))
+        want[i] = f"{first} {last}"
+    assert {k: t for k, (t, _) in texts_of(spark, rows).items()} == want
