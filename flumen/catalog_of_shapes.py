@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog_of_queries import FIELD, SG, SW, M, _mean, _swirl, query
 from .operators import exports, precision, surface, vortex
+from .plans import batches
 from .plans.lineage import cut
 from .sources import fields
 from .sources.fields import VOXEL, lineitem_field
@@ -146,3 +147,27 @@ def export_verdict(spark, sf):
     coarse = points.filter("x % 2 = 1").select("volume", (F.col("x") + 0.25).alias("x"), "y", "z", (F.col("swirl") * (1 + F.col("y") * 0.2)).alias("swirl"))
     found = exports.compare_exports(points, coarse, D, V)["verdict"]
     return found.withColumn("reasons", F.concat_ws("; ", "reasons"))
+
+
+# Decompositions of several volumes at once; one of them has a single snapshot and fails
+
+BATCH = [
+    FIELD,
+    "cells AS (SELECT volume, CAST(floor(ti / 100) AS INTEGER) AS snapshot, iz, iy, ix, avg(v) AS value FROM field GROUP BY ALL), snaps AS (SELECT * FROM cells UNION ALL SELECT 'one', snapshot, iz, iy, ix, value FROM cells WHERE volume = 'A' AND snapshot = 20)",
+    "size AS (SELECT volume, count(DISTINCT snapshot) AS n FROM snaps GROUP BY volume)",
+    "kept AS (SELECT volume, iz, iy, ix, avg(value) AS m FROM snaps JOIN size USING (volume) GROUP BY volume, iz, iy, ix, n HAVING count(*) >= ceil(0.9 * n))",
+    "sums AS (SELECT volume, count(DISTINCT (iz, iy, ix)) AS n_dofs, sum((value - m) * (value - m)) / any_value(n) / 2 AS energy FROM snaps JOIN kept USING (volume, iz, iy, ix) JOIN size USING (volume) GROUP BY volume)",
+]
+
+
+@query(
+    "batch_energy", BATCH,
+    "SELECT volume, n AS n_snapshots, n_dofs, CASE WHEN n < 2 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN n < 2 THEN 'fewer than two snapshots' END AS reason, CASE WHEN n >= 2 THEN energy END AS energy FROM size JOIN sums USING (volume)",
+    "volume n_snapshots:i n_dofs:i status reason energy:d",
+)
+def batch_energy(spark, sf):
+    cells = lineitem_field(spark, sf).groupBy("volume", F.floor(F.col("ti") / 100).cast("int").alias("snapshot"), F.concat_ws(",", "iz", "iy", "ix").alias("dof")).agg(F.avg("v").alias("value"))
+    one = cells.filter("volume = 'A' and snapshot = 20").withColumn("volume", F.lit("one"))
+    found = batches.decompose_volumes(cells.unionByName(one), 1000, 0.9)
+    energy = found["spectra"].groupBy("volume").agg(F.sum("energy").alias("energy"))
+    return found["status"].join(energy, "volume", "left").select("volume", "n_snapshots", "n_dofs", "status", "reason", "energy")
