@@ -162,7 +162,8 @@ BATCH = [
 
 @query(
     "batch_energy", BATCH,
-    "SELECT volume, n AS n_snapshots, n_dofs, CASE WHEN n < 2 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN n < 2 THEN 'fewer than two snapshots' END AS reason, CASE WHEN n >= 2 THEN energy END AS energy FROM size JOIN sums USING (volume)",
+    "SELECT volume, n_snapshots, n_dofs, CASE WHEN reason IS NULL THEN 'processed' ELSE 'failed' END AS status, reason, CASE WHEN reason IS NULL THEN energy END AS energy FROM (SELECT volume, n AS n_snapshots, coalesce(n_dofs, 0) AS n_dofs, energy, "
+    "CASE WHEN n < 2 THEN 'fewer than two snapshots' WHEN n_dofs IS NULL THEN 'nothing with enough snapshots' END AS reason FROM size LEFT JOIN sums USING (volume))",
     "volume n_snapshots:i n_dofs:i status reason energy:d",
 )
 def batch_energy(spark, sf):
