@@ -121,7 +121,7 @@ EXPORTS = [
     """found AS (SELECT side, volume, kind, row_number() OVER (PARTITION BY side, volume, kind ORDER BY root) AS component, sum_s * cv AS integral, px, py, pz, pow(6 * n * cv / pi(), 1 / 3.0) / typical AS core
  FROM (SELECT side, volume, kind, root, count(*) AS n, sum(s) AS sum_s, sum(s * x) / sum(s) AS px, sum(s * iy) / sum(s) AS py, sum(s * iz) / sum(s) AS pz, any_value(cv) AS cv, any_value(typical) AS typical
  FROM act JOIN (SELECT side, volume, kind, c, min(r) AS root FROM reach GROUP BY ALL) USING (side, volume, kind, c) GROUP BY ALL))""",
-    "strong AS (SELECT *, row_number() OVER (PARTITION BY volume, kind ORDER BY integral DESC, component) AS place FROM found WHERE side = 'fine')",
+    "strong AS (SELECT *, row_number() OVER (PARTITION BY volume, kind ORDER BY CAST(integral AS FLOAT) DESC, component) AS place FROM found WHERE side = 'fine')",
     """greedy AS (SELECT DISTINCT volume, kind, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS used, CAST(NULL AS DOUBLE) AS distance FROM strong
  UNION ALL SELECT volume, kind, place, used, distance FROM (SELECT s.volume, s.kind, s.place, list_append(g.used, CAST(b.component AS BIGINT)) AS used, b.component, sqrt(pow(s.px - b.px, 2) + pow(s.py - b.py, 2) + pow(s.pz - b.pz, 2)) AS distance
  FROM greedy g JOIN strong s ON s.volume = g.volume AND s.kind = g.kind AND s.place = g.place + 1 JOIN found b ON b.side = 'coarse' AND b.volume = g.volume AND b.kind = g.kind AND NOT list_contains(g.used, CAST(b.component AS BIGINT)))

@@ -373,7 +373,7 @@ MATCH = [
     "RECURSIVE " + FIELD, TIMES, MEAN, SW, SG, ACT, REACH,
     """found AS (SELECT volume, row_number() OVER (PARTITION BY volume ORDER BY root) AS component, integral, px, py, pz FROM (SELECT volume, root, sum(s) AS integral, sum(s * ix) / sum(s) AS px, sum(s * iy) / sum(s) AS py,
  sum(s * iz) / sum(s) AS pz FROM act JOIN (SELECT volume, c, min(r) AS root FROM reach GROUP BY ALL) USING (volume, c) GROUP BY ALL))""",
-    """strong AS (SELECT p.volume || '-' || q.volume AS pair, f.*, row_number() OVER (PARTITION BY p.volume, q.volume ORDER BY integral DESC, component) AS place FROM (SELECT DISTINCT volume FROM found) p
+    """strong AS (SELECT p.volume || '-' || q.volume AS pair, f.*, row_number() OVER (PARTITION BY p.volume, q.volume ORDER BY CAST(integral AS FLOAT) DESC, component) AS place FROM (SELECT DISTINCT volume FROM found) p
  JOIN (SELECT DISTINCT volume FROM found) q ON p.volume < q.volume JOIN found f ON f.volume = p.volume)""",
     """greedy AS (SELECT DISTINCT pair, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a_component, CAST(NULL AS BIGINT) AS b_component, CAST(NULL AS DOUBLE) AS distance FROM strong
  UNION ALL SELECT * FROM (SELECT s.pair, s.place, list_append(g.used, CAST(b.component AS BIGINT)) AS used, CAST(s.component AS BIGINT) AS a_component, CAST(b.component AS BIGINT) AS b_component, sqrt(pow(s.px - b.px, 2) + pow(s.py - b.py, 2) + pow(s.pz - b.pz, 2)) AS distance

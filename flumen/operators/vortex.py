@@ -235,10 +235,11 @@ MATCHED_AT_ONCE = 2_000
 
 def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str, ...] = ("ix", "iy", "iz"), most: int = MATCHED_AT_ONCE) -> DataFrame:
     """Components of a, the strongest first, each with the nearest one of b that is still free: a_component,
-    b_component, distance by key, until either side is used up. Keys with up to `most` components on either side are
+    b_component, distance by key, until either side is used up. Integrals that agree as single-precision numbers are equal
+    (sums of equal values differ in their last digits from run to run); of those the first component goes first. Keys with up to `most` components on either side are
     matched one by one, each in a task; larger ones in rounds of proposals."""
     own = keys or [unused(a, "_all", *b.columns)]
-    a, b = (t.select(*([] if keys else [F.lit(0).alias(own[0])]), *keys, "component", *(["integral"] if t is a else []), *(F.col(f"{x}_weighted").cast("double").alias(f"{x}_weighted") for x in axes)) for t in (a, b))
+    a, b = (t.select(*([] if keys else [F.lit(0).alias(own[0])]), *keys, "component", *([F.col("integral").cast("float").cast("double").alias("integral")] if t is a else []), *(F.col(f"{x}_weighted").cast("double").alias(f"{x}_weighted") for x in axes)) for t in (a, b))
     a, b = cut(a), cut(b.select(*(F.col(c).alias(c) for c in b.columns)))  # both may come from one table
     a, b = (t.toDF(*t.columns) for t in (a, b))
     n = a.groupBy(*own).agg(F.count("*").alias("_na")).join(b.groupBy(*own).agg(F.count("*").alias("_nb")), own)
