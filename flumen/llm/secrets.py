@@ -5,16 +5,21 @@ Two second-order models over the characters of a token are trained from labelled
  - random strings: the values that the fixed patterns find, by the alphabet they are made of (lower-case hexadecimal,
    letters and digits, ...). Each alphabet has a chain of its own, which starts as uniform over the alphabet and moves
    towards the transitions counted; alphabets weigh as often as they were met.
- - ordinary identifiers: the words and names of six characters and more that no pattern touches. Letters are taken
-   without case, and a second chain has the order of upper case, lower case, digits and marks.
+ - ordinary identifiers: the words and names of three characters and more that no pattern touches. One chain has the
+   order of upper case, lower case, digits and marks, another the letters, without case, of each word that a name is
+   made of (a word starts after anything but a letter and where upper case follows lower case).
+
+Names outside the corpus are made of other words and in other styles than those that a sample shows. So both chains of
+the ordinary model keep a fixed part for what they weren't shown: half of the styles' weight goes to STYLES, a table of
+how names are written, and of a letter's weight OPEN goes to single letters in place of pairs and triples of them.
 
 Both learn from each different token once, so that copies of a text add nothing; transitions that a single name has don't
 count, as it may be a secret that nothing labels.
 
 A token that touches no base span and has a letter is a span of its own if the log-likelihood ratio of the models is
-at least THRESHOLD. Counts of higher order are drawn towards those of lower order, so that a small sample makes the
+at least THRESHOLD, and EACH for each of its characters, so that one odd word in a long name isn't enough. Counts of higher order are drawn towards those of lower order, so that a small sample makes the
 models vague and nothing else: without any labelled value the random strings' model is the uniform one, and without any
-ordinary word the other one is uniform over all characters.
+ordinary word the other one has the styles alone, with any letter as likely as another.
 
 Training reads all texts for the number of those in which a pattern may match and of all others, then a sample of at
 most about SAMPLE different texts of each kind, chosen by a hash of the text; two count tables of a size that the
@@ -47,13 +52,17 @@ QUICK = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}"
 #: What the models judge: tokens of some length.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 #: What ordinary identifiers are learnt from.
-NAME = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+NAME = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
 #: Texts read for training, at most about, of those in which a pattern may match and of the others.
 SAMPLE = 10_000
 #: Log-likelihood ratio from which a token counts as random.
 THRESHOLD = 8.0
+#: Log-likelihood ratio a character that it has as well.
+EACH = 0.2
 #: Weight of the order below in counts of transitions.
 DRAWN = 20.0
+#: Parts of a letter's likelihood that are its own without those before it, and the same for all letters.
+OPEN, ANY = 0.3, 0.1
 #: Length of the tokens that the models can tell apart is not bounded; values are cut into parts of so many characters.
 PART = 1 << 16
 
@@ -67,6 +76,8 @@ CODE[[ord(c) for c in CHARACTERS]] = range(EDGE)
 #: Letters without case, and what kind a character is: lower, upper, digit, mark, edge.
 FOLD = np.array([*range(26), *range(26), *range(52, SIZE)])
 SHAPE = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * len(MARKS) + [4])
+#: How names are written, whatever the corpus shows: what kind comes after each kind (lower, upper, digit, mark, start).
+STYLES = np.array([[0.90, 0.04, 0.01, 0.05], [0.33, 0.60, 0.01, 0.06], [0.08, 0.04, 0.60, 0.28], [0.50, 0.25, 0.10, 0.15], [0.60, 0.30, 0.05, 0.05]])
 #: Alphabets of random strings, each in the order of what it adds; a value belongs to the first that holds it.
 ALPHABETS = [
     string.digits + "abcdef", string.digits + "ABCDEF", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase,
@@ -104,11 +115,24 @@ def _before(codes: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[:-2], padded[1:-1]
 
 
+def _within_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each letter without case and the two before it in its word; the edge where the word hasn't so many. Digits and
+    marks stand alone."""
+    shape, folded = SHAPE[codes], FOLD[codes]
+    letter = shape < 2
+    goes_on = np.zeros(len(codes), bool)
+    goes_on[1:] = letter[1:] & letter[:-1] & ~((shape[1:] == 1) & (shape[:-1] == 0))
+    b, a = np.full(len(codes), EDGE), np.full(len(codes), EDGE)
+    b[1:] = np.where(goes_on[1:], folded[:-1], EDGE)
+    a[2:] = np.where(goes_on[2:] & goes_on[1:-1], folded[:-2], EDGE)
+    return a, b, folded
+
+
 def alphabet_of(codes: np.ndarray) -> int:
     return int(WITHIN[:, np.unique(codes)].all(1).argmax())
 
 
-#: Labels of what is counted: an alphabet's transitions, those of letters without case, those of shapes.
+#: Labels of what is counted: an alphabet's transitions, those of letters within words, those of shapes.
 FOLDED, SHAPES = len(ALPHABETS), len(ALPHABETS) + 1
 
 
@@ -137,24 +161,27 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # All names in a row, each with two edges before it.
             c = _codes("\n\n" + "\n\n".join(names))
             inside = np.flatnonzero(c[2:] != EDGE) + 2
-            for label, of in ((FOLDED, FOLD), (SHAPES, SHAPE)):
-                x = of[c]
-                at, n = np.unique(place(label, x[inside - 2], x[inside - 1], x[inside]), return_counts=True)
+            x = SHAPE[c]
+            for label, (a, b, of) in ((FOLDED, (k[inside] for k in _within_words(c))), (SHAPES, (x[inside - 2], x[inside - 1], x[inside]))):
+                at, n = np.unique(place(label, a, b, of), return_counts=True)
                 counts[at] += n
     at = counts.nonzero()[0]
     label, a, b, c = np.unravel_index(at, (len(ALPHABETS) + 2, SIZE, SIZE, SIZE))
     yield pd.DataFrame({"label": label, "a": a, "b": b, "c": c, "n": counts[at]})
 
 
-def _chain(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each transition (a, b, c), from counts; start is what c is without any."""
+def _alone(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How likely each character is by itself; start is what it is without counts."""
     one = counts.sum((0, 1))
-    p = (one + DRAWN * start) / (one.sum() + DRAWN)
+    return (one + DRAWN * start) / (one.sum() + DRAWN)
+
+
+def _chain(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Likelihood of each transition (a, b, c), from counts; start is what c is without any."""
+    p = _alone(counts, start)
     two = counts.sum(0)
     p = (two + DRAWN * p) / (two.sum(1, keepdims=True) + DRAWN)
-    p = (counts + DRAWN * p) / (counts.sum(2, keepdims=True) + DRAWN)
-    with np.errstate(divide="ignore"):
-        return np.log(p)
+    return (counts + DRAWN * p) / (counts.sum(2, keepdims=True) + DRAWN)
 
 
 class Models:
@@ -162,33 +189,47 @@ class Models:
 
     def __init__(self, counts: np.ndarray) -> None:
         starts = WITHIN / WITHIN.sum(1, keepdims=True)
-        self.random = np.array([_chain(counts[i], starts[i]) for i in range(len(ALPHABETS))], np.float32)
+        with np.errstate(divide="ignore"):
+            self.random = np.array([np.log(_chain(counts[i], starts[i])) for i in range(len(ALPHABETS))], np.float32)
         met = counts[: len(ALPHABETS)].sum((1, 2, 3)) + 1.0
         self.weight = np.log(met / met.sum())
-        folded = np.bincount(FOLD[:EDGE], minlength=SIZE) > 0
-        self.folded = _chain(counts[FOLDED], folded / folded.sum()).astype(np.float32)
+        self.letters = np.log(self._letters(counts[FOLDED])).astype(np.float32)
         n = int(SHAPE.max()) + 1
-        shapes = np.arange(SIZE) < n - 1
-        self.shapes = _chain(counts[SHAPES], shapes / shapes.sum())[:n, :n, :n].astype(np.float32)
+        shown = counts[SHAPES, :n, :n, : n - 1]
+        shown = (shown + DRAWN * STYLES) / (shown.sum(2, keepdims=True) + DRAWN)
+        self.shapes = np.log((STYLES + shown) / 2).astype(np.float32)
+
+    @staticmethod
+    def _letters(counts: np.ndarray) -> np.ndarray:
+        """Likelihood of a character, given its kind: letters by those before them, a digit and a mark by themselves."""
+        p = np.zeros((SIZE, SIZE, SIZE))
+        for kind in (SHAPE == 0, SHAPE == 2, SHAPE == 3):
+            start, own = kind / kind.sum(), counts * kind
+            if kind[0]:
+                p += (1 - OPEN - ANY) * _chain(own, start) + OPEN * _alone(own, start) + ANY * start
+            else:
+                p += _alone(own, start) if kind[-2] else start
+        # A letter that stands twice is as often as not one of a row, as in placeholders and rulers.
+        twice = np.flatnonzero(SHAPE == 0)
+        p[twice, twice] /= 2
+        p[twice, twice, twice] += 0.5
+        return np.maximum(p, np.finfo(np.float32).tiny)
 
     def ratio(self, token: str) -> float:
         """How much better the token is explained as a random string than as an ordinary identifier, in nats."""
         c = _codes(token)
-        random, ordinary = self.weight.copy(), 0.0
+        random = self.weight.copy()
         possible = np.flatnonzero(WITHIN[:, np.unique(c)].all(1))
         a, b = _before(c, EDGE)
         for at in range(0, len(c), PART):
             s = slice(at, at + PART)
             random[possible] += self.random[possible[:, None], a[s], b[s], c[s]].sum(1, dtype=np.float64)
-            fa, fb, fc = FOLD[a[s]], FOLD[b[s]], FOLD[c[s]]
-            ordinary += float(self.folded[fa, fb, fc].sum(dtype=np.float64))
-            # Marks and digits have a shape of their own; only letters' case is added to what the letter says.
-            sa, sb, sc = SHAPE[a[s]], SHAPE[b[s]], SHAPE[c[s]]
-            letters = sc < 2
-            both = np.logaddexp(self.shapes[sa, sb, 0], self.shapes[sa, sb, 1])
-            ordinary += float((self.shapes[sa, sb, sc] - both)[letters].sum(dtype=np.float64))
+        ordinary = float(self.letters[_within_words(c)].sum(dtype=np.float64)) + float(self.shapes[SHAPE[a], SHAPE[b], SHAPE[c]].sum(dtype=np.float64))
         return float(np.logaddexp.reduce(random[possible]) - ordinary)
 
+    def is_random(self, token: str, threshold: float = THRESHOLD) -> bool:
+        return self.ratio(token) >= max(threshold, EACH * len(token))
+
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
     key = F.xxhash64("text")
@@ -219,7 +260,7 @@ def scan(docs: DataFrame, models: Models, threshold: float = THRESHOLD) -> DataF
                 more = []
                 for s, e in _plain(TOKEN, text, spans):
                     token = text[s:e]
-                    if any(x.isalpha() for x in token) and known.ratio(token) >= threshold:
+                    if any(x.isalpha() for x in token) and known.is_random(token, threshold):
                         more.append((s, 3, e))
                 join = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
                 kinds = [k for _, k, _ in spans]

@@ -318,6 +318,30 @@ def test_secrets_models_on_held_out_tokens(documents, prose):
     assert right >= 90 and right / (right + wrong) >= 0.9
 
 
+def test_secrets_and_names_from_elsewhere(documents, prose):
+    """Names of another source than the training corpus: those of the standard library's modules, and random strings of
+    each alphabet, judged by models that have only seen invented prose."""
+    import keyword
+    import pathlib
+
+    r = random.Random(8)
+    models = secrets.train(documents([f"{prose(30, i)} token = {''.join(r.choice(ALPHABETS[i % 5]) for _ in range(30))}" for i in range(300)]))
+    sources = sorted(pathlib.Path(keyword.__file__).parent.glob("*.py"))
+    names = {x for f in sources for x in secrets.TOKEN.findall(f.read_text("utf-8", "replace")) if any(c.isalpha() for c in x)}
+    assert len(names) > 1_000
+    assert sum(map(models.is_random, names)) <= 0.02 * len(names)
+    for alphabet in [*secrets.ALPHABETS, *ALPHABETS]:
+        drawn = ["".join(r.choice(alphabet) for _ in range(r.randint(16, 40))) for _ in range(200)]
+        assert sum(map(models.is_random, drawn)) >= 190
+
+
+def test_letters_of_a_name_start_anew_with_each_word():
+    codes = secrets._codes("getHTTP_idOf9x")
+    a, b, c = secrets._within_words(codes)
+    show = lambda x: "".join("abcdefghijklmnopqrstuvwxyz"[i] if i < 26 else "." for i in x)
+    assert (show(c), show(b), show(a)) == ("gethttp.idof.x", ".ge.htt..i.o..", "..g..ht.......")
+
+
 def test_secrets_without_labels(documents, prose):
     """The models don't depend on a number of labelled values: one without any finds random strings as well."""
     text = " ".join("".join(prose(3, i).split()) for i in range(400))
