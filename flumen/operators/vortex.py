@@ -231,12 +231,15 @@ def compare(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 #: Components of a side of a key up to which one task matches the key.
 MATCHED_AT_ONCE = 2_000
+#: Distances are equal that agree to so many binary places of the largest coordinate: 1e-12 of it.
+PLACES, TINY = 40, 1e-290
 
 
 def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str, ...] = ("ix", "iy", "iz"), most: int = MATCHED_AT_ONCE) -> DataFrame:
     """Components of a, the strongest first, each with the nearest one of b that is still free: a_component,
     b_component, distance by key, until either side is used up. Integrals that agree as single-precision numbers are equal
-    (sums of equal values differ in their last digits from run to run); of those the first component goes first. Keys with up to `most` components on either side are
+    (sums of equal values differ in their last digits from run to run); of those the first component goes first. So are
+    distances that agree to PLACES, as centres come from such sums; of those the first component is the nearest. Keys with up to `most` components on either side are
     matched one by one, each in a task; larger ones in rounds of proposals."""
     own = keys or [unused(a, "_all", *b.columns)]
     a, b = (t.select(*([] if keys else [F.lit(0).alias(own[0])]), *keys, "component", *([F.col("integral").cast("float").cast("double").alias("integral")] if t is a else []), *(F.col(f"{x}_weighted").cast("double").alias(f"{x}_weighted") for x in axes)) for t in (a, b))
@@ -252,10 +255,12 @@ def match_greedily(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[str,
     def one_by_one(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by([("integral", "descending"), ("component", "ascending")]), right.sort_by("component")
         p, q = (np.stack([t[c].to_numpy() for c in at], 1) for t in (left, right))
+        largest = max(np.abs(p).max(), np.abs(q).max(), TINY)
+        unit = 2.0 ** (np.ceil(np.log2(largest)) - PLACES)
         free, pairs, far = np.ones(len(q), bool), [], []
         for i in range(min(len(p), len(q))):
-            d = np.where(free, np.sqrt(((q - p[i]) ** 2).sum(1)), np.inf)
-            j = int(np.argmin(d))
+            d = np.sqrt(((q - p[i]) ** 2).sum(1))
+            j = int(np.argmin(np.where(free, np.rint(d / unit), np.inf)))
             free[j] = False
             pairs.append((i, j))
             far.append(float(d[j]))
@@ -281,8 +286,11 @@ def _match_in_rounds(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[st
     free = b.select(*keys, F.col("component").alias("b_component"), *(F.col(f"{x}_weighted").cast("double").alias(f"b_{x}") for x in axes))
     both = left.select(*keys, F.lit(0).alias("_b"), *(F.col(f"a_{x}").alias(x) for x in axes)).unionByName(free.select(*keys, F.lit(1).alias("_b"), *(F.col(f"b_{x}").alias(x) for x in axes)))
     span = reduce(F.greatest, (F.max(x) - F.min(x) for x in axes)) if len(axes) > 1 else F.max(axes[0]) - F.min(axes[0])
-    size = both.groupBy(*keys).agg(F.greatest(span, F.lit(1e-300)).alias("_span"), F.sum("_b").alias("_nb")).filter("_nb > 0")
-    size = size.select(*keys, (F.col("_span") / F.pow("_nb", 1 / len(axes))).alias("_width"), "_span")
+    largest = F.greatest(*(F.max(F.abs(x)) for x in axes), F.lit(TINY))
+    unit = F.pow(F.lit(2.0), F.ceil(F.log2(largest)) - PLACES)
+    size = both.groupBy(*keys).agg(F.greatest(span, F.lit(1e-300)).alias("_span"), unit.alias("_unit"), F.sum("_b").alias("_nb")).filter("_nb > 0")
+    # A width is many units, so that what is within it is never taken for equal to what the cells miss.
+    size = size.select(*keys, F.greatest(F.col("_span") / F.pow("_nb", 1 / len(axes)), F.col("_unit") * 2.0**20).alias("_width"), F.greatest("_span", F.col("_unit") * 2.0**20).alias("_span"), "_unit")
     add = lambda t: t.join(size, keys) if keys else t.crossJoin(F.broadcast(size))
     active = held(add(left).withColumn("_level", F.lit(0)))
     there = held(add(free))
@@ -300,9 +308,9 @@ def _match_in_rounds(a: DataFrame, b: DataFrame, keys: list[str], axes: tuple[st
         for x in axes:
             near = near.withColumn(f"_c{x}", F.explode(F.array(*(place("a", x) + k for k in (-1, 0, 1)))))
         met = near.join(open_, [*keys, "_level", *(f"_c{x}" for x in axes)]).withColumn("distance", distance)
-        # Within the width of a cell nothing is missed.
-        met = met.filter((F.col("holder").isNull() | (F.col("holder") > F.col("rank"))) & (F.col("distance") <= F.col("_width") * F.pow(F.lit(2.0), F.col("_level"))))
-        best = cut(met.groupBy(*keys, "rank").agg(F.min(F.struct("distance", "b_component")).alias("m")).select(*keys, "rank", "m.b_component", "m.distance"))
+        # Within the width of a cell nothing is missed; a little less of it leaves no tie with what lies just beyond.
+        met = met.filter((F.col("holder").isNull() | (F.col("holder") > F.col("rank"))) & (F.col("distance") <= F.col("_width") * F.pow(F.lit(2.0), F.col("_level")) * (1 - 2.0**-16)))
+        best = cut(met.groupBy(*keys, "rank").agg(F.min(F.struct(F.rint(F.col("distance") / F.col("_unit")).alias("_d"), "b_component", "distance")).alias("m")).select(*keys, "rank", "m.b_component", "m.distance"))
         claims = best.unionByName(holders.filter("holder is not null").select(*keys, F.col("holder").alias("rank"), "b_component", "distance"))
         won = claims.groupBy(*keys, "b_component").agg(F.min(F.struct("rank", "distance")).alias("w")).select(*keys, "b_component", F.col("w.rank").alias("holder"), F.col("w.distance").alias("distance"))
         new = held(holders.select(*keys, "b_component").join(won, [*keys, "b_component"], "left"))

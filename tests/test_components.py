@@ -105,3 +105,13 @@ def test_matching_keeps_keys_apart_and_needs_both_sides(spark):
     a = spark.createDataFrame([("p", 1, 1.0, 0.0, 0.0, 0.0), ("q", 1, 1.0, 5.0, 0.0, 0.0), ("only a", 1, 1.0, 0.0, 0.0, 0.0)], row)
     b = spark.createDataFrame([("p", 1, 1.0, 9.0, 0.0, 0.0), ("q", 1, 1.0, 6.0, 0.0, 0.0), ("only b", 1, 1.0, 0.0, 0.0, 0.0)], row)
     assert sorted((x.k, x.distance) for x in vortex.match_greedily(a, b, ["k"], ("x", "y", "z")).collect()) == [("p", 9.0), ("q", 1.0)]
+
+
+@pytest.mark.parametrize("most", [99, 0])
+def test_last_digits_of_centres_decide_nothing(spark, most):
+    """Component 1 of b is as near as component 2, but for the last digit of a centre."""
+    row = "k string, component long, integral double, x_weighted double, y_weighted double, z_weighted double"
+    a = spark.createDataFrame([("p", 9, 3.0, 4.0, 2.0, 1.0), ("p", 5, 1.0, 3.0, 2.0, 2.0), ("q", 1, 1.0, 3.0, 0.0, 0.0)], row)
+    b = spark.createDataFrame([("p", 1, 1.0, math.nextafter(3.0, 0.0), 1.0, 1.0), ("p", 2, 1.0, 3.0, 2.0, 2.0), ("q", 1, 1.0, math.nextafter(3.0, 9.0), 0.0, 0.0), ("q", 2, 1.0, 3.0, 0.0, 0.0)], row)
+    got = vortex.match_greedily(a, b, ["k"], ("x", "y", "z"), most).collect()
+    assert sorted((x.k, x.a_component, x.b_component, round(x.distance, 9)) for x in got) == [("p", 5, 2, 0.0), ("p", 9, 1, round(math.sqrt(2), 9)), ("q", 1, 1, 0.0)]
