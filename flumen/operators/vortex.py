@@ -70,6 +70,13 @@ def inspect_grid(points: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, "nx", "ny", "nz", "n", "repeated", missing.alias("missing"), ((missing == 0) & (F.col("repeated") == 0)).alias("structured"), (100.0 * F.col("bad") / F.col("n")).alias("bad_percent"))
 
 
+def suitability(grid: DataFrame) -> DataFrame:
+    """An additive score of what speaks against a grid by itself (few points along an axis, no whole grid, NaN), and the
+    verdict. Whether an export will do beside a finer one is said by exports.verdict."""
+    score = F.when(F.least("nx", "ny", "nz") < 3, 3).otherwise(0) + F.when(~F.col("structured"), 2).otherwise(0) + F.when(F.col("bad_percent") > 20, 2).when(F.col("bad_percent") > 5, 1).otherwise(0)
+    return grid.withColumn("score", score).withColumn("verdict", F.when(F.col("score") >= 5, "too coarse").when(F.col("score") >= 2, "qualitative").otherwise("suitable"))
+
+
 def _numbered(table: DataFrame, keys: list[str], by: str, sizes: dict[str, Column]) -> DataFrame:
     """table with running sums of sizes before each row, in the order of `by` within keys."""
     out = running(table, [*map(F.col, keys), F.col(by)], sizes)

@@ -115,3 +115,17 @@ def test_last_digits_of_centres_decide_nothing(spark, most):
     b = spark.createDataFrame([("p", 1, 1.0, math.nextafter(3.0, 0.0), 1.0, 1.0), ("p", 2, 1.0, 3.0, 2.0, 2.0), ("q", 1, 1.0, math.nextafter(3.0, 9.0), 0.0, 0.0), ("q", 2, 1.0, 3.0, 0.0, 0.0)], row)
     got = vortex.match_greedily(a, b, ["k"], ("x", "y", "z"), most).collect()
     assert sorted((x.k, x.a_component, x.b_component, round(x.distance, 9)) for x in got) == [("p", 5, 2, 0.0), ("p", 9, 1, round(math.sqrt(2), 9)), ("q", 1, 1, 0.0)]
+
+
+def test_a_grid_by_itself_has_a_score_and_a_verdict(spark):
+    whole = [("a", x, y, z, 1.0) for x in range(3) for y in range(3) for z in range(3)]
+    flat = [("b", x, 0, z, math.nan if x < 1 else 1.0) for x in range(4) for z in range(3)] + [("b", 3, 0, 2, 1.0)]
+    holes = [("c", *p, 1.0) for _, *p, _ in whole[1:]]
+    grid = vortex.inspect_grid(spark.createDataFrame(whole + flat + holes, "volume string, x int, y int, z int, u double"), ["volume"], "u")
+    assert sorted((r.volume, r.score, r.verdict) for r in vortex.suitability(grid).collect()) == [("a", 0, "suitable"), ("b", 7, "too coarse"), ("c", 2, "qualitative")]
+
+
+def test_grid_inspection_gives_the_score_and_the_verdict():
+    from flumen import catalog_of_queries as core
+
+    assert "score" in core.oracle_sql()["grid_inspection"] and "verdict" in core.oracle_sql()["grid_inspection"]
