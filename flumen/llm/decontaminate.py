@@ -85,7 +85,9 @@ def _overlaps(docs: DataFrame, items: DataFrame, window: int, share: float) -> D
 
     # A document is split into tokens once; each alignment takes along its part of them.
     by_doc = hits.groupBy("doc_row").agg(F.collect_list(F.struct("item_row", "n", "at")).alias("hits"))
-    met = docs.join(if_small(by_doc), "doc_row").select("doc_row", "doc_id", tokens("text").alias("words"), "hits")
+    # Always by a shuffle of the documents, once, as chance hits grow with them; a join that is a broadcast only while
+    # there are few would say nothing of the disk that more documents need.
+    met = docs.join(by_doc.hint("shuffle_hash"), "doc_row").select("doc_row", "doc_id", tokens("text").alias("words"), "hits")
     before = lambda at: F.greatest(-at, F.lit(0))
     part = lambda words: F.transform("hits", lambda h: F.struct(h["item_row"].alias("item_row"), h["at"].alias("at"), F.slice(words, F.greatest(h["at"], F.lit(0)) + 1, F.greatest(h["n"] - before(h["at"]), F.lit(0))).alias("part")))
     # The one-element array keeps the words from being split anew for each alignment.

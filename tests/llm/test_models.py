@@ -265,6 +265,8 @@ def test_decontamination(spark, documents, prose):
     got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(documents(docs), bench).collect()}
     assert got == decontaminated_brute(docs, items) >= {(1, 1), (2, 2), (3, 1), (9, 1), (10, 1), (10, 2), (200, 7), (201, 7), (203, 8)}
     assert {x.doc_id for x in decontaminate.clean(documents(docs), bench).collect()} == {i for i, _ in docs} - {i for i, _ in got}
+    # Documents meet their hits by a shuffle, however few they are: what it moves is in proportion to them.
+    assert "ShuffledHashJoin [doc_row" in decontaminate.overlaps(documents(docs), bench)._jdf.queryExecution().toString()
     assert decontaminate.overlaps(documents([]), bench).count() == 0 == decontaminate.overlaps(documents(docs), bench.limit(0)).count()
 
 
