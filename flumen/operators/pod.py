@@ -185,7 +185,17 @@ def _modes(y: DataFrame, key: str, name: str) -> DataFrame:
 
 def reconstruct(modes: DataFrame, coefficients: DataFrame) -> DataFrame:
     """snapshot, dof and the fluctuation that the modes give."""
-    return modes.join(coefficients, "mode").groupBy("snapshot", "dof").agg(F.sum(F.col("phi") * F.col("a")).alias("x"))
+    # An array of a value for each mode on either side, so that each pair of snapshot and dof is one row, made once: a join
+    # by mode would have a row for each mode besides, and all of a mode's rows in one task.
+    by = lambda t, key, c: cut(t.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("mode", c))).alias(c)))
+    small, large = by(modes, "dof", "phi"), by(coefficients, "snapshot", "a")
+    if small.count() > large.count():
+        small, large = large, small
+    ids = _ids(small.select(F.explode(F.map_keys(small.columns[1])).alias("mode")), "mode", MOST)
+    placed = lambda t, c: t.withColumn(c, F.transform(F.array(*map(F.lit, ids)), lambda i: F.try_element_at(c, i)))
+    small, large = (placed(t, t.columns[1]) for t in (small, large))
+    x = F.aggregate(F.zip_with("a", "phi", lambda p, q: p * q), F.lit(None).cast("double"), lambda s, y: F.coalesce(s + y, s, y))
+    return large.crossJoin(F.broadcast(small)).select("snapshot", "dof", x.alias("x")).filter("x is not null")
 
 
 def mode_gram(modes: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -239,3 +239,13 @@ def test_streaming_mean(spark, samples, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.u_mean for r in spark.table("running").collect()) == [5, 6]
+
+
+def test_reconstruction_makes_each_value_once(spark):
+    modes = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 1, 5.0), (3, 7, 1.0)], "mode int, dof int, phi double")
+    a = spark.createDataFrame([(1, 10, 1.0), (2, 10, 0.5), (2, 11, 2.0)], "mode int, snapshot long, a double")
+    back = pod.reconstruct(modes, a)
+    assert sorted(map(tuple, back.collect())) == [(10, 0, 2.0), (10, 1, 5.5), (11, 1, 10.0)]
+    # No row for each mode besides, and nothing by the mode.
+    plan = back._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
