@@ -61,15 +61,19 @@ def compare(double: DataFrame, single: DataFrame, axes_double: DataFrame, axes_s
         b = b.join(few(one.select(F.col("other").alias(i), F.col("idx").alias("_to")), 1_000_000), i).drop(i).withColumnRenamed("_to", i)
     voxel = ["component", *INDICES]
 
-    def long(t: DataFrame, name: str) -> DataFrame:
-        each = F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.when(component_valid(F.col(c), mode), F.col(c).cast("double")).alias(name)) for c in COMPONENTS))).alias("e")
-        return t.select(*sample, *INDICES, each).select(*sample, *INDICES, "e.*")
+    def valid(t: DataFrame, side: str) -> DataFrame:
+        return t.select(*sample, *INDICES, *(F.when(component_valid(F.col(c), mode), F.col(c).cast("double")).alias(f"_{side}_{c}") for c in COMPONENTS))
 
-    a, b = long(a, "a"), long(b, "b")
-    stats = lambda t, c: t.groupBy(*voxel).agg(F.avg(c).alias(f"m{c}"), F.var_pop(c).alias(f"v{c}"), F.count(c).alias(f"n{c}"))
+    def stats(t: DataFrame, side: str) -> DataFrame:
+        of = lambda c: F.struct(F.lit(c).alias("component"), F.avg(f"_{side}_{c}").alias(f"m{side}"), F.var_pop(f"_{side}_{c}").alias(f"v{side}"), F.count(f"_{side}_{c}").alias(f"n{side}"))
+        by = t.groupBy(*INDICES).agg(*(of(c).alias(c) for c in COMPONENTS))
+        return by.select(*INDICES, F.explode(F.array(*COMPONENTS)).alias("e")).select(*INDICES, "e.*")
+
+    a, b = valid(a, "a"), valid(b, "b")
     voxels = cut(stats(a, "a").join(stats(b, "b"), voxel))
-    # A sample's own mean comes with its voxel; both recordings meet once, by sample and voxel.
-    met = a.join(b, [*sample, *voxel]).filter("a is not null and b is not null").join(voxels.select(*voxel, "ma", "mb"), voxel)
+    # Both recordings meet once, by sample, with all components in a row; a component's own mean comes with its voxel.
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(f"_a_{c}").alias("a"), F.col(f"_b_{c}").alias("b")) for c in COMPONENTS))).alias("e")
+    met = a.join(b, [*sample, *INDICES]).select(*INDICES, each).select(*INDICES, "e.*").filter("a is not null and b is not null").join(voxels.select(*voxel, "ma", "mb"), voxel)
     met = cut(met.select("component", (F.col("a") - F.col("ma")).alias("x"), F.abs((F.col("a") - F.col("ma")) - (F.col("b") - F.col("mb"))).alias("d")))
     tke = voxels.groupBy(*INDICES).agg(F.count("*").alias("_n"), *((F.sum(f"v{c}") / 2).alias(f"k{c}") for c in "ab"), *(F.count(f"v{c}").alias(f"_{c}") for c in "ab")).filter("_n = 3 and _a = 3 and _b = 3")
     rows = [
@@ -79,9 +83,9 @@ def compare(double: DataFrame, single: DataFrame, axes_double: DataFrame, axes_s
         (voxels.select("component", F.lit("count").alias("quantity"), F.abs(F.col("na") - F.col("nb")).cast("double").alias("d")), voxels.groupBy("component").agg(F.avg("na").alias("scale")).withColumn("quantity", F.lit("count"))),
     ]
     each, scales = (reduce(DataFrame.unionByName, x) for x in zip(*rows))
-    each = cut(each.filter("d is not null"))
+    each = each.filter("d is not null")
     keys = ["component", "quantity"]
-    by = with_quantiles(each.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.max("d").alias("max")), each, keys, "d", [0.95, 0.99], "_q").join(scales, keys, "left")
+    by = with_quantiles(each.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.max("d").alias("max")), each, keys, "d", [0.95, 0.99], "_q", written=True).join(scales, keys, "left")
     by = by.select(*keys, "n", "mean", F.get("_q", F.lit(0)).alias("p95"), F.get("_q", F.lit(1)).alias("p99"), "max", "scale")
     # Without a scale differences stay as they are.
     scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)

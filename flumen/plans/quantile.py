@@ -22,18 +22,21 @@ def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """state (keys, rank, low, high, below, n: the value of this rank lies between low and high, without them, and below
     values aren't over low) after a round: either value is known, or the range is a few RANGES-th of what it was."""
     by = [*keys, "rank"]
-    inside = lambda s: _with(rows, s, keys).filter((F.col("_v") > F.col("low")) & (F.col("_v") < F.col("high")))
+    # Ranks that share a range share its sketch and counts: rows are looked at once for each range, not for each rank.
+    within = [*keys, "low", "high"]
+    inside = lambda s, of: _with(rows, s.select(*of).distinct(), keys).filter((F.col("_v") > F.col("low")) & (F.col("_v") < F.col("high"))).groupBy(*of)
     marks = F.array(*(F.lit(i / RANGES) for i in range(RANGES + 1)))
-    edges = inside(state).groupBy(*by).agg(F.percentile_approx("_v", marks, F.lit(40 * RANGES)).alias("_e"))
+    edges = inside(state, within).agg(F.percentile_approx("_v", marks, F.lit(40 * RANGES)).alias("_e"))
     at = F.floor((F.col("rank") - F.col("below")) / F.greatest(F.col("n") - 1, F.lit(1)) * RANGES).cast("int")
     edge = lambda i: F.get("_e", F.greatest(F.lit(0), F.least(F.lit(RANGES), i)))
-    state = cut(state.join(edges, by).withColumns({"_l": edge(at - 1), "_h": edge(at + 2)}).drop("_e"))
+    state = cut(state.join(edges, within).withColumns({"_l": edge(at - 1), "_h": edge(at + 2)}).drop("_e"))
     v, low, high = F.col("_v"), F.col("_l"), F.col("_h")
     # Counts decide, not the sketch: a rank that lies elsewhere keeps the range on that side.
-    counts = inside(state).groupBy(*by).agg(*(F.count_if(c).alias(n) for n, c in {"_a": v < low, "_b": v <= low, "_c": v < high, "_d": v <= high}.items()))
+    parts = [*within, "_l", "_h"]
+    counts = inside(state, parts).agg(*(F.count_if(c).alias(n) for n, c in {"_a": v < low, "_b": v <= low, "_c": v < high, "_d": v <= high}.items()))
     r = F.col("rank") - F.col("below")
     place = F.when(r < F.col("_a"), 0).when(r < F.col("_b"), 1).when(r < F.col("_c"), 2).when(r < F.col("_d"), 3).otherwise(4)
-    now = state.join(counts, by).withColumn("_p", place)
+    now = state.join(counts, parts).withColumn("_p", place)
     pick = lambda *of: F.element_at(F.array(*of), F.col("_p") + 1)
     none = F.lit(None).cast("double")
     return cut(now.select(
@@ -43,13 +46,14 @@ def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     ))
 
 
-def quantiles(table: DataFrame, keys: list[str], value: str | Column, at: list[float], name: str = "q", most: int = MOST) -> DataFrame:
+def quantiles(table: DataFrame, keys: list[str], value: str | Column, at: list[float], name: str = "q", most: int = MOST, written: bool = False) -> DataFrame:
     """keys and an array: the values at the given parts (0 to 1) of each group's finite values, linearly between ranks, as
     `percentile` has them. A group of up to `most` values is sorted at once. Of larger ones the range of each wanted rank
     is narrowed in rounds, by a sketch whose choice exact counts correct, until it has that few values; a value that very
     many rows share is found as the end of a range, not collected."""
-    # Written out, as it is read at least twice and may be dear to make.
-    rows = cut(table.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).filter(finite(F.col("_v"))))
+    rows = table.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).filter(finite(F.col("_v")))
+    # Written out, as it is read at least twice and may be dear to make; written: table comes from what is already.
+    rows = rows if written else cut(rows)
     sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).filter("n > 0"))
     large = sizes.filter(F.col("n") > most)
     if large.isEmpty():
@@ -85,7 +89,7 @@ def quantiles(table: DataFrame, keys: list[str], value: str | Column, at: list[f
     return out.unionByName(small) if small is not None else out
 
 
-def with_quantiles(groups: DataFrame, table: DataFrame, keys: list[str], value: str | Column, at: list[float], name: str = "q") -> DataFrame:
+def with_quantiles(groups: DataFrame, table: DataFrame, keys: list[str], value: str | Column, at: list[float], name: str = "q", written: bool = False) -> DataFrame:
     """groups (a row for each key) with the quantiles of table; null for a key without finite values."""
-    found = quantiles(table, keys, value, at, name)
+    found = quantiles(table, keys, value, at, name, written=written)
     return groups.join(found, keys, "left") if keys else groups.crossJoin(found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from flumen.plans import quantile
 from flumen.plans.quantile import quantiles
 
 AT = [0.0, 0.01, 0.25, 0.5, 0.9, 0.975, 0.99, 1.0]
@@ -39,3 +40,11 @@ def test_quantiles_by_key(spark):
 
 def test_quantiles_of_nothing(spark):
     assert quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", [0.5]).count() == 0
+
+
+def test_ranks_of_one_range_look_at_its_rows_once(spark, monkeypatch):
+    ranges, plain = [], quantile._with
+    monkeypatch.setattr(quantile, "_with", lambda rows, state, keys: (ranges.append(state.count()), plain(rows, state, keys))[1])
+    values = np.random.default_rng(3).normal(size=5_000)
+    got = quantiles(spark.createDataFrame([(float(v),) for v in values], "v double"), [], "v", [0.95, 0.99], most=50).first()["q"]
+    assert np.allclose(got, np.quantile(values, [0.95, 0.99])) and ranges[1] == 1  # of four ranks
